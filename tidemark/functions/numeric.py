@@ -34,7 +34,9 @@ def calibration_map(x: Column, spec: str) -> Column:
 
 
 def age_days(now: datetime, ts: Column) -> Column:
-    return F.greatest(F.lit(0.0), (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 8.64e10)
+    """Days from ts to now, 0 for later ones, null for null."""
+    days = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 8.64e10
+    return F.when(days.isNotNull(), F.greatest(F.lit(0.0), days))
 
 
 def parse_timestamp(text: Column) -> Column:

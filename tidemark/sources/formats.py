@@ -152,7 +152,7 @@ def verify_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFra
 def report_rows(spark: SparkSession, path: str) -> DataFrame:
     """file, topic, key, value of text reports: a line `== topic ==` opens a block of `key: value`
     lines. Files are small; each is one row, split in place."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     blocks = F.regexp_extract_all("value", F.lit(r"(?m)(^==[^\n]*==\n(?:(?!^==)[^\n]*\n?)*)"), F.lit(1))
     block = whole.select("file", F.explode(blocks).alias("b")).withColumn("topic", F.trim(F.regexp_extract("b", r"^==\s*(.*?)\s*==", 1)))
     line = block.select("file", "topic", F.posexplode(F.regexp_extract_all("b", F.lit(r"(?m)^([^=\n:][^\n:]*:[^\n]*)$"), F.lit(1))).alias("pos", "line"))
