@@ -1,0 +1,480 @@
+"""Each corpus operator against a brute-force version or an exact round trip, with nulls, empty
+and long texts, ties, repeated rows, empty tables and columns of clashing names."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidemark.llm import chat, decontam, imatch, langid, mixing, pii, queries, simhash, token_counts, toxicity, warc
+from tidemark.llm.common import held_out, is_held_out
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, pii string"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def docs_of(spark, texts, ids=None, langs=None, sources=None):
+    """Rows with columns of clashing names beside."""
+    n = len(texts)
+    ids = ids or list(range(n))
+    rows = [(ids[i], texts[i], (langs or ["en"] * n)[i], (sources or ["s"] * n)[i], None if texts[i] is None else len(texts[i]), 7, 0.5, "x") for i in range(n)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+ODD = [None, "", "   ", "a", "é\U0001f600", "word " * 3000, "same text here", "same text here"]
+
+
+# ---- language ID
+def test_languages_are_told_apart_on_held_out_rows(spark, documents):
+    model = langid.train(documents)
+    rows = langid.identify(documents, model).where(held_out()).select("lang", "lang_pred", "score").collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.9
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_of_odd_texts_and_tables(spark, documents):
+    model = langid.train(documents)
+    out = langid.identify(docs_of(spark, [*ODD, "12 34 !?"]), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in out[:3]] == ["und"] * 3 and out[8].lang_pred == "und" and out[0].score == 0
+    assert out[6].lang_pred == out[7].lang_pred
+    none = langid.train(documents.limit(0))
+    assert {r.lang_pred for r in langid.identify(documents.limit(3), none).collect()} == {"und"}
+    assert langid.identify(documents.limit(0), model).count() == 0
+    kept = langid.keep_identified(docs_of(spark, ODD), model)
+    assert kept.columns == docs_of(spark, ODD).columns and kept.count() == 5
+
+
+def test_pairs_vote_within_a_family():
+    rng = np.random.default_rng(1)
+    x, y = [], []
+    for k, lang in enumerate(("de", "en", "nl", "fr", "es")):
+        v = np.abs(rng.normal(0, 0.05, (60, langid.DIMS))).astype(np.float32)
+        v[:, k * 50 : k * 50 + 50] += 1
+        x.append(v / np.linalg.norm(v, axis=1, keepdims=True))
+        y += [lang] * 60
+    model = langid.fit(np.vstack(x), np.array(y, object))
+    assert len(model.pair_w["germanic"][0]) == 3 and len(model.pair_w["romance"][0]) == 1
+    assert model.predict(np.vstack(x))[0] == y
+
+
+# ---- chat
+def test_chat_round_trip(spark):
+    said = ["</s>[INST] ok [/INST]", "<<|>|>\\.\\\\n<s>", "", "plain\nlines", None]
+    rows = [(1, t, ("user", "assistant")[t % 2], said[t % 5]) for t in range(7)] + [(2, 0, "user", "x"), (None, 0, None, "n"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("example", F.lit(1))
+    out = chat.expand(turns)
+    got = {}
+    for r in out.orderBy("conv_id", "example").collect():
+        got.setdefault(r.conv_id, []).append(r)
+    for conv, want in ((1, [(r or "", t or "") for _, _, r, t in rows[:7]]), (2, [("user", "x")]), (None, [("", "n")]), (3, [("assistant", "a")] * 2)):
+        assert chat.read_turns(got[conv][-1].text) == want
+        replies = [r for r in got[conv] if r.kind == "reply"]
+        assert [chat.unescape(r.text[r.loss_start : r.loss_end]) for r in replies] == [t for role, t in want if role == "assistant"]
+        for i, r in enumerate(replies):
+            assert chat.read_turns(r.text)[-1][0] == "assistant" and r.example == i
+    assert got[1][-1].kind == "tail" and got[1][-1].loss_start == got[1][-1].loss_end
+    for s in said[:4]:
+        assert chat.unescape(chat.escape(s)) == s and not any(c in chat.escape(s) for c in chat.CONTROL)
+    d = {r.conv_id: r for r in chat.digest(out).collect()}
+    assert d[1].n_turns == 7 and d[2].loss_chars == 0 and d[3].loss_chars == 2
+    assert d[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t or ''}\n" for _, _, r, t in rows[:7]).encode()).hexdigest()
+    assert chat.digest(chat.expand(turns.limit(0))).count() == 0
+
+
+# ---- I-Match
+def test_imatch_pairs_and_texts(spark, documents):
+    docs = docs_of(spark, ["alpha beta gamma delta", None, "", "z" * 1001, "one two", "one two"], ids=[5, 3, None, 9, 7, 7])
+    out = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in imatch.with_next(docs).collect()}
+    order = [(9, "z" * 1001), (7, "one two"), (7, "one two"), (5, "alpha beta gamma delta"), (3, ""), (None, "")]
+    assert len(out) == 5 or len(out) == 6
+    for (i, t), (_, nxt) in zip(order, [*order[1:], order[0]], strict=True):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        assert (i, len(t), hashlib.sha256(edited.encode()).hexdigest()) in out
+    full = imatch.with_next(documents)
+    rows = full.collect()
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    ids = sorted(texts, reverse=True)
+    follow = dict(zip(ids, [*ids[1:], ids[0]], strict=True))
+    assert len(rows) == len(texts)
+    prints = {r.doc_id: r.fingerprint for r in rows}
+    for r in rows:
+        t, n = texts[r.doc_id], texts[follow[r.doc_id]]
+        half = len(t) // 2
+        assert r.edited_sha256 == hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()
+        split = lambda s: [s[i : i + 8] for i in range(0, len(s), 8)]
+        assert r.near_next == pytest.approx(imatch.likeness(split(r.fingerprint), split(prints[follow[r.doc_id]])))
+        assert 0 <= r.near_edited <= 1
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(texts[r.doc_id], set()).add(r.fingerprint)
+    assert all(len(v) == 1 for v in by_text.values())
+    assert np.mean([r.near_edited for r in rows]) > np.mean([r.near_next for r in rows])
+    assert imatch.with_next(documents.limit(0)).count() == 0
+    assert imatch.with_next(docs_of(spark, ["only one"])).first().near_next == 1.0
+
+
+def test_lexicon_counts_every_text(documents):
+    seen = Counter(t for r in documents.collect() for t in imatch.in_lexicon(imatch.terms(r.text)).tolist())
+    n = documents.count()
+    want = sorted(t for t, c in seen.items() if max(2, 0.002 * n) <= c <= max(2, 0.2 * n))
+    assert imatch.lexicon(documents, chunk=7).tolist() == want
+
+
+def test_terms_are_the_words():
+    a, b = imatch.terms("The cat, the CAT! été"), imatch.terms("cat the été")
+    assert a.tolist() == b.tolist() and len(a) == 3
+    assert len(imatch.terms("")) == len(imatch.terms(None)) == len(imatch.terms("...")) == 0
+
+
+# ---- mixing
+def fill(sizes, weights=(5, 2, 1), cap=3):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    target, free, left = {}, set(names), sum(sizes.values())
+    while True:
+        level = left / sum(w[s] for s in free)
+        over = {s for s in free if level * w[s] > cap * sizes[s]}
+        if not over:
+            return target | {s: level * w[s] for s in free}
+        for s in over:
+            target[s] = cap * sizes[s]
+            left -= target[s]
+        free -= over
+
+
+def test_mix_meets_targets(spark):
+    texts, sources = [], []
+    rng = np.random.default_rng(3)
+    for s, n in (("a", 300), ("b", 40), ("c", 9), (None, 60), ("d", 5)):
+        for _ in range(n):
+            texts.append("w " * int(rng.integers(0, 60)))
+            sources.append(s)
+    texts[0] = None
+    docs = docs_of(spark, texts, sources=sources)
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(texts) and sorted(r.doc_id for r in out) == list(range(len(texts)))
+    sizes = Counter()
+    for t, s in zip(texts, sources, strict=True):
+        sizes[s] += len((t or "").split())
+    want = fill(sizes)
+    taken = Counter()
+    for r in out:
+        assert r.size == len((texts[r.doc_id] or "").split()) and 0 <= r.taken <= 3 * r.size
+        assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
+        taken[r.source] += r.taken
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= max(6, 0.03 * t)
+    again = {(r.doc_id, r.taken) for r in mixing.mix(docs.repartition(7)).collect()}
+    assert again == {(r.doc_id, r.taken) for r in out}
+    assert mixing.mix(docs.limit(0)).count() == 0
+    assert [r.taken for r in mixing.mix(docs_of(spark, [None, ""])).collect()] == [0, 0]
+    assert mixing.mix(docs_of(spark, ["a b", "a b"], ids=[4, 4])).count() == 2
+
+
+# ---- personal data
+RAW = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def base_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m)
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    ok = {"email": lambda m: True, "ip": lambda m: all(int(p.lstrip("0")[:5] or "0") <= 255 for p in m.split(".")), "card": lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m)), "phone": lambda m: 9 <= len(digits(m)) <= 15}
+    return sorted(((m.start(), k, m.end()) for k, rx in RAW.items() for m in rx.finditer(text) if ok[k](m[0])), key=lambda x: (x[0], pii.KINDS.index(x[1])))
+
+
+TRICKY = [
+    "a@b.c+d@e.f, x@@y.z, @q.r u@v and a.b@c-d.e.f..g", "1.2.3.4.5 256.1.1.1 001.002.003.0255 1.2.3.45678 9.9.9.9", "4111 1111-1111 1111 and 4111111111111112 12345678901234567890123",
+    "+1 (785) 555-9997 +12 +1.2.3.4.5.6.7.8.9.0 ++49 30 123456-", "é\U0001f600x@y.zz 1.1.1.1", "9" * 5000 + ".1.1.1", "a" * 5000 + "@b", "+1" + " " * 3000, "1 2 3 4 5 6 7 8 9 0 1 2 3-4-5 6",
+]
+
+
+def test_base_spans_equal_plain_patterns(spark, documents):
+    texts = [r.text for r in documents.collect()] + TRICKY + [t for t in ODD if t is not None]
+    for t in texts:
+        got = [(s, k, e) for k, s, e, _ in pii.find_spans(t) if k in pii.BASE]
+        assert got == base_spans(t), t[:80]
+
+
+def test_checks_and_context():
+    assert pii.find_spans("pay to GB82 WEST 1234 5698 7654 32 now")[0][0] == "iban"
+    assert not [k for k, *_ in pii.find_spans("pay to GB83 WEST 1234 5698 7654 32 now") if k == "iban"]
+    assert [k for k, *_ in pii.find_spans("SSN 123-45-6789")] == ["ssn"] and pii.find_spans("part 123-45-6789") == []
+    near, far = pii.find_spans("card 4111111111111111")[0][3], pii.find_spans("order 4111111111111111")[0][3]
+    assert near > far
+    assert pii.redact("write x@y.zz or +1 (785) 555-9997!") == "write [EMAIL] or [PHONE]!"
+    assert pii.redact(None) is None and pii.redact("clean") == "clean"
+
+
+def test_pii_query_and_redaction(spark):
+    docs = docs_of(spark, [*ODD, *TRICKY])
+    out = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    assert out[0].pii == [] and len(out) == len(ODD) + len(TRICKY)
+    red = pii.redact_pii(docs)
+    assert red.columns == docs.columns
+    for r in red.collect():
+        assert r.text is None or not [k for k, *_ in pii.find_spans(r.text) if k == "email"]
+        assert r.n_chars == (None if r.text is None else len(r.text))
+    assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+# ---- WARC
+def test_warc_round_trip(spark):
+    big, small = "x" * 5000, "y" * 99
+    rows = [(5, "http://www.A.com:80/p?q=1#f", big), (3, "https://b.org/x", big), (3, "https://b.org/x", big), (9, None, None), (8, "mailto:x", small), (7, "http://a.com/p?q=1", small), (None, "http://a.com/\r\nEvil: 1", big), (1, "http://a.com/\t", "é\r\n\r\n" * 60), (2, "", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    manifest = warc.write_archive(pages, roll=9000)
+    assert manifest.count() == len(rows) and manifest.select("file").distinct().count() > 1
+    index = warc.build_index(manifest, lines=2)
+    got = warc.read_records(warc.lookup(pages.select("page_id", "url"), index)).collect()
+    assert sorted(r.page for r in got) == sorted("" if i is None else str(i) for i, *_ in rows)
+    for r in got:
+        html = next(h or "" for i, _, h in rows if ("" if i is None else str(i)) == r.page)
+        assert r.payload_bytes == len(html.encode()) and r.payload_digest == hashlib.sha256(html.encode()).hexdigest()
+        revisit = html == big and r.page != "3"
+        assert r.record_type == ("revisit" if revisit else "response") and r.refers_to == ("3" if revisit else None)
+    one = warc.read_records(warc.lookup(spark.createDataFrame([(7, "http://a.com/p?q=1"), (7, "http://a.com/p?q=1"), (7, "http://nowhere.com/")], "page_id long, url string"), index)).collect()
+    assert [r.page for r in one] == ["7"]
+    empty = warc.write_archive(pages.limit(0))
+    assert warc.read_records(warc.lookup(pages.limit(0), warc.build_index(empty))).count() == 0
+
+
+def test_surt(spark):
+    urls = ["http://www.Blog.Example.com:80/a?b=c#d", "https://u:p@x.org:8443", "nonsense", None]
+    got = [r[0] for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string").orderBy("i").select(warc.surt(F.col("url"))).collect()]
+    assert got == ["com,example,blog)/a?b=c", "org,x:8443)/", "-", "-"]
+
+
+# ---- token counts
+def test_token_counts_equal_the_library(spark, documents):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    odd = [*ODD, "<|endoftext|>", " <|endoftext|>a<|endoftext|> b", "it's  we'll\n\n x   \x1c\x85 1234 ١٢ 　", "a\x00b", "\U0001f600" * 50, "DON'T <|endoftext|", "\t\t  \r\n" * 40]
+    rng = np.random.default_rng(5)
+    odd += ["".join(chr(c) for c in rng.integers(1, 0x3000, 200) if not 0xD800 <= c < 0xE000) for _ in range(30)]
+    docs = documents.select("doc_id", "text").unionByName(docs_of(spark, odd, ids=list(range(10_000, 10_000 + len(odd)))).select("doc_id", "text"))
+    for r in token_counts.count_tokens(docs, path, limit=50).collect():
+        t = r.text or ""
+        assert r.n_tokens == len(lib.encode(t, add_special_tokens=False).ids), repr(t[:60])
+        assert r.n_bytes == len(t.encode()) and r.over_limit == (r.n_tokens > 50)
+    whole = token_counts.whole_tokens(path)
+    assert len(whole) > 40_000
+    assert token_counts.count_tokens(docs.limit(0), path).count() == 0
+
+
+# ---- SimHash
+def brute_simhash(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    s = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def classes(ids, prints, radius=4):
+    parent = list(range(len(ids)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    f = np.array(prints, np.uint64)
+    for i in range(len(f)):
+        for j in np.flatnonzero(np.bitwise_count(f ^ f[i]) <= radius):
+            a, b = find(i), find(int(j))
+            parent[max(a, b)] = min(a, b)
+    groups = {}
+    for i in range(len(ids)):
+        groups.setdefault(find(i), []).append(ids[i])
+    return {x: min(g) for g in groups.values() for x in g}
+
+
+def test_simhash_against_all_pairs(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    rows += [(10_000 + i, t) for i, t in enumerate([None, "", " \n", "a b", "A  B", "a b c d", *[rows[5][1] + f" tail{k}" for k in range(4)]])]
+    want = classes([r[0] for r in rows], [brute_simhash(r[1]) for r in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash"))
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(docs, cell=8).collect()}
+    for i, t in rows:
+        assert got[i] == (np.uint64(brute_simhash(t)).astype(np.int64), want[i])
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    twice = docs_of(spark, ["p q r s t u", "p q r s t u"], ids=[4, 4])
+    assert simhash.deduplicate(twice).count() == 1 and simhash.near_duplicates(twice).count() == 2
+    nulls = docs_of(spark, ["p q r s t u", "p q r s t u"], ids=[None, 4])
+    assert {r.component_id for r in simhash.near_duplicates(nulls).collect()} == {4}
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4])
+def test_bit_planes_count_distances(radius):
+    rng = np.random.default_rng(radius)
+    x = rng.integers(0, 1 << 63, 130, dtype=np.uint64)
+    for i in range(1, 130, 2):
+        x[i] = x[i - 1] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 8)), replace=False)))
+    planes = simhash.planes_of(x)
+    words = planes.shape[1]
+    got = simhash.within(planes, np.tile(np.arange(words), len(x)), np.repeat(x, words), np.full(words * len(x), simhash.ALL), radius).reshape(len(x), words)
+    lanes = np.unpackbits(got.view(np.uint8), axis=1, bitorder="little")[:, : len(x)].astype(bool)
+    assert (lanes == (np.bitwise_count(x[:, None] ^ x[None, :]) <= radius)).all()
+
+
+@pytest.mark.parametrize("sizes", [[2, 3, 64, 63, 5], [65, 200, 2], [300]])
+def test_stars_join_the_same_groups(sizes):
+    rng = np.random.default_rng(sum(sizes))
+    runs = []
+    for n in sizes:
+        base = rng.integers(0, 1 << 63, dtype=np.uint64)
+        runs.append(np.unique(base ^ np.array([sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 6)), replace=False)) for _ in range(n)], np.uint64)))
+    u, v = simhash.stars(runs)
+    joined = {}
+
+    def find(a):
+        while joined.get(a, a) != a:
+            a = joined[a]
+        return a
+
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        a, b = find(a), find(b)
+        joined[max(a, b)] = min(a, b)
+    for r in runs:
+        want = classes(r.tolist(), r.tolist())
+        for a in r.tolist():
+            assert find(a) == want[a]
+    assert len(u) <= sum(len(r) for r in runs)
+
+
+def test_components_of_long_chains(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (200, 200)]
+    out = {r.u: r.v for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert out == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100}
+
+
+# ---- toxicity
+def test_toxicity_on_held_out_rows_and_variants(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    rows = toxicity.score(docs, model).join(labels, "doc_id").where(held_out() & (F.col("lang") == "en")).select("score", "toxic").collect()
+    hit, miss = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
+    assert np.mean([a > b for a in hit for b in miss]) > 0.8
+    plain, spaced, gapped, inserted, clean = model.score(["you idiot there", "you i d i o t there", "you id-i.ot there", "you worthxless there", "you kind there"])
+    assert min(plain, spaced, gapped, inserted) >= 0.3 > clean
+    assert model.score([None, ""]).tolist() == [model.score([""])[0]] * 2
+    out = toxicity.score(docs_of(spark, ODD), model).collect()
+    assert len(out) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
+    none = toxicity.train(docs, labels.limit(0))
+    assert none.score(["idiot"]).tolist() == [0.0]
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_kernel_equals_its_definition():
+    def vector(w):
+        v = Counter()
+        x = [ord(c) - 97 for c in w]
+        for i in range(len(x)):
+            for j in range(i + 1, len(x)):
+                for k in range(j + 1, min(len(x), i + toxicity.SPAN + 1)):
+                    v[x[i], x[j], x[k]] += toxicity.DECAY ** (k - i - 2)
+        return v
+
+    words = ["idiot", "idxiot", "banana", "worthless", "ab"]
+    table = toxicity.table_of(words)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            u, v = vector(a), vector(b)
+            n = np.sqrt(sum(x * x for x in u.values())) * np.sqrt(sum(x * x for x in v.values()))
+            assert (table[:, i] @ table[:, j]) == pytest.approx(sum(u[k] * v[k] for k in u) / n if n else 0, abs=1e-5)
+    got = toxicity.best_similarities(["x banana idxiot y", "", None], table)
+    want = toxicity.sharpen(table.T @ table)
+    assert got[0] == pytest.approx(np.maximum(want[1], want[2]), abs=1e-4) and not got[1:].any()
+
+
+# ---- decontamination
+def brute_contamination(docs, items, size=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for i, t in items:
+        w = words(t)
+        n = min(size, len(w))
+        for a in range(len(w) - n + 1 if w else 0):
+            windows.setdefault(tuple(w[a : a + n]), set()).add(str(i))
+    out = {}
+    for d, t in docs:
+        w = words(t)
+        hit, found = set(), set()
+        for n in {len(k) for k in windows}:
+            for a in range(len(w) - n + 1):
+                if tuple(w[a : a + n]) in windows:
+                    hit |= set(range(a + 1, a + n + 1))
+                    found |= windows[tuple(w[a : a + n])]
+        out[d] = (len(w), sorted(hit), sorted(found))
+    return out
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_contamination_against_brute_force(spark, limit):
+    item = "The Quick brown fox jumps over the lazy dog again and again"
+    items = [(1, item), (2, "short item"), (10, "short item"), (3, None), (4, "..."), (5, "Été one")]
+    texts = [*ODD, f"x {item.upper()} y", item[:-10], "a SHORT,item! short item", "été one Été one", f"{item} {item}"]
+    docs, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contamination(list(enumerate(texts)), items)
+    got = {r.doc_id: (r.n_words, list(r.hit_words), list(r.item_ids)) for r in decontam.find_contamination(docs, bench, set_limit=limit).collect()}
+    assert got == want
+    kept = decontam.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, v in want.items() if not v[1]]
+    spans = {r.doc_id: r.text for r in decontam.decontaminate(docs, bench, mode="spans").collect()}
+    assert spans[8] == "x y" and spans[0] is None and spans[10] == "a " and spans[6] == texts[6]
+    assert decontam.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontam.find_contamination(docs.limit(0), bench).count() == 0
+
+
+# ---- the registered queries
+def test_held_out_agrees_with_python(spark, documents):
+    rows = documents.select("doc_id", held_out().alias("h")).collect()
+    assert all(r.h == is_held_out(r.doc_id) == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.queries()[name](spark, SF)
+    res = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in res.description]
+    assert sorted(df.columns) == sorted(names)
+    plain = lambda v: round(v, 6) if isinstance(v, float) else v
+    got = sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=repr)
+    assert got == sorted((tuple(map(plain, r)) for r in res.fetchall()), key=repr)
+
+
+def test_query_digests_follow_the_operators(spark, documents):
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    for r in queries.op5_personal_data(spark, SF).collect():
+        spans = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
+        assert r.n_email == sum(k == "email" for _, k, _ in spans) and r.n_phone == sum(k == "phone" for _, k, _ in spans)
+    for r in queries.op8_simhash(spark, SF).collect():
+        assert r.fingerprint == f"{brute_simhash(texts[r.doc_id]):016x}"
+    assert {r.doc_id for r in queries.op1_language_id(spark, SF).collect()} == set(texts)
+    assert {r.predicted for r in queries.op9_toxicity(spark, SF).collect()} <= {0, 1}

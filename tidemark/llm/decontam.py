@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same classes in a text that isn't lower-cased yet.
+RAW_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -124,8 +126,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     if mode == "documents":
         return docs.join(hit, same, "left_anti")
-    pieces = F.regexp_extract_all("text", F.lit(f"({WORD}{SEPARATOR}*)"), F.lit(1))
-    lead = F.regexp_extract("text", f"^({SEPARATOR}*)", 1)
+    pieces = F.regexp_extract_all("text", F.lit(f"({RAW_WORD}{RAW_SEPARATOR}*)"), F.lit(1))
+    lead = F.regexp_extract("text", f"^({RAW_SEPARATOR}*)", 1)
     left = F.filter(pieces, lambda p, i: ~F.array_contains("__hit", i + 1))
     cleaned = F.when(F.col("__hit").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(left, "")))
     joined = docs.join(hit, same, "left")
