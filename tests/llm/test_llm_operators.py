@@ -128,7 +128,7 @@ def test_imatch_pairs_and_texts(spark, documents):
 def test_lexicon_counts_every_text(documents):
     seen = Counter(t for r in documents.collect() for t in imatch.in_lexicon(imatch.terms(r.text)).tolist())
     n = documents.count()
-    want = sorted(t for t, c in seen.items() if max(2, 0.002 * n) <= c <= max(2, 0.2 * n))
+    want = sorted(t for t, c in seen.items() if max(2, 0.005 * n) <= c <= max(2, 0.5 * n))
     assert imatch.lexicon(documents, chunk=7).tolist() == want
 
 
