@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parents[1] / "tools"))
 import oracle  # noqa: E402
 
-from tidemark.plans import catalogue  # noqa: E402
+from tidemark.plans import catalogue, more  # noqa: E402, F401
 
 SF = "/root/testdata/sf0.001"
 
