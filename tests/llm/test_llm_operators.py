@@ -372,13 +372,13 @@ def test_components_of_long_chains(spark):
 
 # ---- toxicity
 def test_toxicity_on_held_out_rows_and_variants(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
     rows = toxicity.score(docs, model).join(labels, "doc_id").where(held_out() & (F.col("lang") == "en")).select("score", "toxic").collect()
     hit, miss = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
-    assert np.mean([a > b for a in hit for b in miss]) > 0.8
-    plain, spaced, gapped, inserted, clean = model.score(["you idiot there", "you i d i o t there", "you id-i.ot there", "you worthxless there", "you kind there"])
-    assert min(plain, spaced, gapped, inserted) >= 0.3 > clean
+    assert np.mean([a > b for a in hit for b in miss]) > 0.95
+    *bad, clean = model.score(["you idiot there", "you i d i o t there", "you id-i.ot there", "you worthxless there", "you kind there"])
+    assert min(bad) >= 0.3 > clean
     assert model.score([None, ""]).tolist() == [model.score([""])[0]] * 2
     out = toxicity.score(docs_of(spark, ODD), model).collect()
     assert len(out) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
@@ -440,9 +440,9 @@ def test_contamination_against_brute_force(spark, limit):
     want = brute_contamination(list(enumerate(texts)), items)
     got = {r.doc_id: (r.n_words, list(r.hit_words), list(r.item_ids)) for r in decontam.find_contamination(docs, bench, set_limit=limit).collect()}
     assert got == want
-    kept = decontam.decontaminate(docs, bench)
+    kept = decontam.decontaminate(docs, bench, set_limit=limit)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, v in want.items() if not v[1]]
-    spans = {r.doc_id: r.text for r in decontam.decontaminate(docs, bench, mode="spans").collect()}
+    spans = {r.doc_id: r.text for r in decontam.decontaminate(docs, bench, mode="spans", set_limit=limit).collect()}
     assert spans[8] == "x y" and spans[0] is None and spans[10] == "a " and spans[6] == texts[6]
     assert decontam.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontam.find_contamination(docs.limit(0), bench).count() == 0

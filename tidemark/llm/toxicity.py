@@ -1,12 +1,13 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-Words are compared by their common subsequences of three letters; every letter skipped halves a
+Words are compared by their common subsequences of three letters; every letter skipped lowers a
 subsequence's weight, so an insult with gaps or inserted characters still resembles its plain
 form. Characters that aren't letters are skipped, and letters spelled out one by one are read as a
 word. The cosine of two words' subsequence vectors is the kernel; similarities below `FLOOR`
-count as 0 and the rest is raised to the fourth power. A text is described by its best similarity
-to each landmark word, whitened by the landmarks' own kernel matrix; a linear machine and a
-logistic curve turn that into a score.
+count as 0 and the rest is squared. A text is described by its best similarity to each landmark
+word, whitened by the landmarks' own kernel matrix, and by its best similarity to any; a linear
+machine and a logistic curve turn that into a score. Toxic texts of the sample are also learnt with
+a character put into, or taken out of, their landmark words.
 
 Scale: landmarks and machine are learnt from a bounded sample of labelled rows (`per_class` of
 each label, by a hash of doc_id; the landmark words are counted by Spark). Scoring is one pass
@@ -22,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from . import linear_svm
 from .common import bounded_batches, held_out, mix64, sample_by_class
 
-LETTERS, SPAN, DECAY, FLOOR, POWER = 32, 6, 0.5, 0.5, 4
+LETTERS, SPAN, DECAY, FLOOR, POWER = 32, 6, 0.85, 0.55, 2
+#: Weight of the similarity to the nearest landmark beside the whitened ones.
+NEAREST = 2.0
 #: Offsets of the second and third letter of a subsequence, and its weight.
 SHAPES = [(j, k, DECAY ** (k - 2)) for k in range(2, SPAN + 1) for j in range(1, k)]
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -172,6 +175,24 @@ def best_similarities(texts: list[str | None], table: np.ndarray) -> np.ndarray:
     return out
 
 
+def embed(similarities: np.ndarray, whiten: np.ndarray) -> np.ndarray:
+    """Whitened similarities and the weighted largest one."""
+    return np.hstack([similarities @ whiten, NEAREST * similarities.max(axis=1, keepdims=True)])
+
+
+def disguise(text: str | None, landmarks: frozenset[str], seed: int) -> str | None:
+    """The text with one character put into (or, of long words sometimes, taken out of) each of
+    its landmark words; null if it has none. The same seed gives the same text."""
+    rng, changed, words = np.random.default_rng(seed), False, (text or "").split(" ")
+    for i, w in enumerate(words):
+        if w.lower() in landmarks:
+            k = int(rng.integers(1, len(w)))
+            out = len(w) >= 5 and rng.random() < 0.3
+            words[i] = w[:k] + w[k + 1 :] if out else w[:k] + "abcdefghijklmnopqrstuvwxyz*.-"[int(rng.integers(29))] + w[k:]
+            changed = True
+    return " ".join(words) if changed else None
+
+
 @dataclass
 class Model:
     """landmarks, their subsequence table, the whitening matrix, machine weights (bias last) and
@@ -187,7 +208,7 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not self.landmarks:
             return np.full(len(texts), self.base)
-        x = best_similarities(texts, self.table) @ self.whiten
+        x = embed(best_similarities(texts, self.table), self.whiten)
         return linear_svm.sigmoid(self.curve[0] * linear_svm.margin(x, self.weights) + self.curve[1]).astype(np.float64)
 
 
@@ -234,11 +255,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, c: float =
         return empty
     table = table_of(words)
 
+    known_words = frozenset(words)
+
     @F.arrow_udf(ArrayType(FloatType()))
     def describe(text: pa.Array) -> pa.Array:
         return pa.array(list(best_similarities(text.to_pylist(), table)), pa.list_(pa.float32()))
 
-    rows = sample.select("doc_id", "toxic", describe(F.col("text")).alias("x"), F.xxhash64("doc_id").alias("h")).toArrow()
+    @F.arrow_udf(StringType())
+    def disguised(text: pa.Array, seed: pa.Array) -> pa.Array:
+        return pa.array([disguise(t, known_words, abs(h)) for t, h in zip(text.to_pylist(), seed.to_pylist(), strict=True)], pa.string())
+
+    plain = sample.select("toxic", "text", F.xxhash64("doc_id").alias("h"))
+    hidden = plain.where("toxic = 1").withColumn("text", disguised(F.col("text"), F.col("h"))).where("text IS NOT NULL")
+    rows = plain.unionByName(hidden).select("toxic", describe(F.col("text")).alias("x"), "h").toArrow()
     rows = rows.sort_by([("h", "ascending"), ("toxic", "ascending")])
     if not rows.num_rows:
         return empty
@@ -247,8 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, c: float =
     kernel = sharpen(table.T @ table)
     value, vector = np.linalg.eigh(kernel.astype(np.float64))
     whiten = (vector / np.sqrt(np.maximum(value, 0.05))).astype(np.float32)
-    x = x @ whiten
-    fold = np.arange(len(y)) % 4 == 0  # the curve is fitted to rows that the machine hasn't seen
+    x = embed(x, whiten)
+    fold = rows["h"].to_numpy() % 4 == 0  # the curve is fitted to rows that the machine hasn't seen
     if min(y[fold].sum(), (~y[fold]).sum(), y[~fold].sum(), (~y[~fold]).sum()) < 3:
         fold = np.zeros(len(y), bool)
     weights = linear_svm.fit(x[~fold], np.where(y[~fold], 1, -1), c)
