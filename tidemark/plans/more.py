@@ -191,7 +191,7 @@ def events_tumbling(spark, d):
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('seed|' || doc_id), doc_id) <= ceil(count(*) OVER (PARTITION BY lang) * 0.2 - 1e-9) AS holdout FROM documents")
 def hash_holdout(spark, d):
-    docs = table(spark, d, "documents").withColumn("coin", F.sha2(F.concat(F.lit("seed|"), F.col("doc_id").cast("string")), 256)).withColumn("inverse", F.lit(0))
+    docs = table(spark, d, "documents").withColumn("coin", F.sha2(F.concat(F.lit("seed|"), F.col("doc_id").cast("string")), 256))
     from pyspark.sql import Window
 
     w = Window.partitionBy("lang")
