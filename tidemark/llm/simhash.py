@@ -310,6 +310,7 @@ def deduplicate(docs: DataFrame, k: int = 4, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each group of near-duplicates, that of the smallest doc_id."""
     found = near_duplicates(docs, k, radius)
     kept = written(found.groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id").alias("kept_id")).distinct(), "simhash-kept")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    # kept grows with the corpus, so it is never broadcast; each task builds a table of its own share
+    out = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     again = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1")
     return out.dropDuplicates(["doc_id"]) if again.limit(1).count() else out
