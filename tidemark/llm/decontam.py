@@ -113,7 +113,29 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, se
     return per_doc.select("doc_id", "text_hash", "n_words", F.size(hit_words).cast("long").alias("n_hit"), items.alias("item_ids"), hit_words.alias("hit_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", size: int = 10) -> DataFrame:
+def _without_windows(docs: DataFrame, windows: list) -> DataFrame:
+    """Rows of docs without any of the windows (length, h, g): where a hash is in the set, the
+    words themselves are looked up. Nothing leaves the scan, so texts aren't shuffled."""
+
+    def hit(length: int, hashes: list[int], grams: list[str]) -> Column:
+        found = F.filter(_starts(length), lambda i: _hash_at(i, length).isin(hashes))
+        return F.exists(found, lambda i: F.array_join(F.slice("w", i, F.lit(length)), " ").isin(grams))
+
+    by_length: dict[int, tuple[list[int], list[str]]] = {}
+    for r in windows:
+        hashes, grams = by_length.setdefault(r["length"], ([], []))
+        hashes.append(r["h"])
+        grams.append(r["g"])
+    bad = F.lit(False)
+    for n, (hashes, grams) in sorted(by_length.items()):
+        bad = bad | hit(n, hashes, grams)
+    # the row number, which the filter reads, keeps it above the projection that splits the text:
+    # pushed below, it would split the text once for each window
+    split = docs.select(F.struct(*docs.columns).alias("d"), words(F.col("text")).alias("w"), F.monotonically_increasing_id().alias("row"))
+    return split.where((F.col("row") >= 0) & ~bad).select("d.*")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", size: int = 10, set_limit: int = 200_000) -> DataFrame:
     """docs without what the benchmark holds, with the columns of docs.
 
     mode "documents" drops documents with a hit; "spans" removes the hit words and the separators
@@ -121,7 +143,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     text, so rows that repeat a doc_id are judged by their own text."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
-    hit = find_contamination(docs, benchmark, size).where("n_hit > 0")
+    if mode == "documents":
+        windows = benchmark_windows(benchmark, size).select("length", F.xxhash64("gram").alias("h"), F.array_join("gram", " ").alias("g"))
+        head = windows.limit(set_limit + 1).collect()
+        if len(head) <= set_limit:
+            return _without_windows(docs, head)
+    hit = find_contamination(docs, benchmark, size, set_limit).where("n_hit > 0")
     hit = hit.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("hit_words").alias("__hit")).dropDuplicates(["__id", "__hash"])
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     if mode == "documents":
