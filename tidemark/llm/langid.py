@@ -134,7 +134,7 @@ def fit(x: np.ndarray, lang: np.ndarray, c: float = 2.0) -> Model:
     return model
 
 
-def train(docs: DataFrame, sample_rows: int = 4000) -> Model:
+def train(docs: DataFrame, sample_rows: int = 2000) -> Model:
     """Model learnt from docs (doc_id, text, lang), held-out rows and null lang left out. At most
     about sample_rows rows are used, an equal share for each language."""
     bounded_batches(docs.sparkSession)

@@ -8,35 +8,38 @@ import numpy as np
 
 def fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 25, inner: int = 30, balanced: bool = True) -> np.ndarray:
     """Weights, the bias last, for x (rows, features) and y in {-1, 1}. balanced: each class
-    weighs the same in total."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
+    weighs the same in total. x is never copied; only vectors are made."""
     y = y.astype(np.float32)
     cost = np.full(len(y), c, np.float32)
     if balanced:
         for s in (-1, 1):
             cost[y == s] *= len(y) / (2 * max(1, (y == s).sum()))
-    w = np.zeros(x.shape[1], np.float32)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return x @ v[:-1] + v[-1]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.append(r @ x, r.sum()).astype(np.float32)
 
     def loss(v: np.ndarray) -> float:
-        m = np.maximum(0, 1 - y * (x @ v))
+        m = np.maximum(0, 1 - y * times(v))
         return float(v @ v / 2 + (cost * m * m).sum())
 
+    w = np.zeros(x.shape[1] + 1, np.float32)
     now = loss(w)
     for _ in range(steps):
-        m = 1 - y * (x @ w)
-        on = m > 0
-        xa, ca = x[on], cost[on]
-        g = w - 2 * xa.T @ (ca * y[on] * m[on])
-        d, r = np.zeros_like(w), -g
-        p, rr = r.copy(), float(r @ r)
+        m = np.maximum(0, 1 - y * times(w))
+        on = cost * (m > 0)
+        r = 2 * back(on * y * m) - w
+        d, p, rr = np.zeros_like(w), r.copy(), float(r @ r)
         if rr < 1e-6:
             break
         stop = rr * 1e-4
         for _ in range(inner):
-            hp = p + 2 * xa.T @ (ca * (xa @ p))
+            hp = p + 2 * back(on * times(p))
             a = rr / float(p @ hp)
             d += a * p
-            r -= a * hp
+            r = r - a * hp
             new = float(r @ r)
             if new < stop:
                 break
@@ -47,7 +50,7 @@ def fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 25, inner: in
             t /= 2
         if t <= 1e-4:
             break
-        w = w + t * d
+        w = w + np.float32(t) * d
         if now - then < 1e-5 * max(1.0, now):
             break
         now = then
