@@ -64,7 +64,6 @@ def sample_by_class(df: DataFrame, label: str, per_class: int, seed: int = 7) ->
     """About per_class rows of each label, chosen by a hash of doc_id. Labels are counted by a
     partial aggregation; no class is gathered in one task. The number of labels is bounded by the
     caller. Rows whose label is null are left out."""
-    spark = df.sparkSession
     counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
     if not counts:
         return df.limit(0)
@@ -72,7 +71,6 @@ def sample_by_class(df: DataFrame, label: str, per_class: int, seed: int = 7) ->
     for value, n in counts.items():
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(share)
     coin = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003.0
-    del spark
     return df.where(F.col(label).isNotNull() & (coin < share))
 
 
