@@ -110,4 +110,5 @@ def idf_ranking(docs: DataFrame, key: str, tokens: str, vocabulary: list[str], l
     # the vocabulary bounds df, and n is one row
     weighed = words.join(F.broadcast(df), "word").join(F.broadcast(n))
     out = weighed.groupBy(key).agg(F.count("*").alias("matched"), F.sum(F.log((F.col("n") + 1) / (F.col("df") + 0.5))).alias("score"))
-    return out.where(F.col("matched") >= least).orderBy(F.col("score").desc(), key).limit(limit)
+    # the order of summing moves the last digits of a score; equal ones must tie
+    return out.where(F.col("matched") >= least).orderBy(F.round("score", 9).desc(), key).limit(limit)
