@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -132,6 +133,30 @@ def test_lexicon_counts_every_text(documents):
     assert imatch.lexicon(documents, chunk=7).tolist() == want
 
 
+def test_lexicon_is_the_whole_band(spark):
+    words = [f"w{i}" for i in range(64)]
+    texts = [" ".join(words[:32])] * 2 + [" ".join(words[32:])] * 2 + [f"only{i}" for i in range(4)]
+    lexicon = imatch.lexicon(docs_of(spark, texts))
+    assert set(lexicon.tolist()) == set(imatch.terms(" ".join(words)).tolist())
+    bits = imatch.subset_bits(lexicon)
+    whole = imatch.fingerprint(texts[0], lexicon, bits)
+    for i in range(32):  # every term counts, whichever is taken away
+        less = imatch.fingerprint(" ".join(words[:i] + words[i + 1 : 32]), lexicon, bits)
+        assert less[0] != whole[0] and imatch.likeness(whole, less) < 1
+
+
+def test_counts_combine_in_parts(monkeypatch, documents):
+    want = imatch.lexicon(documents).tolist()
+    batch = pa.RecordBatch.from_pydict({"text": ["a b c", "a b", "a", None]})
+    monkeypatch.setattr(imatch, "HELD", 4)
+    parts = list(imatch._count([batch], 4096))
+    total = Counter()
+    for p in parts:
+        total.update(dict(zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True)))
+    assert len(parts) == 2 and sorted(total.values()) == [1, 2, 3]
+    assert imatch.lexicon(documents, chunk=7).tolist() == want
+
+
 def test_terms_are_the_words():
     a, b = imatch.terms("The cat, the CAT! été"), imatch.terms("cat the été")
     assert a.tolist() == b.tolist() and len(a) == 3

@@ -1,16 +1,14 @@
 """I-Match document fingerprints over randomised lexicon subsets.
 
-The lexicon is a random eighth of all terms, of which those within a band of document frequency
-are kept. A text's distinct lexicon terms, sorted, are hashed once for the whole lexicon and once
-for each of 64 random subsets of it, from a quarter down to a thirty-second: a part survives an
-edit if no term of its subset comes or goes, so small subsets tell how much was edited and large
-ones whether anything was. Two fingerprints are alike by the share of equal parts among those
-that aren't empty in both.
-
-Scale: document frequencies are counted over all texts; tasks combine the counts of their
-documents before the shuffle, and only lexicon terms leave a task. A lexicon term occurs in at
-least `low` of all documents, so the broadcast lexicon has at most (lexicon terms per document) /
-low entries. To pair each document with the next one, texts are shuffled once, in ranges of
+The lexicon is every term within a band of document frequency. A text's distinct lexicon terms,
+sorted, are hashed once for the whole lexicon and once for each of 64 random subsets of it, from a
+thirty-second down to a 256th: a part survives an edit if no term of its subset comes or goes, so
+small subsets tell how much was edited and the whole lexicon whether anything was. Two fingerprints
+are alike by the share of equal parts among those that aren't empty in both.
+
+Scale: document frequencies of all terms are counted over all texts; tasks combine the counts of
+their documents before the shuffle. A lexicon term occurs in at least `low` of all documents, so
+the broadcast lexicon has at most (terms per document) / low entries. To pair each document with the next one, texts are shuffled once, in ranges of
 doc_id; the first row of a range is also sent to the range before."""
 
 from __future__ import annotations
@@ -26,9 +24,10 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 
 from .common import bounded_batches, code_points, mix64, written
 
-#: One term in EIGHTH belongs to the lexicon; subsets of it by rate.
-EIGHTH = np.uint64(8)
-RATES = [1.0] + [1 / 4] * 4 + [1 / 8] * 12 + [1 / 16] * 24 + [1 / 32] * 24
+#: Subsets of the lexicon by rate; the first is all of it.
+RATES = [1.0] + [1 / 32] * 4 + [1 / 64] * 12 + [1 / 128] * 24 + [1 / 256] * 24
+#: Terms that a task holds at most before it combines their counts, beyond those of one text.
+HELD = 1 << 22
 EMPTY = "0" * 8
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -69,7 +68,8 @@ def terms(text: str | None) -> np.ndarray:
 
 
 def in_lexicon(t: np.ndarray) -> np.ndarray:
-    return t[mix64(t) % EIGHTH == 0]
+    """The terms that are counted for the lexicon: all."""
+    return t
 
 
 def subset_bits(lexicon: np.ndarray) -> np.ndarray:
@@ -99,18 +99,21 @@ def likeness(a: list[str], b: list[str]) -> float:
 
 
 def _count(batches, chunk: int):
-    """Document frequencies of lexicon terms, combined over `chunk` documents at a time."""
+    """Document frequencies of terms, combined over `chunk` documents at a time, or HELD terms."""
     held: list[np.ndarray] = []
+    size = 0
 
     def out():
         t, n = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n, pa.int64())], names=["term", "n"])
 
     for batch in batches:
-        held += [in_lexicon(terms(t)) for t in batch.column(0).to_pylist()]
-        if len(held) >= chunk:
-            yield out()
-            held = []
+        for text in batch.column(0).to_pylist():
+            held.append(in_lexicon(terms(text)))
+            size += len(held[-1])
+            if len(held) >= chunk or size >= HELD:
+                yield out()
+                held, size = [], 0
     if held:
         yield out()
 
