@@ -34,6 +34,30 @@ def best_by_stems(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return best.select(F.col("__l").alias(left_key), (-F.col("m.o")).alias(right_key), F.col("m.shared").alias("shared"))
 
 
+def best_by_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, words: str, least: int, share: float, length: int = 5) -> DataFrame:
+    """left_key, right_key, shared, overlap: for each left row the right row of highest overlap, the
+    shared stems over the size of the smaller set, of those with at least `least` shared stems and
+    that overlap; ties by more shared stems, then by right_key.
+
+    Sets that share `least` stems meet in their n - least + 1 rarest ones, so the most frequent stems
+    of a set are never join keys."""
+    stems = lambda rows, key: rows.select(F.col(key).alias("k"), T.prefix_stems(F.col(words), length).alias("s")).where(F.size("s") >= least)
+    a, b = stems(left, left_key), stems(right, right_key)
+    df = b.select(F.explode("s").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+
+    def keyed(sets: DataFrame) -> DataFrame:
+        flat = sets.select("k", F.explode("s").alias("w")).join(df, "w")
+        ordered = flat.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("o"))
+        return ordered.where(F.size("o") >= least).select("k", F.explode(F.slice("o", F.lit(1), F.size("o") - least + 1)).alias("w"))
+
+    pairs = keyed(a).withColumnRenamed("k", "l").join(keyed(b).withColumnRenamed("k", "r"), "w").select("l", "r").distinct()
+    full = pairs.join(a.select(F.col("k").alias("l"), F.col("s").alias("x")), "l").join(b.select(F.col("k").alias("r"), F.col("s").alias("y")), "r")
+    scored = full.withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long")).withColumn("overlap", F.col("shared") / F.least(F.size("x"), F.size("y")))
+    kept = scored.where((F.col("shared") >= least) & (F.col("overlap") >= share))
+    best = kept.groupBy("l").agg(F.max(F.struct("overlap", "shared", (-F.col("r")).alias("o"))).alias("m"))
+    return best.select(F.col("l").alias(left_key), (-F.col("m.o")).alias(right_key), F.col("m.shared").alias("shared"), F.col("m.overlap").alias("overlap"))
+
+
 def jaccard_join(rows: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
     """a, b, jaccard of pairs of token sets with Jaccard of at least threshold, a < b.
 

@@ -40,6 +40,16 @@ def stem_overlap_join(spark, d):
     return matching.best_by_stems(items, docs, "item_id", "doc_id", "w", 4, 0.2)
 
 
+@query(rf"""WITH a AS (SELECT item_id, list_distinct(list_transform({TOK}, lambda w: left(w, 5))) AS x FROM benchmark), b AS (SELECT doc_id, list_distinct(list_transform({TOK}, lambda w: left(w, 5))) AS y FROM documents),
+c AS (SELECT item_id, doc_id, len(list_intersect(x, y)) AS shared, len(list_intersect(x, y)) / least(len(x), len(y)) AS overlap FROM a JOIN b ON list_has_any(x, y))
+SELECT item_id, arg_max(doc_id, (overlap, shared, -doc_id)) AS doc_id, arg_max(shared, (overlap, shared, -doc_id)) AS shared, max(overlap) AS overlap FROM c WHERE shared >= 4 AND overlap >= 0.2 GROUP BY item_id""")
+def stem_overlap_whole(spark, d):
+    """Each benchmark item's document of highest stem overlap among all, by their first lines."""
+    words = F.array_distinct(T.tokens(F.split_part("text", F.lit("\n"), F.lit(1))))
+    items = table(spark, d, "benchmark").withColumn("w", words)
+    return matching.best_by_overlap(items, table(spark, d, "documents").withColumn("w", words), "item_id", "doc_id", "w", 4, 0.2)
+
+
 @query(f"""WITH t AS (SELECT doc_id, {TOK} AS t FROM documents), s AS (SELECT * FROM t WHERE len(t) > 0)
 SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS jaccard FROM s a JOIN s b ON a.doc_id < b.doc_id AND list_has_any(a.t, b.t)
 WHERE len(list_intersect(a.t, b.t)) >= 0.6 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) - 1e-9""")
