@@ -15,3 +15,15 @@ def test_stem_overlap_looks_at_long_documents(spark, tmp_path):
     docs = spark.createDataFrame(rows[:2], "doc_id long, text string, n_chars long").withColumn("w", F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " "))
     item = spark.read.parquet(f"{tmp_path}/benchmark.parquet").withColumn("w", F.split("text", " "))
     assert matches.matching.best_by_overlap(item, docs, "item_id", "doc_id", "w", 4, 0.2).first().doc_id == 2
+
+
+def test_benchmark_items_are_matched_whole(spark, tmp_path):
+    from tidemark.plans import catalogue
+
+    long = "one two three four five six seven eight"
+    spark.createDataFrame([(1, long), (2, "green tea"), (3, "nowhere to be found in any of them")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [f"x {long} y", "one two three four five six nine ten", "Green tea", "evergreen tea", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    count = lambda q: {r.item_id: r.docs for r in q(spark, str(tmp_path)).collect()}
+    assert count(catalogue.benchmark_contains_whole) == {1: 1, 2: 1, 3: 0}
+    assert count(catalogue.benchmark_contains) == {1: 2, 2: 1, 3: 0}

@@ -76,6 +76,29 @@ def jaccard_join(rows: DataFrame, key: str, tokens: str, threshold: float) -> Da
     return pairs.select(F.col("k").alias("a"), F.col("kb").alias("b"), (common / (F.size("t") + F.size("tb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def count_holding(docs: DataFrame, text: str, items: DataFrame, key: str, term: str, words: int = 6) -> DataFrame:
+    """key, docs: how many documents hold each item's whole term, as words in a row (both normalised).
+
+    Candidates share the term's first min(words, its length) words; they are verified in full. Items
+    are a small table: their openings come to the driver and are looked up as a literal set."""
+    w = F.split(F.col(term), " ")
+    rows = items.select(F.col(key).alias("__i"), F.col(term).alias("__t"), F.least(F.size(w), F.lit(words)).alias("__n"), F.array_join(F.slice(w, 1, words), " ").alias("__g"))
+    heads = rows.select("__n", "__g").where("__g IS NOT NULL").distinct().collect()
+    found = F.array().cast("array<string>")
+    x = F.split(F.col(text), " ")
+
+    def present(n: int, own: list[str]):
+        grams = F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, n), " "))
+        return F.when(F.size(x) >= n, F.filter(grams, lambda g: g.isin(*own))).otherwise(F.array().cast("array<string>"))
+
+    for n in sorted({h["__n"] for h in heads}):
+        found = F.concat(found, present(n, [h["__g"] for h in heads if h["__n"] == n]))
+    near = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("__d"), F.explode(F.array_distinct(found)).alias("__h"))
+    pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    hits = near.join(F.broadcast(rows), F.col("__h") == F.col("__g")).where(F.contains(pad("__d"), pad("__t"))).groupBy("__i").agg(F.count("*").alias("__c"))
+    return items.select(key).join(hits, F.col(key) == F.col("__i"), "left").select(key, F.coalesce("__c", F.lit(0)).alias("docs"))
+
+
 def any_key_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, keys: str) -> DataFrame:
     """Distinct (left_key, right_key) whose arrays of keys meet."""
     a = left.select(F.col(left_key), F.explode(keys).alias("__x"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import numeric as N
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
-from tidemark.operators import features, metrics, mining, relational, rules, vectors
+from tidemark.operators import features, matching, metrics, mining, relational, rules, vectors
 from tidemark.session import table
 from tidemark.sources import formats
 
@@ -188,14 +188,17 @@ def page_article(spark, d):
 @query(rf"""WITH d AS (SELECT doc_id, ' ' || {NORM} || ' ' AS t FROM documents), b AS (SELECT item_id, ' ' || array_to_string(list_slice(string_split({NORM}, ' '), 1, 6), ' ') || ' ' AS p FROM benchmark)
 SELECT item_id, count(doc_id) AS docs FROM b LEFT JOIN d ON contains(t, p) GROUP BY item_id""")
 def benchmark_contains(spark, d):
-    """How many documents hold the first six words of each item in a row: n-grams of documents are
-    joined to the items' by an equi-join, not by a product."""
-    items = table(spark, d, "benchmark").select("item_id", F.slice(F.split(T.normalize("text"), " "), 1, 6).alias("w"))
-    items = items.select("item_id", F.array_join("w", " ").alias("p"))
-    w = F.split(T.normalize("text"), " ")
-    grams = table(spark, d, "documents").withColumn("w", w).where(F.size("w") >= 6).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " ")))).alias("g"))
-    hits = grams.join(F.broadcast(items.select("p").distinct()), F.col("g") == F.col("p"), "left_semi").groupBy("g").agg(F.count("*").alias("docs"))
-    return items.join(hits, F.col("p") == F.col("g"), "left").select("item_id", F.coalesce("docs", F.lit(0)).alias("docs"))
+    """How many documents hold the first six words of each item in a row, or all words of a shorter one."""
+    items = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split(T.normalize("text"), " "), 1, 6), " ").alias("p"))
+    return matching.count_holding(table(spark, d, "documents").select(T.normalize("text").alias("t")), "t", items, "item_id", "p")
+
+
+@query(rf"""WITH d AS (SELECT doc_id, ' ' || {NORM} || ' ' AS t FROM documents), b AS (SELECT item_id, ' ' || {NORM} || ' ' AS p FROM benchmark)
+SELECT item_id, count(doc_id) AS docs FROM b LEFT JOIN d ON contains(t, p) GROUP BY item_id""")
+def benchmark_contains_whole(spark, d):
+    """How many documents hold all words of each item in a row."""
+    items = table(spark, d, "benchmark").select("item_id", T.normalize("text").alias("p"))
+    return matching.count_holding(table(spark, d, "documents").select(T.normalize("text").alias("t")), "t", items, "item_id", "p")
 
 
 @query(f"""SELECT doc_id, {SQL_TYPE} AS type, least(3 - substr(source, 4)::INT % 3, CASE WHEN coalesce(quality, 1) = 0 THEN 1 ELSE 3 END, CASE WHEN quality IS NULL THEN 2 ELSE 3 END) AS trust
