@@ -27,3 +27,31 @@ def test_benchmark_items_are_matched_whole(spark, tmp_path):
     count = lambda q: {r.item_id: r.docs for r in q(spark, str(tmp_path)).collect()}
     assert count(catalogue.benchmark_contains_whole) == {1: 1, 2: 1, 3: 0}
     assert count(catalogue.benchmark_contains) == {1: 2, 2: 1, 3: 0}
+
+
+def test_vectors_and_baseline_see_everything(spark, tmp_path):
+    import numpy as np
+
+    from tidemark.operators import vectors
+    from tidemark.plans import catalogue, more
+
+    head = "word " * 50
+    spark.createDataFrame([(1, head + "apple"), (2, head + "zebra")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    v = {r.doc_id: r.vector for r in catalogue.doc_hashing_embedding(spark, str(tmp_path)).collect()}
+    assert v[1] != v[2]
+    # one letter: the word (1) and one gram of three (0.5) in a wide vector
+    w = vectors.hashing_embedding(spark.createDataFrame([("a",)], "t string"), "t", 1 << 16).first().vector
+    assert sorted(abs(x) for x in w if x) == list(np.sort(np.array([0.5, 1.0]) / np.sqrt(1.25)))
+    sf = "/root/testdata/sf0.001"
+    labelled = spark.read.parquet(f"{sf}/labels.parquet").join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+    scored = sorted(r.doc_id for r in more.train_text_baseline(spark, sf).collect())
+    assert scored == sorted(r.doc_id for r in labelled.select("doc_id").collect())
+
+
+def test_archive_merge_takes_all_tokens(spark, tmp_path):
+    from tidemark.plans import catalogue
+
+    rows = [(1, "a b c d e", "en"), (2, "e f", "en"), (3, None, "de"), (4, "x", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.lang: r.tokens for r in catalogue.archive_merge_whole(spark, str(tmp_path)).collect()}
+    assert got == {"en": list("abcdef"), "de": [], None: ["x"]}

@@ -66,10 +66,11 @@ def merge_archive(rows: DataFrame) -> DataFrame:
     """url, title, summary, published_on, tokens of the versions of each url: longest title and
     summary, earliest known date, union of the tokens."""
     longest = lambda c: F.max_by(F.coalesce(c, F.lit("")), F.struct(F.length(F.coalesce(c, F.lit(""))), F.coalesce(c, F.lit(""))))
-    return rows.groupBy("url").agg(
-        longest(F.col("title")).alias("title"), longest(F.col("summary")).alias("summary"), F.min("published_on").alias("published_on"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tokens")))).alias("tokens"),
-    )
+    merged = rows.groupBy("url").agg(longest(F.col("title")).alias("title"), longest(F.col("summary")).alias("summary"), F.min("published_on").alias("published_on"))
+    token = rows.select(F.col("url").alias("__u"), F.explode("tokens").alias("__t")).distinct()  # each token is collected once
+    union = token.groupBy("__u").agg(F.array_sort(F.collect_set("__t")).alias("tokens"))
+    out = merged.join(union, F.col("url").eqNullSafe(F.col("__u")), "left")
+    return out.select("url", "title", "summary", "published_on", F.coalesce("tokens", F.array().cast(rows.schema["tokens"].dataType)).alias("tokens"))
 
 
 def keyset_page(rows: DataFrame, keys: Sequence[tuple[str, object]], size: int) -> DataFrame:

@@ -202,9 +202,10 @@ def hashing_embedding(texts: DataFrame, text: str, dims: int = 256) -> DataFrame
         out = np.zeros(dims)
         for w in _WORD.findall((t or "").lower()):
             padded = f"<{w}>"
-            for gram in (w, *(padded[i : i + n] for n in (3, 4) for i in range(len(padded) - n + 1))):
+            grams = (padded[i : i + n] for n in (3, 4) for i in range(len(padded) - n + 1))
+            for gram, weight in ((w, 1.0), *((g, 0.5) for g in grams)):
                 i, sign = cell(gram)
-                out[i] += sign
+                out[i] += sign * weight
         length = np.linalg.norm(out)
         return out / length if length else out
 

@@ -375,6 +375,12 @@ def archive_merge(spark, d):
     return relational.merge_archive(docs).select(F.col("url").alias("lang"), F.length("title").cast("long").alias("longest"), "tokens")
 
 
+@query("SELECT list_sort(list_distinct(flatten(list(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_-]+'))))) AS tokens, lang, max(length(text)) AS longest FROM documents GROUP BY lang")
+def archive_merge_whole(spark, d):
+    docs = table(spark, d, "documents").select(F.col("lang").alias("url"), F.col("text").alias("title"), F.lit("").alias("summary"), F.lit(None).cast("date").alias("published_on"), T.tokens("text").alias("tokens"))
+    return relational.merge_archive(docs).select(F.col("url").alias("lang"), F.length("title").cast("long").alias("longest"), "tokens")
+
+
 @query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_-]+') AS w FROM documents),
 c AS (SELECT doc_id, list_has_any(w, ['the', 'of'])::INT + list_has_any(w, ['que', 'les'])::INT + list_has_any(w, ['and'])::INT AS concepts FROM t)
 SELECT doc_id, concepts FROM c WHERE concepts >= 2 ORDER BY concepts DESC, doc_id LIMIT 40""")
@@ -455,7 +461,7 @@ def emb_mmr(spark, d):
 @query()
 def doc_hashing_embedding(spark, d):
     """Hashed vectors of the first lines of documents."""
-    docs = table(spark, d, "documents").select("doc_id", F.substring(mining.title_of(F.col("text")), 1, 200).alias("title"))
+    docs = table(spark, d, "documents").select("doc_id", mining.title_of(F.col("text")).alias("title"))
     return vectors.hashing_embedding(docs, "title", 64).select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
