@@ -133,6 +133,18 @@ def test_lexicon_counts_every_text(documents):
     assert imatch.lexicon(documents, chunk=7).tolist() == want
 
 
+def test_iban_before_capitals_and_digits():
+    def ibans(t):
+        return [t[s:e] for kind, s, e, _ in pii.find_spans(t) if kind == "iban"]
+
+    spaced, plain = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    assert ibans(f"IBAN {spaced} BIC COBADEFFXXX") == [spaced] and ibans(f"{plain} EUR 500 due") == [plain]
+    assert ibans(f"{spaced} GB82 WEST 1234 5698 7654 32") == [spaced, "GB82 WEST 1234 5698 7654 32"]
+    assert ibans(f"REF AB12 3456 7890 {spaced} END") == [spaced] and ibans("DE89 3704 0044 0532 0130 01 BIC") == []
+    assert pii.redact(f"IBAN {spaced} BIC X") == "IBAN [IBAN] BIC X"
+    assert pii.IBAN_LENGTH["DE"] == 22 and pii.IBAN_LENGTH["NO"] == 15 and pii.IBAN_LENGTH["FR"] == 27
+
+
 def test_lexicon_is_the_whole_band(spark):
     words = [f"w{i}" for i in range(64)]
     texts = [" ".join(words[:32])] * 2 + [" ".join(words[32:])] * 2 + [f"only{i}" for i in range(4)]

@@ -58,6 +58,28 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+#: Characters of an IBAN by country, blanks aside.
+IBAN_LENGTH = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK FI FO GL NL SD 19:MK SI 20:AT BA EE KZ LT LU MN XK 21:CH HR LI LV 22:BG BH CR DE GB GE IE ME RS VA "
+    "23:AE GI IL IQ OM TL 24:AD CZ ES MD PK RO SA SE SK TN VG 25:LY PT ST 26:IS TR 27:BI DJ FR GR IT MC MR SM 28:AL AZ BY CY DO GT HU LB NI PL SV "
+    "29:BR EG PS QA UA 30:JO KW MU 31:MT SC 32:LC 33:RU").replace(" ", ",").replace(",1", " 1").replace(",2", " 2").replace(",3", " 3").split(" ")) for c in cs.split(",")}
+
+
+def _ibans(text: str):
+    """Proposals run on over what stands behind in capitals or digits: of those cut at a blank, the
+    one of the country's length goes first, then the longest, shorter ones only of other countries."""
+    m = _IBAN.search(text)
+    while m:
+        ends = [m.end(), *(i for i in range(m.end() - 1, m.start(), -1) if text[i] == " ")]
+        length = IBAN_LENGTH.get(text[m.start() : m.start() + 2])
+        right = [e for e in ends if len(text[m.start() : e].replace(" ", "")) == length]
+        tries = [*right, m.end()] if length else ends
+        end = next((e for e in tries if mod97(text[m.start() : e])), None)
+        if end:
+            yield m.start(), end
+        m = _IBAN.search(text, end or m.start() + 4)
+
+
 def _emails(text: str):
     """Leftmost matches of local@domain: each @ is extended left over local characters, no
     further than the last match, and right over a domain."""
@@ -92,9 +114,8 @@ def _confirmed(text: str):
         for m in _PHONE.finditer(text):
             if 9 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", m.start(), m.end()
+    for s, e in _ibans(text):
+        yield "iban", s, e
     for m in _SSN.finditer(text):
         area = int(m[0][:3])
         if area not in (0, 666) and area < 900 and m[0][4:6] != "00" and m[0][7:] != "0000":
