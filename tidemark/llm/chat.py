@@ -9,7 +9,8 @@ backslash is doubled, and the first character of any control string is followed
 dot, so that no control string of the template, or of another one, survives inside a text.
 
 Scale: rows are dealt by conv_id and streamed in order through tasks; a task holds one
-conversation's prefix and a few MB of output. The output grows with the square of a conversation's
+conversation's prefix and a few MB of output. Turns without a conv_id are dealt by their content,
+so they don't meet in one task. The output grows with the square of a conversation's
 length, as the method asks; memory doesn't."""
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import bounded_batches
 
 TURN, END = "<|turn|>", "<|end|>"
 #: Control strings of this template and of other common ones (fixed values).
@@ -68,10 +68,13 @@ def _expand(batches, schema: pa.Schema):
 
     for batch in batches:
         for c, role, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if c != conv:
+            if c != conv or c is None:
                 if pending:
                     rows.append((conv, number, "tail", prefix, len(prefix), len(prefix)))
+                    size += len(prefix)
                 conv, prefix, number, pending = c, "", 0, False
+            if size > FLUSH or len(rows) >= 10_000:
+                yield flush()
             before, body, after = render(role or "", text or "")
             start = len(prefix) + len(before)
             prefix += before + body + after
@@ -80,8 +83,6 @@ def _expand(batches, schema: pa.Schema):
                 rows.append((conv, number, "reply", prefix, start, start + len(body)))
                 size += len(prefix)
                 number, pending = number + 1, False
-                if size > FLUSH:
-                    yield flush()
     if pending:
         rows.append((conv, number, "tail", prefix, len(prefix), len(prefix)))
     if rows:
@@ -93,12 +94,12 @@ def expand(turns: DataFrame) -> DataFrame:
 
     Examples are numbered from 0 within a conversation; the mask is [loss_start, loss_end) in
     code points of text. Turns are ordered by turn (null first), ties by role and text; rows that
-    repeat are turns of their own. A null role or text is empty, a null conv_id a conversation of
-    its own. Other columns are not read. The rows of a conversation follow each other in order."""
-    bounded_batches(turns.sparkSession)
+    repeat are turns of their own. A null role or text is empty. A row without a conv_id belongs to
+    no other, so each is a conversation of one turn. Other columns are not read. The rows of a
+    conversation follow each other in order."""
     conv = turns.schema["conv_id"].dataType
     out = StructType([StructField("conv_id", conv), StructField("example", LongType()), StructField("kind", StringType()), StructField("text", StringType()), StructField("loss_start", LongType()), StructField("loss_end", LongType())])
-    ordered = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    ordered = turns.select("conv_id", "turn", "role", "text").repartition("conv_id", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))).sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -126,7 +127,7 @@ def _digest(batches, conv_type: pa.DataType):
 
     for batch in batches:
         for c, text, start, stop in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if c != conv:
+            if c != conv or c is None:
                 if conv is not none:
                     end()
                 conv, loss, loss_chars, chars = c, hashlib.sha256(), 0, 0
@@ -146,7 +147,8 @@ def _digest(batches, conv_type: pa.DataType):
 
 def digest(examples: DataFrame) -> DataFrame:
     """For each conversation of expand()'s output, in its order: conv_id, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars, all read back from the formatted texts."""
+    loss_chars, loss_sha256, formatted_chars, all read back from the formatted texts. Each example
+    without a conv_id is a conversation."""
     conv = examples.schema["conv_id"].dataType
     out = StructType([StructField("conv_id", conv), StructField("n_turns", LongType()), StructField("turns_sha256", StringType()), StructField("loss_chars", LongType()), StructField("loss_sha256", StringType()), StructField("formatted_chars", LongType())])
 
@@ -167,19 +169,19 @@ def probe(spark, like: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'),
 grown AS (
   SELECT *, length(text) + (length(text) - length(replace(text, '\', '')))
     + 2 * list_sum(list_transform(['<|', '|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>'],
                                   lambda x: (length(text) - length(replace(text, x, ''))) // length(x)))
     + length(role) + 17 AS n FROM t),
 run AS (
-  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-         turn = max(turn) OVER (PARTITION BY conv_id) AS is_last FROM grown)
+  SELECT *, sum(n) OVER (PARTITION BY conv_id, lone ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+         turn = max(turn) OVER (PARTITION BY conv_id, lone) AS is_last FROM grown)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(CASE WHEN role = 'assistant' OR is_last THEN upto ELSE 0 END)::BIGINT AS formatted_chars
-FROM run GROUP BY conv_id
+FROM run GROUP BY conv_id, lone
 """

@@ -5,13 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 #: White space between words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Tables written by this process under the shared folder, removed by clean().
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,33 +24,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where the cluster names
-    none (tests on one machine) a temporary folder is set."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, as in
+    tests, gets a temporary folder where none is set; a cluster without one is an error, as its
+    executors would each write to a disk of their own."""
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A path of its own in the shared folder, which clean() removes."""
+    path = f"{shared_dir(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back (columnar, with sizes that
-    adaptive execution can use)."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark/{what}-{uuid.uuid4().hex}"
+    adaptive execution can use). A lost executor then costs no recomputation."""
+    path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Python workers hold one Arrow batch at a time; whole texts make 10 000 rows too many."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def clean(spark: SparkSession) -> int:
+    """Remove every table, archive and index that this process wrote to the shared folder, files of
+    failed attempts included, and say how many. Results of operators that have not been read or
+    saved yet need them, so the caller says when."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, one for each of names."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of df but maps, which have no order."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, MapType)])
+
+
+def texts_of(column: pa.Array | pa.ChunkedArray, chars: int = 4_000_000, rows: int = 500) -> Iterator[list[str | None]]:
+    """The texts of an Arrow column in order, as lists of at most `rows` texts that end once they
+    hold `chars` characters. Spark bounds the bytes of a batch; this bounds what is worked on at once."""
+    part: list[str | None] = []
+    size = 0
+    for x in column:
+        part.append(x.as_py())
+        size += len(part[-1] or "")
+        if size >= chars or len(part) == rows:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -60,18 +110,29 @@ def is_held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-def sample_by_class(df: DataFrame, label: str, per_class: int, seed: int = 7) -> DataFrame:
-    """About per_class rows of each label, chosen by a hash of doc_id. Labels are counted by a
-    partial aggregation; no class is gathered in one task. The number of labels is bounded by the
-    caller. Rows whose label is null are left out."""
-    counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+def thinned(df: DataFrame, label: str, key: list[str], total: int, max_classes: int = 100, seed: int = 7) -> DataFrame:
+    """About `total` rows of df, an equal share for each of the max_classes most frequent labels,
+    chosen by a hash of label and key. Null labels are left out. Labels are counted by a partial
+    aggregation and no class is gathered in one task. Rows of equal label and key come and go
+    together, so a caller that collects bounds the result by at_most()."""
+    known = df.where(F.col(label).isNotNull())
+    counts = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
     if not counts:
-        return df.limit(0)
+        return known.limit(0)
+    each = total / len(counts)
     share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(share)
-    coin = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003.0
-    return df.where(F.col(label).isNotNull() & (coin < share))
+    for value, n in counts:
+        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, each / n))).otherwise(share)
+    return known.where(_coin([label, *key], seed) < share)
+
+
+def at_most(df: DataFrame, key: list[str], total: int, seed: int = 7) -> DataFrame:
+    """df with one row of each key and no more than `total` rows, those of the least hashes."""
+    return df.dropDuplicates(key).orderBy(_coin(key, seed), *key).limit(total)
+
+
+def _coin(key: list[str], seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_003)) / 1_000_003.0
 
 
 def code_points(text: str) -> np.ndarray:

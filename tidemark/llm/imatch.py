@@ -8,8 +8,9 @@ are alike by the share of equal parts among those that aren't empty in both.
 
 Scale: document frequencies of all terms are counted over all texts; tasks combine the counts of
 their documents before the shuffle. A lexicon term occurs in at least `low` of all documents, so
-the broadcast lexicon has at most (terms per document) / low entries. To pair each document with the next one, texts are shuffled once, in ranges of
-doc_id; the first row of a range is also sent to the range before."""
+the broadcast lexicon has at most (terms per document) / low entries. To pair each document with
+the next one, texts are shuffled once, in ranges of doc_id and a hash of the text, so that rows of
+one doc_id are spread; the first row of a range is also sent to the range before."""
 
 from __future__ import annotations
 
@@ -20,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .common import bounded_batches, code_points, mix64, written
+from .common import code_points, mix64, texts_of, written
 
 #: Subsets of the lexicon by rate; the first is all of it.
 RATES = [1.0] + [1 / 32] * 4 + [1 / 64] * 12 + [1 / 128] * 24 + [1 / 256] * 24
@@ -67,11 +68,6 @@ def terms(text: str | None) -> np.ndarray:
     return np.unique(mix64(h ^ (end - start).astype(np.uint64)))
 
 
-def in_lexicon(t: np.ndarray) -> np.ndarray:
-    """The terms that are counted for the lexicon: all."""
-    return t
-
-
 def subset_bits(lexicon: np.ndarray) -> np.ndarray:
     """Bool [terms, subsets]: which subsets a lexicon term is in."""
     coin = [mix64(mix64(lexicon) + np.uint64(1000 + j)) / float(1 << 64) < rate for j, rate in enumerate(RATES)]
@@ -81,12 +77,11 @@ def subset_bits(lexicon: np.ndarray) -> np.ndarray:
 def fingerprint(text: str | None, lexicon: np.ndarray, bits: np.ndarray) -> list[str]:
     """Eight hex digits for each subset; an empty subset gives zeros. A text without a lexicon
     term is told apart by all its terms, in the first part."""
-    every = terms(text)
-    own = in_lexicon(every)
+    own = terms(text)
     at = np.searchsorted(lexicon, own)
     at = at[(at < len(lexicon)) & (lexicon[np.minimum(at, len(lexicon) - 1)] == own)] if len(lexicon) else at[:0]
     if not len(at):
-        return [hashlib.blake2b(b"all" + every.tobytes(), digest_size=4).hexdigest(), *[EMPTY] * (len(RATES) - 1)]
+        return [hashlib.blake2b(b"all" + own.tobytes(), digest_size=4).hexdigest(), *[EMPTY] * (len(RATES) - 1)]
     own, member = lexicon[at], bits[at]
     parts = [own[member[:, j]] for j in range(len(RATES))]
     return [hashlib.blake2b(p.tobytes(), digest_size=4).hexdigest() if len(p) else EMPTY for p in parts]
@@ -108,8 +103,8 @@ def _count(batches, chunk: int):
         return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n, pa.int64())], names=["term", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            held.append(in_lexicon(terms(text)))
+        for text in (t for part in texts_of(batch.column(0)) for t in part):
+            held.append(terms(text))
             size += len(held[-1])
             if len(held) >= chunk or size >= HELD:
                 yield out()
@@ -121,7 +116,6 @@ def _count(batches, chunk: int):
 def lexicon(docs: DataFrame, low: float = 0.005, high: float = 0.5, chunk: int = 4096) -> np.ndarray:
     """Sorted hashes of lexicon terms found in at least low and at most high of all documents,
     and in two at least. Counts cover every text."""
-    bounded_batches(docs.sparkSession)
     counts = docs.select("text").mapInArrow(lambda b: _count(b, chunk), "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     n = docs.select(F.lit(1)).count()
     kept = counts.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n))).select("term").toArrow()
@@ -135,7 +129,8 @@ def _pairs(batches, sent, id_type: pa.DataType):
     held, closed = None, None
     for batch in batches:
         rows = []
-        for where, copy, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for row in range(batch.num_rows):  # one text in memory at a time
+            where, copy, doc_id, text = (c[row].as_py() for c in batch.columns)
             if copy and closed == where:
                 continue
             text = text or ""
@@ -158,30 +153,34 @@ def with_next(docs: DataFrame, low: float = 0.005, high: float = 0.5) -> DataFra
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of
     the next text. A null text is empty; a null doc_id comes last; rows that repeat a doc_id are
-    ordered by text and are each other's next. A single row is its own next. An empty table gives
+    ordered by a hash of the text, then the text, and are each other's next. A single row is its own next. An empty table gives
     an empty result. Other columns are not read."""
     spark = docs.sparkSession
     words = lexicon(docs, low, high)
     sent = spark.sparkContext.broadcast((words, subset_bits(words)))
     id_field = docs.schema["doc_id"]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").repartitionByRange(tasks * 4, "doc_id")
-    ranges = written(ids.groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("top")), "imatch-ranges")
-    tops = sorted(r["top"] for r in ranges.collect())  # one value a range
+    # the order of documents, turned round: null first, then ascending, with ties by a falling hash
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.bitwise_not(F.xxhash64(F.coalesce("text", F.lit("")))).alias("tie"))
+    keys = docs.select(place.alias("at")).repartitionByRange(tasks * 4, "at")
+    ranges = written(keys.groupBy(F.spark_partition_id().alias("p")).agg(F.max("at").alias("top")), "imatch-ranges")
+    tops = sorted(((r["top"]["known"], r["top"]["doc_id"] if r["top"]["known"] else 0, r["top"]["tie"]) for r in ranges.collect()))  # one a range
     n = len(tops)
 
-    @F.arrow_udf(IntegerType())
-    def range_of(doc_id: pa.Array) -> pa.Array:
-        return pa.array([0 if v is None else min(bisect.bisect_left(tops, v), n - 1) for v in doc_id.to_pylist()], pa.int32())
+    @F.arrow_udf("struct<range:int,head:boolean>")
+    def range_of(doc_id: pa.Array, tie: pa.Array) -> pa.Array:
+        rows = [(i is not None, 0 if i is None else i, t) for i, t in zip(doc_id.to_pylist(), tie.to_pylist(), strict=True)]
+        at = [min(bisect.bisect_left(tops, r), n - 1) for r in rows]
+        return pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array([tops[a] == r for a, r in zip(at, rows, strict=True)], pa.bool_())], names=["range", "head"])
 
-    # ranges ascend, documents descend: after the smallest id of range r comes the top of range r - 1
-    own = F.struct(range_of("doc_id").alias("range"), F.lit(0).alias("copy")) if n else F.struct(F.lit(0).alias("range"), F.lit(0).alias("copy"))
-    base = docs.select("doc_id", "text", own.alias("own"))
+    # ranges ascend, documents descend: after the last row of range r comes the top of range r - 1
+    base = docs.select("doc_id", "text", F.bitwise_not(F.xxhash64(F.coalesce("text", F.lit("")))).alias("tie"))
+    base = base.select("*", range_of("doc_id", "tie").alias("own"))
+    own = F.struct(F.col("own.range").alias("range"), F.lit(0).alias("copy"))
     above = F.when(F.col("own.range") == n - 1, F.lit(0)).otherwise(F.col("own.range") + 1)
-    head = F.col("doc_id").isin(tops) if n else F.lit(True)
-    places = F.when(head, F.array("own", F.struct(above.cast("int").alias("range"), F.lit(1).alias("copy")))).otherwise(F.array("own"))
-    dealt = base.select("doc_id", "text", F.explode(places).alias("at")).select("at.range", "at.copy", "doc_id", "text")
-    dealt = dealt.repartition(tasks, "range").sortWithinPartitions("range", "copy", F.col("doc_id").desc_nulls_last(), "text")
+    places = F.when(F.col("own.head"), F.array(own, F.struct(above.cast("int").alias("range"), F.lit(1).alias("copy")))).otherwise(F.array(own))
+    dealt = base.select("doc_id", "tie", "text", F.explode(places).alias("at")).select("at.range", "at.copy", "doc_id", "tie", "text")
+    dealt = dealt.repartition(tasks, "range").sortWithinPartitions("range", "copy", F.col("doc_id").desc_nulls_last(), F.col("tie").desc(), "text").drop("tie")
     out = StructType([StructField("doc_id", id_field.dataType), StructField("n_chars", LongType()), StructField("edited_sha256", StringType()), StructField("fingerprint", StringType()), StructField("edited_fingerprint", StringType()), StructField("near_edited", DoubleType()), StructField("near_next", DoubleType())])
 
     def run(batches):

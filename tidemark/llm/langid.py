@@ -4,8 +4,8 @@ Level one predicts the language family with one linear machine for each family;
 separates the languages of that family with one linear support vector machine for each pair.
 Features are hashed counts of 1- to 3-grams of letters in the whole lower-cased text.
 
-Scale: training uses a bounded sample (`sample_rows` in all, chosen by a hash of doc_id), whose
-feature vectors, not texts, come to the driver. Prediction is one pass inside tasks, without a
+Scale: training uses a bounded sample (`sample_rows` in all, of the `max_languages` most frequent
+languages, chosen by a hash of doc_id and text), whose feature vectors, not texts, come to the driver. Prediction is one pass inside tasks, without a
 shuffle; the model that travels with it has dims * (families + pairs) numbers."""
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from . import linear_svm
-from .common import bounded_batches, code_points, held_out, sample_by_class
+from .common import at_most, code_points, fresh, held_out, texts_of, thinned
 
 UNKNOWN = "und"
 DIMS = 4096
@@ -134,22 +134,20 @@ def fit(x: np.ndarray, lang: np.ndarray, c: float = 2.0) -> Model:
     return model
 
 
-def train(docs: DataFrame, sample_rows: int = 2000) -> Model:
+def train(docs: DataFrame, sample_rows: int = 2000, max_languages: int = 100) -> Model:
     """Model learnt from docs (doc_id, text, lang), held-out rows and null lang left out. At most
-    about sample_rows rows are used, an equal share for each language."""
-    bounded_batches(docs.sparkSession)
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out())
-    n_langs = known.agg(F.count_distinct("lang")).first()[0]
-    if not n_langs:
-        return Model()
+    sample_rows rows are used, an equal share for each of the max_languages most frequent values
+    of lang. Rows of equal doc_id, text and lang count once."""
+    known = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("h")).where(F.col("lang").isNotNull() & ~held_out())
+    key = ["lang", "doc_id", "h"]
 
     @F.arrow_udf(BinaryType())
     def vector(text: pa.Array) -> pa.Array:
-        found = (features(t) for t in text.to_pylist())
+        found = (features(t) for part in texts_of(text) for t in part)
         return pa.array([None if v is None else v.astype(np.float16).tobytes() for v in found], pa.binary())
 
-    sample = sample_by_class(known, "lang", max(20, sample_rows // n_langs)).select("doc_id", "lang", vector(F.col("text")).alias("v"))
-    rows = sample.where("v IS NOT NULL").select("doc_id", "lang", "v").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    sample = thinned(known, "lang", key[1:], sample_rows, max_languages).select(*key, vector(F.col("text")).alias("v"))
+    rows = at_most(sample.where("v IS NOT NULL"), key, sample_rows).select(*key, "v").toArrow().sort_by([(c, "ascending") for c in key])
     if not rows.num_rows:
         return Model()
     x = np.frombuffer(b"".join(rows["v"].to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
@@ -162,27 +160,32 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred
 
     Texts that are null or have no letter get `und` and score 0; so do all texts if the model
     has seen no language. Rows are judged one by one; only the text counts."""
-    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(text: pa.Array) -> pa.Array:
-        found = [features(t) for t in text.to_pylist()]
-        langs, scores = [UNKNOWN] * len(found), np.zeros(len(found))
-        rows = [i for i, v in enumerate(found) if v is not None]
-        if rows:
-            won, scores[rows] = sent.value.predict(np.stack([found[i] for i in rows]))
-            for i, lang in zip(rows, won, strict=True):
-                langs[i] = lang
+        langs, scores = [UNKNOWN] * len(text), np.zeros(len(text))
+        at = 0
+        for part in texts_of(text):
+            found = [features(t) for t in part]
+            rows = [at + i for i, v in enumerate(found) if v is not None]
+            at += len(part)
+            if rows:
+                won, scores[rows] = sent.value.predict(np.stack([v for v in found if v is not None]))
+                for i, lang in zip(rows, won, strict=True):
+                    langs[i] = lang
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
-    out = docs.withColumn("__p", predict(F.col("text")))
-    return out.withColumn(names[0], F.col("__p.lang")).withColumn(names[1], F.col("__p.score")).drop("__p")
+    (said,) = fresh(docs, "said")
+    out = docs.withColumn(said, predict(F.col("text")))
+    return out.withColumn(names[0], F.col(f"{said}.lang")).withColumn(names[1], F.col(f"{said}.score")).drop(said)
 
 
 def keep_identified(docs: DataFrame, model: Model, languages: list[str] | None = None) -> DataFrame:
-    """Rows of docs whose text has a language (one of `languages`, if given), with its columns."""
-    kept = F.col("__lang") != UNKNOWN
+    """Rows of docs whose text has a language (one of `languages`, if given), with its columns.
+    A model that has seen no language tells texts with a letter from those without one."""
+    lang, score = fresh(docs, "lang_pred", "lang_score")
+    kept = F.col(lang) != UNKNOWN if model.families else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if languages is not None:
-        kept &= F.col("__lang").isin(languages)
-    return identify(docs, model, ("__lang", "__score")).where(kept).select(*docs.columns)
+        kept &= F.col(lang).isin(languages)
+    return identify(docs, model, (lang, score)).where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])

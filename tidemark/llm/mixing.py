@@ -83,15 +83,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, slo
     """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, text, source).
 
     size is the number of words of the text (null: 0); taken the words that the mix takes of it,
-    repeats counted, never above cap * size. The order of documents depends on doc_id and seed
-    alone, so reruns agree. Null sources form one source, the last. A null doc_id is ordered as
+    repeats counted, never above cap * size. The order of documents depends on seed, doc_id and
+    text alone, so reruns agree and rows of one doc_id are spread over the ranges of their source. Null sources form one source, the last. A null doc_id is ordered as
     an empty one; rows that repeat a doc_id are separate documents. Rows of size 0 are kept with
     taken 0. An empty table gives an empty result. Other columns of docs are not read."""
-    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
+    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("o")), "sizes")
     shares = block_sizes(targets(sizes, weights, cap), slots, min_blocks)
     shares = written(shares, "shares")
-    keyed = sizes.withColumn("o", order).withColumn("range", F.substring("o", 1, 3))
+    keyed = sizes.withColumn("range", F.substring("o", 1, 3))
     sums = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_words"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = sums.withColumn("offset", F.sum("range_words").over(before) - F.col("range_words"))
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, slo
 ORACLE = r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+         md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS o FROM documents),
 by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rnk FROM by_source),
 weighed AS (SELECT *, ([5, 2, 1])[((rnk - 1) % 3 + 1)::INT]::BIGINT AS w, 3 * source_size AS most FROM ranked),

@@ -1,23 +1,27 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust a score.
 
 Base kinds (email, ip, card, phone) are always kept once confirmed. The method adds iban
-(mod-97) and ssn (structure plus a context word). Offsets are code points, end exclusive.
+(mod-97), ssn (structure) and secret (keys and tokens: a known prefix, or a long run of letters and
+digits that is random enough), each kept if its score, which whole words nearby raise and lower,
+reaches `LEAST`. Offsets are code points, end exclusive.
 
 Scale: one pass inside tasks without a shuffle; patterns are written so that no text, however
 long, is scanned more than a constant number of times."""
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import texts_of
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn")
+KINDS = (*BASE, "iban", "ssn", "secret")
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -29,18 +33,23 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,200}(?![A-Za-z0-9_/+-])")
+#: Prefixes that public services give their keys (fixed values).
+_ISSUED = re.compile(r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,})\Z")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-#: Score of a confirmed match, words near it that raise the score, and words that lower it (fixed values).
+#: Score of a confirmed match, whole words near it that raise the score, and words that lower it (fixed values).
 CONTEXT = {
-    "email": (0.8, ("mail", "contact", "write"), ("example",)),
+    "email": (0.8, ("mail", "email", "contact", "write"), ("example",)),
     "ip": (0.6, ("ip", "address", "server", "host"), ("version", "section")),
     "card": (0.7, ("card", "visa", "credit", "payment", "karte", "tarjeta", "carte"), ("order", "isbn", "tracking")),
     "phone": (0.7, ("phone", "tel", "call", "mobile", "fax"), ("order", "isbn")),
-    "iban": (0.8, ("iban", "bank", "account", "konto", "cuenta", "compte"), ()),
-    "ssn": (0.4, ("ssn", "social security", "social"), ("order", "part")),
+    "iban": (0.8, ("iban", "bank", "account", "konto", "cuenta", "compte"), ("serial", "part", "tracking")),
+    "ssn": (0.4, ("ssn", "social"), ("order", "part")),
+    "secret": (0.3, ("token", "key", "apikey", "secret", "password", "passwd", "pwd", "bearer", "auth", "credential", "credentials"), ("sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "hash")),
 }
-RAISE, LOWER, NEAR, LEAST = 0.2, 0.3, 40, 0.5
+RAISE, LOWER, NEAR, LEAST = 0.2, 0.4, 40, 0.5
+_NEARBY = re.compile(r"[^\W\d_]+[0-9]*")
 
 
 def luhn(digits: str) -> bool:
@@ -58,11 +67,35 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-#: Characters of an IBAN by country, blanks aside.
-IBAN_LENGTH = {c: int(n) for n, cs in (x.split(":") for x in (
-    "15:NO 16:BE 18:DK FI FO GL NL SD 19:MK SI 20:AT BA EE KZ LT LU MN XK 21:CH HR LI LV 22:BG BH CR DE GB GE IE ME RS VA "
-    "23:AE GI IL IQ OM TL 24:AD CZ ES MD PK RO SA SE SK TN VG 25:LY PT ST 26:IS TR 27:BI DJ FR GR IT MC MR SM 28:AL AZ BY CY DO GT HU LB NI PL SV "
-    "29:BR EG PS QA UA 30:JO KW MU 31:MT SC 32:LC 33:RU").replace(" ", ",").replace(",1", " 1").replace(",2", " 2").replace(",3", " 3").split(" ")) for c in cs.split(",")}
+def random_enough(s: str) -> bool:
+    """Three digits, a letter, and at least 3 bits a character."""
+    if sum(map(str.isdigit, s)) < 3 or not any(map(str.isalpha, s)):
+        return False
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) >= 3
+
+
+#: Countries by the characters of their IBANs, blanks aside (fixed values).
+IBAN_COUNTRIES = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+IBAN_LENGTH = {country: n for n, countries in IBAN_COUNTRIES.items() for country in countries.split()}
 
 
 def _ibans(text: str):
@@ -120,6 +153,9 @@ def _confirmed(text: str):
         area = int(m[0][:3])
         if area not in (0, 666) and area < 900 and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", m.start(), m.end()
+    for m in _SECRET.finditer(text):
+        if _ISSUED.match(m[0]) or random_enough(m[0]):
+            yield "secret", m.start(), m.end()
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -127,8 +163,10 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     found = []
     for kind, s, e in _confirmed(text or ""):
         score, up, down = CONTEXT[kind]
-        near = (text[max(0, s - NEAR) : s] + " " + text[e : e + NEAR // 2]).lower()
+        near = set(_NEARBY.findall((text[max(0, s - NEAR) : s] + " " + text[e : e + NEAR // 2]).lower()))
         score += RAISE * any(w in near for w in up) - LOWER * any(w in near for w in down)
+        if kind == "secret" and _ISSUED.match(text, s, e):
+            score = max(score, LEAST)
         if kind in BASE or score >= LEAST:
             found.append((kind, s, e, round(min(1.0, max(0.0, score)), 3)))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
@@ -154,11 +192,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """docs with pii, an array of (kind, start, end, score) that replaces a column of that name.
 
     Null and empty texts have no spans. Rows are judged one by one, so repeated rows repeat."""
-    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf(SPANS)
     def spans(text: pa.Array) -> pa.Array:
-        return pa.array([[dict(zip(("kind", "start", "end", "score"), x, strict=True)) for x in find_spans(t)] for t in text.to_pylist()], _SPAN_TYPE)
+        return pa.array([[dict(zip(("kind", "start", "end", "score"), x, strict=True)) for x in find_spans(t)] for part in texts_of(text) for t in part], _SPAN_TYPE)
 
     return docs.withColumn("pii", spans(F.col("text")))
 
@@ -166,11 +203,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redact_pii(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced by its kind in brackets. Nulls stay null; n_chars,
     where there is one, is set to the new length."""
-    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
     def redacted(text: pa.Array) -> pa.Array:
-        return pa.array([redact(t) for t in text.to_pylist()], pa.string())
+        return pa.array([redact(t) for part in texts_of(text) for t in part], pa.string())
 
     out = docs.withColumn("text", redacted(F.col("text")))
     if "n_chars" in docs.columns:

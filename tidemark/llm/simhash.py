@@ -1,19 +1,28 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
-Fingerprints: every word shingle's XXH64 votes on 64 bits. Two fingerprints that differ in at most
-4 bits agree on at least 2 of 6 blocks of their bits, so all links lie within the buckets of 15
-keys (one for each pair of blocks, 20 to 22 bits wide). Inside a bucket, fingerprints are laid as
-bit planes: word b of a group of 64 lanes holds bit b of its 64 fingerprints. A query fingerprint
-is compared with 64 lanes at once: each plane is XORed with the query's bit and three planes at a
-time go through a carry-save adder into vertical counters; lanes past the radius are marked, and
-words whose lanes are all marked are abandoned.
-
-Scale: texts are read once and never shuffled. Exact copies collapse to one fingerprint first. A
-bucket of more than `cell` fingerprints is dealt out as pairs of chunks, so no bucket has to fit
-one task, and every pair of fingerprints still meets. A task returns a spanning star per group,
-never all pairs. Components are joined by alternating large-star and small-star steps whose
-tables are written to the shared folder, so nothing is gathered on the driver but two numbers a
-round, and a lost executor costs one round at most."""
+Fingerprints: the hash of every word shingle votes on the bits. Two fingerprints are linked if they
+differ in at most `radius` bits. They are compared within buckets, as bit planes: word b of a group
+of 64 lanes holds bit b of its 64 fingerprints. A query fingerprint is compared with 64 lanes at
+once: each plane is XORed with the query's bit, seven planes at a time go through carry-save adders
+into vertical counters, lanes whose counter overflows are past the radius, and words whose lanes
+are all past it are abandoned.
+
+Two ways lead to buckets:
+* near_duplicates(): 64 bits and a radius of at most 4. Two fingerprints that differ in at most 4
+  bits agree on at least 2 of 6 blocks of their bits, so all links lie within the buckets of 15
+  keys (one for each pair of blocks). In a large bucket the rest, cut into five, agrees on one part
+  at least and is dealt by that. No link is missed.
+* deduplicate(): 256 bits over five-word shingles and a radius of 48, which is where texts of a
+  Jaccard similarity of 0.8 mostly are (their expected distance is 39 bits, that of texts of 0.6
+  is 59). Keys are bands of the least shingle hashes under random multipliers; two texts of
+  similarity 0.8 share a bucket with a probability of 0.99.
+
+Scale: texts are read once and never shuffled by the search. Exact copies collapse to one
+fingerprint first. A bucket of more than `cell` fingerprints is dealt out as pairs of chunks, so no
+bucket has to fit one task, and every pair of fingerprints still meets. A task returns a spanning
+star per group, never all pairs. Components are joined by alternating large-star and small-star
+steps whose tables are written to the shared folder, so nothing is gathered on the driver but two
+numbers a round, and a lost executor costs one round at most."""
 
 from __future__ import annotations
 
@@ -22,102 +31,153 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import bounded_batches, written
+from .common import fresh, mix64, row_hash, texts_of, written
 
 RADIUS = 4
 #: Bits of each block, low bits first; two agreeing blocks remain among six when four bits differ.
 WIDTHS = (11, 11, 11, 11, 10, 10)
+#: Bits of the parts that the other four blocks are cut into, of which one agrees.
+PARTS = (9, 9, 9, 9, 8)
+#: Fingerprints, radius, shingles and keys of deduplicate().
+BITS, WIDE_RADIUS, SHINGLE, BANDS, ROWS = 256, 48, 5, 14, 5
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 ONE = np.uint64(1)
 #: Comparisons of one query with one 64-lane word that are held in memory at a time.
-ENTRIES = 1 << 19
+ENTRIES = 1 << 17
+#: Shingles whose votes are counted at a time.
+VOTERS = 1 << 14
 
 
-def simhash(text: str | None, k: int = 4) -> int:
-    """Fingerprint of a text as a signed 64-bit number; 0 for a text without words."""
-    w = (text or "").encode().lower().split()  # bytes: A-Z only, white space of the contract
+def shingle_hashes(text: str | None, k: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of k words, or of all words of a shorter text; none without a word."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, white space of the contract
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(w)
     if len(w) <= k:
-        h = np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
-    else:
-        end = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-        start = np.concatenate(([0], end[:-1] + 1))
-        shingles = [joined[s:e] for s, e in zip(start[: 1 - k].tolist(), end[k - 1 :].tolist(), strict=True)]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(shingles))
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
+    end = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    start = np.concatenate(([0], end[:-1] + 1))
+    shingles = (joined[s:e] for s, e in zip(start[: 1 - k].tolist(), end[k - 1 :].tolist(), strict=True))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(w) - k + 1)
+
+
+def votes(h: np.ndarray, bits: int = 64) -> np.ndarray:
+    """The fingerprint of shingle hashes: `bits` / 64 numbers, a bit set where over half the hashes
+    set it. Beyond the first 64 bits a shingle votes with further hashes of its hash."""
+    ones = np.zeros(bits, np.int64)
+    for a in range(0, len(h), VOTERS):
+        part = h[a : a + VOTERS]
+        lanes = np.stack([part, *(mix64(part + np.uint64(i * 0x9E3779B97F4A7C15 % 2**64)) for i in range(1, bits // 64))], axis=1)
+        ones += np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
+
+
+def simhash(text: str | None, k: int = 4) -> int:
+    """Fingerprint of a text as a signed 64-bit number; 0 for a text without words."""
+    return int(votes(shingle_hashes(text, k)).view(np.int64)[0])
+
+
+_FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | ONE
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """One key for each band: a hash of the least products of the shingle hashes with its factors."""
+    least = np.full(BANDS * ROWS, ALL)
+    for a in range(0, len(h), VOTERS):
+        least = np.minimum(least, (h[a : a + VOTERS, None] * _FACTORS).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(ROWS, BANDS):
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + row)
+    return key
 
 
 def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
     """doc_id, fp (signed 64 bits) of every row of docs (doc_id, text)."""
-    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf(LongType())
     def fp(text: pa.Array) -> pa.Array:
-        return pa.array([simhash(t, k) for t in text.to_pylist()], pa.int64())
+        return pa.array([simhash(t, k) for part in texts_of(text) for t in part], pa.int64())
 
     return docs.select("doc_id", fp(F.col("text")).alias("fp"))
 
 
+def wide_fingerprint(text: Column) -> Column:
+    """fp (binary, 256 bits) and keys (one long for each band) of a text's five-word shingles."""
+
+    @F.arrow_udf("struct<fp:binary,keys:array<bigint>>")
+    def wide(text: pa.Array) -> pa.Array:
+        fps, keys = [], []
+        for part in texts_of(text):
+            for t in part:
+                h = shingle_hashes(t, SHINGLE)
+                fps.append(votes(h, BITS).tobytes())
+                keys.append(band_keys(h))
+        flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(flat))
+        return pa.StructArray.from_arrays([pa.array(fps, pa.binary()), listed], names=["fp", "keys"])
+
+    return wide(text)
+
+
 def planes_of(x: np.ndarray) -> np.ndarray:
-    """Bit planes [64, words] of fingerprints, 64 lanes to a word, the last word padded with 0."""
-    lanes = np.zeros(-(-len(x) // 64) * 64, np.uint64)
+    """Bit planes [bits, words] of fingerprints [n, bits / 64], 64 lanes to a word, the last word
+    padded with 0."""
+    x = x.reshape(len(x), -1)
+    lanes = np.zeros((-(-len(x) // 64) * 64, x.shape[1]), np.uint64)
     lanes[: len(x)] = x
-    bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
+    bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 64, 8 * x.shape[1]), axis=2, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64)[:, :, 0]
 
 
+def _sum3(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A carry-save adder: the sum bit and the carry of three bits, in every lane."""
+    u = x ^ y
+    return u ^ z, (x & y) | (u & z)
+
+
 def within(planes: np.ndarray, word: np.ndarray, query: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each entry (a word of planes, a query fingerprint, the lanes that count): the lanes
-    at most `radius` (0 to 4) bits from the query, as a bit mask."""
+    at most `radius` bits from the query, as a bit mask."""
+    query = query.reshape(len(query), -1)
     result = np.zeros(len(word), np.uint64)
     at = np.arange(len(word))
     over = ~lanes
-    one, two, four = np.zeros_like(over), np.zeros_like(over), np.zeros_like(over)
-    zero = np.uint64(0)
-
-    def differ(b: int) -> np.ndarray:
-        return planes[b][word] ^ (zero - ((query >> np.uint64(b)) & ONE))
-
-    for step, b in enumerate(range(0, 64, 3)):
-        x = differ(b)
-        if b + 2 < 64:
-            y, z = differ(b + 1), differ(b + 2)
-            u = x ^ y
-            x, carry = u ^ z, (x & y) | (u & z)  # three planes: a sum and a carry of weight two
-        else:
-            carry = np.zeros_like(x)
-        low = one & x
-        one = one ^ x
-        u = two ^ carry
-        high = (two & carry) | (u & low)
-        two = u ^ low
-        over |= four & high
-        four = four | high
-        if radius == 4:
-            over |= four & (one | two)
-        else:
-            bits = [four, two, one]
-            more, equal = np.zeros_like(over), np.full_like(over, ALL)
-            for bit, v in zip(bits, (4, 2, 1), strict=True):
-                if radius & v:
-                    equal = equal & bit
-                else:
-                    more |= equal & bit
-                    equal = equal & ~bit
-            over |= more
-        if step % 3 == 2:
-            live = over != ALL
-            if not live.all():
-                at, word, query, over, one, two, four = (v[live] for v in (at, word, query, over, one, two, four))
-                if not len(at):
-                    return result
+    levels = max(1, int(radius).bit_length())
+    bias = (1 << levels) - 1 - radius  # so that a counter overflows at radius + 1
+    count = [np.full_like(over, ALL if bias >> v & 1 else 0) for v in range(levels)]
+    for first in range(0, len(planes), 7):
+        d = [planes[b][word] ^ (np.uint64(0) - ((query[:, b // 64] >> np.uint64(b % 64)) & ONE)) for b in range(first, min(first + 7, len(planes)))]
+        d += [np.zeros_like(over)] * (7 - len(d))
+        s, a = _sum3(d[0], d[1], d[2])
+        s, b = _sum3(s, d[3], d[4])
+        s, c = _sum3(s, d[5], d[6])
+        two, four = _sum3(a, b, c)
+        rest = [s, two, four]
+        carry = None
+        for v in range(max(levels, 3)):
+            more = [x for x in (rest[v] if v < 3 else None, carry) if x is not None]
+            carry = None
+            if v >= levels:
+                for x in more:
+                    over |= x
+            elif len(more) == 2:
+                count[v], carry = _sum3(count[v], *more)
+            else:
+                count[v], carry = count[v] ^ more[0], count[v] & more[0]
+        if carry is not None:
+            over |= carry
+        live = over != ALL
+        kept = int(np.count_nonzero(live))
+        if not kept:
+            return result
+        if kept < 0.75 * len(live):
+            at, word, query, over = at[live], word[live], query[live], over[live]
+            count = [x[live] for x in count]
     result[at] = ~over
     return result
 
@@ -128,9 +188,11 @@ def lowest(mask: np.ndarray) -> np.ndarray:
 
 
 def stars(runs: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, root) that join each group of linked fingerprints within its run. Runs hold
-    distinct fingerprints in ascending order; small ones share words of 64 lanes."""
-    members, roots = [], []
+    """Edges (member, root) that join each group of linked fingerprints within its run. Runs
+    [n, bits / 64] hold distinct fingerprints; small ones share words of 64 lanes."""
+    runs = [r.reshape(len(r), -1) for r in runs]
+    width = runs[0].shape[1] if runs else 1
+    members, roots = [np.zeros((0, width), np.uint64)], [np.zeros((0, width), np.uint64)]
     small = [r for r in runs if 2 <= len(r) <= 64]
     if small:
         size = np.fromiter(map(len, small), np.int64, len(small))
@@ -142,23 +204,22 @@ def stars(runs: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray, np.
             first[i] = at
             at += n
         lane = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        x = np.zeros(-(-at // 64) * 64, np.uint64)
+        x = np.zeros((-(-at // 64) * 64, width), np.uint64)
         x[lane] = np.concatenate(small)
         own = ((ALL >> (np.uint64(64) - size.astype(np.uint64))) << (first % 64).astype(np.uint64)).repeat(size)
         planes = planes_of(x)
+        reach = np.zeros((len(x) // 64, 64), np.uint64)
         for a in range(0, len(lane), ENTRIES):
             part = lane[a : a + ENTRIES]
-            near = within(planes, part // 64, x[part], own[a : a + ENTRIES], radius)
-            reach = np.zeros((-(-len(x) // 64), 64), np.uint64)
-            reach.reshape(-1)[part] = near
-            for k in range(64):  # transitive closure of the links inside each word
-                via = (reach >> np.uint64(k)) & ONE
-                reach |= (np.uint64(0) - via) & reach[:, k : k + 1]
-            closed = reach.reshape(-1)[part]
-            root = (part // 64) * 64 + lowest(closed)
-            moved = (closed != 0) & (root != part)
-            members.append(x[part[moved]])
-            roots.append(x[root[moved]])
+            reach.reshape(-1)[part] = within(planes, part // 64, x[part], own[a : a + ENTRIES], radius)
+        for k in range(64):  # transitive closure of the links inside each word
+            via = (reach >> np.uint64(k)) & ONE
+            reach |= (np.uint64(0) - via) & reach[:, k : k + 1]
+        closed = reach.reshape(-1)[lane]
+        root = (lane // 64) * 64 + lowest(closed)
+        moved = (closed != 0) & (root != lane)
+        members.append(x[lane[moved]])
+        roots.append(x[root[moved]])
     for x in runs:
         m = len(x)
         if m <= 64:
@@ -171,7 +232,7 @@ def stars(runs: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray, np.
         rows = max(1, ENTRIES // words)
         for a in range(0, m, rows):
             q = x[a : a + rows]
-            links[a : a + rows] = within(planes, np.tile(np.arange(words), len(q)), np.repeat(q, words), np.tile(lanes, len(q)), radius).reshape(-1, words)
+            links[a : a + rows] = within(planes, np.tile(np.arange(words), len(q)), np.repeat(q, words, axis=0), np.tile(lanes, len(q)), radius).reshape(-1, words)
         seen = np.zeros(words, np.uint64)
         for i in range(m):
             if seen[i // 64] >> np.uint64(i % 64) & ONE:
@@ -179,88 +240,145 @@ def stars(runs: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray, np.
             group, front = links[i].copy(), [i]
             seen[i // 64] |= ONE << np.uint64(i % 64)
             while len(front):
-                fresh = np.bitwise_or.reduce(links[front], axis=0) & ~seen
-                seen |= fresh
-                group |= fresh
-                front = np.flatnonzero(np.unpackbits(fresh.view(np.uint8), bitorder="little")[:m])
+                fresh_lanes = np.bitwise_or.reduce(links[front], axis=0) & ~seen
+                seen |= fresh_lanes
+                group |= fresh_lanes
+                front = np.flatnonzero(np.unpackbits(fresh_lanes.view(np.uint8), bitorder="little")[:m])
             found = np.flatnonzero(np.unpackbits(group.view(np.uint8), bitorder="little")[:m])
             found = found[found != i]
             members.append(x[found])
-            roots.append(np.repeat(x[i : i + 1], len(found)))
-    if not members:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            roots.append(np.repeat(x[i : i + 1], len(found), axis=0))
     return np.concatenate(members), np.concatenate(roots)
 
 
-def _bucket_keys(fp):
-    """The 15 keys of a fingerprint: number of the pair of blocks, then the bits of both."""
-    starts = [sum(WIDTHS[:i]) for i in range(len(WIDTHS))]
-    block = [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(starts, WIDTHS, strict=True)]
-    return F.array(*[(F.lit(n << 22) + F.shiftleft(block[i], WIDTHS[j]) + block[j]).cast("int") for n, (i, j) in enumerate(combinations(range(len(WIDTHS)), 2))])
+def _numbers(fp: pa.Array) -> np.ndarray:
+    """Fingerprints [n, bits / 64] of an Arrow column of longs or of binaries of one length."""
+    if pa.types.is_binary(fp.type):
+        return np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(fp), -1)
+    return fp.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, 1)
+
+
+def _column(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_binary(kind):
+        return pa.array([row.tobytes() for row in x], kind)
+    return pa.array(x.reshape(-1).view(np.int64), kind)
 
 
 def _edges(batches, radius: int):
-    """Arrow batches of (key, a, b, fp) sorted by all four into edges (u, v) with u the member
+    """Arrow batches of (key, a, b, fp) sorted by key, a and b into edges (u, v) with u the member
     and v the root. Only the run that a batch ends in is carried over."""
     held: list[np.ndarray] = []
     held_key = None
     done: list[np.ndarray] = []
-    waiting = 0
+    waiting, kind = 0, pa.int64()
 
     def flush():
         nonlocal done, waiting
         u, v = stars(done, radius)
         done, waiting = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([_column(u, kind), _column(v, kind)], names=["u", "v"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, a, b, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        fp = fp.astype(np.int64).view(np.uint64)
+        key, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:3])
+        kind = batch.column(3).type
+        fp = _numbers(batch.column(3))
         cut = np.flatnonzero((key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
         bounds = np.concatenate(([0], cut, [len(fp)]))
         head = (key[0], a[0], b[0])
         if held_key is not None and held_key != head:
-            done.append(np.sort(np.concatenate(held)))
+            done.append(np.concatenate(held))
             held = []
         for i in range(len(bounds) - 1):
             run = fp[bounds[i] : bounds[i + 1]]
             if i == 0 and held:
                 held.append(run)
                 if len(bounds) > 2:
-                    done.append(np.sort(np.concatenate(held)))
+                    done.append(np.concatenate(held))
+                    waiting += len(done[-1])
                     held = []
             elif i == len(bounds) - 2:
                 held = [run]
             elif len(run) > 1:
-                done.append(np.sort(run))
+                done.append(run)
                 waiting += len(run)
         held_key = (key[-1], a[-1], b[-1])
         if waiting > 50_000:
             yield flush()
     if held:
-        done.append(np.sort(np.concatenate(held)))
-    yield flush()
+        done.append(np.concatenate(held))
+    if done:
+        yield flush()
 
 
-def link(distinct: DataFrame, radius: int = RADIUS, cell: int = 4096) -> DataFrame:
-    """u, v: edges that join all groups of linked fingerprints of distinct (fp)."""
-    if not 0 <= radius <= RADIUS:
-        raise ValueError("the buckets are made for a radius of at most 4")
-    rows = distinct.select("fp", F.explode(_bucket_keys(F.col("fp"))).alias("key"))
-    large = written(rows.groupBy("key").count().where(F.col("count") > cell).select(F.col("key").alias("l_key"), F.ceil(F.col("count") / cell).cast("int").alias("chunks")), "large-buckets")
+def _blocks(fp: Column) -> list[Column]:
+    starts = [sum(WIDTHS[:i]) for i in range(len(WIDTHS))]
+    return [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(starts, WIDTHS, strict=True)]
+
+
+_PAIRS = list(combinations(range(len(WIDTHS)), 2))
+
+
+def _bucket_keys(fp: Column) -> Column:
+    """The 15 keys of a fingerprint: number of the pair of blocks, then the bits of both."""
+    block = _blocks(fp)
+    return F.array(*[F.lit(n << 22) + F.shiftleft(block[i], WIDTHS[j]) + block[j] for n, (i, j) in enumerate(_PAIRS)])
+
+
+def _part_keys(fp: Column, key: Column) -> Column:
+    """The five keys of a fingerprint within bucket `key`: the bucket, then number and bits of a
+    part of what the two blocks of the bucket leave."""
+    block = _blocks(fp)
+
+    def left(i: int, j: int) -> Column:
+        out = F.lit(0).cast("long")
+        for k in range(len(WIDTHS)):
+            if k not in (i, j):
+                out = F.shiftleft(out, WIDTHS[k]) + block[k]
+        return out
+
+    free = F.element_at(F.array(*[left(i, j) for i, j in _PAIRS]), (F.shiftright(key, 22) + 1).cast("int"))
+    starts = [sum(PARTS[:i]) for i in range(len(PARTS))]
+    return F.array(*[F.shiftleft(key, 12) + F.lit(i << 9) + F.shiftrightunsigned(free, s).bitwiseAND(F.lit((1 << w) - 1)) for i, (s, w) in enumerate(zip(starts, PARTS, strict=True))])
+
+
+def _large(rows: DataFrame, cell: int) -> DataFrame:
+    """l_key, chunks of the buckets of more than `cell` rows."""
+    n = rows.groupBy("key").count().where(F.col("count") > cell)
+    return written(n.select(F.col("key").alias("l_key"), F.ceil(F.col("count") / cell).cast("int").alias("chunks")), "simhash-large")
+
+
+def compare(rows: DataFrame, radius: int, cell: int = 4096) -> DataFrame:
+    """u, v: edges that join all groups of linked fingerprints of rows (key, fp), both of them in
+    one bucket. Buckets of more than `cell` rows are dealt as pairs of chunks."""
+    kind = rows.schema["fp"].dataType.simpleString()
     n = F.coalesce("chunks", F.lit(1))
-    dealt = rows.join(large, F.col("key") == F.col("l_key"), "left").withColumn("chunk", F.pmod(F.xxhash64("fp"), n).cast("int"))
+    dealt = rows.join(_large(rows, cell), F.col("key") == F.col("l_key"), "left").withColumn("chunk", F.pmod(F.xxhash64("fp"), n).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     dealt = dealt.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "fp")
     spread = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return spread.mapInArrow(lambda batches: _edges(batches, radius), "u long, v long").distinct()
+    return spread.mapInArrow(lambda batches: _edges(batches, radius), f"u {kind}, v {kind}").distinct()
+
+
+def link(distinct: DataFrame, radius: int = RADIUS, cell: int = 4096) -> DataFrame:
+    """u, v: edges that join all groups of linked fingerprints of distinct (fp), 64 bits each."""
+    if not 0 <= radius <= RADIUS:
+        raise ValueError("the buckets are made for a radius of at most 4")
+    rows = distinct.select("fp", F.explode(_bucket_keys(F.col("fp"))).alias("key"))
+    large = _large(rows, cell)
+    if not large.limit(1).count():
+        return compare(rows, radius, cell)
+    near = rows.join(large, F.col("key") == F.col("l_key"), "left")
+    # a key of its own for what is cut no further: the five parts are numbered 0 to 4
+    keys = F.when(F.col("chunks").isNull(), F.array(F.shiftleft("key", 12) + F.lit(5 << 9))).otherwise(_part_keys(F.col("fp"), F.col("key")))
+    return compare(near.select("fp", F.explode(keys).alias("key")), radius, cell)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """u, v: each node with the smallest node it is connected to (signed order), for nodes that
-    have an edge and aren't that node. Alternates large-star and small-star until nothing moves."""
+    """u, v: each node with the smallest node it is connected to, for nodes that have an edge and
+    aren't that node. Nodes are of any type that has an order. Alternates large-star and small-star
+    until nothing moves."""
 
     def mins(e: DataFrame) -> DataFrame:
         return written(e.groupBy(F.col("u").alias("m_u")).agg(F.least(F.min("v"), F.min("u")).alias("m")), "cc-min")
@@ -295,7 +413,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = RADIUS, cell: int
 
     Null and empty texts have fingerprint 0 and are linked like any other. A null doc_id takes
     part, but is a component_id only where no other is; rows that repeat are linked as copies.
-    An empty table gives an empty result. Other columns are not read."""
+    Components whose smallest ids are equal, as rows of one doc_id make them, bear the same
+    component_id. An empty table gives an empty result. Other columns are not read."""
     fps = written(fingerprints(docs, k), "simhash")
     reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     roots = components(link(reps.select("fp"), radius, cell))
@@ -306,11 +425,31 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = RADIUS, cell: int
     return fps.join(classes, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, k: int = 4, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each group of near-duplicates, that of the smallest doc_id."""
-    found = near_duplicates(docs, k, radius)
-    kept = written(found.groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id").alias("kept_id")).distinct(), "simhash-kept")
+def deduplicate(docs: DataFrame, radius: int = WIDE_RADIUS, cell: int = 4096) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that of the smallest doc_id (null last),
+    ties by a hash of the row.
+
+    Groups are held apart by their fingerprints, not by doc_id: rows of equal or null doc_id and
+    unlike texts all stay. Rows that repeat whole are copies, of which one stays. Null and empty
+    texts are one group. An empty table gives an empty result. Other columns are kept, whatever
+    their names."""
+    sig = docs.select("doc_id", row_hash(docs).alias("row"), wide_fingerprint(F.col("text")).alias("w"))
+    sig = written(sig.select("doc_id", "row", "w.fp", "w.keys"), "simhash-wide")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    reps = written(sig.groupBy("fp").agg(F.min("keys").alias("keys"), best.alias("best")), "simhash-distinct")
+    roots = components(compare(reps.select("fp", F.explode("keys").alias("key")), radius, cell))
+    named = reps.join(roots, F.col("fp") == F.col("u"), "left").groupBy(F.coalesce("v", "fp").alias("root")).agg(F.min("best").alias("best"))
+    kept = written(named.select(F.col("best.doc_id").alias("kept_id"), F.col("best.row").alias("kept_row")), "simhash-kept")
+    hashed, copy_id, copy_row = fresh(docs, "row_hash", "copy_id", "copy_row")
+    copies = sig.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row")), "left_semi")
+    copies = written(copies.groupBy(F.col("doc_id").alias(copy_id), F.col("row").alias(copy_row)).count().where("count > 1").drop("count"), "simhash-copies")
+    kept_id, kept_row = fresh(docs, "kept_id", "kept_row")
+    kept = kept.toDF(kept_id, kept_row)
+    rows = docs.withColumn(hashed, row_hash(docs))
     # kept grows with the corpus, so it is never broadcast; each task builds a table of its own share
-    out = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    again = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1")
-    return out.dropDuplicates(["doc_id"]) if again.limit(1).count() else out
+    out = rows.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(hashed) == F.col(kept_row)), "left_semi")
+    if copies.limit(1).count():
+        same = F.col("doc_id").eqNullSafe(F.col(copy_id)) & (F.col(hashed) == F.col(copy_row))
+        once = out.join(copies, same, "left_semi").dropDuplicates(["doc_id", hashed])
+        out = out.join(copies, same, "left_anti").unionByName(once)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -3,7 +3,8 @@
 Offline, the driver proves which vocabulary strings encode alone as one token: each is spelled as
 text, must be one pre-token, and must come back from the library as its own id. Inside tasks,
 pre-tokens in that set count 1 without merging; only the rest goes through the library, each
-distinct pre-token once per worker's cache. A text is never cut: added tokens split it where
+distinct pre-token once per worker's cache. Files of another pre-tokenizer than byte-level's
+own, or with a normaliser, are refused. A text is never cut: added tokens split it where
 their string stands, as the library's default does, and count 1 each.
 
 Scale: no shuffle. The set holds at most the vocabulary (about 50 000 short strings), which is
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import bounded_batches
+from .common import texts_of
 
 #: Pre-token pattern of byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pre-tokens whose counts a worker remembers.
-CACHE = 400_000
+#: Distinct pre-tokens whose counts a worker remembers, and the characters of the longest.
+CACHE, CACHE_CHARS = 400_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -44,8 +45,14 @@ def _tokenizer(path: str):
 
 
 def added_tokens(path: str) -> list[str]:
+    """Strings of the added tokens of a file, which must split texts as this module does."""
     with open(path, encoding="utf-8") as f:
-        return [x["content"] for x in json.load(f).get("added_tokens", [])]
+        said = json.load(f)
+    pre, added = said.get("pre_tokenizer") or {}, said.get("added_tokens", [])
+    known = said.get("model", {}).get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    if not known or said.get("normalizer") or any(x.get(k) for x in added for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError(f"{path} isn't a byte-level BPE with the pre-tokens that are counted here")
+    return [x["content"] for x in added]
 
 
 def whole_tokens(path: str) -> frozenset[str]:
@@ -83,10 +90,9 @@ def count_batch(texts: list[str | None], path: str, whole: frozenset[str], speci
     if len(known) + len(new) > CACHE:
         known.clear()
         new = list({p for rest in rests for p in rest})
-    for p, e in zip(new, _tokenizer(path).encode_batch(new, add_special_tokens=False), strict=True):
-        known[p] = len(e.ids)
-    get = known.__getitem__
-    return [n + sum(map(get, rest)) for n, rest in zip(counts, rests, strict=True)]
+    found = {p: len(e.ids) for p, e in zip(new, _tokenizer(path).encode_batch(new, add_special_tokens=False), strict=True)}
+    known.update((p, n) for p, n in found.items() if len(p) <= CACHE_CHARS)
+    return [n + sum(known[p] if p in known else found[p] for p in rest) for n, rest in zip(counts, rests, strict=True)]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
@@ -95,14 +101,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     repeated rows repeat. path: a byte-level BPE file of the tokenizers library, present on every
     executor."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     whole = spark.sparkContext.broadcast(whole_tokens(path))
     special = added_tokens(path)
     known: dict[str, int] = {}
 
     @F.arrow_udf(LongType())
     def n_tokens(text: pa.Array) -> pa.Array:
-        return pa.array(count_batch(text.to_pylist(), path, whole.value, special, known), pa.int64())
+        return pa.array([n for part in texts_of(text) for n in count_batch(part, path, whole.value, special, known)], pa.int64())
 
     out = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).withColumn("n_tokens", n_tokens(F.col("text")))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

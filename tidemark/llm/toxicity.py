@@ -10,7 +10,7 @@ machine and a logistic curve turn that into a score. Toxic texts of the sample a
 a character put into, or taken out of, their landmark words.
 
 Scale: landmarks and machine are learnt from a bounded sample of labelled rows (`per_class` of
-each label, by a hash of doc_id; the landmark words are counted by Spark). Scoring is one pass
+each label, by a hash of doc_id, one text for each; the landmark words are counted by Spark). Scoring is one pass
 inside tasks, without a shuffle. Each distinct word of a batch is screened once with an upper bound
 of its similarity to any landmark, so the kernel is computed for few words only."""
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from . import linear_svm
-from .common import bounded_batches, held_out, mix64, sample_by_class
+from .common import at_most, held_out, mix64, texts_of, thinned, written
 
 LETTERS, SPAN, DECAY, FLOOR, POWER = 32, 6, 0.85, 0.55, 2
 #: Weight of the similarity to the nearest landmark beside the whitened ones.
@@ -240,13 +240,16 @@ def choose_landmarks(sample: DataFrame, count: int = 96, tried: int = 600, least
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, c: float = 1.0) -> Model:
     """Model learnt from docs (doc_id, text) and labels (doc_id, toxic), held-out rows and null
-    labels left out. At most about per_class rows of each label are used."""
-    bounded_batches(docs.sparkSession)
+    labels left out. At most 2 * per_class rows are used, about as many of each label. A doc_id of
+    several texts or labels counts once for each label, with the text of the least hash."""
+    spark = docs.sparkSession
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & ~held_out())
-    chosen = sample_by_class(known, "toxic", per_class).dropDuplicates()
-    # the sample is bounded by 2 * per_class rows of two numbers
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    size = chosen.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic")), F.lit(0))).first()
+    chosen = written(at_most(thinned(known, "toxic", ["doc_id"], 2 * per_class), ["toxic", "doc_id"], 2 * per_class), "toxicity-chosen")
+    # the broadcast is bounded by 2 * per_class rows of two numbers
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+    sample = written(texts.groupBy("doc_id", "toxic").agg(one.alias("text")), "toxicity-sample")
+    size = sample.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic")), F.lit(0))).first()
     empty = Model([], np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0), (1.0, 0.0), size[1] / size[0] if size[0] else 0.0)
     if not size[0] or size[1] in (0, size[0]):
         return empty
@@ -254,16 +257,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, c: float =
     if not words:
         return empty
     table = table_of(words)
-
     known_words = frozenset(words)
+    sent = spark.sparkContext.broadcast(table)
 
     @F.arrow_udf(ArrayType(FloatType()))
     def describe(text: pa.Array) -> pa.Array:
-        return pa.array(list(best_similarities(text.to_pylist(), table)), pa.list_(pa.float32()))
+        return pa.array([x for part in texts_of(text) for x in best_similarities(part, sent.value)], pa.list_(pa.float32()))
 
     @F.arrow_udf(StringType())
     def disguised(text: pa.Array, seed: pa.Array) -> pa.Array:
-        return pa.array([disguise(t, known_words, abs(h)) for t, h in zip(text.to_pylist(), seed.to_pylist(), strict=True)], pa.string())
+        every = (t for part in texts_of(text) for t in part)
+        return pa.array([disguise(t, known_words, abs(h)) for t, h in zip(every, seed.to_pylist(), strict=True)], pa.string())
 
     plain = sample.select("toxic", "text", F.xxhash64("doc_id").alias("h"))
     hidden = plain.where("toxic = 1").withColumn("text", disguised(F.col("text"), F.col("h"))).where("text IS NOT NULL")
@@ -290,11 +294,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= threshold), which replace columns of
     those names. Null and empty texts get the score of a text without words. Rows are judged one
     by one; only the text counts."""
-    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
-        return pa.array(sent.value.score(text.to_pylist()), pa.float64())
+        return pa.array(np.concatenate([np.zeros(0), *(sent.value.score(part) for part in texts_of(text))]), pa.float64())
 
     return docs.withColumn("score", scored(F.col("text"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
