@@ -2,12 +2,15 @@
 
 The hashes of all benchmark windows form a set that travels with the plan while it holds at most
 `set_limit` entries; every window of every document is hashed and looked up in place, without a
-shuffle. Beyond that size, the windows of documents are joined to the windows of the benchmark by
-their hash. Hits are verified on the words themselves, so a hash collision never counts.
+shuffle. Words are hashed once, a window's hash is that of its words' hashes. Beyond that size, the
+windows of documents are joined to the windows of the benchmark by their hash. Hits are verified on
+the words themselves, so a hash collision never counts.
 
-Scale: texts are scanned once; what leaves the scan are verified hits, one narrow row per
-document or hit. A passage that many documents share is never a join key of documents, as results
-are grouped by document."""
+Scale: texts are scanned once; what leaves the scan is one narrow row per document or hit. What is
+broadcast is the distinct windows, at most `set_limit` of them; the items that hold a window, whose
+number nothing bounds, are joined by a shuffle once a document's hits are distinct. Beyond the limit
+windows are keys of a shuffle join, whose hot keys adaptive execution splits. Results are grouped
+by document."""
 
 from __future__ import annotations
 
@@ -16,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: The same classes in a text that isn't lower-cased yet.
@@ -33,22 +36,28 @@ def words(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """gram, length, item_ids: the distinct windows of benchmark (item_id, text), with the items
-    that hold each. An item of fewer than `size` words, but not none, is one window; null texts
-    have none."""
+    """item, length, h, g: the distinct windows of each item of benchmark (item_id, text), their
+    hash and their words. An item of fewer than `size` words, but not none, is one window; null
+    texts have none."""
     w = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("length", F.least(F.size("w"), F.lit(size)))
     starts = F.sequence(F.lit(1), F.size("w") - F.col("length") + 1)
     grams = w.select("item", "length", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.col("length")))).alias("gram"))
-    return grams.groupBy("gram", "length").agg(F.collect_set("item").alias("item_ids"))
+    return grams.select("item", "length", F.xxhash64(word_hashes("gram")).alias("h"), F.array_join("gram", " ").alias("g")).distinct()
+
+
+def word_hashes(w: Column | str) -> Column:
+    """The hash of each word of an array."""
+    return F.transform(w, lambda x: F.xxhash64(x))
 
 
 def _hash_at(i: Column, length: int) -> Column:
-    return F.xxhash64(F.slice("w", i, F.lit(length)))
+    return F.xxhash64(F.slice("wh", i, F.lit(length)))
 
 
 def _starts(length: int) -> Column:
-    return F.when(F.size("w") >= length, F.sequence(F.lit(1), F.size("w") - (length - 1))).otherwise(F.array().cast("array<int>"))
+    # the size of wh, not of w: read twice, wh is computed once a text and not once a window
+    return F.when(F.size("wh") >= length, F.sequence(F.lit(1), F.size("wh") - (length - 1))).otherwise(F.array().cast("array<int>"))
 
 
 def _candidates_by_set(docs: DataFrame, hashes: dict[int, list[int]]) -> DataFrame:
@@ -72,7 +81,7 @@ def _candidates_by_join(docs: DataFrame, windows: DataFrame, lengths: list[int])
 
     hashes = F.flatten(F.array(*[hashed(n) for n in lengths]))
     rows = docs.select("row", F.explode(hashes).alias("x")).select("row", "x.*")
-    known = windows.select(F.col("length").alias("k_length"), F.xxhash64("gram").alias("k_h")).distinct()
+    known = windows.select(F.col("length").alias("k_length"), F.col("h").alias("k_h")).distinct()
     hit = rows.join(known, (F.col("h") == F.col("k_h")) & (F.col("length") == F.col("k_length")), "left_semi")
     by_row = hit.groupBy("row").agg(F.collect_list(F.struct("i", "length")).alias("found")).withColumnRenamed("row", "f_row")
     empty = F.array().cast("array<struct<i:int,length:int>>")
@@ -87,13 +96,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, se
     and no hits; a repeated row gives a repeated result; an empty benchmark or table hits
     nothing. Other columns are not read."""
     windows = benchmark_windows(benchmark, size)
-    head = windows.select("length", F.xxhash64("gram").alias("h")).distinct().limit(set_limit + 1).collect()
+    head = windows.select("length", "h").distinct().limit(set_limit + 1).collect()
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id())
+    base = base.withColumn("wh", word_hashes("w"))
     if len(head) <= set_limit:
-        hashes: dict[int, list[int]] = {}
+        by_length: dict[int, list[int]] = {}
         for r in head:
-            hashes.setdefault(r["length"], []).append(r["h"])
-        found = _candidates_by_set(base, hashes)
+            by_length.setdefault(r["length"], []).append(r["h"])
+        found = _candidates_by_set(base, by_length)
     else:
         lengths = [r[0] for r in windows.select("length").distinct().collect()]  # at most `size` values
         found = _candidates_by_join(base, windows, lengths)
@@ -102,15 +112,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, se
     rows = rows.select("row", "doc_id", "text_hash", "n_words", "x.i", "x.length", F.array_join("x.gram", " ").alias("gram"))
     # rows without a candidate get a key of their own, so that they do not meet in one task
     key = F.coalesce("gram", F.concat(F.lit(" "), F.col("row").cast("string")))
-    known = windows.select(F.array_join("gram", " ").alias("k"), "item_ids")
+    known = windows.select(F.col("g").alias("k")).distinct()
     if len(head) <= set_limit:
         known = F.broadcast(known)
     rows = rows.withColumn("key", key).join(known, F.col("key") == F.col("k"), "left")
-    span = F.when(F.col("item_ids").isNotNull(), F.sequence(F.col("i"), F.col("i") + F.col("length") - 1))
-    per_doc = rows.groupBy("row", "doc_id", "text_hash", "n_words").agg(F.collect_list(span).alias("spans"), F.collect_set("item_ids").alias("items"))
+    span = F.when(F.col("k").isNotNull(), F.sequence(F.col("i"), F.col("i") + F.col("length") - 1))
+    per_doc = rows.groupBy("row", "doc_id", "text_hash", "n_words").agg(F.collect_list(span).alias("spans"), F.collect_set("k").alias("grams"))
+    per_doc = written(per_doc, "decontam-hits")
+    items = per_doc.select("row", F.explode("grams").alias("gram")).join(windows.select("item", "g"), F.col("gram") == F.col("g"))
+    items = items.groupBy(F.col("row").alias("i_row")).agg(F.collect_set("item").alias("items"))
     hit_words = F.array_sort(F.array_distinct(F.flatten("spans")))
-    items = F.array_sort(F.array_distinct(F.flatten("items")))
-    return per_doc.select("doc_id", "text_hash", "n_words", F.size(hit_words).cast("long").alias("n_hit"), items.alias("item_ids"), hit_words.alias("hit_words"))
+    found = per_doc.join(items, F.col("row") == F.col("i_row"), "left")
+    item_ids = F.array_sort(F.coalesce("items", F.array().cast("array<string>")))
+    return found.select("doc_id", "text_hash", "n_words", F.size(hit_words).cast("long").alias("n_hit"), item_ids.alias("item_ids"), hit_words.alias("hit_words"))
 
 
 def _without_windows(docs: DataFrame, windows: list) -> DataFrame:
@@ -129,10 +143,11 @@ def _without_windows(docs: DataFrame, windows: list) -> DataFrame:
     bad = F.lit(False)
     for n, (hashes, grams) in sorted(by_length.items()):
         bad = bad | hit(n, hashes, grams)
-    # the row number, which the filter reads, keeps it above the projection that splits the text:
-    # pushed below, it would split the text once for each window
-    split = docs.select(F.struct(*docs.columns).alias("d"), words(F.col("text")).alias("w"), F.monotonically_increasing_id().alias("row"))
-    return split.where((F.col("row") >= 0) & ~bad).select("d.*")
+    # the row numbers, which the filter reads, keep it above the projections that split the text and
+    # hash its words: pushed below, it would do so once for each window
+    split = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), words(F.col("text")).alias("w"), F.monotonically_increasing_id().alias("row"))
+    hashed = split.select("d", "w", "row", word_hashes("w").alias("wh"), F.monotonically_increasing_id().alias("again"))
+    return hashed.where((F.col("row") >= 0) & (F.col("again") >= 0) & ~bad).select("d.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", size: int = 10, set_limit: int = 200_000) -> DataFrame:
@@ -144,21 +159,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "documents":
-        windows = benchmark_windows(benchmark, size).select("length", F.xxhash64("gram").alias("h"), F.array_join("gram", " ").alias("g"))
+        windows = benchmark_windows(benchmark, size).select("length", "h", "g").distinct()
         head = windows.limit(set_limit + 1).collect()
         if len(head) <= set_limit:
             return _without_windows(docs, head)
     hit = find_contamination(docs, benchmark, size, set_limit).where("n_hit > 0")
-    hit = hit.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("hit_words").alias("__hit")).dropDuplicates(["__id", "__hash"])
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    of_id, of_text, hit_at = fresh(docs, "hit_id", "hit_text", "hit_words")
+    hit = hit.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_text), F.col("hit_words").alias(hit_at)).dropDuplicates([of_id, of_text])
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64("text") == F.col(of_text))
     if mode == "documents":
         return docs.join(hit, same, "left_anti")
     pieces = F.regexp_extract_all("text", F.lit(f"({RAW_WORD}{RAW_SEPARATOR}*)"), F.lit(1))
     lead = F.regexp_extract("text", f"^({RAW_SEPARATOR}*)", 1)
-    left = F.filter(pieces, lambda p, i: ~F.array_contains("__hit", i + 1))
-    cleaned = F.when(F.col("__hit").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(left, "")))
+    left = F.filter(pieces, lambda p, i: ~F.array_contains(hit_at, i + 1))
+    cleaned = F.when(F.col(hit_at).isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(left, "")))
     joined = docs.join(hit, same, "left")
-    return joined.select(*[cleaned.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return joined.select(*[cleaned.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""
