@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, written
+from .common import new_folder, written
 
 CRLF = b"\r\n"
 #: Bytes after which a task starts its next archive file; lines of an index block.
@@ -90,7 +90,8 @@ def _write(batches, root: str, date: str, roll: int):
     out, path, at = None, "", 0
     for batch in batches:
         places = []
-        for page_id, url, html, n_bytes, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True):
+        for row in range(batch.num_rows):  # one page in memory at a time
+            page_id, url, html, n_bytes, digest, refers_to = (c[row].as_py() for c in batch.columns[:6])
             if out is None:
                 path, at = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
                 fs, inner = _fs(path)
@@ -118,8 +119,7 @@ def write_archive(pages: DataFrame, least: int = 100, date: str = "1970-01-01T00
     A null html is an empty payload. Rows that repeat the smallest page_id of equal payloads are
     all responses. A null page_id refers to the smallest id, or is a response where there is
     none. Other columns are not read."""
-    bounded_batches(pages.sparkSession, 200)
-    root = f"{shared_dir(pages.sparkSession)}/tidemark/warc-{uuid.uuid4().hex}"
+    root = new_folder(pages.sparkSession, "warc")
     fs, inner = _fs(root)
     fs.create_dir(inner, recursive=True)
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -169,7 +169,7 @@ def _write_shard(batches, root: str, lines: int):
 
 def build_index(manifest: DataFrame, lines: int = BLOCK) -> DataFrame:
     """Write the index of a manifest; returns first, last, shard: one row for each shard."""
-    root = f"{shared_dir(manifest.sparkSession)}/tidemark/cdx-{uuid.uuid4().hex}"
+    root = new_folder(manifest.sparkSession, "cdx")
     fs, inner = _fs(root)
     fs.create_dir(inner, recursive=True)
     ordered = _ranged(manifest.select("key", "page", "file", "offset", "length"))
@@ -230,7 +230,6 @@ def lookup(queries: DataFrame, index: DataFrame) -> DataFrame:
     """file, offset, length of every capture that matches a row of queries (url, page_id).
     Repeated queries count once. index: build_index()'s shards, one small row for each task of
     the sort, which is what bounds the list that tasks get."""
-    bounded_batches(queries.sparkSession, 5000)
     top = sorted((tuple(r) for r in index.collect()), key=lambda r: _split(r[0]))
     q = queries.select(surt(F.col("url")).alias("key"), _page(F.col("page_id")).alias("page")).distinct()
     return _ranged(q).mapInArrow(lambda b: _search(b, top), "file string, offset long, length long")
@@ -266,8 +265,13 @@ _READ_TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), p
 
 def read_records(places: DataFrame) -> DataFrame:
     """page, url, payload_bytes, payload_digest, record_type, refers_to of each record of places
-    (file, offset, length). Reads go through a file in order of offset, 16 MB of it to a task."""
-    near = places.withColumn("part", F.floor(F.col("offset") / 16_000_000)).repartition("file", "part").sortWithinPartitions("file", "offset")
+    (file, offset, length). Reads go through a file in order of offset, 16 MB of it at a
+    stretch; places are written first, so that their bytes give the number of tasks."""
+    spark = places.sparkSession
+    places = written(places, "warc-places")
+    size = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 64_000_000 + 1)
+    near = places.withColumn("part", F.floor(F.col("offset") / 16_000_000)).repartition(tasks, "file", "part").sortWithinPartitions("file", "offset")
     return near.mapInArrow(_read, "page string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
