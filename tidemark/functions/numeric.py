@@ -61,6 +61,16 @@ def per_request(cap: int, requests: int, low: int, high: int) -> int:
     return max(low, min(high, -(-cap // max(1, requests))))
 
 
+def since_of(now: Column, months: Column, first_year: int) -> Column:
+    """Column form of targeted_since."""
+    return F.greatest(F.date_sub(now, F.round(months * 30.44).cast("int")), F.make_date(F.lit(first_year), F.lit(1), F.lit(1)))
+
+
+def per_request_of(cap: Column, requests: Column, low: int, high: int) -> Column:
+    """Column form of per_request."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.ceil(cap / F.greatest(F.lit(1), requests)))).cast("long")
+
+
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Wilson interval of hits out of n; null for n = 0."""
     p, zz = hits / n, z * z

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as N
+from tidemark.operators.ranges import running
 
 
 def confusion(rows: DataFrame, label: Column, predicted: Column, by: list[str] | None = None) -> DataFrame:
@@ -27,11 +28,10 @@ def average_rank(value: str, partition: list[str] | None = None) -> Column:
 def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
     """auc by the Mann-Whitney formula, ties half; null for one class.
 
-    Ranks come from the counts of distinct scores: a partial aggregation, then a running sum over
-    what is left, so rows themselves are never in one task."""
+    Ranks come from the counts of distinct scores: a partial aggregation, then running sums over
+    ranges of scores, as a continuous score leaves as many rows as there were."""
     n = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = n.withColumn("rank", F.sum("n").over(w) - F.col("n") + (F.col("n") + 1) / 2.0)
+    ranked = running(n, [F.col(score)], {"upto": F.col("n")}).withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0)
     s = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return s.select(F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * F.col("q"))).alias("auc"), F.coalesce("p", F.lit(0)).alias("positives"), F.coalesce("q", F.lit(0)).alias("negatives"))
 
@@ -39,8 +39,7 @@ def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
 def average_precision(rows: DataFrame, label: str, score: str) -> DataFrame:
     """Area under precision and recall, one step for each distinct score; null without positives."""
     n = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = n.withColumn("cp", F.sum("p").over(w)).withColumn("cn", F.sum("n").over(w))
+    step = running(n, [F.col(score).desc()], {"cp": F.col("p"), "cn": F.col("n")})
     return step.agg((F.sum(F.col("p") * F.col("cp") / F.col("cn")) / F.nullif(F.sum("p"), F.lit(0))).alias("average_precision"))
 
 
@@ -80,8 +79,8 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
 
     def ranks(c: str, name: str) -> DataFrame:
         n = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(c).alias(f"__{name}")).agg(F.count("*").alias("n"))
-        w = Window.orderBy(f"__{name}").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return n.select(f"__{name}", (F.sum("n").over(w) - F.col("n") + (F.col("n") + 1) / 2.0).alias(name))
+        upto = running(n, [F.col(f"__{name}")], {"upto": F.col("n")})
+        return upto.select(f"__{name}", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias(name))
 
     both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).join(ranks(a, "ra"), F.col(a) == F.col("__ra")).join(ranks(b, "rb"), F.col(b) == F.col("__rb"))
     return both.agg(F.corr("ra", "rb").alias("spearman"), F.count("*").alias("n"))
@@ -104,25 +103,61 @@ def share_with_interval(rows: DataFrame, group: str, hit: Column) -> DataFrame:
     return a.withColumn("share", F.when(F.col("n") > 0, F.col("hits") / F.col("n"))).withColumn("low", lo).withColumn("high", hi)
 
 
-def bootstrap_mean(rows: DataFrame, unit: str, value: str, rounds: int = 1000, seed: int = 20260915) -> DataFrame:
-    """mean, low, high: percentile interval of the mean over units, which are drawn with Poisson(1)
-    multiplicities by a hash of (seed, round, unit); each unit is weighed in every round by a hash,
-    so no row is sent anywhere but its sums."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("round"), F.col(unit)), F.lit(1_000_003)) / 1_000_003.0
+def _poisson(*key: Column) -> Column:
+    """A Poisson(1) number by a hash of key, from the distribution's cumulative probabilities."""
+    u = F.pmod(F.xxhash64(*key), F.lit(1_000_003)) / 1_000_003.0
     bounds = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
     times = F.lit(0)
     for b in bounds:
         times = times + (u >= b).cast("int")
+    return times
+
+
+def bootstrap_mean(rows: DataFrame, unit: str, value: str, rounds: int = 1000, seed: int = 20260915) -> DataFrame:
+    """mean, low, high: percentile interval of the mean over units, which are drawn with Poisson(1)
+    multiplicities by a hash of (seed, round, unit); each unit is weighed in every round by a hash,
+    so no row is sent anywhere but its sums."""
+    times = _poisson(F.lit(seed), F.col("round"), F.col(unit))
     drawn = rows.select(unit, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("times", times)
     means = drawn.groupBy("round").agg((F.sum(F.col("v") * F.col("times")) / F.nullif(F.sum("times"), F.lit(0))).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")).join(F.broadcast(rows.agg(F.avg(value).alias("mean"))))
 
 
+def paired_difference(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """topics, mean_diff of b over a on common keys, and how many keys only one side has."""
+    both = a.select(key, F.col(value).alias("va")).join(b.select(F.col(key).alias("kb"), F.col(value).alias("vb")), F.col(key) == F.col("kb"), "full")
+    in_a, in_b = F.col(key).isNotNull(), F.col("kb").isNotNull()
+    return both.agg(F.count_if(in_a & in_b).alias("topics"), F.avg(F.col("vb") - F.col("va")).alias("mean_diff"), F.count_if(~in_b).alias("only_in_a"), F.count_if(~in_a).alias("only_in_b"))
+
+
+def paired_interval(a: DataFrame, b: DataFrame, key: str, value: str, rounds: int = 1000) -> DataFrame:
+    """mean, low, high of the difference of b over a by bootstrap over common keys."""
+    diff = a.select(key, F.col(value).alias("va")).join(b.select(key, F.col(value).alias("vb")), key).select(key, (F.col("vb") - F.col("va")).alias("diff"))
+    return bootstrap_mean(diff, key, "diff", rounds)
+
+
+def kappa_interval(rows: DataFrame, a: str, b: str, key: str, rounds: int = 1000, seed: int = 20260915) -> DataFrame:
+    """low, high: percentile interval of the kappa of two binary ratings, pairs drawn with Poisson(1)
+    multiplicities by a hash of (seed, round, key); rounds without a kappa are left out."""
+    drawn = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    drawn = drawn.withColumn("n", _poisson(F.lit(seed), F.col("round"), F.col(key)))
+    s = drawn.groupBy("round").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("x") == F.col("y")).cast("int")).alias("same"), F.sum(F.col("n") * F.col("x")).alias("x"), F.sum(F.col("n") * F.col("y")).alias("y")).where("n > 0")
+    pa, pb, po = F.col("x") / F.col("n"), F.col("y") / F.col("n"), F.col("same") / F.col("n")
+    pe = pa * pb + (1 - pa) * (1 - pb)
+    return s.select(F.when(pe < 1, (po - pe) / (1 - pe)).alias("k")).agg(F.percentile("k", F.lit(0.025)).alias("low"), F.percentile("k", F.lit(0.975)).alias("high"))
+
+
+def sliced(rows: DataFrame, hit: Column, dimensions: list[str]) -> DataFrame:
+    """slice, value, n, accuracy for each value of each dimension, by one pass of grouping sets."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("slice"), F.col(d).cast("string").alias("value")) for d in dimensions])).alias("s")
+    return rows.select(hit.cast("int").alias("hit"), pairs).groupBy("s.slice", "s.value").agg(F.count("*").alias("n"), F.avg("hit").alias("accuracy"))
+
+
 def best_threshold(rows: DataFrame, label: str, score: str, min_precision: float) -> DataFrame:
     """threshold, precision, recall, f1: the distinct score of highest F1 with enough precision."""
     n = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = n.withColumn("tp", F.sum("p").over(w)).withColumn("shown", F.sum("n").over(w)).withColumn("all", F.sum("p").over(Window.partitionBy()))
+    every = n.agg(F.sum("p").alias("all"))
+    c = running(n, [F.col(score).desc()], {"tp": F.col("p"), "shown": F.col("n")}).join(F.broadcast(every))
     c = c.withColumn("precision", F.col("tp") / F.col("shown")).withColumn("recall", F.col("tp") / F.nullif(F.col("all"), F.lit(0))).withColumn("f1", 2 * F.col("tp") / (F.col("shown") + F.col("all")))
     kept = c.where(F.col("precision") >= min_precision)
     return kept.agg(F.max_by(F.struct(F.col(score).alias("threshold"), "precision", "recall", "f1"), F.struct("f1", F.col(score))).alias("b")).select("b.*")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import STOP_WORDS, TERM
+from tidemark.plans.store import cut
 
 
 def title_of(text: Column) -> Column:
@@ -48,26 +49,37 @@ def mine(phrases: DataFrame, key: str, source: str, total: int, min_docs: int =
 def absorb(scored: DataFrame, limit: int, pool: int = 5000) -> DataFrame:
     """phrase, docs, score in order: best first, a phrase whose words stand inside a chosen one that
     is at least as frequent is left out, and chosen phrases inside a new one as well. The order
-    matters, so it runs in one small task: on the best `pool` phrases of the whole table."""
-    best = scored.orderBy(F.col("score").desc(), "phrase").limit(pool)
+    matters, so one task reads the best phrases in order and stops at `limit` chosen; where the best
+    `pool` don't give that many, eight times as many are read, up to all."""
+    every = scored.count()
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["score", "phrase"], ascending=[False, True])
+    def run(parts):
         chosen: list[tuple] = []
 
         def inside(a: str, b: str) -> bool:
             return f" {a} " in f" {b} "
 
-        for r in p.itertuples(index=False):
-            if any(inside(r.phrase, c.phrase) and r.docs <= c.docs for c in chosen):
-                continue
-            chosen = [c for c in chosen if not (inside(c.phrase, r.phrase) and c.docs <= r.docs)]
-            chosen.append(r)
-            if len(chosen) == limit:
-                break
-        return pd.DataFrame([(c.phrase, c.docs, c.score, i + 1) for i, c in enumerate(chosen)], columns=["phrase", "docs", "score", "pos"])
-
-    return best.select("phrase", "docs", "score", F.lit(1).alias("g")).groupBy("g").applyInPandas(run, "phrase string, docs long, score double, pos int")
+        for p in parts:
+            for r in p.itertuples(index=False):
+                if len(chosen) == limit or any(inside(r.phrase, c.phrase) and r.docs <= c.docs for c in chosen):
+                    continue
+                chosen = [c for c in chosen if not (inside(c.phrase, r.phrase) and c.docs <= r.docs)]
+                chosen.append(r)
+        yield pd.DataFrame([(c.phrase, c.docs, c.score, i + 1) for i, c in enumerate(chosen)], columns=["phrase", "docs", "score", "pos"])
+
+    while True:
+        best = scored.select("phrase", "docs", "score").orderBy(F.col("score").desc(), "phrase").limit(pool)
+        found = cut(best.repartition(1).sortWithinPartitions(F.col("score").desc(), "phrase").mapInPandas(run, "phrase string, docs long, score double, pos int"))
+        if pool >= every or found.count() >= limit:
+            return found
+        pool *= 8
+
+
+def surface_forms(words: DataFrame, word: Column, surface: str, key: str) -> DataFrame:
+    """word, surface, n: the most common spelling of each word, that of the smallest key among equals."""
+    counts = words.groupBy(word.alias("word"), surface).agg(F.count("*").alias("n"), F.min(key).alias("first"))
+    best = F.min(F.struct((-F.col("n")).alias("o"), "first", F.col(surface).alias("surface")))
+    return counts.groupBy("word").agg(best.alias("b")).select("word", "b.surface", (-F.col("b.o")).alias("n"))
 
 
 def two_period_growth(rows: DataFrame, term: str, recent: Column, base: Column, min_recent: int = 3, max_share: float = 0.2, min_growth: float = 1.5, min_base_total: int = 0, per: Column | None = None) -> DataFrame:

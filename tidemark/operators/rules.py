@@ -7,6 +7,8 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import running
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -92,8 +94,9 @@ def rank_signals(rows: DataFrame, score: str, relevance: str, key: str, group: s
     """rows with rank: weak signals by score, trusted share and relevance, all descending, then key;
     0 for the others."""
     weak = F.col("decision") == "WEAK_SIGNAL"
-    w = Window.partitionBy(*([group] if group else []), weak).orderBy(F.col(score).desc(), F.col("trusted_share").desc(), F.col(relevance).desc(), key)
-    return rows.withColumn("rank", F.when(weak, F.row_number().over(w)).otherwise(0))
+    order = [F.col(score).desc(), F.col("trusted_share").desc(), F.col(relevance).desc(), F.col(key)]
+    ranked = running(rows.where(weak), order, {"rank": F.lit(1)}, [group] if group else None)
+    return ranked.withColumn("rank", F.col("rank").cast("int")).unionByName(rows.where(~F.coalesce(weak, F.lit(False))).withColumn("rank", F.lit(0)))
 
 
 def direction(contribution: Column, band: float = 0.05) -> Column:

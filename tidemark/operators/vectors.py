@@ -234,3 +234,12 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if not jumped.where("label <> old").limit(1).count():
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError("components did not settle")
+
+
+def reference_similarities(rows: DataFrame, key: str, vector: str, references: dict[str, DataFrame]) -> DataFrame:
+    """key and, for each reference (one row of one vector), the cosine with it; 0 without one."""
+    out = rows.select(key, vector)
+    for name, ref in references.items():
+        one = ref.limit(1).toDF(f"ref_{name}")
+        out = out.join(F.broadcast(one), how="left").withColumn(name, N.cosine(F.col(vector), F.col(f"ref_{name}"))).drop(f"ref_{name}")
+    return out.drop(vector)

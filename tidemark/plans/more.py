@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import numeric as N
 from tidemark.functions import text as T
 from tidemark.operators import learning, mining, relational, selection, vectors
+from tidemark.operators.ranges import running
 from tidemark.session import table
 
 from .catalogue import COS, NORM, query
@@ -192,10 +193,9 @@ def events_tumbling(spark, d):
 @query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('seed|' || doc_id), doc_id) <= ceil(count(*) OVER (PARTITION BY lang) * 0.2 - 1e-9) AS holdout FROM documents")
 def hash_holdout(spark, d):
     docs = table(spark, d, "documents").withColumn("coin", F.sha2(F.concat(F.lit("seed|"), F.col("doc_id").cast("string")), 256))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang")
-    return docs.select("doc_id", (F.row_number().over(w.orderBy("coin", "doc_id")) <= F.ceil(F.count("*").over(w) * 0.2 - 1e-9)).alias("holdout"))
+    n = docs.groupBy(F.col("lang").alias("of_lang")).count()
+    ranked = running(docs.select("doc_id", "lang", "coin"), [F.col("coin"), F.col("doc_id")], {"pos": F.lit(1)}, ["lang"])
+    return ranked.join(n, F.col("lang").eqNullSafe(F.col("of_lang"))).select("doc_id", (F.col("pos") <= F.ceil(F.col("count") * 0.2 - 1e-9)).alias("holdout"))
 
 
 def _labelled(spark, d):

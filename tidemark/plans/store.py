@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint df in the folder that the cluster names in spark.checkpoint.dir; one machine's
-    tests, which name none, get a temporary folder."""
+    tests, which name none, get a temporary folder. A cluster that names none is an error."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") and not sc.getConf().get("spark.checkpoint.dir", None):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint(eager=True)

@@ -23,7 +23,7 @@ class Page(InputPartition):
 
 class RecordedReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.since, self.cap = options["path"], int(options.get("since", 0)), int(options.get("cap", 1_000_000))
+        self.root, self.since, self.cap = options["path"], int(options.get("since", 0)), int(options["cap"]) if "cap" in options else None
 
     def partitions(self) -> list[Page]:
         from pyarrow import fs
