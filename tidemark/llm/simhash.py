@@ -187,6 +187,56 @@ def lowest(mask: np.ndarray) -> np.ndarray:
     return np.bitwise_count((mask & (~mask + ONE)) - ONE).astype(np.int64)
 
 
+def _lanes(mask: np.ndarray) -> np.ndarray:
+    """Positions of the bits set in words of 64 lanes."""
+    return np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little"))
+
+
+def _groups(x: np.ndarray, radius: int):
+    """(root, members) of each group of linked fingerprints of a large run, one group after the
+    other. What a group has reached needs no further comparison with it, so each fingerprint is
+    compared only with words that hold lanes not yet reached: a dense group costs little more than
+    its first comparison. Roots are compared in batches, which grow where groups are small."""
+    planes = planes_of(x)
+    left = np.full(planes.shape[1], ALL)
+    left[-1] = ALL >> np.uint64(len(left) * 64 - len(x))
+
+    def links(q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return within(planes, np.tile(at, len(q)), np.repeat(x[q], len(at), axis=0), np.tile(left[at], len(q)), radius).reshape(len(q), -1)
+
+    batch = 4
+    while left.any():
+        at = np.flatnonzero(left)
+        roots = _lanes(left)[: max(1, min(batch, ENTRIES // len(at)))]
+        near = links(roots, at)
+        groups = 0
+        for i, root in enumerate(roots.tolist()):
+            if not left[root // 64] >> np.uint64(root % 64) & ONE:
+                continue
+            groups += 1
+            left[root // 64] &= ~(ONE << np.uint64(root % 64))
+            fresh_lanes = np.zeros_like(left)
+            fresh_lanes[at] = near[i] & left[at]
+            reached = []
+            front = _lanes(fresh_lanes)
+            left &= ~fresh_lanes
+            while len(front):
+                reached.append(front)
+                fresh_lanes = np.zeros_like(left)
+                done = 0
+                while done < len(front) and left.any():
+                    rest = np.flatnonzero(left)
+                    part = front[done : done + max(1, min(64 + done, ENTRIES // len(rest)))]
+                    done += len(part)
+                    more = np.bitwise_or.reduce(links(part, rest), axis=0)
+                    left[rest] &= ~more
+                    fresh_lanes[rest] |= more
+                front = _lanes(fresh_lanes)
+            if reached:
+                yield root, np.concatenate(reached)
+        batch = batch * 2 if 2 * groups > len(roots) else 4
+
+
 def stars(runs: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Edges (member, root) that join each group of linked fingerprints within its run. Runs
     [n, bits / 64] hold distinct fingerprints; small ones share words of 64 lanes."""
@@ -221,33 +271,10 @@ def stars(runs: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray, np.
         members.append(x[lane[moved]])
         roots.append(x[root[moved]])
     for x in runs:
-        m = len(x)
-        if m <= 64:
-            continue
-        planes = planes_of(x)
-        words = planes.shape[1]
-        lanes = np.full(words, ALL)
-        lanes[-1] = ALL >> np.uint64(words * 64 - m)
-        links = np.zeros((m, words), np.uint64)
-        rows = max(1, ENTRIES // words)
-        for a in range(0, m, rows):
-            q = x[a : a + rows]
-            links[a : a + rows] = within(planes, np.tile(np.arange(words), len(q)), np.repeat(q, words, axis=0), np.tile(lanes, len(q)), radius).reshape(-1, words)
-        seen = np.zeros(words, np.uint64)
-        for i in range(m):
-            if seen[i // 64] >> np.uint64(i % 64) & ONE:
-                continue
-            group, front = links[i].copy(), [i]
-            seen[i // 64] |= ONE << np.uint64(i % 64)
-            while len(front):
-                fresh_lanes = np.bitwise_or.reduce(links[front], axis=0) & ~seen
-                seen |= fresh_lanes
-                group |= fresh_lanes
-                front = np.flatnonzero(np.unpackbits(fresh_lanes.view(np.uint8), bitorder="little")[:m])
-            found = np.flatnonzero(np.unpackbits(group.view(np.uint8), bitorder="little")[:m])
-            found = found[found != i]
-            members.append(x[found])
-            roots.append(np.repeat(x[i : i + 1], len(found), axis=0))
+        if len(x) > 64:
+            for root, found in _groups(x, radius):
+                members.append(x[found])
+                roots.append(np.repeat(x[root : root + 1], len(found), axis=0))
     return np.concatenate(members), np.concatenate(roots)
 
 
