@@ -376,14 +376,19 @@ def _large(rows: DataFrame, cell: int) -> DataFrame:
     return written(n.select(F.col("key").alias("l_key"), F.ceil(F.col("count") / cell).cast("int").alias("chunks")), "simhash-large")
 
 
-def compare(rows: DataFrame, radius: int, cell: int = 4096) -> DataFrame:
+def compare(rows: DataFrame, radius: int, cell: int = 4096, large: DataFrame | None = None) -> DataFrame:
     """u, v: edges that join all groups of linked fingerprints of rows (key, fp), both of them in
-    one bucket. Buckets of more than `cell` rows are dealt as pairs of chunks."""
+    one bucket. Buckets of more than `cell` rows (`large`, where they are known) are dealt as pairs
+    of chunks."""
     kind = rows.schema["fp"].dataType.simpleString()
-    n = F.coalesce("chunks", F.lit(1))
-    dealt = rows.join(_large(rows, cell), F.col("key") == F.col("l_key"), "left").withColumn("chunk", F.pmod(F.xxhash64("fp"), n).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    dealt = dealt.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "fp")
+    large = _large(rows, cell) if large is None else large
+    if large.limit(1).count():
+        n = F.coalesce("chunks", F.lit(1))
+        dealt = rows.join(large, F.col("key") == F.col("l_key"), "left").withColumn("chunk", F.pmod(F.xxhash64("fp"), n).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+        dealt = dealt.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "fp")
+    else:
+        dealt = rows.select("key", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp")
     spread = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
     return spread.mapInArrow(lambda batches: _edges(batches, radius), f"u {kind}, v {kind}").distinct()
 
@@ -395,7 +400,7 @@ def link(distinct: DataFrame, radius: int = RADIUS, cell: int = 4096) -> DataFra
     rows = distinct.select("fp", F.explode(_bucket_keys(F.col("fp"))).alias("key"))
     large = _large(rows, cell)
     if not large.limit(1).count():
-        return compare(rows, radius, cell)
+        return compare(rows, radius, cell, large)
     near = rows.join(large, F.col("key") == F.col("l_key"), "left")
     # a key of its own for what is cut no further: the five parts are numbered 0 to 4
     keys = F.when(F.col("chunks").isNull(), F.array(F.shiftleft("key", 12) + F.lit(5 << 9))).otherwise(_part_keys(F.col("fp"), F.col("key")))
