@@ -50,6 +50,8 @@ ONE = np.uint64(1)
 ENTRIES = 1 << 17
 #: Shingles whose votes are counted at a time.
 VOTERS = 1 << 14
+#: Edges to a partition of the tables that components() writes, where every core has one.
+EDGES = 200_000
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -410,10 +412,15 @@ def link(distinct: DataFrame, radius: int = RADIUS, cell: int = 4096) -> DataFra
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """u, v: each node with the smallest node it is connected to, for nodes that have an edge and
     aren't that node. Nodes are of any type that has an order. Alternates large-star and small-star
-    until nothing moves."""
+    until nothing moves. The tables of a round are written in as many files as their edges need, not
+    in one for each shuffle partition, but in no fewer than there are cores."""
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+
+    def save(e: DataFrame, what: str) -> DataFrame:
+        return written(e.coalesce(max(cores, -(-2 * before[0] // EDGES))), what)
 
     def mins(e: DataFrame) -> DataFrame:
-        return written(e.groupBy(F.col("u").alias("m_u")).agg(F.least(F.min("v"), F.min("u")).alias("m")), "cc-min")
+        return save(e.groupBy(F.col("u").alias("m_u")).agg(F.least(F.min("v"), F.min("u")).alias("m")), "cc-min")
 
     def join(e: DataFrame) -> DataFrame:
         return e.join(mins(e), F.col("u") == F.col("m_u"))
@@ -427,11 +434,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if not before[0]:
         return e
     for _ in range(max_rounds):
-        both = written(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), "cc-both")
-        large = written(join(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "cc-large")
+        both = save(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), "cc-both")
+        large = save(join(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "cc-large")
         near = join(large)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-        e = written(small.where("u != v").distinct(), "cc-edges")
+        e = save(small.where("u != v").distinct(), "cc-edges")
         after = state(e)
         if after == before:
             return e
