@@ -10,7 +10,7 @@ def test_stem_overlap_looks_at_long_documents(spark, tmp_path):
     # 1 shares five of twelve stems; 2, a long one, holds four stems alone; 3 has no length
     rows = [(1, "alpha bravo charlie delta zulu yankee xray", 40), (2, "alpha bravo charlie delta\n" + "x" * 3000, 3026), (3, "alpha bravo charlie delta echo", None)]
     spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    r = matches.stem_overlap_whole(spark, str(tmp_path)).collect()
+    r = matches.stem_overlap_join(spark, str(tmp_path)).collect()
     assert [(x.item_id, x.doc_id, x.shared, x.overlap) for x in r] == [(1, 3, 5, 1.0)]
     docs = spark.createDataFrame(rows[:2], "doc_id long, text string, n_chars long").withColumn("w", F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " "))
     item = spark.read.parquet(f"{tmp_path}/benchmark.parquet").withColumn("w", F.split("text", " "))
@@ -18,15 +18,26 @@ def test_stem_overlap_looks_at_long_documents(spark, tmp_path):
 
 
 def test_benchmark_items_are_matched_whole(spark, tmp_path):
+    from tidemark.operators import matching
     from tidemark.plans import catalogue
 
     long = "one two three four five six seven eight"
     spark.createDataFrame([(1, long), (2, "green tea"), (3, "nowhere to be found in any of them")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     texts = [f"x {long} y", "one two three four five six nine ten", "Green tea", "evergreen tea", None]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    count = lambda q: {r.item_id: r.docs for r in q(spark, str(tmp_path)).collect()}
-    assert count(catalogue.benchmark_contains_whole) == {1: 1, 2: 1, 3: 0}
-    assert count(catalogue.benchmark_contains) == {1: 2, 2: 1, 3: 0}
+    assert {r.item_id: r.docs for r in catalogue.benchmark_contains(spark, str(tmp_path)).collect()} == {1: 1, 2: 1, 3: 0}
+    docs = spark.createDataFrame([(t and t.lower(),) for t in texts], "t string")
+    items = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    for limit in (0, 3):  # a shuffle join and a literal set
+        assert {r.item_id: r.docs for r in matching.count_holding(docs, "t", items, "item_id", "text", 6, limit).collect()} == {1: 1, 2: 1, 3: 0}
+
+
+def test_segments_of_long_and_null_word_lists(spark):
+    from tidemark.operators import selection
+
+    rows = [(1, "the red of of blue sky and".split()), (2, ["the"]), (3, []), (4, None), (5, ["a", "b"] * 20000)]
+    got = {r.i: r.s for r in spark.createDataFrame(rows, "i int, w array<string>").select("i", selection.segments(F.col("w"), ("the", "of", "and", "a")).alias("s")).collect()}
+    assert got == {1: ["red", "blue sky"], 2: [], 3: [], 4: None, 5: ["b"] * 20000}
 
 
 def test_vectors_and_baseline_see_everything(spark, tmp_path):
@@ -53,5 +64,5 @@ def test_archive_merge_takes_all_tokens(spark, tmp_path):
 
     rows = [(1, "a b c d e", "en"), (2, "e f", "en"), (3, None, "de"), (4, "x", None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.lang: r.tokens for r in catalogue.archive_merge_whole(spark, str(tmp_path)).collect()}
+    got = {r.lang: r.tokens for r in catalogue.archive_merge(spark, str(tmp_path)).collect()}
     assert got == {"en": list("abcdef"), "de": [], None: ["x"]}

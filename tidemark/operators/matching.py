@@ -24,16 +24,6 @@ def ordered_lookup(rows: DataFrame, key: str, refs: str, dim: DataFrame, ref: st
     return found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__p", "__v"))), lambda x: x["__v"]).alias("found"))
 
 
-def best_by_stems(left: DataFrame, right: DataFrame, left_key: str, right_key: str, words: str, least: int, share: float, length: int = 5) -> DataFrame:
-    """left_key, right_key, shared: for each left row the right row that shares most stems (words cut
-    to `length`), at least `least` and that share of the left row's stems; ties by right_key."""
-    a = left.select(F.col(left_key).alias("__l"), T.prefix_stems(F.col(words), length).alias("s")).select("__l", F.size("s").alias("n"), F.explode("s").alias("stem"))
-    b = right.select(F.col(right_key).alias("__r"), F.explode(T.prefix_stems(F.col(words), length)).alias("stem"))
-    shared = a.join(b, "stem").groupBy("__l", "__r", "n").agg(F.count("*").alias("shared")).where((F.col("shared") >= least) & (F.col("shared") >= F.col("n") * share))
-    best = shared.groupBy("__l").agg(F.max(F.struct("shared", (-F.col("__r")).alias("o"))).alias("m"))
-    return best.select(F.col("__l").alias(left_key), (-F.col("m.o")).alias(right_key), F.col("m.shared").alias("shared"))
-
-
 def best_by_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: str, words: str, least: int, share: float, length: int = 5) -> DataFrame:
     """left_key, right_key, shared, overlap: for each left row the right row of highest overlap, the
     shared stems over the size of the smaller set, of those with at least `least` shared stems and
@@ -76,26 +66,31 @@ def jaccard_join(rows: DataFrame, key: str, tokens: str, threshold: float) -> Da
     return pairs.select(F.col("k").alias("a"), F.col("kb").alias("b"), (common / (F.size("t") + F.size("tb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def count_holding(docs: DataFrame, text: str, items: DataFrame, key: str, term: str, words: int = 6) -> DataFrame:
+def count_holding(docs: DataFrame, text: str, items: DataFrame, key: str, term: str, words: int = 6, set_limit: int = 20_000) -> DataFrame:
     """key, docs: how many documents hold each item's whole term, as words in a row (both normalised).
 
-    Candidates share the term's first min(words, its length) words; they are verified in full. Items
-    are a small table: their openings come to the driver and are looked up as a literal set."""
+    Candidates share the term's first min(words, its length) words; they are verified in full. Up to
+    set_limit distinct openings are looked up as a literal set inside the scan; beyond it all runs of
+    words are joined by a shuffle, with the same result."""
     w = F.split(F.col(term), " ")
     rows = items.select(F.col(key).alias("__i"), F.col(term).alias("__t"), F.least(F.size(w), F.lit(words)).alias("__n"), F.array_join(F.slice(w, 1, words), " ").alias("__g"))
-    heads = rows.select("__n", "__g").where("__g IS NOT NULL").distinct().collect()
-    found = F.array().cast("array<string>")
-    x = F.split(F.col(text), " ")
+    openings = rows.select("__n", "__g").where("__g IS NOT NULL").distinct()
+    heads = openings.limit(set_limit + 1).collect()
+    few = len(heads) <= set_limit
+    lengths = sorted({h["__n"] for h in heads} if few else {r["__n"] for r in openings.select("__n").distinct().collect()})
 
-    def present(n: int, own: list[str]):
+    def runs(x: Column, n: int) -> Column:
         grams = F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, n), " "))
-        return F.when(F.size(x) >= n, F.filter(grams, lambda g: g.isin(*own))).otherwise(F.array().cast("array<string>"))
-
-    for n in sorted({h["__n"] for h in heads}):
-        found = F.concat(found, present(n, [h["__g"] for h in heads if h["__n"] == n]))
-    near = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("__d"), F.explode(F.array_distinct(found)).alias("__h"))
+        own = [h["__g"] for h in heads if h["__n"] == n]
+        found = F.filter(grams, lambda g: g.isin(*own)) if few else grams
+        return F.when(F.size(x) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    none = F.array().cast("array<string>")
+    # the words are bound once by a transform over one element; lambdas would split the text at each word
+    found = F.flatten(F.transform(F.array(F.split(F.col(text), " ")), lambda x: F.array_distinct(F.concat(none, *[runs(x, n) for n in lengths]))))
+    near = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("__d"), F.explode(found).alias("__h"))
     pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    hits = near.join(F.broadcast(rows), F.col("__h") == F.col("__g")).where(F.contains(pad("__d"), pad("__t"))).groupBy("__i").agg(F.count("*").alias("__c"))
+    hits = near.join(rows, F.col("__h") == F.col("__g")).where(F.contains(pad("__d"), pad("__t"))).groupBy("__i").agg(F.count("*").alias("__c"))
     return items.select(key).join(hits, F.col(key) == F.col("__i"), "left").select(key, F.coalesce("__c", F.lit(0)).alias("docs"))
 
 

@@ -143,12 +143,6 @@ def funnel(rows: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
 
 
 def segments(words: Column, stop: Sequence[str]) -> Column:
-    """Runs of words between stop words, in order."""
-    start = F.array(F.lit("")).cast("array<string>")
-
-    def step(acc: Column, w: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.when(last == "", w).otherwise(F.concat(last, F.lit(" "), w))))
-        return F.when(w.isin(*stop), F.when(last == "", acc).otherwise(F.concat(acc, F.array(F.lit(""))))).otherwise(grown)
-
-    return F.filter(F.aggregate(words, start, step), lambda s: s != "")
+    """Runs of words between stop words, in order; words hold no control characters."""
+    marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(*stop), "\x01").otherwise(w)), " ")
+    return F.filter(F.transform(F.split(marked, "\x01"), lambda s: F.trim(s)), lambda s: s != "")

@@ -185,17 +185,9 @@ def page_article(spark, d):
     return table(spark, d, "pages").withColumn("a", formats.article(F.col("html"))).select("page_id", "a.title", "a.paragraphs")
 
 
-@query(rf"""WITH d AS (SELECT doc_id, ' ' || {NORM} || ' ' AS t FROM documents), b AS (SELECT item_id, ' ' || array_to_string(list_slice(string_split({NORM}, ' '), 1, 6), ' ') || ' ' AS p FROM benchmark)
-SELECT item_id, count(doc_id) AS docs FROM b LEFT JOIN d ON contains(t, p) GROUP BY item_id""")
-def benchmark_contains(spark, d):
-    """How many documents hold the first six words of each item in a row, or all words of a shorter one."""
-    items = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split(T.normalize("text"), " "), 1, 6), " ").alias("p"))
-    return matching.count_holding(table(spark, d, "documents").select(T.normalize("text").alias("t")), "t", items, "item_id", "p")
-
-
 @query(rf"""WITH d AS (SELECT doc_id, ' ' || {NORM} || ' ' AS t FROM documents), b AS (SELECT item_id, ' ' || {NORM} || ' ' AS p FROM benchmark)
 SELECT item_id, count(doc_id) AS docs FROM b LEFT JOIN d ON contains(t, p) GROUP BY item_id""")
-def benchmark_contains_whole(spark, d):
+def benchmark_contains(spark, d):
     """How many documents hold all words of each item in a row."""
     items = table(spark, d, "benchmark").select("item_id", T.normalize("text").alias("p"))
     return matching.count_holding(table(spark, d, "documents").select(T.normalize("text").alias("t")), "t", items, "item_id", "p")
@@ -369,14 +361,8 @@ def upsert_merge(spark, d):
     return out.select("url_hash", F.length("body").cast("long").alias("body_chars"), relational.date_rank(F.col("published_source")).alias("date_rank"), F.col("arrived").cast("timestamp_ntz").alias("arrived"), "versions")
 
 
-@query("SELECT list_sort(list_distinct(flatten(list(w)))) AS tokens, lang, max(length(text)) AS longest FROM (SELECT lang, text, list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_-]+'), 1, 3) AS w FROM documents) GROUP BY lang")
-def archive_merge(spark, d):
-    docs = table(spark, d, "documents").select(F.col("lang").alias("url"), F.col("text").alias("title"), F.lit("").alias("summary"), F.lit(None).cast("date").alias("published_on"), F.slice(T.tokens("text"), 1, 3).alias("tokens"))
-    return relational.merge_archive(docs).select(F.col("url").alias("lang"), F.length("title").cast("long").alias("longest"), "tokens")
-
-
 @query("SELECT list_sort(list_distinct(flatten(list(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_-]+'))))) AS tokens, lang, max(length(text)) AS longest FROM documents GROUP BY lang")
-def archive_merge_whole(spark, d):
+def archive_merge(spark, d):
     docs = table(spark, d, "documents").select(F.col("lang").alias("url"), F.col("text").alias("title"), F.lit("").alias("summary"), F.lit(None).cast("date").alias("published_on"), T.tokens("text").alias("tokens"))
     return relational.merge_archive(docs).select(F.col("url").alias("lang"), F.length("title").cast("long").alias("longest"), "tokens")
 
@@ -636,10 +622,11 @@ def language_counts(spark, d):
     return h.select("source", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias("counts"))
 
 
-@query("SELECT vec_id, feature, round(value, 5) AS value FROM (UNPIVOT (SELECT vec_id, embedding[1]::DOUBLE AS e1, embedding[2]::DOUBLE AS e2, embedding[3]::DOUBLE AS e3 FROM embeddings) ON e1, e2, e3 INTO NAME feature VALUE value)")
+@query("SELECT vec_id, feature, round(value, 5) AS value FROM (SELECT vec_id, 'e' || generate_subscripts(embedding, 1) AS feature, unnest(embedding)::DOUBLE AS value FROM embeddings) WHERE value IS NOT NULL")
 def feature_rows(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", *[F.element_at("embedding", i).alias(f"e{i}") for i in (1, 2, 3)])
-    return features.as_rows(e, "vec_id", ["e1", "e2", "e3"]).withColumn("value", F.round("value", 5))
+    names = [f"e{i}" for i in range(1, 65)]
+    e = table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return features.as_rows(e, "vec_id", names).withColumn("value", F.round("value", 5))
 
 
 @query("""WITH x AS (SELECT doc_id, least(greatest(n_chars / 1000.0, 0), 8) AS a, least(greatest((doc_id % 17)::DOUBLE, 0), 14) AS b FROM documents), m AS (SELECT *, 0.8 * (a - 2.0) / 1.5 - 0.3 * (b - 7.0) / 4.0 + 0.1 AS z FROM x)

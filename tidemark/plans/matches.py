@@ -13,6 +13,7 @@ from tidemark.session import table
 
 from .catalogue import NORM, query
 
+_spaced = lambda a, b: F.concat(a, F.lit(" "), b)
 TOK = r"list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\p{L}\p{N}_-]+'))"
 
 
@@ -29,21 +30,10 @@ def evidence_lookup(spark, d):
     return matching.ordered_lookup(c, "c_custkey", "refs", table(spark, d, "nation"), "n_nationkey", "n_name")
 
 
-@query(rf"""WITH a AS (SELECT item_id, list_distinct(list_transform({TOK}, lambda w: left(w, 5))) AS s FROM benchmark), b AS (SELECT doc_id, unnest(list_distinct(list_transform({TOK}, lambda w: left(w, 5)))) AS stem FROM documents WHERE n_chars < 2000),
-p AS (SELECT item_id, len(s) AS n, unnest(s) AS stem FROM a), c AS (SELECT item_id, doc_id, n, count(*) AS shared FROM p JOIN b USING (stem) GROUP BY ALL HAVING shared >= 4 AND shared >= n * 0.2)
-SELECT item_id, arg_max(doc_id, (shared, -doc_id)) AS doc_id, max(shared) AS shared FROM c GROUP BY item_id""")
-def stem_overlap_join(spark, d):
-    """Each benchmark item's short document of most shared stems, by their first lines."""
-    words = F.array_distinct(T.tokens(F.split_part("text", F.lit("\n"), F.lit(1))))
-    items = table(spark, d, "benchmark").withColumn("w", words)
-    docs = table(spark, d, "documents").where("n_chars < 2000").withColumn("w", words)
-    return matching.best_by_stems(items, docs, "item_id", "doc_id", "w", 4, 0.2)
-
-
 @query(rf"""WITH a AS (SELECT item_id, list_distinct(list_transform({TOK}, lambda w: left(w, 5))) AS x FROM benchmark), b AS (SELECT doc_id, list_distinct(list_transform({TOK}, lambda w: left(w, 5))) AS y FROM documents),
 c AS (SELECT item_id, doc_id, len(list_intersect(x, y)) AS shared, len(list_intersect(x, y)) / least(len(x), len(y)) AS overlap FROM a JOIN b ON list_has_any(x, y))
 SELECT item_id, arg_max(doc_id, (overlap, shared, -doc_id)) AS doc_id, arg_max(shared, (overlap, shared, -doc_id)) AS shared, max(overlap) AS overlap FROM c WHERE shared >= 4 AND overlap >= 0.2 GROUP BY item_id""")
-def stem_overlap_whole(spark, d):
+def stem_overlap_join(spark, d):
     """Each benchmark item's document of highest stem overlap among all, by their first lines."""
     words = F.array_distinct(T.tokens(F.split_part("text", F.lit("\n"), F.lit(1))))
     items = table(spark, d, "benchmark").withColumn("w", words)
@@ -67,11 +57,11 @@ def title_jaccard_join(spark, d):
     return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("jaccard", 6).alias("jaccard"))
 
 
-@query(r"""WITH k AS (SELECT page_id, unnest([regexp_replace(lower(regexp_extract(url, '^(?i:https?)://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', ''), 'p' || page_id % 50]) AS k FROM pages) SELECT DISTINCT a.page_id AS left_id, b.page_id AS right_id FROM k a JOIN k b ON a.k = b.k WHERE a.page_id % 10 = 0""")
+@query(r"""WITH k AS (SELECT page_id, unnest([regexp_replace(lower(regexp_extract(url, '^(?i:https?)://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', ''), 'p' || page_id // 50]) AS k FROM pages) SELECT DISTINCT a.page_id AS left_id, b.page_id AS right_id FROM k a JOIN k b ON a.k = b.k WHERE a.page_id % 100 = 0""")
 def identity_key_join(spark, d):
-    """Pages divisible by 10 as queries against all pages, by host or number class."""
-    p = table(spark, d, "pages").select("page_id", F.array(U.host("url"), F.concat(F.lit("p"), (F.col("page_id") % 50).cast("string"))).alias("keys"))
-    q = p.where("page_id % 10 = 0").withColumnRenamed("page_id", "left_id")
+    """Pages divisible by 100 as queries against all pages, by host or by runs of fifty numbers."""
+    p = table(spark, d, "pages").select("page_id", F.array(U.host("url"), F.concat(F.lit("p"), F.expr("page_id div 50").cast("string"))).alias("keys"))
+    q = p.where("page_id % 100 = 0").withColumnRenamed("page_id", "left_id")
     return matching.any_key_join(q, p.withColumnRenamed("page_id", "right_id"), "left_id", "right_id", "keys")
 
 
@@ -105,11 +95,13 @@ def rubric_prefilter(spark, d):
     return matching.rubric_filter(table(spark, d, "orders"), "o_custkey", F.col("o_orderpriority") == "5-LOW", F.col("o_orderstatus") == "F")
 
 
-@query(f"""WITH p AS (SELECT doc_id, array_to_string(list_slice(string_split({NORM}, ' '), 1, 3), ' ') AS phrase FROM documents), w AS (SELECT *, string_split(phrase, ' ') AS ws FROM p)
-SELECT doc_id, phrase, length(phrase) BETWEEN 3 AND 60 AND len(list_filter(ws, lambda x: NOT x IN ('the', 'and', 'is'))) > 0 AND NOT list_has_any(ws, ['released', 'from']) AND NOT regexp_matches(ws[-1], '(?:ing|ize|ise)$')
+@query(f"""WITH n AS (SELECT DISTINCT string_split({NORM}, ' ') AS a FROM documents), p AS (SELECT DISTINCT unnest(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2])) AS phrase FROM n), w AS (SELECT *, string_split(phrase, ' ') AS ws FROM p)
+SELECT phrase, length(phrase) BETWEEN 3 AND 60 AND len(list_filter(ws, lambda x: NOT x IN ('the', 'and', 'is'))) > 0 AND NOT list_has_any(ws, ['released', 'from']) AND NOT regexp_matches(ws[-1], '(?:ing|ize|ise)$')
  AND NOT (contains(' ' || phrase || ' ', ' of the ') AND len(list_filter(ws, lambda x: NOT x IN ('of', 'the', 'and', 'is'))) = 0) AS acceptable FROM w""")
 def technology_acceptability(spark, d):
-    p = table(spark, d, "documents").select("doc_id", F.array_join(F.slice(F.split(T.normalize("text"), " "), 1, 3), " ").alias("phrase"))
+    """Every distinct phrase of three words of all texts."""
+    w = table(spark, d, "documents").select(F.split(T.normalize("text"), " ").alias("w")).where("size(w) >= 3")
+    p = w.select(F.explode(F.zip_with(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), _spaced), F.slice("w", F.lit(3), F.size("w")), _spaced)).alias("phrase")).where("phrase IS NOT NULL").distinct()
     return p.withColumn("acceptable", matching.acceptable(F.col("phrase"), ("the", "and", "is"), ("released", "from"), ("of the",)))
 
 

@@ -119,10 +119,10 @@ def stage_funnel(spark, d):
     return selection.funnel(table(spark, d, "documents"), [(n, F.expr(e)) for n, e in STAGES])
 
 
-@query(f"""SELECT doc_id, list_filter(list_transform(regexp_split_to_array(' ' || array_to_string(list_slice(string_split({NORM}, ' '), 1, 30), '  ') || ' ', '( (a|an|the|and|or|of|in|on|at|to|for|with|by|from|as|is|are|was|were|be|it|its|this|that|not) )+'),
+@query(f"""SELECT doc_id, list_filter(list_transform(regexp_split_to_array(' ' || replace({NORM}, ' ', '  ') || ' ', '( (a|an|the|and|or|of|in|on|at|to|for|with|by|from|as|is|are|was|were|be|it|its|this|that|not) )+'),
   lambda s: regexp_replace(trim(s), ' +', ' ', 'g')), lambda s: s <> '') AS segments FROM documents""")
 def query_segments(spark, d):
-    w = F.slice(F.split(T.normalize("text"), " "), 1, 30)
+    w = F.split(T.normalize("text"), " ")
     return table(spark, d, "documents").select("doc_id", selection.segments(w, T.STOP_WORDS).alias("segments"))
 
 
@@ -247,12 +247,12 @@ def identity_join(spark, d):
     return o.join(n, (F.col("o_orderdate") == F.col("d")) & (F.col("o_orderpriority") == F.col("p"))).select("o_orderkey", "o_orderstatus", "same_day")
 
 
-@query("SELECT o_orderkey, coalesce(a.k, b.k) AS k FROM orders LEFT JOIN (SELECT o_orderdate AS d, min(c_custkey) AS k FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 9000 GROUP BY 1) a ON a.d = o_orderdate LEFT JOIN (SELECT o_orderpriority AS p, min(o_custkey) AS k FROM orders WHERE o_custkey < 50 GROUP BY 1) b ON b.p = o_orderpriority")
+@query("SELECT o_orderkey, coalesce(a.k, b.k) AS k FROM orders LEFT JOIN (SELECT o_orderdate AS d, min(c_custkey) AS k FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 9000 GROUP BY 1) a ON a.d = o_orderdate LEFT JOIN (SELECT o_orderpriority AS p, min(o_custkey) AS k FROM orders GROUP BY 1) b ON b.p = o_orderpriority")
 def doi_first_match(spark, d):
     """Two-key resolution: by date among rich customers, else by priority."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer").where("c_acctbal > 9000")
     rich = o.join(c, o.o_custkey == c.c_custkey).select("o_orderdate", F.lit(None).cast("string").alias("o_orderpriority"), F.col("o_custkey").alias("k"))
-    low = o.where("o_custkey < 50").select(F.lit(None).cast("timestamp").alias("o_orderdate"), "o_orderpriority", F.col("o_custkey").alias("k"))
+    low = o.select(F.lit(None).cast("timestamp").alias("o_orderdate"), "o_orderpriority", F.col("o_custkey").alias("k"))
     rows = o.select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"), "o_orderpriority")
     store = rich.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).unionByName(low)
     return relational.resolve_two_keys(rows, store, "o_orderdate", "o_orderpriority", "k").select("o_orderkey", "k")
