@@ -622,11 +622,11 @@ def language_counts(spark, d):
     return h.select("source", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias("counts"))
 
 
-@query("SELECT vec_id, feature, round(value, 5) AS value FROM (SELECT vec_id, 'e' || generate_subscripts(embedding, 1) AS feature, unnest(embedding)::DOUBLE AS value FROM embeddings) WHERE value IS NOT NULL")
+@query("SELECT vec_id, feature, value FROM (SELECT vec_id, 'e' || generate_subscripts(embedding, 1) AS feature, unnest(embedding)::DOUBLE AS value FROM embeddings) WHERE value IS NOT NULL")
 def feature_rows(spark, d):
     names = [f"e{i}" for i in range(1, 65)]
     e = table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate(names)])
-    return features.as_rows(e, "vec_id", names).withColumn("value", F.round("value", 5))
+    return features.as_rows(e, "vec_id", names)
 
 
 @query("""WITH x AS (SELECT doc_id, least(greatest(n_chars / 1000.0, 0), 8) AS a, least(greatest((doc_id % 17)::DOUBLE, 0), 14) AS b FROM documents), m AS (SELECT *, 0.8 * (a - 2.0) / 1.5 - 0.3 * (b - 7.0) / 4.0 + 0.1 AS z FROM x)
