@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, imatch, langid, mixing, pii, simhash, token_counts, toxicity, warc
+from . import chat, decontam, imatch, langid, minhash, mixing, periodic, pii, simhash, token_counts, toxicity, warc, whitening
 from .common import held_out, table
 
 
@@ -88,8 +88,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingles and the component of near-duplicates it belongs to."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, a tenth of which are made periodic."""
+    return periodic.digest(periodic.find_runs(periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first components of the distinct ones."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_chat_examples, op3_imatch, op4_mix_sources, op5_personal_data, op6_warc_round_trip, op7_token_counts, op8_simhash, op9_toxicity, op10_decontaminate)
+    every = (op1_language_id, op2_chat_examples, op3_imatch, op4_mix_sources, op5_personal_data, op6_warc_round_trip, op7_token_counts, op8_simhash, op9_toxicity, op10_decontaminate, op11_minhash, op12_periodic_runs, op13_whitening)
     return {f.__name__: f for f in every}
 
 
