@@ -263,7 +263,7 @@ def test_whitening_of_odd_rows(spark):
     got = whitening.whiten(docs).collect()
     assert len(got) == 5 * 91 and {r.component for r in got} == {1, 2, 3, 4, 5}
     compare_whitening(got, want)
-    flat = [(i, [float(a), 2.0 * a, 0.0]) for i, a in enumerate(rng.integers(0, 50, 30))]  # one direction of variance
+    flat = [(i, [float(a), 2.0 * a, 0.0]) for i, a in enumerate(rng.integers(0, 50, 30).tolist())]  # one direction of variance
     got = whitening.whiten(spark.createDataFrame([*flat, (None, flat[0][1])], "vec_id long, embedding array<double>")).collect()
     assert {r.component for r in got} == {1} and len(got) == 31 and got[0].explained == pytest.approx(1)
     same = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>")
