@@ -13,6 +13,7 @@ at most, never rows. Every row is projected inside its task; rows that repeat a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -52,26 +53,40 @@ class Whitening:
     trace: float
     identity_error: float
 
+    def onto(self) -> np.ndarray:
+        """What x - S / n is multiplied by."""
+        return self.components / np.sqrt(self.eigenvalues)
 
-def deviation(x: Column, n: int, sums: list[int]) -> Column:
-    """The exact sum over dimensions of (n * x - S)^2, as decimal(38,0)."""
-    parts = F.zip_with(x, F.array(*[F.lit(s) for s in sums]), lambda v, s: (v * n - s).cast("decimal(19,0)"))
-    return F.aggregate(parts, F.lit(0).cast("decimal(38,0)"), lambda acc, d: (acc + d * d).cast("decimal(38,0)"))
 
+def deviations(x: np.ndarray, n: int, sums: list[int]) -> list[int]:
+    """The exact sum over dimensions of (n * x - S)^2 of every row of x (longs)."""
+    if not len(x):
+        return []
+    kind = np.int64 if _fits(x, n, sums) else object
+    d = x.astype(kind) * n - np.array(sums, kind)
+    return [int(v) for v in (d * d).sum(axis=1)]
 
-def projected(x: Column, model: Whitening) -> Column:
-    """(x - S / n) on every component, over the square root of its eigenvalue."""
-    mean = np.array([s / model.n for s in model.sums])
-    onto = model.components / np.sqrt(model.eigenvalues)
 
-    @F.arrow_udf("array<double>")
-    def project(column: pa.Array) -> pa.Array:
-        flat = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-        out = (flat - mean) @ onto
-        ends = pa.array(np.arange(len(column) + 1) * onto.shape[1], pa.int32())
-        return pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1)))
+def _fits(x: np.ndarray, n: int, sums: list[int]) -> bool:
+    """True if squares of n * x - S add up to a long."""
+    low, high = x.min(axis=0).tolist(), x.max(axis=0).tolist()
+    return sum(max(abs(n * a - s), abs(n * b - s)) ** 2 for a, b, s in zip(low, high, sums, strict=True)) < 1 << 63 and n * max(map(abs, (*low, *high))) < 1 << 63
 
-    return project(x)
+
+def described(x: Column, n: int, sums: list[int], onto: np.ndarray | None) -> Column:
+    """deviation (decimal(38,0), exact) and, where there are components, w: x - S / n on each of them."""
+    mean = np.array([s / n for s in sums])
+    width = 0 if onto is None else onto.shape[1]
+
+    @F.arrow_udf("struct<deviation:decimal(38,0),w:array<double>>")
+    def describe(column: pa.Array) -> pa.Array:
+        rows = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(sums))
+        exact = pa.array([Decimal(v) for v in deviations(rows, n, sums)], pa.decimal128(38, 0))
+        out = (rows - mean) @ onto if width else np.zeros((len(rows), 0))
+        ends = pa.array(np.arange(len(rows) + 1) * width, pa.int32())
+        return pa.StructArray.from_arrays([exact, pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1)))], names=["deviation", "w"])
+
+    return describe(x)
 
 
 def _matrix(rows: DataFrame, values: Column) -> RowMatrix:
@@ -87,8 +102,8 @@ def fit(rows: DataFrame, components: int = COMPONENTS) -> Whitening | None:
         return None
     if least != dimension:
         raise ValueError(f"vectors of {least} to {dimension} entries")
-    sums = [int(s) for s in distinct.agg(*[F.sum(F.get("x", F.lit(i)).cast("decimal(19,0)")) for i in range(dimension)]).first()]
-    total = distinct.agg(F.sum(deviation(F.col("x"), n, sums))).first()[0]
+    sums = list(distinct.agg(*[F.sum(F.get("x", F.lit(i))) for i in range(dimension)]).first())
+    total = distinct.agg(F.sum(described(F.col("x"), n, sums, None)["deviation"])).first()[0]
     if not total:
         return None
     mean = F.array(*[F.lit(s / n) for s in sums])
@@ -96,7 +111,7 @@ def fit(rows: DataFrame, components: int = COMPONENTS) -> Whitening | None:
     svd = _matrix(distinct, F.zip_with("x", mean, lambda v, m: v.cast("double") - m)).computeSVD(dimension, False, LEAST)
     values = (np.array(svd.s.toArray()) ** 2 / n)[:components]
     model = Whitening(n, sums, svd.V.toArray()[:, : len(values)], values, float(total) / n**3, 0.0)
-    white = written(distinct.select(projected(F.col("x"), model).alias("w")), "whitening-check")
+    white = written(distinct.select(described(F.col("x"), n, sums, model.onto())["w"].alias("w")), "whitening-check")
     means = white.agg(*[F.avg(F.get("w", F.lit(i))) for i in range(len(values))]).first()
     centred = F.zip_with("w", F.array(*[F.lit(m) for m in means]), lambda v, m: v - m)
     covariance = _matrix(white, centred).computeGramianMatrix().toArray() / n
@@ -110,7 +125,7 @@ def whiten(table: DataFrame, components: int = COMPONENTS) -> DataFrame:
 
     Rows whose vector is null, empty, or holds a null or non-finite entry have no result. Entries
     beyond 2^46 in magnitude count as that. Rows that repeat repeat here and count once in the fit;
-    equal eigenvalues come in MLlib's order. An empty table, or one of equal vectors only, has no
+    equal eigenvalues come in MLlib's order. A deviation beyond a long is an error. An empty table, or one of equal vectors only, has no
     component and gives an empty result, and a component without variance is left out. Vectors of
     unequal length are a ValueError. A null vec_id stays null; other columns are not read."""
     rows = table.select("vec_id", whole("embedding").alias("x")).where("x IS NOT NULL")
@@ -118,7 +133,8 @@ def whiten(table: DataFrame, components: int = COMPONENTS) -> DataFrame:
     if model is None:
         kind = rows.schema["vec_id"].dataType.simpleString()
         return table.sparkSession.createDataFrame([], f"vec_id {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double")
-    out = rows.select("vec_id", deviation(F.col("x"), model.n, model.sums).cast("long").alias("deviation"), F.posexplode(projected(F.col("x"), model)).alias("at", "whitened"))
+    out = rows.select("vec_id", described(F.col("x"), model.n, model.sums, model.onto()).alias("d"))
+    out = out.select("vec_id", F.col("d.deviation").cast("long").alias("deviation"), F.posexplode("d.w").alias("at", "whitened"))
     explained = F.element_at(F.array(*[F.lit(float(e / model.trace)) for e in model.eigenvalues]), F.col("at") + 1)
     return out.select(
         "vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
