@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
 
 #: White space between words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,11 +77,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def row_hash(df: DataFrame) -> Column:
-    """A hash of all columns of df but maps, which have no order."""
-    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, MapType)])
-
-
 def texts_of(column: pa.Array | pa.ChunkedArray, chars: int = 4_000_000, rows: int = 500) -> Iterator[list[str | None]]:
     """The texts of an Arrow column in order, as lists of at most `rows` texts that end once they
     hold `chars` characters. Spark bounds the bytes of a batch; this bounds what is worked on at once."""
@@ -110,20 +104,20 @@ def is_held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-def thinned(df: DataFrame, label: str, key: list[str], total: int, max_classes: int = 100, seed: int = 7) -> DataFrame:
-    """About `total` rows of df, an equal share for each of the max_classes most frequent labels,
-    chosen by a hash of label and key. Null labels are left out. Labels are counted by a partial
-    aggregation and no class is gathered in one task. Rows of equal label and key come and go
-    together, so a caller that collects bounds the result by at_most()."""
+def thinned(df: DataFrame, label: str, key: list[str], total: int, least: int = 0, seed: int = 7) -> tuple[DataFrame, int]:
+    """About `total` rows of df, an equal share for each label but no less than `least` rows (so more
+    in all if there are many labels), chosen by a hash of label and key; and how many that makes at
+    most. Null labels are left out. Labels are counted by a partial aggregation and joined; no class
+    is gathered in one task. Rows of equal label and key come and go together, so a caller that
+    collects bounds the result by at_most()."""
     known = df.where(F.col(label).isNotNull())
-    counts = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
-    if not counts:
-        return known.limit(0)
-    each = total / len(counts)
-    share = F.lit(0.0)
-    for value, n in counts:
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, each / n))).otherwise(share)
-    return known.where(_coin([label, *key], seed) < share)
+    counted, n = fresh(df, "counted_label", "label_rows")
+    counts = known.groupBy(F.col(label).alias(counted)).agg(F.count("*").alias(n))
+    labels = counts.count()
+    each = max(total / max(1, labels), least)
+    share = F.least(F.lit(1.0), each / F.col(n))
+    held = known.join(counts, F.col(label) == F.col(counted)).where(_coin([label, *key], seed) < share)
+    return held.drop(counted, n), max(total, labels * least)
 
 
 def at_most(df: DataFrame, key: list[str], total: int, seed: int = 7) -> DataFrame:

@@ -4,9 +4,10 @@ Level one predicts the language family with one linear machine for each family;
 separates the languages of that family with one linear support vector machine for each pair.
 Features are hashed counts of 1- to 3-grams of letters in the whole lower-cased text.
 
-Scale: training uses a bounded sample (`sample_rows` in all, of the `max_languages` most frequent
-languages, chosen by a hash of doc_id and text), whose feature vectors, not texts, come to the driver. Prediction is one pass inside tasks, without a
-shuffle; the model that travels with it has dims * (families + pairs) numbers."""
+Scale: training uses a bounded sample of every language (`sample_rows` in all, but no fewer than
+`least_rows` of each, chosen by a hash of doc_id and text), whose feature vectors, not texts, come to
+the driver. Prediction is one pass inside tasks, without a shuffle; the model that travels with it
+has dims * (families + pairs) numbers."""
 
 from __future__ import annotations
 
@@ -134,10 +135,11 @@ def fit(x: np.ndarray, lang: np.ndarray, c: float = 2.0) -> Model:
     return model
 
 
-def train(docs: DataFrame, sample_rows: int = 2000, max_languages: int = 100) -> Model:
+def train(docs: DataFrame, sample_rows: int = 2000, least_rows: int = 10) -> Model:
     """Model learnt from docs (doc_id, text, lang), held-out rows and null lang left out. At most
-    sample_rows rows are used, an equal share for each of the max_languages most frequent values
-    of lang. Rows of equal doc_id, text and lang count once."""
+    sample_rows rows are used, an equal share for each value of lang; if that is below least_rows,
+    so many of each. Rows of equal doc_id, text and lang count once. Very long texts are taken whole;
+    an empty table gives a model without languages."""
     known = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("h")).where(F.col("lang").isNotNull() & ~held_out())
     key = ["lang", "doc_id", "h"]
 
@@ -146,8 +148,9 @@ def train(docs: DataFrame, sample_rows: int = 2000, max_languages: int = 100) ->
         found = (features(t) for part in texts_of(text) for t in part)
         return pa.array([None if v is None else v.astype(np.float16).tobytes() for v in found], pa.binary())
 
-    sample = thinned(known, "lang", key[1:], sample_rows, max_languages).select(*key, vector(F.col("text")).alias("v"))
-    rows = at_most(sample.where("v IS NOT NULL"), key, sample_rows).select(*key, "v").toArrow().sort_by([(c, "ascending") for c in key])
+    sample, most = thinned(known, "lang", key[1:], sample_rows, least_rows)
+    sample = sample.select(*key, vector(F.col("text")).alias("v"))
+    rows = at_most(sample.where("v IS NOT NULL"), key, most).select(*key, "v").toArrow().sort_by([(c, "ascending") for c in key])
     if not rows.num_rows:
         return Model()
     x = np.frombuffer(b"".join(rows["v"].to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
@@ -159,7 +162,8 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred
     those names.
 
     Texts that are null or have no letter get `und` and score 0; so do all texts if the model
-    has seen no language. Rows are judged one by one; only the text counts."""
+    has seen no language. Rows are judged one by one, so repeated rows repeat; only the text counts,
+    and very long ones are taken whole. An empty table gives an empty result."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")
@@ -183,7 +187,8 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred
 
 def keep_identified(docs: DataFrame, model: Model, languages: list[str] | None = None) -> DataFrame:
     """Rows of docs whose text has a language (one of `languages`, if given), with its columns.
-    A model that has seen no language tells texts with a letter from those without one."""
+    A model that has seen no language tells texts with a letter from those without one. Nulls, long
+    texts, repeated rows and empty tables as in identify()."""
     lang, score = fresh(docs, "lang_pred", "lang_score")
     kept = F.col(lang) != UNKNOWN if model.families else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if languages is not None:

@@ -244,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, c: float =
     several texts or labels counts once for each label, with the text of the least hash."""
     spark = docs.sparkSession
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & ~held_out())
-    chosen = written(at_most(thinned(known, "toxic", ["doc_id"], 2 * per_class), ["toxic", "doc_id"], 2 * per_class), "toxicity-chosen")
+    chosen = written(at_most(thinned(known, "toxic", ["doc_id"], 2 * per_class)[0], ["toxic", "doc_id"], 2 * per_class), "toxicity-chosen")
     # the broadcast is bounded by 2 * per_class rows of two numbers
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
