@@ -136,6 +136,37 @@ def test_lexicon_counts_every_text(documents):
     assert imatch.lexicon(documents, chunk=7).tolist() == want
 
 
+def checked_iban(country, length):
+    """A number of the country's length with valid check digits."""
+    rest = "".join("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[(7 * i + ord(country[1])) % 36] for i in range(length - 4))
+    check = 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
+    return f"{country}{check:02d}{rest}"
+
+
+def test_iban_of_every_country_in_every_form():
+    for country, length in pii.IBAN_LENGTH.items():
+        plain = checked_iban(country, length)
+        fours = " ".join(plain[i : i + 4] for i in range(0, length, 4))
+        for form in (plain, fours, plain.lower(), fours.lower()):
+            for before, behind in (("IBAN ", " BIC COBADEFFXXX"), ("", ""), ("(", ")."), ("konto: ", " EUR 500"), ("to ", ", thanks"), ("a\n", "\n7 days")):
+                text = before + form + behind
+                found = [text[s:e] for kind, s, e, _ in pii.find_spans(text) if kind == "iban"]
+                assert found == [form], text
+                assert pii.redact(text).startswith(before + "[IBAN]" + behind[:1])
+        wrong = f"{plain[:2]}{2 + (int(plain[2:4]) - 1) % 97:02d}{plain[4:]}"
+        longer = plain + "7"
+        assert not [k for t in (wrong, longer) for k, *_ in pii.find_spans(t) if k == "iban"], (wrong, longer)
+    for printed in ("CH93 0076 2011 6238 5295 7", "PT50 0002 0123 1234 5678 9015 4", "UA21 3223 1300 0002 6007 2335 6600 1", "LV80 BANK 0000 4351 9500 1", "HR12 1001 0051 8630 0016 0"):
+        assert [k for k, *_ in pii.find_spans(f"pay {printed} now")] == ["iban"]
+
+
+def test_secrets_of_any_length():
+    for n in (20, 200, 201, 5000):
+        token = "".join("aB3xY7kQ9zR2mN5v"[(i * i + i // 7) % 16] for i in range(n))
+        text = f"the token {token} is out"
+        assert [text[s:e] for kind, s, e, _ in pii.find_spans(text) if kind == "secret"] == [token]
+
+
 def test_iban_before_capitals_and_digits():
     def ibans(t):
         return [t[s:e] for kind, s, e, _ in pii.find_spans(t) if kind == "iban"]
@@ -443,27 +474,36 @@ def test_deduplicate_keeps_every_unlike_text(spark):
 
 
 def test_near_copies_are_found_and_clean_documents_stay(spark, documents):
-    """Copies of a five-word similarity of 0.8 or more, and the plain documents beside them."""
+    """One copy of each text, by similarity: recall of single pairs above the bound, and none below."""
     rng = np.random.default_rng(4)
-    base = [r.text for r in documents.where("lang = 'en'").collect() if 40 < len((r.text or "").split()) < 2000]
-    base = list(dict.fromkeys(base))[:60]
-    rows, near = [], []
-    for t in base:
-        rows.append((len(rows), t))
-        for _ in range(5):
-            w = t.split()
-            for _ in range(int(rng.integers(1, max(2, len(w) // 40)))):
-                w[int(rng.integers(len(w)))] = f"new{int(rng.integers(1000))}"
-            a, b = shingles_of(t), shingles_of(" ".join(w))
-            if 0.8 <= len(a & b) / len(a | b) < 1:
-                rows.append((len(rows), " ".join(w)))
-                near.append(len(rows) - 1)
-    alone = spark.createDataFrame([(i, t) for i, t in enumerate(base)], "doc_id long, text string")
-    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert len(near) > 100 and 1 - len(kept & set(near)) / len(near) >= 0.9
-    sh = [shingles_of(t) for t in base]
-    like = {i for i in range(len(sh)) for j in range(len(sh)) if i != j and len(sh[i] & sh[j]) / len(sh[i] | sh[j]) >= 0.5}
-    assert set(range(len(base))) - {r.doc_id for r in simhash.deduplicate(alone).collect()} <= like
+    base = list(dict.fromkeys(t for r in documents.collect() if 40 < len((t := r.text or "").split()) < 1500))
+    groups = [shingles_of(t) for t in base]
+    base = [t for i, t in enumerate(base) if all(i == j or len(groups[i] & g) < 0.3 * len(groups[i] | g) for j, g in enumerate(groups))]
+    pairs = []
+    for t in base * 4:
+        w = t.split()
+        for i in rng.choice(len(w), int(rng.integers(1, max(2, len(w) // 25))), replace=False):
+            w[i] = f"new{int(rng.integers(1 << 30))}"
+        a, b = shingles_of(t), shingles_of(" ".join(w))
+        pairs.append((t, " ".join(w), len(a & b) / len(a | b)))
+    found = {True: [], False: []}
+    for part in range(4):
+        chosen = pairs[part * len(base) : (part + 1) * len(base)]
+        rows = [(2 * i + side, x[side]) for i, x in enumerate(chosen) for side in (0, 1)]
+        kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert {r for r, _ in rows if r % 2 == 0} <= kept
+        for i, x in enumerate(chosen):
+            found[x[2] >= 0.8].append(2 * i + 1 not in kept)
+    assert len(found[True]) > 100 and np.mean(found[True]) >= 0.99 and len(found[False]) > 20 and not any(found[False])
+
+
+def test_deduplicate_keeps_columns_of_any_type(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "other words stand in this one"), (None, None)], "doc_id long, text string")
+    odd = rows.selectExpr("*", "map('k', doc_id) AS m", "array(map('k', 1)) AS am", "struct(map('k', 1) AS m) AS sm", "parse_json('{\"a\": [1, 2]}') AS v", "array(parse_json('1')) AS av")
+    kept = simhash.deduplicate(odd)
+    assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.select("doc_id").collect()), key=repr) == [1, 3, None]
+    twice = simhash.deduplicate(odd.where("doc_id = 2"))
+    assert twice.count() == 1 and twice.select("m").first().m == {"k": 2}
 
 
 @pytest.mark.parametrize("bits, radius", [(64, 0), (64, 1), (64, 2), (64, 3), (64, 4), (256, 48)])
@@ -604,9 +644,9 @@ def test_an_item_of_many_windows_and_clashing_names(spark, limit):
 # ---- bounds
 def test_samples_are_bounded_under_repeated_ids(spark):
     docs = docs_of(spark, [f"text number {i} with words" for i in range(400)], ids=[None] * 400, langs=[f"l{i % 40}" for i in range(400)])
-    model = langid.train(docs, sample_rows=50, max_languages=5)
-    assert 0 < sum(map(len, model.families.values())) <= 5
-    held = thinned(docs.withColumn("h", F.xxhash64("text")), "lang", ["doc_id", "h"], 50, 5)
+    assert sum(map(len, langid.train(docs, sample_rows=50).families.values())) == 40  # every language
+    held, most = thinned(docs.withColumn("h", F.xxhash64("text")), "lang", ["doc_id", "h"], 50, 5)
+    assert most == 200 and held.count() > 150
     assert at_most(held, ["lang", "doc_id", "h"], 7).count() == 7
     same = docs_of(spark, ["a b"] * 300, ids=[None] * 300)
     assert at_most(same, ["lang", "doc_id", "text"], 10).count() == 1

@@ -11,9 +11,7 @@ a probability of 5e-8. Every link is confirmed on the full sets.
    signatures are candidates (at similarity 0.8 13 bits differ on average; over 32 with a probability
    of 1e-7). They are compared as bit planes and joined to candidate groups, which also fall apart
    where documents only share a passage.
-3. One document of each class is read again where its group has several classes. Their sets are
-   dealt by group, groups of more than a cell as pairs of chunks, very large ones by bucket first. In a task, links spread
-   breadth first over an inverted index of the shingles; it gives spanning stars, never all pairs.
+3. Links are confirmed within candidate groups on the full sets (see confirm.py).
 4. Components of the confirmed links.
 
 Scale: signatures take 0.4 kB a class, and the sets that are shuffled are those of candidates. Tables
@@ -21,7 +19,7 @@ between steps are written to the shared folder, so a lost executor costs one ste
 
 from __future__ import annotations
 
-import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, mix64, texts_of, written
+from .confirm import CELL, CELL_SHINGLES, classes_of, confirmed, digest
 from .simhash import compare, components, shingle_hashes
 
 #: Permutations, values of a band, bands, differing lowest bits of candidates.
 PERMUTATIONS, ROWS, BANDS, RADIUS = 64, 4, 32, 32
-#: Classes and shingles of a cell, what one task compares at a time.
-CELL, CELL_SHINGLES = 4096, 4_000_000
 #: Shingles that are turned at a time.
 TURNED = 4096
 
@@ -47,10 +44,6 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, k))
 
 
-def digest(hashes: np.ndarray) -> bytes:
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-
-
 def signature(hashes: np.ndarray) -> np.ndarray:
     """Least and greatest value (uint32) of a set under each permutation, least ones first."""
     least = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
@@ -99,105 +92,6 @@ def described(text: Column, k: int) -> Column:
     return describe(text)
 
 
-def spanning_links(sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
-    """Edges (member, root), as positions in sets, that join the components of sets whose
-    intersection is at least `percent` % of their union. Breadth first: what has been reached isn't
-    compared again. Intersections are counted through the lists of sets that hold a shingle."""
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    end = np.cumsum(size)
-    _, term = np.unique(np.concatenate(sets), return_inverse=True)
-    holders = np.repeat(np.arange(len(sets)), size)[np.argsort(term, kind="stable")]
-    first = np.concatenate(([0], np.cumsum(np.bincount(term))))
-    left = np.ones(len(sets), bool)
-    members, roots = [], []
-
-    def linked(i: int) -> np.ndarray:
-        mine = term[end[i] - size[i] : end[i]]
-        lists = [holders[a:b] for a, b in zip(first[mine].tolist(), first[mine + 1].tolist(), strict=True) if b - a > 1]
-        if not lists:
-            return np.zeros(0, np.int64)
-        common = np.bincount(np.concatenate(lists), minlength=len(sets))
-        return np.flatnonzero(left & (100 * common >= percent * (size + size[i] - common)))
-
-    for root in range(len(sets)):
-        if not left[root]:
-            continue
-        left[root] = False
-        front = [root]
-        while front and left.any():
-            found = linked(front.pop())
-            left[found] = False
-            members += found.tolist()
-            roots += [root] * len(found)
-            front += found.tolist()
-    return members, roots
-
-
-def _confirmed(batches, percent: int):
-    """Arrow batches of (key, a, b, digest, hashes) sorted by the first four into edges (u, v) of
-    digests. One cell is held at a time; rows that repeat a digest within it count once."""
-    held: dict[bytes, np.ndarray] = {}
-    at = None
-
-    def edges():
-        names = list(held)
-        u, v = spanning_links(list(held.values()), percent) if len(names) > 1 else ([], [])
-        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in u], pa.binary()), pa.array([names[i] for i in v], pa.binary())], names=["u", "v"])
-
-    for batch in batches:
-        key, a, b = (c.to_pylist() for c in batch.columns[:3])
-        for i, cell in enumerate(zip(key, a, b, strict=True)):
-            if cell != at:
-                if held:
-                    yield edges()
-                held, at = {}, cell
-            held[batch.column(3)[i].as_py()] = np.frombuffer(batch.column(4)[i].as_py(), np.uint64)
-    if held:
-        yield edges()
-
-
-def sets_of(rows: DataFrame, k: int) -> DataFrame:
-    """rows (text and others) with hashes, the set of the text as bytes, in place of text."""
-
-    @F.arrow_udf("binary")
-    def hashes(text: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t, k).tobytes() for part in texts_of(text) for t in part], pa.binary())
-
-    return rows.withColumn("hashes", hashes(F.col("text"))).drop("text")
-
-
-def by_buckets(rows: DataFrame) -> DataFrame:
-    """key, digest, hashes: rows once for each bucket of their set."""
-
-    @F.arrow_udf("array<bigint>")
-    def keys(hashes: pa.Array) -> pa.Array:
-        return pa.array([band_keys(signature(np.frombuffer(h.as_py(), np.uint64))) for h in hashes], pa.list_(pa.int64()))
-
-    return rows.select(F.explode(keys(F.col("hashes"))).alias("key"), "digest", "hashes")
-
-
-def confirm(rows: DataFrame, several: bool, percent: int, cell: int = CELL, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
-    """u, v: edges of digests that join the confirmed links of rows (root, chunks, digest, hashes)
-    within each root, whose classes are cut in so many chunks. Where `several` says that there are
-    roots of more chunks than bands, those are dealt by their buckets first, as all candidates meet
-    in one of these too, and the buckets as pairs of chunks by their own size."""
-    dealt = rows.where(F.col("chunks") <= BANDS).select(F.xxhash64("root").alias("key"), "chunks", "digest", "hashes")
-    if several:
-        spread = by_buckets(written(rows.where(F.col("chunks") > BANDS), "minhash-sets"))
-        n = spread.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("hashes") / 8).alias("total")).where("n > 1")
-        n = written(n.select("key", _chunks("n", "total", cell, cell_shingles)), "minhash-buckets")
-        dealt = dealt.unionByName(spread.join(n, "key"))
-    chunk = F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int")
-    dealt = dealt.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "digest", "hashes")
-    dealt = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "digest")
-    return dealt.mapInArrow(lambda batches: _confirmed(batches, percent), "u binary, v binary").distinct()
-
-
-def _chunks(n: str, total: str, cell: int, cell_shingles: int) -> Column:
-    return F.greatest(F.ceil(F.col(n) / cell), F.ceil(F.col(total) / cell_shingles)).cast("int").alias("chunks")
-
-
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, cell: int = CELL, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text): component_id is
     the smallest doc_id that can be reached over links, the own one included; kept says that it is
@@ -211,24 +105,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, cell: int =
         raise ValueError("bands and bits are made for a similarity of at least 80 %")
     sig = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), described(F.col("text"), k).alias("d"))
     sig = written(sig.select("doc_id", "text_hash", "d.*"), "minhash")
-    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
-    classes = sig.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), smallest.alias("best"))
-    classes = written(classes, "minhash-classes")
-    rows = classes.select("fp", F.explode("keys").alias("key"))
-    roots = components(compare(rows, RADIUS, cell))
-    prints = classes.groupBy("fp").agg(F.count("*").alias("n"), F.sum("n").alias("total"))
-    named = prints.join(roots, F.col("fp") == F.col("u"), "left").select(F.col("fp").alias("g_fp"), F.coalesce("v", "fp").alias("root"), "n", "total")
-    named = written(named, "minhash-groups")
-    groups = named.groupBy(F.col("root").alias("g_root")).agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 1")
-    groups = written(groups.select("g_root", _chunks("n", "total", cell, cell_shingles)), "minhash-sizes")
-    held = named.join(groups, F.col("root") == F.col("g_root")).select("g_fp", "root", "chunks")
-    held = classes.join(held, F.col("fp") == F.col("g_fp")).select("root", "chunks", "digest", F.col("best.doc_id").alias("h_id"), F.col("best.text_hash").alias("h_hash"))
-    held = written(held, "minhash-candidates")
-    # held grows with the corpus, so it is never broadcast; each task builds a table of its own share
-    texts = docs.select("doc_id", "text").join(held.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.xxhash64("text") == F.col("h_hash")))
-    sets = sets_of(texts.select("root", "chunks", "digest", "text"), k)
-    several = bool(groups.where(F.col("chunks") > BANDS).limit(1).count())
-    links = components(confirm(sets, several, percent, cell, cell_shingles))
+    classes = written(classes_of(sig.where("n > 0")), "minhash-classes")
+    roots = components(compare(classes.select("fp", F.explode("keys").alias("key")), RADIUS, cell))
+    edges = confirmed(docs, classes, roots, partial(shingle_set, k=k), lambda h: band_keys(signature(h)), BANDS, percent, cell, cell_shingles)
+    links = components(edges)
     linked = classes.select("digest", "best.doc_id").join(links, F.col("digest") == F.col("u"), "left").select("digest", "doc_id", F.coalesce("v", "digest").alias("root"))
     linked = written(linked, "minhash-linked")
     least = linked.groupBy(F.col("root").alias("l_root")).agg(F.min("doc_id").alias("component_id"))

@@ -12,10 +12,10 @@ Two ways lead to buckets:
   bits agree on at least 2 of 6 blocks of their bits, so all links lie within the buckets of 15
   keys (one for each pair of blocks). In a large bucket the rest, cut into five, agrees on one part
   at least and is dealt by that. No link is missed.
-* deduplicate(): 256 bits over five-word shingles and a radius of 48, which is where texts of a
-  Jaccard similarity of 0.8 mostly are (their expected distance is 39 bits, that of texts of 0.6
-  is 59). Keys are bands of the least shingle hashes under random multipliers; two texts of
-  similarity 0.8 share a bucket with a probability of 0.99.
+* deduplicate(): 256 bits over five-word shingles and a radius of 64, within which texts of a
+  Jaccard similarity of 0.8 are (their expected distance is 39 bits). Keys are bands of the least
+  shingle hashes under random multipliers; two texts of similarity 0.8 share a bucket with a
+  probability of 0.996. What is linked so are candidates, confirmed on the full sets of shingles.
 
 Scale: texts are read once and never shuffled by the search. Exact copies collapse to one
 fingerprint first. A bucket of more than `cell` fingerprints is dealt out as pairs of chunks, so no
@@ -35,7 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import fresh, mix64, row_hash, texts_of, written
+from .common import fresh, mix64, texts_of, written
+from .confirm import classes_of, confirmed, digest
 
 RADIUS = 4
 #: Bits of each block, low bits first; two agreeing blocks remain among six when four bits differ.
@@ -43,7 +44,9 @@ WIDTHS = (11, 11, 11, 11, 10, 10)
 #: Bits of the parts that the other four blocks are cut into, of which one agrees.
 PARTS = (9, 9, 9, 9, 8)
 #: Fingerprints, radius, shingles and keys of deduplicate().
-BITS, WIDE_RADIUS, SHINGLE, BANDS, ROWS = 256, 48, 5, 14, 5
+BITS, WIDE_RADIUS, SHINGLE, BANDS, ROWS = 256, 64, 5, 14, 5
+#: Similarity of near-duplicates of deduplicate(), in per cent of the union.
+PERCENT = 80
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 ONE = np.uint64(1)
 #: Comparisons of one query with one 64-lane word that are held in memory at a time.
@@ -88,14 +91,14 @@ _FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | ONE
 
 
 def band_keys(h: np.ndarray) -> np.ndarray:
-    """One key for each band: a hash of the least products of the shingle hashes with its factors."""
+    """One key (int64) for each band: a hash of the least products of the shingle hashes with its factors."""
     least = np.full(BANDS * ROWS, ALL)
     for a in range(0, len(h), VOTERS):
         least = np.minimum(least, (h[a : a + VOTERS, None] * _FACTORS).min(axis=0))
     key = np.arange(BANDS, dtype=np.uint64)
     for row in least.reshape(ROWS, BANDS):
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + row)
-    return key
+    return key.view(np.int64)
 
 
 def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
@@ -108,20 +111,29 @@ def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
     return docs.select("doc_id", fp(F.col("text")).alias("fp"))
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct five-word shingle hashes, ascending."""
+    return np.unique(shingle_hashes(text, SHINGLE))
+
+
 def wide_fingerprint(text: Column) -> Column:
-    """fp (binary, 256 bits) and keys (one long for each band) of a text's five-word shingles."""
+    """n and digest of a text's set of five-word shingles, its fp (binary, 256 bits; repeats count)
+    and keys (one long for each band)."""
 
-    @F.arrow_udf("struct<fp:binary,keys:array<bigint>>")
+    @F.arrow_udf("struct<n:bigint,digest:binary,fp:binary,keys:array<bigint>>")
     def wide(text: pa.Array) -> pa.Array:
-        fps, keys = [], []
+        n, digests, fps, keys = [], [], [], []
         for part in texts_of(text):
             for t in part:
                 h = shingle_hashes(t, SHINGLE)
+                distinct = np.unique(h)
+                n.append(len(distinct))
+                digests.append(digest(distinct))
                 fps.append(votes(h, BITS).tobytes())
-                keys.append(band_keys(h))
-        flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+                keys.append(band_keys(distinct))
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(flat))
-        return pa.StructArray.from_arrays([pa.array(fps, pa.binary()), listed], names=["fp", "keys"])
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(fps, pa.binary()), listed], names=["n", "digest", "fp", "keys"])
 
     return wide(text)
 
@@ -464,31 +476,32 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = RADIUS, cell: int
     return fps.join(classes, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = WIDE_RADIUS, cell: int = 4096) -> DataFrame:
+def deduplicate(docs: DataFrame, radius: int = WIDE_RADIUS, cell: int = 4096, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the smallest doc_id (null last),
-    ties by a hash of the row.
-
-    Groups are held apart by their fingerprints, not by doc_id: rows of equal or null doc_id and
-    unlike texts all stay. Rows that repeat whole are copies, of which one stays. Null and empty
-    texts are one group. An empty table gives an empty result. Other columns are kept, whatever
-    their names."""
-    sig = docs.select("doc_id", row_hash(docs).alias("row"), wide_fingerprint(F.col("text")).alias("w"))
-    sig = written(sig.select("doc_id", "row", "w.fp", "w.keys"), "simhash-wide")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
-    reps = written(sig.groupBy("fp").agg(F.min("keys").alias("keys"), best.alias("best")), "simhash-distinct")
-    roots = components(compare(reps.select("fp", F.explode("keys").alias("key")), radius, cell))
-    named = reps.join(roots, F.col("fp") == F.col("u"), "left").groupBy(F.coalesce("v", "fp").alias("root")).agg(F.min("best").alias("best"))
-    kept = written(named.select(F.col("best.doc_id").alias("kept_id"), F.col("best.row").alias("kept_row")), "simhash-kept")
-    hashed, copy_id, copy_row = fresh(docs, "row_hash", "copy_id", "copy_row")
-    copies = sig.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("row") == F.col("kept_row")), "left_semi")
-    copies = written(copies.groupBy(F.col("doc_id").alias(copy_id), F.col("row").alias(copy_row)).count().where("count > 1").drop("count"), "simhash-copies")
-    kept_id, kept_row = fresh(docs, "kept_id", "kept_row")
-    kept = kept.toDF(kept_id, kept_row)
-    rows = docs.withColumn(hashed, row_hash(docs))
+    ties by a hash of the text. Groups are joined by links of at least `percent` % of the union of
+    both sets of five-word shingles.
+
+    Groups are held apart by their shingles, not by doc_id: rows of equal or null doc_id and unlike
+    texts all stay. Of rows that repeat doc_id and text one stays. Null and empty texts are one group;
+    very long texts are taken whole. An empty table gives an empty result. Other columns are kept,
+    whatever their names and types."""
+    if percent < 80:
+        raise ValueError("the radius and the bands are made for a similarity of at least 80 %")
+    sig = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), wide_fingerprint(F.col("text")).alias("w"))
+    sig = written(sig.select("doc_id", "text_hash", "w.*"), "simhash-wide")
+    classes = written(classes_of(sig), "simhash-classes")
+    roots = components(compare(classes.select("fp", F.explode("keys").alias("key")), radius, cell))
+    links = components(confirmed(docs, classes, roots, shingle_set, band_keys, BANDS, percent, cell))
+    named = classes.join(links, F.col("digest") == F.col("u"), "left").groupBy(F.coalesce("v", "digest").alias("root")).agg(F.min("best").alias("best"))
+    kept_id, kept_hash, hashed, copy_id, copy_hash = fresh(docs, "kept_id", "kept_hash", "text_hash", "copy_id", "copy_hash")
+    kept = written(named.select(F.col("best.doc_id").alias(kept_id), F.col("best.text_hash").alias(kept_hash)), "simhash-kept")
+    copies = sig.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col("text_hash") == F.col(kept_hash)), "left_semi")
+    copies = written(copies.groupBy(F.col("doc_id").alias(copy_id), F.col("text_hash").alias(copy_hash)).count().where("count > 1").drop("count"), "simhash-copies")
+    rows = docs.withColumn(hashed, F.xxhash64("text"))
     # kept grows with the corpus, so it is never broadcast; each task builds a table of its own share
-    out = rows.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(hashed) == F.col(kept_row)), "left_semi")
+    out = rows.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(hashed) == F.col(kept_hash)), "left_semi")
     if copies.limit(1).count():
-        same = F.col("doc_id").eqNullSafe(F.col(copy_id)) & (F.col(hashed) == F.col(copy_row))
+        same = F.col("doc_id").eqNullSafe(F.col(copy_id)) & (F.col(hashed) == F.col(copy_hash))
         once = out.join(copies, same, "left_semi").dropDuplicates(["doc_id", hashed])
         out = out.join(copies, same, "left_anti").unionByName(once)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
