@@ -107,17 +107,16 @@ def is_held_out(doc_id) -> bool:
 def thinned(df: DataFrame, label: str, key: list[str], total: int, least: int = 0, seed: int = 7) -> tuple[DataFrame, int]:
     """About `total` rows of df, an equal share for each label but no less than `least` rows (so more
     in all if there are many labels), chosen by a hash of label and key; and how many that makes at
-    most. Null labels are left out. Labels are counted by a partial aggregation and joined; no class
-    is gathered in one task. Rows of equal label and key come and go together, so a caller that
-    collects bounds the result by at_most()."""
+    most. Null labels are left out. Labels are counted by a partial aggregation, one row of each comes
+    to the driver (a model holds far more of each), and no class is gathered in one task. Rows of equal
+    label and key come and go together, so a caller that collects bounds the result by at_most()."""
     known = df.where(F.col(label).isNotNull())
-    counted, n = fresh(df, "counted_label", "label_rows")
-    counts = known.groupBy(F.col(label).alias(counted)).agg(F.count("*").alias(n))
-    labels = counts.count()
-    each = max(total / max(1, labels), least)
-    share = F.least(F.lit(1.0), each / F.col(n))
-    held = known.join(counts, F.col(label) == F.col(counted)).where(_coin([label, *key], seed) < share)
-    return held.drop(counted, n), max(total, labels * least)
+    counts = known.groupBy(label).count().collect()
+    if not counts:
+        return known.limit(0), 0
+    each = max(total / len(counts), least)
+    share = F.map_from_arrays(F.array(*[F.lit(r[0]) for r in counts]), F.array(*[F.lit(min(1.0, each / r[1])) for r in counts]))
+    return known.where(_coin([label, *key], seed) < F.element_at(share, F.col(label))), max(total, len(counts) * least)
 
 
 def at_most(df: DataFrame, key: list[str], total: int, seed: int = 7) -> DataFrame:
