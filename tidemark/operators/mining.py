@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import phrases as P
 from tidemark.functions.text import STOP_WORDS, TERM
 from tidemark.plans.store import cut
 
+from . import ranges
+
 
 def title_of(text: Column) -> Column:
     """First line of a text."""
@@ -46,33 +50,72 @@ def mine(phrases: DataFrame, key: str, source: str, total: int, min_docs: int =
     return kept.withColumn("score", F.col("docs") * (1 + 0.5 * (F.col("sources") - 1)) * F.log2(words + 1.0))
 
 
-def absorb(scored: DataFrame, limit: int, pool: int = 5000) -> DataFrame:
-    """phrase, docs, score in order: best first, a phrase whose words stand inside a chosen one that
-    is at least as frequent is left out, and chosen phrases inside a new one as well. The order
-    matters, so one task reads the best phrases in order and stops at `limit` chosen; where the best
-    `pool` don't give that many, eight times as many are read, up to all."""
-    every = scored.count()
-
-    def run(parts):
-        chosen: list[tuple] = []
-
-        def inside(a: str, b: str) -> bool:
-            return f" {a} " in f" {b} "
-
-        for p in parts:
-            for r in p.itertuples(index=False):
-                if len(chosen) == limit or any(inside(r.phrase, c.phrase) and r.docs <= c.docs for c in chosen):
-                    continue
-                chosen = [c for c in chosen if not (inside(c.phrase, r.phrase) and c.docs <= r.docs)]
-                chosen.append(r)
-        yield pd.DataFrame([(c.phrase, c.docs, c.score, i + 1) for i, c in enumerate(chosen)], columns=["phrase", "docs", "score", "pos"])
-
-    while True:
-        best = scored.select("phrase", "docs", "score").orderBy(F.col("score").desc(), "phrase").limit(pool)
-        found = cut(best.repartition(1).sortWithinPartitions(F.col("score").desc(), "phrase").mapInPandas(run, "phrase string, docs long, score double, pos int"))
-        if pool >= every or found.count() >= limit:
-            return found
-        pool *= 8
+def mine_technologies(docs: DataFrame, key: str, source: str, title: Column, topics: Sequence[str] = (), generic: Sequence[str] = (), generic_words: Sequence[str] = (), low: int = 2, high: int = 4, min_docs: int = 2, min_sources: int = 2, max_share: float = 0.33) -> DataFrame:
+    """phrase, surface, docs, sources, score of the phrases of titles that may name a technology.
+
+    * Titles that are equal but for case and blanks are one piece of evidence, that of the smallest
+      key: reprints add neither documents nor sources.
+    * Phrases that differ in the number of their last word are one; surface is the most common
+      spelling (ties: the first in order).
+    * A phrase of generic words only, one of `generic`, and one that is a topic are blocked (in either
+      number), as is one that holds a topic of several words or stands inside one.
+    * Enough documents and sources, but not too large a share of all titles. Score is
+      docs * (1 + (sources - 1) / 2) * log2(words + 1)."""
+    one = docs.select(key, source, title.alias("title")).withColumn("folded", F.trim(F.regexp_replace(F.lower("title"), r"(?U)\s+", " "))).where("folded != ''")
+    # the grouped minimum combines in the tasks, so a title that a third of all rows share is no hot key
+    one = one.groupBy("folded").agg(F.min(F.struct(key, source, "title")).alias("t")).select(f"t.{key}", f"t.{source}", "t.title")
+    total = one.agg(F.count("*").alias("total"))
+    words = F.split("spelling", " ")
+    spelled = one.select(key, source, F.explode(ngrams(F.col("title"), low, high)).alias("spelling"))
+    if generic_words:
+        spelled = spelled.where(~F.forall(words, lambda w: w.isin(*generic_words)))
+    spelled = spelled.withColumn("phrase", P.phrase_key(F.col("spelling")))
+    named = spelled.groupBy("phrase", "spelling").agg(F.count("*").alias("n"))
+    surface = named.groupBy("phrase").agg(F.min(F.struct((-F.col("n")).alias("o"), "spelling")).alias("s")).select("phrase", F.col("s.spelling").alias("surface"))
+    counted = spelled.groupBy("phrase").agg(F.count_distinct(key).alias("docs"), F.count_distinct(source).alias("sources"))
+    kept = counted.crossJoin(F.broadcast(total)).where((F.col("docs") >= min_docs) & (F.col("sources") >= min_sources) & (F.col("docs") / F.col("total") <= max_share))
+    topics = [" ".join(t.lower().split()) for t in topics if t.strip()]
+    for t in (*generic, *topics):
+        kept = kept.where(~F.col("phrase").isin(t) & (F.col("phrase") != P.phrase_key(F.lit(t))))
+    for t in topics:
+        if " " in t:
+            key_ = P.phrase_key(F.lit(t))
+            kept = kept.where(~inside(F.col("phrase"), key_) & ~inside(key_, F.col("phrase")))
+    n = F.size(F.split("phrase", " "))
+    scored = kept.withColumn("score", F.col("docs") * (1 + 0.5 * (F.col("sources") - 1)) * F.log2(n + 1.0))
+    return scored.join(surface, "phrase").select("phrase", "surface", "docs", "sources", "score")
+
+
+def inside(inner: Column, outer: Column) -> Column:
+    """Whether the words of one phrase stand in a row in another (or are it)."""
+    return F.contains(F.concat(F.lit(" "), outer, F.lit(" ")), F.concat(F.lit(" "), inner, F.lit(" ")))
+
+
+def absorb(scored: DataFrame, limit: int) -> DataFrame:
+    """scored (phrase, docs, score and others) with pos, the best `limit` phrases in order: best first,
+    a phrase whose words stand inside a chosen one that is at least as frequent is left out, and chosen
+    phrases inside a new one go. Choosing stops once `limit` are chosen.
+
+    That is decided without reading phrases in turn. A phrase absorbs the phrases inside it that are
+    no more frequent, and what it is absorbed by absorbs these too; so when a phrase is reached it is
+    chosen unless one that absorbs it came before, and stays until the first one that absorbs it comes.
+    Each phrase is joined with its own sub-phrases (a few), ranks and the number chosen are running
+    sums over ranges of the order, and the first rank with `limit` chosen ends it."""
+    best = [F.col("score").desc(), F.col("phrase")]
+    ranked = cut(ranges.running(scored, best, {"rank": F.lit(1)}))
+    words, n = F.split("phrase", " "), F.size(F.split("phrase", " "))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.struct(i.alias("i"), k.alias("k")))))
+    parts = F.array_distinct(F.transform(F.filter(spans, lambda x: x["k"] < n), lambda x: F.array_join(F.slice(words, x["i"], x["k"]), " ")))
+    over = ranked.select(F.explode(parts).alias("__part"), F.col("docs").alias("__docs"), F.col("rank").alias("__by"))
+    first = ranked.join(over, (F.col("phrase") == F.col("__part")) & (F.col("docs") <= F.col("__docs"))).groupBy(F.col("phrase").alias("__p")).agg(F.min("__by").alias("__until"))
+    alive = ranked.join(first, F.col("phrase") == F.col("__p"), "left").where("__until IS NULL OR __until > rank").drop("__p")
+    alive = cut(alive)
+    moves = alive.select(F.col("rank").alias("at"), F.lit(1).alias("by")).unionByName(alive.where("__until IS NOT NULL").select(F.col("__until").alias("at"), F.lit(-1).alias("by")))
+    held = ranges.running(moves.groupBy("at").agg(F.sum("by").alias("by")), [F.col("at")], {"chosen": F.col("by")})
+    stop = held.where(F.col("chosen") >= limit).agg(F.min("at").alias("__stop"))
+    shown = alive.crossJoin(F.broadcast(stop)).where("(__stop IS NULL OR rank <= __stop) AND (__until IS NULL OR __until > __stop)")
+    top = shown.orderBy("rank").limit(limit)
+    return top.withColumn("pos", F.row_number().over(Window.orderBy("rank"))).select(*scored.columns, "pos")
 
 
 def surface_forms(words: DataFrame, word: Column, surface: str, key: str) -> DataFrame:
@@ -105,8 +148,6 @@ def two_period_growth(rows: DataFrame, term: str, recent: Column, base: Column,
 def keyphrases(docs: DataFrame, group: str, title: Column, limit: int = 60) -> DataFrame:
     """group, phrase, n, pos: n-grams of one to three words of a group's titles, most frequent first,
     then longer, then in order."""
-    from pyspark.sql import Window
-
     phrases = docs.select(group, F.explode(ngrams(title, 1, 3)).alias("phrase")).where(F.length("phrase") >= 3)
     n = phrases.groupBy(group, "phrase").agg(F.count("*").alias("n"))
     w = Window.partitionBy(group).orderBy(F.col("n").desc(), F.size(F.split("phrase", " ")).desc(), "phrase")

@@ -106,10 +106,13 @@ def hash_sample(rows: DataFrame, key: str, size: int, group: str | None = None)
 
 
 def top_with_reserve(rows: DataFrame, flagged: Column, order: Sequence[Column], limit: int, reserve: int) -> DataFrame:
-    """`limit` rows: first the best flagged ones, at most `reserve`, then the best of the rest."""
-    ranked = rows.withColumn("__f", flagged).withColumn("__a", F.row_number().over(Window.partitionBy("__f").orderBy(*order)))
-    ranked = ranked.withColumn("reserved", F.col("__f") & (F.col("__a") <= min(reserve, limit)))
-    return ranked.orderBy(F.col("reserved").desc(), *order).limit(limit).drop("__f", "__a")
+    """`limit` rows: first the best flagged ones, at most `reserve`, then the best of the rest. Of
+    either kind only the best `limit` leave a task."""
+    marked = rows.withColumn("__f", F.coalesce(flagged, F.lit(False)))
+    best = marked.where("__f").orderBy(*order).limit(limit)
+    best = best.withColumn("reserved", F.row_number().over(Window.orderBy(*order)) <= min(reserve, limit))
+    rest = marked.where("NOT __f").orderBy(*order).limit(limit).withColumn("reserved", F.lit(False))
+    return best.unionByName(rest).orderBy(F.col("reserved").desc(), *order).limit(limit).drop("__f")
 
 
 def interleave(rows: DataFrame, channel: str, order: Sequence[Column], quota: int | None = None) -> DataFrame:

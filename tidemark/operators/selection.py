@@ -8,17 +8,23 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def evidence(rows: DataFrame, group: str, key: str, similarity: str, trusted: Column, limit: int) -> DataFrame:
     """group, key, pos: the `limit` most similar documents of each group; where none of them is
-    trusted but one is in the group, the best trusted one takes the last place."""
+    trusted but one is in the group, the best trusted one takes the last place.
+
+    No group is sorted whole: tasks keep their best `limit`, the best trusted one is an aggregate."""
+    rows = rows.withColumn("__t", F.coalesce(trusted, F.lit(False)))
     w = Window.partitionBy(group).orderBy(F.col(similarity).desc(), key)
-    t = rows.withColumn("__t", trusted).withColumn("__r", F.row_number().over(w))
-    t = t.withColumn("__tr", F.row_number().over(Window.partitionBy(group, "__t").orderBy(F.col(similarity).desc(), key)))
-    t = t.withColumn("__first", F.min(F.when(F.col("__t"), F.col("__r"))).over(Window.partitionBy(group)))
-    stand_in = F.col("__first") > limit
-    kept = t.where((F.col("__r") <= F.when(stand_in, limit - 1).otherwise(limit)) | (F.coalesce(stand_in, F.lit(False)) & F.col("__t") & (F.col("__tr") == 1)))
-    return kept.select(group, key, F.row_number().over(w).alias("pos"))
+    top = rows.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit)
+    order = F.struct(F.col(similarity).isNull().alias("none"), (-F.col(similarity)).alias("s"), F.col(key).alias("k"))
+    best = rows.where("__t").groupBy(F.col(group).alias("__g")).agg(F.min(order)["k"].alias("__k"))
+    seen = top.where("__t").select(F.col(group).alias("__s")).distinct()
+    best = best.join(seen, F.col("__g").eqNullSafe(F.col("__s")), "left_anti")
+    kept = top.join(best, F.col(group).eqNullSafe(F.col("__g")), "left").where((F.col("pos") < limit) | F.col("__k").isNull())
+    return kept.select(group, key, "pos").unionByName(best.select(F.col("__g").alias(group), F.col("__k").alias(key), F.lit(limit).alias("pos")))
 
 
 def singletons(rows: DataFrame, key: str, relevance: str, limit: int, max_candidates: int) -> DataFrame:
@@ -27,10 +33,12 @@ def singletons(rows: DataFrame, key: str, relevance: str, limit: int, max_candid
 
 
 def top_share(rows: DataFrame, group: str, score: str, key: str, share: float) -> DataFrame:
-    """rows with preferred: the ceil(n * share) best of each group."""
-    w = Window.partitionBy(group)
-    quota = F.ceil(F.count("*").over(w) * share - 1e-9)
-    return rows.withColumn("preferred", F.row_number().over(w.orderBy(F.col(score).desc(), key)) <= quota)
+    """rows with preferred: the ceil(n * share) best of each group, ties by key. Ranks are running
+    counts over ranges of the order, so that no group has to fit one task."""
+    placed = ranges.running(rows, [F.col(score).desc(), F.col(key)], {"__rank": F.lit(1)}, [group])
+    quota = rows.groupBy(F.col(group).alias("__g")).agg(F.ceil(F.count("*") * share - 1e-9).alias("__quota"))
+    out = placed.join(quota, F.col(group).eqNullSafe(F.col("__g")))
+    return out.withColumn("preferred", F.col("__rank") <= F.col("__quota")).drop("__rank", "__g", "__quota")
 
 
 def top_contributions(contributions: Column, names: Sequence[str], count: int) -> Column:

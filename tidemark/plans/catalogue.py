@@ -27,6 +27,10 @@ TOPIC = ("the", "of", "and", "for")
 W = r"[\p{L}\p{N}_-]+"
 #: Source name, type and trust of the driver's sources: a rule in place of a registry.
 TYPES = ("PUBLICATION", "PREPRINT", "NEWS_MEDIA", "BLOG", "CODE_REPOSITORY")
+#: What mining leaves out of the driver's invented titles: topics, whole phrases, words that make no phrase alone.
+MINED_TOPICS = ("the thing", "der die")
+GENERIC_PHRASES = ("le la", "el los")
+GENERIC_WORDS = ("the", "der", "die", "das", "la", "le", "el", "los", "und", "que")
 SQL_TYPE = "CASE substr(source, 4)::INT % 5 WHEN 0 THEN 'PUBLICATION' WHEN 1 THEN 'PREPRINT' WHEN 2 THEN 'NEWS_MEDIA' WHEN 3 THEN 'BLOG' ELSE 'CODE_REPOSITORY' END"
 
 
@@ -278,12 +282,38 @@ def ngram_mining(spark, d):
     return mining.mine(p, "doc_id", "source", docs.count()).select("phrase", "docs", "sources", F.round("score", 6).alias("score"))
 
 
-@query()
+STOPPED = "('a','an','the','and','or','of','in','on','at','to','for','with','by','from','as','is','are','was','were','be','it','its','this','that','not')"
+SINGULAR_LAST = "CASE WHEN regexp_matches(spelling, '[^ ]{2}ies$') THEN regexp_replace(spelling, 'ies$', 'y') WHEN regexp_matches(spelling, '[^ ][^ ][^sui ]s$') THEN regexp_replace(spelling, 's$', '') ELSE spelling END"
+MINED = rf"""WITH f AS (SELECT trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\s+', ' ', 'g')) AS folded, min((doc_id, source, split_part(text, chr(10), 1))) AS t FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING folded != ''),
+o AS (SELECT t[1] AS doc_id, t[2] AS source, t[3] AS title FROM f),
+s AS (SELECT doc_id, source, unnest(list_transform(regexp_split_to_array(lower(title), '[^\p{{L}}\p{{N}}_\s-]+'), lambda s: regexp_extract_all(s, '[\p{{L}}\p{{N}}_]+'))) AS w FROM o),
+g AS (SELECT DISTINCT doc_id, source, array_to_string(w[i:i + n - 1], ' ') AS spelling FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM s, (SELECT unnest([2, 3, 4]) AS n)) WHERE w[i] NOT IN {STOPPED} AND w[i + n - 1] NOT IN {STOPPED}),
+p AS (SELECT *, {SINGULAR_LAST} AS phrase FROM g WHERE len(list_filter(string_split(spelling, ' '), lambda x: x NOT IN {GENERIC_WORDS})) > 0),
+u AS (SELECT phrase, arg_min(spelling, (-n, spelling)) AS surface FROM (SELECT phrase, spelling, count(*) AS n FROM p GROUP BY ALL) GROUP BY phrase),
+k AS (SELECT phrase, count(DISTINCT doc_id) AS docs, count(DISTINCT source) AS sources FROM p GROUP BY phrase HAVING docs >= 2 AND sources >= 2 AND docs / (SELECT count(*) FROM o) <= 0.33),
+c AS (SELECT phrase, surface, docs, sources, docs * (1 + 0.5 * (sources - 1)) * log2(len(string_split(phrase, ' ')) + 1) AS score FROM k JOIN u USING (phrase)
+      WHERE phrase NOT IN {GENERIC_PHRASES} AND {" AND ".join(f"NOT contains(' ' || phrase || ' ', ' {t} ') AND NOT contains(' {t} ', ' ' || phrase || ' ')" for t in MINED_TOPICS)})"""
+
+
+def _mined(spark, d):
+    return mining.mine_technologies(table(spark, d, "documents"), "doc_id", "source", mining.title_of(F.col("text")), MINED_TOPICS, GENERIC_PHRASES, GENERIC_WORDS)
+
+
+@query(MINED + " SELECT phrase, surface, docs, sources, round(score, 6) AS score FROM c")
+def technology_candidates(spark, d):
+    """Phrases of titles that may name a technology, reprints counted once."""
+    return _mined(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query(MINED + """, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, phrase) AS rank FROM c),
+a AS (SELECT x.*, (SELECT min(y.rank) FROM r y WHERE y.phrase != x.phrase AND x.docs <= y.docs AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ')) AS until FROM r x),
+v AS (SELECT * FROM a WHERE until IS NULL OR until > rank),
+h AS (SELECT step, sum(sum(change)) OVER (ORDER BY step) AS chosen FROM (SELECT rank AS step, 1 AS change FROM v UNION ALL SELECT until, -1 FROM v WHERE until IS NOT NULL) GROUP BY step),
+z AS (SELECT min(step) AS stop FROM h WHERE chosen >= 15)
+SELECT phrase, surface, docs, sources, round(score, 6) AS score, row_number() OVER (ORDER BY rank) AS pos FROM v, z WHERE (stop IS NULL OR rank <= stop) AND (until IS NULL OR until > stop) QUALIFY pos <= 15""")
 def technology_mining(spark, d):
     """The fifteen best phrases of titles after absorption of nested ones."""
-    docs = table(spark, d, "documents")
-    p = mining.phrase_table(docs, "doc_id", "source", mining.title_of(F.col("text")), 2, 4)
-    return mining.absorb(mining.mine(p, "doc_id", "source", docs.count()), 15)
+    return mining.absorb(_mined(spark, d), 15).withColumn("score", F.round("score", 6)).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(GRAMS + """, m AS (SELECT phrase, doc_id % 2 = 0 AS r, doc_id FROM p), tot AS (SELECT count(DISTINCT doc_id) FILTER (r) AS tr, count(DISTINCT doc_id) FILTER (NOT r) AS tb FROM m),
