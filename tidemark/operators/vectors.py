@@ -1,22 +1,26 @@
 """Vector similarity, near-duplicates, clusters and graph components.
 
-Work that compares members of a collection runs per collection inside applyInPandas; a collection
-is at most a few thousand documents by the data model. Components of any size are found with
-shuffles only."""
+Members of a collection are compared in blocks: a collection of any size is cut into blocks of at most
+some hundred vectors, pairs of blocks are tasks, and what they find is combined by aggregates. No
+collection has to fit one task. Components of any size are found with shuffles only."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from tidemark.functions import numeric as N
+from tidemark.plans.store import cut
+
+from . import ranges
 
 _WORD = re.compile(r"\w+")
 
@@ -45,64 +49,190 @@ def centred(rows: DataFrame, vector: str) -> DataFrame:
     return rows.join(F.broadcast(mean)).withColumn(vector, moved).drop("__mean", "__n")
 
 
-def similar_pairs(rows: DataFrame, key: str, vector: str, threshold: float, group: str) -> DataFrame:
-    """a, b, similarity of pairs of a group with cosine of at least threshold, a < b."""
-    left = rows.select(F.col(group).alias("g"), F.col(key).alias("a"), N.unit(F.col(vector)).alias("va"))
-    right = rows.select(F.col(group).alias("h"), F.col(key).alias("b"), N.unit(F.col(vector)).alias("vb"))
-    s = N.dot(F.col("va"), F.col("vb"))
-    return left.join(right, (F.col("g") == F.col("h")) & (F.col("a") < F.col("b"))).select("a", "b", s.alias("similarity")).where(F.col("similarity") >= threshold)
+#: Vectors of a block; a task holds two.
+BLOCK = 1024
 
 
-def _units(v: pd.Series, centre: bool) -> np.ndarray:
-    x = np.array(v.tolist(), np.float64)
-    if centre and len(x) > 1:
-        x = x - x.mean(axis=0)
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(n == 0, 1, n)
+def _unit_rows(rows: DataFrame, group: str, key: str, vector: str, centre: bool = False, others: Sequence[str] = ()) -> DataFrame:
+    """group, key, others and __u: unit vectors, of the distance from the group's mean where `centre`
+    says so and there is more than one."""
+    v = rows.select(group, key, *others, N.doubles(vector).alias("__v"))
+    if centre:
+        dims = v.select(F.col(group).alias("__g"), F.posexplode("__v").alias("dim", "x")).groupBy("__g", "dim").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+        mean = dims.groupBy("__g").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("__m"), F.max("n").alias("__n"))
+        v = v.join(mean, F.col(group).eqNullSafe(F.col("__g")), "left")
+        v = v.withColumn("__v", F.when(F.col("__n") > 1, F.zip_with("__v", "__m", lambda x, m: x - m)).otherwise(F.col("__v")))
+    return v.select(group, key, *others, N.unit(F.col("__v")).alias("__u"))
 
 
-def nearest_distance(rows: DataFrame, group: str, key: str, vector: str, centre: bool = False) -> DataFrame:
-    """group, key, distance: the cosine distance to the nearest other member of the group."""
+def _pairs_of_blocks(units: DataFrame, group: str, key: str, block: int) -> DataFrame:
+    """units once for each pair of blocks (__a <= __b) of their group that they are in, with their own
+    block __c. A group of n members is cut into ceil(n / block) blocks by a hash of the key."""
+    n = units.groupBy(F.col(group).alias("__g")).agg(F.ceil(F.count("*") / block).cast("int").alias("__n"))
+    dealt = units.join(n, F.col(group).eqNullSafe(F.col("__g"))).withColumn("__c", F.pmod(F.xxhash64(F.col(key).cast("string")), F.col("__n")).cast("int"))
+    dealt = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    return dealt.withColumn("__a", F.least("__c", "__o")).withColumn("__b", F.greatest("__c", "__o")).drop("__g", "__n", "__o")
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        u = _units(p[vector], centre)
-        s = u @ u.T
-        np.fill_diagonal(s, -np.inf)
-        return pd.DataFrame({group: p[group], key: p[key], "distance": 1 - s.max(axis=1) if len(p) > 1 else np.nan})
 
-    types = dict(rows.dtypes)
-    return rows.select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {types[group]}, {key} {types[key]}, distance double")
+def _sides(p: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, bool]:
+    """Both blocks of a pair, their similarities, and whether they are one block."""
+    left, right = p[p["__c"] == p["__a"]], p[p["__c"] == p["__b"]]
+    if not len(left) or not len(right):
+        return left, right, np.zeros((len(left), len(right))), bool(len(p) and p["__a"].iloc[0] == p["__b"].iloc[0])
+    x, y = (np.array(q["__u"].tolist(), np.float64) for q in (left, right))
+    return left, right, x @ y.T, p["__a"].iloc[0] == p["__b"].iloc[0]
 
 
-def adaptive_threshold(rows: DataFrame, group: str, key: str, vector: str, quantile: float = 0.6, low: float = 0.2, high: float = 0.65) -> DataFrame:
-    """group, threshold: that quantile of the nearest distances, clipped; high for under three members."""
-    d = nearest_distance(rows, group, key, vector)
-    q = F.least(F.greatest(F.percentile("distance", F.lit(quantile)), F.lit(low)), F.lit(high))
-    return d.groupBy(group).agg(F.when(F.count("*") < 3, F.lit(high)).otherwise(q).alias("threshold"))
+def similar_pairs(rows: DataFrame, key: str, vector: str, threshold: float, group: str, block: int = BLOCK) -> DataFrame:
+    """a, b, similarity of pairs of a group with cosine of at least threshold, a < b. Null groups have
+    no pairs. Blocks meet in tasks; only the pairs that fit leave them."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        left, right, s, same = _sides(p)
+        i, j = np.nonzero(np.triu(s >= threshold, 1) if same else s >= threshold)
+        a, b = left[key].to_numpy()[i], right[key].to_numpy()[j]
+        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "similarity": s[i, j]})
+
+    kind = dict(rows.dtypes)[key]
+    dealt = _pairs_of_blocks(_unit_rows(rows.where(F.col(group).isNotNull()), group, key, vector), group, key, block)
+    return dealt.groupBy(group, "__a", "__b").applyInPandas(run, f"a {kind}, b {kind}, similarity double").where("a != b")
 
 
-def near_dup_filter(rows: DataFrame, group: str, key: str, vector: str, order: list[str], threshold: float = 0.9, centre: bool = False) -> DataFrame:
-    """group, key, kept, kept_by: members in ascending `order` are dropped if their cosine to one
-    kept before reaches the threshold; kept_by is the most similar of these."""
+def nearest_distance(rows: DataFrame, group: str, key: str, vector: str, centre: bool = False, block: int = BLOCK) -> DataFrame:
+    """group, key (unique in it), distance: the cosine distance to the nearest other member of the
+    group, null without one. Each pair of blocks gives the largest similarity of its members; the
+    largest of these is an aggregate."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(order, na_position="last", kind="stable").reset_index(drop=True)
-        u = _units(p[vector], centre)
-        kept: list[int] = []
-        by: list = []
-        for i in range(len(p)):
-            s = u[kept] @ u[i] if kept else np.zeros(0)
-            if len(s) and s.max() >= threshold:
-                by.append(p[key][kept[int(s.argmax())]])
-            else:
-                kept.append(i)
-                by.append(p[key][i])
-        flags = np.zeros(len(p), bool)
-        flags[kept] = True
-        return pd.DataFrame({group: p[group], key: p[key], "kept": flags, "kept_by": by})
+        left, right, s, same = _sides(p)
+        if same:
+            np.fill_diagonal(s, -np.inf)
+            best, of = (s.max(axis=1) if len(left) > 1 else np.full(len(left), np.nan)), left
+        elif len(left) and len(right):
+            best, of = np.concatenate((s.max(axis=1), s.max(axis=0))), pd.concat((left, right))
+        else:
+            best, of = np.zeros(0), left.iloc[:0]
+        return pd.DataFrame({group: of[group].to_numpy(), key: of[key].to_numpy(), "s": np.where(np.isneginf(best), np.nan, best)})
 
     types = dict(rows.dtypes)
-    return rows.groupBy(group).applyInPandas(run, f"{group} {types[group]}, {key} {types[key]}, kept boolean, kept_by {types[key]}")
+    dealt = _pairs_of_blocks(_unit_rows(rows, group, key, vector, centre), group, key, block)
+    found = dealt.groupBy(group, "__a", "__b").applyInPandas(run, f"{group} {types[group]}, {key} {types[key]}, s double")
+    return found.groupBy(group, key).agg((1 - F.max("s")).alias("distance"))
+
+
+def adaptive_threshold(rows: DataFrame, group: str, key: str, vector: str, quantile: float = 0.6, low: float = 0.2, high: float = 0.65) -> DataFrame:
+    """group, threshold: that quantile of the nearest distances, clipped; high for under three members."""
+    d = cut(nearest_distance(rows, group, key, vector))
+    q = ranges.quantiles(d, F.col("distance"), {"q": quantile}, [group])
+    n = d.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    clipped = F.least(F.greatest("q", F.lit(low)), F.lit(high))
+    return q.join(n, F.col(group).eqNullSafe(F.col("__g"))).select(group, F.when(F.col("__n") < 3, F.lit(high)).otherwise(clipped).alias("threshold"))
+
+
+def _greedy(u: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows, in order, are kept, and the most similar kept one before each (itself if kept)."""
+    kept: list[int] = []
+    by = np.arange(len(u))
+    for i in range(len(u)):
+        s = u[kept] @ u[i] if kept else np.zeros(0)
+        if len(s) and s.max() >= threshold:
+            by[i] = kept[int(s.argmax())]
+        else:
+            kept.append(i)
+    flags = np.zeros(len(u), bool)
+    flags[kept] = True
+    return flags, by
+
+
+def near_dup_filter(rows: DataFrame, group: str, key: str, vector: str, order: list[str], threshold: float = 0.9, centre: bool = False, block: int = BLOCK) -> DataFrame:
+    """group, key, kept, kept_by: members in ascending `order` (nulls last, ties by key) are dropped if
+    their cosine to one kept before reaches the threshold; kept_by is the most similar of these.
+
+    In rounds: the first `block` members that are still open decide among themselves in one task;
+    then all others that are near a kept one of these are dropped, in blocks of their own. A group of
+    at most `block` members takes one round, a larger one as many as its kept members fill blocks. A
+    last pass finds the most similar kept member of each dropped one."""
+    types = dict(rows.dtypes)
+    others = [c for c in dict.fromkeys(order) if c not in (group, key)]
+    units = _unit_rows(rows, group, key, vector, centre, others)
+    sizes = units.groupBy(F.col(group).alias("__g")).agg((F.count("*") <= block).alias("small"))
+    units = cut(units.join(sizes, F.col(group).eqNullSafe(F.col("__g"))).drop("__g"))
+    named = F.col(group).alias("g")
+
+    def first(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("at")
+        flags, by = _greedy(np.array(p["u"].tolist(), np.float64), threshold)
+        return pd.DataFrame({"g": p["g"].to_numpy(), "k": p["k"].to_numpy(), "at": p["at"].to_numpy(), "kept": flags, "by": p["k"].to_numpy()[by]})
+
+    out_schema = f"g {types[group]}, k {types[key]}, at long, kept boolean, by {types[key]}"
+    small = units.where("small").select(named, F.col(key).alias("k"), F.col("__u").alias("u"), F.row_number().over(Window.partitionBy(group).orderBy(*_place(order, key))).cast("long").alias("at"))
+    done = small.groupBy("g").applyInPandas(first, out_schema)
+    large = units.where("NOT small")
+    if large.limit(1).count():
+        ranked = ranges.running(large, _place(order, key), {"at": F.lit(1)}, [group]).select(named, F.col(key).alias("k"), F.col("__u").alias("u"), F.col("at").cast("long").alias("at"))
+        done = done.unionByName(_in_rounds(cut(ranked), first, out_schema, threshold, block))
+    return done.select(F.col("g").alias(group), F.col("k").alias(key), "kept", F.col("by").alias("kept_by"))
+
+
+def _place(order: list[str], key: str) -> list[Column]:
+    return [*[F.col(c).asc_nulls_last() for c in order], F.col(key).asc_nulls_last()]
+
+
+def _in_rounds(ranked: DataFrame, first, schema: str, threshold: float, block: int) -> DataFrame:
+    """The rounds of near_dup_filter over ranked (g, k, u, at)."""
+
+    def near(p: pd.DataFrame) -> pd.DataFrame:
+        """at of the open members of a block that are near a kept one (role 1)."""
+        held, left = p[p["role"] == 1], p[p["role"] == 0]
+        if not len(held) or not len(left):
+            return pd.DataFrame({"g": left["g"].iloc[:0], "at": left["at"].iloc[:0]})
+        s = np.array(left["u"].tolist()) @ np.array(held["u"].tolist()).T
+        hit = left[s.max(axis=1) >= threshold]
+        return pd.DataFrame({"g": hit["g"], "at": hit["at"]})
+
+    kind = dict(ranked.dtypes)["g"]
+    open_, decided = ranked, None
+    while open_.limit(1).count():
+        w = Window.partitionBy("g").orderBy("at")
+        head = cut(open_.withColumn("r", F.row_number().over(w)).where(F.col("r") <= block).drop("r").groupBy("g").applyInPandas(first, schema))
+        decided = head if decided is None else decided.unionByName(head)
+        rest = cut(open_.join(head.select(F.col("g").alias("hg"), F.col("at").alias("hat")), F.col("g").eqNullSafe(F.col("hg")) & (F.col("at") == F.col("hat")), "left_anti"))
+        n = rest.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+        kept = ranked.join(head.where("kept").select(F.col("g").alias("hg"), F.col("at").alias("hat")), F.col("g").eqNullSafe(F.col("hg")) & (F.col("at") == F.col("hat")), "left_semi")
+        dealt = rest.join(n.toDF("ng", "n"), F.col("g").eqNullSafe(F.col("ng"))).select("g", "at", "u", F.pmod(F.xxhash64("at"), "n").alias("part"), F.lit(0).alias("role"))
+        dealt = dealt.unionByName(kept.join(n.toDF("ng", "n"), F.col("g").eqNullSafe(F.col("ng"))).select("g", "at", "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("part"), F.lit(1).alias("role")))
+        gone = dealt.groupBy("g", "part").applyInPandas(near, f"g {kind}, at long").toDF("ng", "nat")
+        same = F.col("g").eqNullSafe(F.col("ng")) & (F.col("at") == F.col("nat"))
+        gone = cut(gone)
+        dropped = rest.join(gone, same, "left_semi").select("g", "k", "at", F.lit(False).alias("kept"), F.col("k").alias("by"))
+        decided = cut(decided.unionByName(dropped))
+        open_ = cut(rest.join(gone, same, "left_anti"))
+    flags = decided.select(F.col("g").alias("dg"), F.col("at").alias("dat"), "kept")
+    all_ = cut(ranked.join(flags, F.col("g").eqNullSafe(F.col("dg")) & (F.col("at") == F.col("dat"))).drop("dg", "dat"))
+
+    def best(p: pd.DataFrame) -> pd.DataFrame:
+        """The most similar kept member before each dropped one, within a pair of blocks."""
+        left, right, s, same = _sides(p)
+        found = []
+        for a, b, m in ((left, right, s),) if same else ((left, right, s), (right, left, s.T)):
+            if not len(a) or not len(b):
+                continue
+            m = np.where(b["kept"].to_numpy()[None, :] & (b["at"].to_numpy()[None, :] < a["at"].to_numpy()[:, None]), m, -np.inf)
+            # equal similarities: the first in order, as columns are sorted by it
+            j = m.argmax(axis=1)
+            found.append(pd.DataFrame({"g": a["g"].to_numpy(), "at": a["at"].to_numpy(), "s": m[np.arange(len(a)), j], "bat": b["at"].to_numpy()[j], "by": b["k"].to_numpy()[j]}))
+        found = pd.concat(found) if found else pd.DataFrame({"g": [], "at": [], "s": [], "bat": [], "by": []})
+        return found[~np.isneginf(found["s"].astype(float))]
+
+    def sorted_best(p: pd.DataFrame) -> pd.DataFrame:
+        return best(p.sort_values("at"))
+
+    key_kind = dict(ranked.dtypes)["k"]
+    pairs = _pairs_of_blocks(all_.withColumnRenamed("u", "__u"), "g", "k", block)
+    partial = pairs.groupBy("g", "__a", "__b").applyInPandas(sorted_best, f"g {kind}, at long, s double, bat long, by {key_kind}")
+    nearest = partial.groupBy(F.col("g").alias("ng"), F.col("at").alias("nat")).agg(F.min(F.struct((-F.col("s")).alias("s"), "bat", "by"))["by"].alias("nearest"))
+    same = F.col("g").eqNullSafe(F.col("ng")) & (F.col("at") == F.col("nat"))
+    return all_.join(nearest, same, "left").select("g", "k", "at", "kept", F.when(F.col("kept"), F.col("k")).otherwise(F.col("nearest")).alias("by"))
 
 
 def average_linkage(u: np.ndarray, threshold: float) -> np.ndarray:
@@ -146,15 +276,55 @@ def average_linkage(u: np.ndarray, threshold: float) -> np.ndarray:
     return np.unique(roots, return_inverse=True)[1]
 
 
-def clusters(rows: DataFrame, group: str, key: str, vector: str, threshold: float, centre: bool = False) -> DataFrame:
-    """group, key, cluster: average-linkage clusters of each group, numbered by smallest key."""
+def clusters(rows: DataFrame, group: str, key: str, vector: str, threshold: float, centre: bool = False, block: int = BLOCK, most: int = 20_000) -> DataFrame:
+    """group, key, cluster: average-linkage clusters of each group, numbered by smallest key.
+
+    Two clusters only merge if their mean distance is within the threshold, so if one pair of their
+    members is. Clusters therefore lie within the components of the graph of such pairs, which are
+    found in blocks; a task holds one component and not the group. A component of more than `most`
+    members has no exact result here and is a ValueError."""
+    types = dict(rows.dtypes)
+    units = cut(_unit_rows(rows, group, key, vector, centre))
+
+    def spanning(p: pd.DataFrame) -> pd.DataFrame:
+        left, right, s, same = _sides(p)
+        near = 1 - s <= threshold + 1e-9
+        if same:
+            links, names = near, left[key].to_numpy()
+        else:
+            names = np.concatenate((left[key].to_numpy(), right[key].to_numpy()))
+            links = np.zeros((len(names), len(names)), bool)
+            links[: len(left), len(left) :], links[len(left) :, : len(left)] = near, near.T
+        u, v, open_ = [], [], np.ones(len(names), bool)
+        for root in range(len(names)):
+            front = [root] if open_[root] else []
+            open_[root] = False
+            while front:
+                found = np.flatnonzero(links[front.pop()] & open_)
+                open_[found] = False
+                u += [root] * len(found)
+                v += found.tolist()
+                front += found.tolist()
+        return pd.DataFrame({"g": np.repeat(p[group].iloc[:1].to_numpy(), len(u)), "u": names[u], "v": names[v]})
+
+    edges = _pairs_of_blocks(units, group, key, block).groupBy(group, "__a", "__b").applyInPandas(spanning, f"g {types[group]}, u {types[key]}, v {types[key]}")
+    roots = components(edges.select(F.struct("g", "u").alias("a"), F.struct("g", F.col("v").alias("u")).alias("b")))
+    parts = units.join(roots, F.struct(F.col(group).alias("g"), F.col(key).alias("u")).eqNullSafe(F.col("node")), "left").withColumn("__part", F.coalesce(F.col("component.u"), F.col(key))).drop("node", "component")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
+        if len(p) > most:
+            raise ValueError(f"a component of {len(p)} vectors has no exact average linkage in one task")
         p = p.sort_values(key).reset_index(drop=True)
-        return pd.DataFrame({group: p[group], key: p[key], "cluster": average_linkage(_units(p[vector], centre), threshold)})
+        own = average_linkage(np.array(p["__u"].tolist(), np.float64), threshold)
+        first = p[key].groupby(own).transform("min")
+        return pd.DataFrame({group: p[group], key: p[key], "first": first})
 
-    types = dict(rows.dtypes)
-    return rows.select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {types[group]}, {key} {types[key]}, cluster int")
+    named = parts.groupBy(group, "__part").applyInPandas(run, f"{group} {types[group]}, {key} {types[key]}, first {types[key]}")
+    named = cut(named)
+    heads = named.where(F.col(key).eqNullSafe(F.col("first"))).select(F.col(group).alias("__g"), F.col("first").alias("__first"))
+    number = ranges.running(heads, [F.col("__first")], {"__number": F.lit(1)}, ["__g"])
+    out = named.join(number, F.col(group).eqNullSafe(F.col("__g")) & F.col("first").eqNullSafe(F.col("__first")))
+    return out.select(group, key, (F.col("__number") - 1).cast("int").alias("cluster"))
 
 
 def split_glue(rows: DataFrame, cluster: str, key: str, vector: str, media: str) -> DataFrame:
@@ -168,26 +338,24 @@ def split_glue(rows: DataFrame, cluster: str, key: str, vector: str, media: str)
 
 def mmr(phrases: DataFrame, group: str, phrase: str, vector: str, target: str, top: int = 5, trade: float = 0.7) -> DataFrame:
     """group, phrase, pos: phrases in order of maximal marginal relevance to the group's target
-    vector against the most similar phrase chosen before."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(phrase).reset_index(drop=True)
-        v, t = _units(p[vector], False), np.array(p[target][0], np.float64)
-        length = np.linalg.norm(t)
-        relevance = v @ t / length if length else np.zeros(len(p))
-        chosen: list[int] = []
-        worst = np.zeros(len(p))
-        for _ in range(min(top, len(p))):
-            s = relevance if not chosen else trade * relevance - (1 - trade) * worst
-            s = s.copy()
-            s[chosen] = -np.inf
-            i = int(s.argmax())
-            worst = v @ v[i] if not chosen else np.maximum(worst, v @ v[i])
-            chosen.append(i)
-        return pd.DataFrame({group: p[group].iloc[chosen].to_numpy(), phrase: p[phrase].iloc[chosen].to_numpy(), "pos": range(1, len(chosen) + 1)})
-
-    types = dict(phrases.dtypes)
-    return phrases.groupBy(group).applyInPandas(run, f"{group} {types[group]}, {phrase} string, pos int")
+    vector against the most similar phrase chosen before; ties by phrase.
+
+    One round a place: every phrase is scored where it is, the best of a group is an aggregate, and
+    only these (one row a group) meet the phrases again."""
+    relevance = N.cosine(N.doubles(vector), F.col(target))
+    left = phrases.select(F.col(group).alias("g"), F.col(phrase).alias("p"), N.unit(N.doubles(vector)).alias("u"), F.coalesce(relevance, F.lit(0.0)).alias("rel"), F.lit(None).cast("double").alias("worst"))
+    left, chosen = cut(left), None
+    for pos in range(1, top + 1):
+        score = F.when(F.col("worst").isNull(), F.col("rel")).otherwise(trade * F.col("rel") - (1 - trade) * F.col("worst"))
+        best = left.groupBy("g").agg(F.min(F.struct((-score).alias("s"), "p", "u")).alias("b")).select(F.col("g").alias("bg"), F.col("b.p").alias("bp"), F.col("b.u").alias("bu"))
+        best = cut(best)
+        one = best.select(F.col("bg").alias(group), F.col("bp").alias(phrase), F.lit(pos).alias("pos"))
+        chosen = one if chosen is None else chosen.unionByName(one)
+        if pos < top:
+            met = left.join(best, F.col("g").eqNullSafe(F.col("bg"))).where("p != bp")
+            near = N.dot(F.col("u"), F.col("bu"))
+            left = cut(met.select("g", "p", "u", "rel", F.coalesce(F.greatest("worst", near), near).alias("worst")))
+    return chosen
 
 
 def hashing_embedding(texts: DataFrame, text: str, dims: int = 256) -> DataFrame:
@@ -219,8 +387,6 @@ def hashing_embedding(texts: DataFrame, text: str, dims: int = 256) -> DataFrame
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, component of edges (a, b): the smallest node that can be reached. Minimum labels with
     pointer jumping; each round is checkpointed."""
-    from tidemark.plans.store import cut
-
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
     for _ in range(rounds):
