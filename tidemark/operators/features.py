@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as N
 from tidemark.functions import text as T
+from tidemark.operators import ranges
 
 #: Groups of source types (fixed values).
 GROUPS = {
@@ -26,17 +27,22 @@ COLLECTION = {
 
 
 def collection_features(docs: DataFrame, group: str, now: datetime) -> DataFrame:
-    """group and the eleven features of docs (type, trust 1 to 3, published_at, citations)."""
+    """group and the eleven features of docs (type, trust 1 to 3, published_at, citations). Medians
+    are taken by ranges of the values, so a group of any size will do."""
     age = N.age_days(now, F.col("published_at"))
     year, cited = N.DAYS_PER_YEAR, F.when(F.col("type").isin(*GROUPS["share_scientific"]), F.col("citations"))
     shares = [F.avg(F.col("type").isin(*types).cast("double")).alias(name) for name, types in GROUPS.items()]
-    return docs.groupBy(group).agg(
+    middle = [ranges.quantiles(docs.select(group, v.alias("v")), F.col("v"), {name: 0.5}, [group]).withColumnRenamed(group, f"__{name}") for name, v in (("age_median", age), ("cited_median", cited))]
+    out = docs.groupBy(group).agg(
         F.log1p(F.count("*")).alias("doc_count_log"), F.count_distinct("type").cast("double").alias("source_type_diversity"), *shares,
         F.avg((F.col("trust") == 3).cast("double")).alias("trusted_share"),
         ((F.count_if(age <= year) + 1) / (F.count_if((age > year) & (age <= 2 * year)) + 1)).alias("growth_ratio_12m"),
-        F.coalesce(F.median(age), F.lit(0.0)).alias("recency_median_days"), F.coalesce(F.max(age) / year, F.lit(0.0)).alias("first_seen_years_ago"),
-        F.coalesce(F.log1p(F.median(cited)), F.lit(0.0)).alias("citation_median_log"),
+        F.coalesce(F.max(age) / year, F.lit(0.0)).alias("first_seen_years_ago"),
     )
+    for name, m in zip(("age_median", "cited_median"), middle, strict=True):
+        out = out.join(m, F.col(group).eqNullSafe(F.col(f"__{name}")), "left").drop(f"__{name}")
+    named = {"recency_median_days": F.coalesce("age_median", F.lit(0.0)), "citation_median_log": F.coalesce(F.log1p("cited_median"), F.lit(0.0))}
+    return out.withColumns(named).select(group, *COLLECTION)
 
 
 def lexical_features(docs: DataFrame, text: str, lexicons: Mapping[str, Mapping[str, Sequence[str]]], year: int) -> DataFrame:

@@ -88,11 +88,16 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def top_k(rows: DataFrame, group: str, score: str, label: str, key: str, k: int) -> DataFrame:
     """group, shown, hits, precision, ndcg of the k best by score, ties by key."""
-    w = Window.partitionBy(group).orderBy(F.col(score).desc(), key)
-    ideal = Window.partitionBy(group).orderBy(F.col(label).desc(), key)
-    r = rows.where(F.col(label).isNotNull()).withColumn("r", F.row_number().over(w)).withColumn("i", F.row_number().over(ideal))
-    gain = lambda pos: F.sum(F.when(F.col(pos) <= k, F.col(label) / F.log2(F.col(pos) + 1.0)))
-    a = r.groupBy(group).agg(F.count_if(F.col("r") <= k).alias("shown"), F.sum(F.when(F.col("r") <= k, F.col(label))).cast("long").alias("hits"), gain("r").alias("dcg"), gain("i").alias("best"))
+    known = rows.where(F.col(label).isNotNull())
+
+    def best(by: str) -> DataFrame:  # tasks keep their k best of a group
+        w = Window.partitionBy(group).orderBy(F.col(by).desc(), key)
+        return known.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+
+    gain = F.sum(F.col(label) / F.log2(F.col("r") + 1.0))
+    shown = best(score).groupBy(group).agg(F.count("*").alias("shown"), F.sum(label).cast("long").alias("hits"), gain.alias("dcg"))
+    ideal = best(label).groupBy(F.col(group).alias("__g")).agg(gain.alias("best"))
+    a = shown.join(ideal, F.col(group).eqNullSafe(F.col("__g")))
     return a.select(group, "shown", "hits", (F.col("hits") / F.col("shown")).alias("precision"), F.when(F.col("best") > 0, F.col("dcg") / F.col("best")).alias("ndcg"))
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranges
 from tidemark.operators.ranges import running
 
 
@@ -106,8 +107,12 @@ def direction(contribution: Column, band: float = 0.05) -> Column:
 def mad_floor(rows: DataFrame, value: str, group: str, k: float = 3.0, least: int = 5) -> DataFrame:
     """group, n, median, mad, floor: median - k * 1.4826 * MAD; null where there are under `least`
     values or the MAD is 0."""
-    med = rows.groupBy(group).agg(F.median(value).alias("median"))
-    dev = rows.join(med, group).groupBy(group).agg(F.count(value).alias("n"), F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    known = rows.select(group, value)
+    med = ranges.quantiles(known, F.col(value), {"median": 0.5}, [group]).select(F.col(group).alias("__g"), "median")
+    off = known.join(med, F.col(group).eqNullSafe(F.col("__g"))).select(group, F.abs(F.col(value) - F.col("median")).alias("__off"))
+    mad = ranges.quantiles(off, F.col("__off"), {"mad": 0.5}, [group]).select(F.col(group).alias("__m"), "mad")
+    n = known.groupBy(group).agg(F.count(value).alias("n"))
+    dev = n.join(med, F.col(group).eqNullSafe(F.col("__g"))).join(mad, F.col(group).eqNullSafe(F.col("__m"))).select(group, "n", "median", "mad")
     return dev.withColumn("floor", F.when((F.col("n") >= least) & (F.col("mad") > 0), F.col("median") - k * 1.4826 * F.col("mad")))
 
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranges
@@ -70,16 +69,28 @@ def fresh(rows: DataFrame, at: str, now: Column, days: int) -> DataFrame:
     return rows.where(F.col(at) >= F.date_sub(now, days))
 
 
-def history_windows(spark: SparkSession, first: date, last: date, days: int = 90) -> DataFrame:
-    """start, stop: windows of `days` backwards from last, the oldest clamped to first."""
-    n = max(0, -(-(last - first).days // days))
-    w = spark.range(n).select(F.date_sub(F.lit(last), (F.col("id") * days).cast("int")).alias("stop"))
-    return w.select(F.greatest(F.date_sub("stop", days), F.lit(first)).alias("start"), "stop")
-
-
-def months(spark: SparkSession, first: date, last: date) -> DataFrame:
-    """month: YYYY-MM from first to last."""
-    return spark.range(1).select(F.explode(F.sequence(F.trunc(F.lit(first), "month"), F.lit(last), F.expr("interval 1 month"))).alias("d")).select(F.date_format("d", "yyyy-MM").alias("month"))
+def history_windows(rows: DataFrame, at: str, days: int = 90) -> DataFrame:
+    """start, stop, n: windows of `days` backwards from the last date of rows to the first, the oldest
+    clamped to it, with the rows in each (behind start, up to stop; the first date counts in the
+    oldest). Rows meet their window by its number, not by a range. No row for a table without dates."""
+    day = rows.select(F.to_date(at).alias("day")).where("day IS NOT NULL")
+    ends = day.agg(F.min("day").alias("first"), F.max("day").alias("last")).where("last IS NOT NULL")
+    n = F.greatest(F.ceil(F.datediff("last", "first") / days), F.lit(1)).cast("int")
+    windows = ends.select("first", "last", F.explode(F.sequence(F.lit(0), n - 1)).alias("number"))
+    stop = F.date_sub("last", F.col("number") * days)
+    windows = windows.select("number", F.greatest(F.date_sub(stop, days), "first").alias("start"), stop.alias("stop"))
+    placed = day.crossJoin(F.broadcast(ends.withColumn("most", n - 1))).select(F.least(F.floor(F.datediff("last", "day") / days), "most").cast("int").alias("of"))
+    counted = placed.groupBy("of").agg(F.count("*").alias("n"))
+    return windows.join(counted, F.col("number") == F.col("of"), "left").select("start", "stop", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def months(rows: DataFrame, at: str) -> DataFrame:
+    """month (YYYY-MM), n: every month from the first to the last date of rows, with its rows."""
+    day = rows.select(F.to_date(at).alias("day")).where("day IS NOT NULL")
+    ends = day.agg(F.trunc(F.min("day"), "month").alias("first"), F.max("day").alias("last")).where("last IS NOT NULL")
+    every = ends.select(F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("d")).select(F.date_format("d", "yyyy-MM").alias("month"))
+    counted = day.groupBy(F.date_format("day", "yyyy-MM").alias("of")).agg(F.count("*").alias("n"))
+    return every.join(counted, F.col("month") == F.col("of"), "left").select("month", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def duplicates_by_name(rows: DataFrame, name: Column, key: str) -> DataFrame:

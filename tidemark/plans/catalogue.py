@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import numeric as N
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
-from tidemark.operators import features, matching, metrics, mining, relational, rules, vectors
+from tidemark.operators import features, matching, metrics, mining, ranges, relational, rules, vectors
 from tidemark.session import table
 from tidemark.sources import formats
 
@@ -250,7 +250,9 @@ def events_mad_floor(spark, d):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.6), 6) AS q60, count(*) AS n FROM events GROUP BY event_type")
 def events_quantile(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.6)), 6).alias("q60"), F.count("*").alias("n"))
+    e = table(spark, d, "events").select("event_type", "value")
+    n = e.groupBy(F.col("event_type").alias("k")).agg(F.count("*").alias("n"))
+    return ranges.quantiles(e, F.col("value"), {"q60": 0.6}, ["event_type"]).join(n, F.col("event_type").eqNullSafe(F.col("k"))).select("event_type", F.round("q60", 6).alias("q60"), "n")
 
 
 @query("SELECT event_type, sum(json_extract_string(props, '$.k')::INT)::BIGINT AS k_sum, count(*) FILTER (json_extract_string(props, '$.k')::INT > 5) AS k_large FROM events GROUP BY event_type")
@@ -391,10 +393,12 @@ def upsert_merge(spark, d):
     return out.select("url_hash", F.length("body").cast("long").alias("body_chars"), relational.date_rank(F.col("published_source")).alias("date_rank"), F.col("arrived").cast("timestamp_ntz").alias("arrived"), "versions")
 
 
-@query("SELECT list_sort(list_distinct(flatten(list(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_-]+'))))) AS tokens, lang, max(length(text)) AS longest FROM documents GROUP BY lang")
+@query("""WITH t AS (SELECT split_part(coalesce(text, ''), chr(10), 1) AS url, coalesce(text, '') AS text FROM documents)
+SELECT sha256(url) AS url, max(length(text)) AS longest, sha256(array_to_string(list_sort(list_distinct(flatten(list(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_-]+'))))), ' ')) AS tokens FROM t GROUP BY url""")
 def archive_merge(spark, d):
-    docs = table(spark, d, "documents").select(F.col("lang").alias("url"), F.col("text").alias("title"), F.lit("").alias("summary"), F.lit(None).cast("date").alias("published_on"), T.tokens("text").alias("tokens"))
-    return relational.merge_archive(docs).select(F.col("url").alias("lang"), F.length("title").cast("long").alias("longest"), "tokens")
+    """Documents of one first line united, as versions of one address."""
+    docs = table(spark, d, "documents").select(mining.title_of(F.col("text")).alias("url"), F.col("text").alias("title"), F.lit("").alias("summary"), F.lit(None).cast("date").alias("published_on"), T.tokens("text").alias("tokens"))
+    return relational.merge_archive(docs).select(F.sha2("url", 256).alias("url"), F.length("title").cast("long").alias("longest"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens"))
 
 
 @query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_-]+') AS w FROM documents),
@@ -481,11 +485,11 @@ def doc_hashing_embedding(spark, d):
     return vectors.hashing_embedding(docs, "title", 64).select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey // 7 * 7 AS b FROM orders WHERE o_custkey % 7 <> 0), x AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT DISTINCT a AS node, a AS c FROM x UNION SELECT x.b, r.c FROM r JOIN x ON x.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY node""")
+@query(f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {COS} >= 0.3),
+x AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS c FROM x UNION SELECT x.b, r.c FROM r JOIN x ON x.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY node""")
 def graph_components(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 7 <> 0").select(F.col("o_custkey").alias("a"), F.expr("o_custkey div 7 * 7").alias("b")).distinct()
-    return vectors.components(o)
+    """Vectors that chains of similar ones connect."""
+    return vectors.components(vectors.similar_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3, "label").select("a", "b"))
 
 
 FEATURES_SQL = f"""x AS (SELECT doc_id, coalesce(quality, 0) AS q, toxic, n_chars, {SQL_TYPE} AS type, 3 - substr(source, 4)::INT % 3 AS trust, (doc_id * 37 % 100) / 100.0 AS sim, (doc_id * 53 % 100) / 100.0 AS mat,

@@ -69,14 +69,13 @@ def word_forms(spark, d):
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, {NORMED.format(TITLE)} AS n FROM documents), p AS (SELECT *, list_slice(string_split(n, ' '), 2, 4) AS w FROM t WHERE n <> ''),
-k AS (SELECT *, array_to_string(list_append(list_slice(w, 1, len(w) - 1), {SINGULAR.format('w[-1]')}), ' ') AS phrase_key FROM p WHERE len(w) > 0)
+WITH t AS (SELECT doc_id, {NORMED.format(TITLE)} AS n FROM documents), p AS (SELECT *, string_split(n, ' ') AS w FROM t),
+k AS (SELECT *, array_to_string(list_append(list_slice(w, 1, len(w) - 1), {SINGULAR.format('w[-1]')}), ' ') AS phrase_key FROM p)
 SELECT doc_id, phrase_key, contains(' ' || n || ' ', ' ' || phrase_key || ' ') AS inside FROM k""")
 def title_phrase_key(spark, d):
-    """A phrase of the title with its last word in the singular, and whether the title has it so."""
-    n = T.normalize(_title())
-    rows = _docs(spark, d).select("doc_id", n.alias("n"), F.slice(F.split(n, " "), 2, 3).alias("w")).where("n <> '' AND size(w) > 0")
-    key = P.phrase_key(F.array_join("w", " "))
+    """The title with its last word in the singular, and whether the title has it so."""
+    rows = _docs(spark, d).select("doc_id", T.normalize(_title()).alias("n"))
+    key = P.phrase_key(F.col("n"))
     return rows.select("doc_id", key.alias("phrase_key"), T.words_within(key, F.col("n")).alias("inside"))
 
 
@@ -143,17 +142,20 @@ def request_plan(spark, d):
     return table(spark, d, "part").select("p_partkey", N.per_request_of(size * 37, F.pmod("p_partkey", F.lit(7)), 10, 250).alias("records"), N.since_of(F.lit("2024-02-01").cast("date"), size, 2021).alias("since"))
 
 
-@query(r"""
-WITH v AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'see [a](' || url || ') or [b](' || url || '), [c](http://x.org/' || page_id || ') by KNOWN leak -' ELSE 'at ' || coalesce(url, '') || '. and http://y.org/z;' END AS t, url FROM pages)
-SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'see a or b, c by' ELSE trim(regexp_replace(t, '\s\s+', ' ', 'g'), ' ,;—-') END AS cleaned,
-CASE WHEN page_id % 2 = 0 THEN [rtrim(url, '.,;)'), 'http://x.org/' || page_id] ELSE [rtrim(url, '.,;)'), 'http://y.org/z'] END AS urls FROM v WHERE url IS NOT NULL AND NOT contains(url, ')') AND NOT contains(url, ' ')""")
+LINKED = r"""regexp_extract_all(t, '\]\((https?://[^)\s]+)\)', 1)"""
+NAMED = r"""list_transform(CASE WHEN len(linked) > 0 THEN linked ELSE regexp_extract_all(t, '(https?://[^\s)\]]+)', 1) END, lambda u: rtrim(u, '.,;)'))"""
+
+
+@query(rf"""
+WITH v AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'see [a](' || coalesce(url, '') || ') or [b](' || coalesce(url, '') || '), [c](http://x.org/' || page_id || ') by KNOWN leak -' ELSE 'at ' || coalesce(url, '') || '. and http://y.org/z;' END AS t FROM pages),
+l AS (SELECT *, {LINKED} AS linked FROM v), n AS (SELECT *, {NAMED} AS named FROM l)
+SELECT page_id, trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(t, 'KNOWN leak', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g')), '\s*[—–-]\s*$', ''), '\s\s+', ' ', 'g'), ' ,;—-') AS cleaned, {DISTINCT.format("named")} AS urls FROM n""")
 def description_sources(spark, d):
     """Descriptions without leaks and links, and the URLs that they name."""
-    pages = table(spark, d, "pages").where(F.col("url").isNotNull() & ~F.contains("url", F.lit(")")) & ~F.contains("url", F.lit(" ")))
-    u, k = F.col("url"), F.col("page_id").cast("string")
+    u, k = F.coalesce("url", F.lit("")), F.col("page_id").cast("string")
     linked = F.concat(F.lit("see [a]("), u, F.lit(") or [b]("), u, F.lit("), [c](http://x.org/"), k, F.lit(") by KNOWN leak -"))
     t = F.when(F.pmod("page_id", F.lit(2)) == 0, linked).otherwise(F.concat(F.lit("at "), u, F.lit(". and http://y.org/z;")))
-    return pages.select("page_id", P.clean_description(t, ["KNOWN leak"]).alias("cleaned"), P.source_urls(t).alias("urls"))
+    return table(spark, d, "pages").select("page_id", P.clean_description(t, ["KNOWN leak"]).alias("cleaned"), P.source_urls(t).alias("urls"))
 
 
 MARKERS = (("ation", 3), ("ing", 1), ("heit", 4), ("ment", 2))
@@ -168,13 +170,13 @@ STEMS = "list_distinct(list_transform({}, lambda w: left(w, 5)))"
 
 
 @query(f"""
-WITH t AS (SELECT a.doc_id, coalesce(a.text, '') AS text, array_to_string(list_slice({TOKENS.format("coalesce(b.text, '')")}, 1, 4), ' ') AS term FROM documents a JOIN documents b ON b.doc_id = a.doc_id // 2),
+WITH t AS (SELECT a.doc_id, coalesce(a.text, '') AS text, {TITLE.replace("text", "b.text")} AS term FROM documents a JOIN documents b ON b.doc_id = a.doc_id // 2),
 s AS (SELECT *, {STEMS.format(TOKENS.format('term'))} AS w, {STEMS.format(TOKENS.format('text'))} AS c, {NORMED.format('term')} AS tn, {NORMED.format('text')} AS cn FROM t)
 SELECT doc_id, (tn <> '' AND contains(cn, tn)) OR (len(w) > 0 AND len(list_intersect(w, c)) / len(w) >= 0.6) AS held FROM s""")
 def term_in_sources(spark, d):
-    """Whether a document holds the first words of another one, literally or by stems."""
+    """Whether a document holds the first line of another one, literally or by stems."""
     docs = _docs(spark, d)
-    terms = docs.select(F.col("doc_id").alias("of"), F.array_join(F.slice(T.tokens("text"), 1, 4), " ").alias("term"))
+    terms = docs.select(F.col("doc_id").alias("of"), _title().alias("term"))
     rows = docs.join(terms, F.floor(F.col("doc_id") / 2) == F.col("of"))
     return rows.select("doc_id", P.term_in_sources(F.col("term"), F.col("text")).alias("held"))
 
@@ -200,7 +202,7 @@ def features_mentioned(spark, d):
 
 @query(r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, lang FROM documents),
-x AS (SELECT *, 'in 2024 about ' || length(text) || ' of 9 [doc:1] [doc:' || doc_id % 5 || '] ' || left(text, 200) AS said, length(text) || ' and more ' || left(text, 100 + 100 * (doc_id % 2)::INT) AS src FROM t),
+x AS (SELECT *, 'in 2024 about ' || length(text) || ' of 9 [doc:1] [doc:' || doc_id % 5 || '] ' || text AS said, length(text) || ' and more ' || CASE WHEN doc_id % 2 = 1 THEN text ELSE left(text, length(text) // 2) END AS src FROM t),
 n AS (SELECT *, regexp_extract_all(trim(regexp_replace(said, '\s*\[doc:\d+\]', '', 'g')), '\d+(?:\.\d+)?') AS a, regexp_extract_all(src, '\d+(?:\.\d+)?') AS b FROM x),
 v AS (SELECT *, list_distinct(list_filter(list_transform(a, lambda z: z::DOUBLE), lambda z: abs(z) > 2 AND NOT (z >= 2000 AND z <= 2030 AND z = floor(z)))) AS an, list_transform(b, lambda z: z::DOUBLE) AS bn FROM n),
 c AS (SELECT doc_id, len(list_filter(an, lambda z: NOT list_contains(bn, z))) AS bad,
@@ -210,8 +212,8 @@ def narrative_grounding(spark, d):
     """Numbers, references and features of a narrative against its sources."""
     t, k = T.empty_if_null("text"), F.col("doc_id")
     n = F.length(t).cast("string")
-    said = F.concat(F.lit("in 2024 about "), n, F.lit(" of 9 [doc:1] [doc:"), (k % 5).cast("string"), F.lit("] "), F.left(t, F.lit(200)))
-    src = F.concat(n, F.lit(" and more "), F.left(t, (100 + 100 * (k % 2)).cast("int")))
+    said = F.concat(F.lit("in 2024 about "), n, F.lit(" of 9 [doc:1] [doc:"), (k % 5).cast("string"), F.lit("] "), t)
+    src = F.concat(n, F.lit(" and more "), F.when(k % 2 == 1, t).otherwise(F.left(t, F.floor(F.length(t) / 2).cast("int"))))
     return _docs(spark, d).select("doc_id", P.grounding(said, src, F.lit(3), ["the", "about"]).alias("g")).select("doc_id", "g.*")
 
 
@@ -250,17 +252,16 @@ def source_outcomes(spark, d):
 
 
 @query("""
-WITH c AS (SELECT p_partkey, p_size / 64.0 AS s, [('Size', p_size / 4.0 - 5), ('Key', (p_partkey % 9) - 4.0), ('None', 0.0)] AS f FROM part),
+WITH c AS (SELECT p_partkey, p_size / 61.0::DOUBLE AS s, [('Size', p_size / 4.0 - 5), ('Key', (p_partkey % 9) - 4.0), ('None', 0.0)] AS f FROM part),
 r AS (SELECT p_partkey, s, list_slice(list_sort(list_transform(f, lambda x, i: struct_pack(a := -abs(x[2]), i := i, l := x[1], v := x[2]))), 1, 2) AS top FROM c),
 t AS (SELECT p_partkey, s, array_to_string(list_transform(list_filter(top, lambda x: x.v <> 0), lambda x: format('{} ({:+.2f})', lower(x.l), x.v::DOUBLE)), ', ') AS parts FROM r)
-SELECT p_partkey, 'Calibrated probability ' || format('{:.2f}', s::DOUBLE) || ' is ' || CASE WHEN s >= 0.5 THEN 'at least' ELSE 'below' END || ' the threshold 0.50.' || CASE WHEN parts <> '' THEN ' Largest contributions: ' || parts || '.' ELSE '' END AS said FROM t
-WHERE (s * 200) % 2 <> 1""")
+SELECT p_partkey, 'Calibrated probability ' || format('{:.2f}', s::DOUBLE) || ' is ' || CASE WHEN s >= 0.5 THEN 'at least' ELSE 'below' END || ' the threshold 0.50.' || CASE WHEN parts <> '' THEN ' Largest contributions: ' || parts || '.' ELSE '' END AS said FROM t""")
 def decision_explanations(spark, d):
-    """Sentences on scores; those that lie between two roundings are left to the test."""
+    """Sentences on the scores of all parts."""
     k = F.pmod("p_partkey", F.lit(9)) - 4.0
     f = F.array(*[F.struct(F.lit(n).alias("label"), v.cast("double").alias("value")) for n, v in (("Size", F.col("p_size") / 4.0 - 5), ("Key", k), ("None", F.lit(0.0)))])
-    s = F.col("p_size") / 64.0
-    return table(spark, d, "part").where((s * 200) % 2 != 1).select("p_partkey", P.explain_decision(s, F.lit(0.5), f).alias("said"))
+    s = F.col("p_size") / 61.0
+    return table(spark, d, "part").select("p_partkey", P.explain_decision(s, F.lit(0.5), f).alias("said"))
 
 
 @query(f"""
@@ -402,11 +403,11 @@ def latest_matching(spark, d):
 
 @query("""
 WITH c AS (SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN '3' WHEN 1 THEN '99' WHEN 2 THEN 'x' WHEN 3 THEN '2.7' END AS stage, CASE n_nationkey % 3 WHEN 0 THEN '1.4' WHEN 1 THEN '-2' ELSE '0.25' END AS conf FROM nation)
-SELECT n_nationkey, least(greatest(try_cast(try_cast(stage AS DOUBLE) AS INT), 1), 4) AS stage, least(greatest(try_cast(conf AS DOUBLE), 0.0), 1.0) AS confidence FROM c WHERE try_cast(stage AS DOUBLE) IS NOT NULL AND n_nationkey % 5 <> 3""")
+SELECT n_nationkey, least(greatest(trunc(try_cast(stage AS DOUBLE))::INT, 1), 4) AS stage, least(greatest(try_cast(conf AS DOUBLE), 0.0), 1.0) AS confidence FROM c WHERE try_cast(stage AS DOUBLE) IS NOT NULL""")
 def verdict_coercion(spark, d):
     """Answers with types and ranges forced; those without a stage are dropped."""
     m, c = F.pmod("n_nationkey", F.lit(5)), F.pmod("n_nationkey", F.lit(3))
-    rows = table(spark, d, "nation").where("n_nationkey % 5 <> 3").select("n_nationkey", F.when(m == 0, "3").when(m == 1, "99").when(m == 2, "x").when(m == 3, "2.7").alias("stage"), F.when(c == 0, "1.4").when(c == 1, "-2").otherwise("0.25").alias("confidence"))
+    rows = table(spark, d, "nation").select("n_nationkey", F.when(m == 0, "3").when(m == 1, "99").when(m == 2, "x").when(m == 3, "2.7").alias("stage"), F.when(c == 0, "1.4").when(c == 1, "-2").otherwise("0.25").alias("confidence"))
     return reports.coerced(rows, {"stage": ("int", 1, 4), "confidence": ("double", 0.0, 1.0)}, required=("stage",))
 
 

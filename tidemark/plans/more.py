@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as N
 from tidemark.functions import text as T
-from tidemark.operators import learning, mining, relational, selection, vectors
+from tidemark.operators import learning, mining, ranges, relational, selection, vectors
 from tidemark.operators.ranges import running
 from tidemark.session import table
 
@@ -38,9 +38,10 @@ def group_representative(spark, d):
     return selection.representative(o, "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")], ["o_orderkey", "o_orderdate"])
 
 
-@query("SELECT source, substr(sha256(string_agg(doc_id::VARCHAR, '|' ORDER BY doc_id::VARCHAR)), 1, 32) AS id FROM documents GROUP BY source")
+@query("SELECT o_custkey, substr(sha256(string_agg(o_orderkey::VARCHAR, '|' ORDER BY o_orderkey::VARCHAR)), 1, 32) AS id FROM orders GROUP BY o_custkey")
 def stable_ids(spark, d):
-    return selection.stable_ids(table(spark, d, "documents"), "source", "doc_id")
+    """A name of each customer's orders: the members of one cluster are few."""
+    return selection.stable_ids(table(spark, d, "orders"), "o_custkey", "o_orderkey")
 
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AS current FROM orders")
@@ -54,14 +55,19 @@ def cache_ttl(spark, d):
     return selection.fresh(o, "day", F.lit(date(1998, 8, 1)), 400).select("o_orderkey")
 
 
-@query("SELECT greatest(DATE '2024-05-01' - (i * 90 + 90)::INT, DATE '2023-01-01') AS start, DATE '2024-05-01' - (i * 90)::INT AS stop FROM range(6) t(i)")
+@query("""WITH e AS (SELECT min(o_orderdate)::DATE AS first, max(o_orderdate)::DATE AS last FROM orders), w AS (SELECT unnest(range(greatest(ceil((last - first) / 90), 1)::BIGINT)) AS i, first, last FROM e),
+s AS (SELECT greatest(last - (i * 90 + 90)::INT, first) AS start, last - (i * 90)::INT AS stop, first FROM w)
+SELECT start, stop, (SELECT count(*) FROM orders WHERE (o_orderdate::DATE > start OR (start = first AND o_orderdate::DATE = first)) AND o_orderdate::DATE <= stop) AS n FROM s""")
 def history_windows(spark, d):
-    return selection.history_windows(spark, date(2023, 1, 1), date(2024, 5, 1))
+    """Windows of ninety days back from the last order, with their orders."""
+    return selection.history_windows(table(spark, d, "orders"), "o_orderdate")
 
 
-@query("SELECT strftime(m, '%Y-%m') AS month FROM (SELECT unnest(generate_series(DATE '2023-11-01', DATE '2024-03-15', INTERVAL 1 MONTH)) AS m)")
+@query("""WITH m AS (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), max(o_orderdate), INTERVAL 1 MONTH)) AS m FROM orders)
+SELECT strftime(m, '%Y-%m') AS month, (SELECT count(*) FROM orders WHERE strftime(o_orderdate, '%Y-%m') = strftime(m, '%Y-%m')) AS n FROM m""")
 def month_enumeration(spark, d):
-    return selection.months(spark, date(2023, 11, 20), date(2024, 3, 15))
+    """Every month between the first and the last order, with its orders."""
+    return selection.months(table(spark, d, "orders"), "o_orderdate")
 
 
 @query("SELECT lower(c_mktsegment) || ':' || c_nationkey AS name, count(*) AS n, min(c_custkey) AS first_key, max(c_custkey) AS last_key FROM customer GROUP BY 1 HAVING n > 1")
@@ -173,7 +179,8 @@ def phrase_relevance(spark, d):
 @query("SELECT floor((quantile_cont(p, 0.05) - 0.02) * 100) / 100 AS floor, count(*) AS n FROM (SELECT l_discount + l_tax AS p FROM lineitem)")
 def similarity_floor(spark, d):
     p = table(spark, d, "lineitem").select((F.col("l_discount") + F.col("l_tax")).alias("p"))
-    return p.agg((F.floor((F.percentile("p", F.lit(0.05)) - 0.02) * 100) / 100).alias("floor"), F.count("*").alias("n"))
+    low = ranges.quantiles(p, F.col("p"), {"q": 0.05})
+    return low.crossJoin(p.agg(F.count("*").alias("n"))).select((F.floor((F.col("q") - 0.02) * 100) / 100).alias("floor"), "n")
 
 
 @query("SELECT l_returnflag, l_linestatus, max(CASE WHEN m = 'AIR' THEN n END) AS air FROM (SELECT l_returnflag, l_linestatus, CASE WHEN l_linenumber % 2 = 0 THEN 'AIR' ELSE 'SEA' END AS m, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY ALL")
