@@ -41,6 +41,26 @@ def best_match(rows: DataFrame, vector: str, targets: DataFrame, label: str) ->
     return out.withColumn("best", -F.col("__best.l")).withColumn("similarity", F.col("__best.s")).drop("__best", "targets")
 
 
+def query_vector(phrases: DataFrame, query: str, vector: str) -> DataFrame:
+    """query, vector: the unit mean of the unit vectors of a query's phrases, so that each phrase counts
+    alike whatever its length."""
+    units = phrases.select(query, N.unit(N.doubles(vector)).alias("__u"))
+    return centroids(units, query, "__u").select(query, F.col("centroid").alias("vector"))
+
+
+def cluster_view(rows: DataFrame, cluster: str, key: str, vector: str, query: DataFrame) -> DataFrame:
+    """cluster, key, similarity (to the centre of the cluster), n, relevance (of the centre to the query, a
+    table of one vector), all between 0 and 1; the centre is the unit mean of the unit vectors. One
+    aggregation, joined back."""
+    units = rows.select(cluster, key, N.unit(N.doubles(vector)).alias("__u"))
+    centre = centroids(units, cluster, "__u").select(F.col(cluster).alias("__c"), "n", "centroid")
+    clipped = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    asked = query.limit(1).select(F.col("vector").alias("__q"))
+    centre = centre.crossJoin(F.broadcast(asked)).withColumn("relevance", clipped(N.cosine(F.col("centroid"), F.col("__q"))))
+    out = units.join(centre, F.col(cluster).eqNullSafe(F.col("__c")))
+    return out.select(cluster, key, clipped(N.cosine(F.col("__u"), F.col("centroid"))).alias("similarity"), "n", "relevance")
+
+
 def centred(rows: DataFrame, vector: str) -> DataFrame:
     """rows whose vectors have the collection's mean subtracted (one row: unchanged)."""
     dims = rows.select(F.posexplode(N.doubles(vector)).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("x"), F.count("*").alias("n"))

@@ -231,7 +231,7 @@ def source_cards(spark, d):
 @query(f"SELECT doc_id, regexp_matches(coalesce(text, ''), '{P.REVIEW}') AS review, regexp_matches(coalesce(text, ''), '{P.MARKET}') AS market FROM documents")
 def review_market_flags(spark, d):
     t = T.empty_if_null("text")
-    return _docs(spark, d).select("doc_id", t.rlike(P.REVIEW).alias("review"), t.rlike(P.MARKET).alias("market"))
+    return _docs(spark, d).select("doc_id", P.is_review("text").alias("review"), P.is_market("text").alias("market"))
 
 
 @query(r"SELECT doc_id, len(list_distinct(regexp_extract_all(coalesce(text, ''), '\p{Lu}[\p{L}\p{N}&.-]+(?: \p{Lu}[\p{L}\p{N}&.-]+)+'))) AS organisations FROM documents")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import mining, translation
+from tidemark.operators import events, experiments, mining, translation, vectors
 from tidemark.session import table
 
 from .catalogue import query
 from .columns import OTHER, STEM, STOPS
+from .scoring import staged_rows
 
 #: Words that a glossary has to translate, in the driver's invented languages: those in a to m.
 FOREIGN = "^[a-m]"
@@ -54,3 +55,82 @@ def topic_anchors(spark, d):
 def topic_keywords(spark, d):
     """The first sixteen words of the titles of each source."""
     return translation.topic_keywords(_titles(spark, d), "source", "doc_id", "title", T.STOP_WORDS).withColumn("pos", F.col("pos").cast("long"))
+
+
+# ---- events
+#: Words that stand for the verbs of events in the driver's invented texts.
+CUE_VERBS = ("the", "of", "and", "der", "und", "que", "les", "ein")
+
+
+@query()
+def event_entities(spark, d):
+    """The hundred names that documents mention most before one of the cue words."""
+    return events.top_entities(table(spark, d, "documents"), F.col("text"), 100, verbs=CUE_VERBS)
+
+
+VOCABULARY = f"""{TITLED}, f AS (SELECT source, word, min((doc_id, pos)) AS first FROM k GROUP BY source, word), t AS (SELECT source, word FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY first) <= 16),
+v AS (SELECT DISTINCT source, unnest(list_filter([word, {OTHER.format("word")}], lambda x: x IS NOT NULL)) AS word FROM t),
+cue AS (SELECT list(DISTINCT w) AS cues FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_-]+')) AS w FROM benchmark) WHERE length(w) >= 8),
+i AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_-]+')) AS tokens FROM documents),
+l AS (SELECT source, list(word) AS words FROM v GROUP BY source),
+c AS (SELECT source, doc_id, tokens, len(list_intersect(tokens, words)) AS overlap FROM i, l, cue WHERE list_has_any(tokens, words) AND list_has_any(tokens, cues))"""
+
+
+def _event_parts(spark, d):
+    """The index of documents, the vocabulary of each source and the candidates."""
+    docs = table(spark, d, "documents")
+    words = translation.topic_keywords(_titles(spark, d), "source", "doc_id", "title", T.STOP_WORDS)
+    none = words.select("source", F.col("word").alias("phrase"), "pos").where("false")
+    vocabulary = events.vocabulary(words, none, "source", T.STOP_WORDS)
+    cues = table(spark, d, "benchmark").select(F.explode(T.tokens("text")).alias("word")).where("length(word) >= 8")
+    index = events.inverted_index(docs, "doc_id", "text")
+    return index, vocabulary, events.candidates(index, "doc_id", vocabulary, "source", cues)
+
+
+@query(f"WITH {VOCABULARY} SELECT source, doc_id, overlap::BIGINT AS overlap FROM c")
+def event_candidates(spark, d):
+    """Documents with a word of a source's vocabulary and a cue."""
+    return _event_parts(spark, d)[2]
+
+
+BASE = "CASE WHEN length({0}) > 4 AND ends_with({0}, 'ies') THEN left({0}, length({0}) - 3) || 'y' WHEN length({0}) > 3 AND ends_with({0}, 's') AND NOT regexp_matches({0}, '(ss|us|is)$') THEN left({0}, length({0}) - 1) ELSE {0} END"
+
+
+@query(f"""WITH {VOCABULARY}, b AS (SELECT DISTINCT source, {BASE.format("word")} AS base FROM v),
+m AS (SELECT DISTINCT source, doc_id, base FROM (SELECT source, doc_id, {BASE.format("w")} AS base FROM (SELECT source, doc_id, unnest(tokens) AS w FROM c)) JOIN b USING (source, base)),
+df AS (SELECT source, base, count(*) AS df FROM m GROUP BY ALL), n AS (SELECT source, count(DISTINCT doc_id) AS n FROM m GROUP BY source),
+s AS (SELECT source, doc_id, count(*) AS matched, sum(ln((n + 1) / (df + 0.5))) AS score FROM m JOIN df USING (source, base) JOIN n USING (source) GROUP BY ALL HAVING matched >= 2)
+SELECT source, doc_id, matched, round(score, 6) AS score, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, n_chars DESC NULLS LAST, doc_id) AS pos FROM s JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id) QUALIFY pos <= 10""")
+def event_ranking(spark, d):
+    """The ten candidates of each source whose matched words are rarest."""
+    index, vocabulary, found = _event_parts(spark, d)
+    newest = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("at"))
+    out = events.ranked(index, found, "doc_id", vocabulary, "source", newest, 2, 10)
+    return out.withColumns({"score": F.round("score", 6), "pos": F.col("pos").cast("long")})
+
+
+# ---- views and experiments
+@query("""WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings),
+d AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(e) AS x, unnest(range(64)) AS i FROM u) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) AS v FROM d GROUP BY label), k AS (SELECT label, count(*) AS n FROM u GROUP BY label),
+q AS (SELECT list(x ORDER BY i) AS q FROM (SELECT i, avg(x) AS x FROM (SELECT unnest(e) AS x, unnest(range(64)) AS i FROM u WHERE label = (SELECT min(label) FROM u)) GROUP BY i))
+SELECT label, vec_id, round(greatest(0, least(1, list_cosine_similarity(e, v))), 4) AS similarity, n, round(greatest(0, least(1, list_cosine_similarity(v, q))), 4) AS relevance FROM u JOIN c USING (label) JOIN k USING (label), q""")
+def cluster_view(spark, d):
+    """Vectors against the centre of their label, and each centre against the vector of a query whose
+    phrases are the vectors of the first label."""
+    e = table(spark, d, "embeddings")
+    first = e.crossJoin(F.broadcast(e.agg(F.min("label").alias("first")))).where("label = first").withColumn("query", F.lit(1))
+    out = vectors.cluster_view(e, "label", "vec_id", "embedding", vectors.query_vector(first, "query", "embedding"))
+    return out.withColumns({"similarity": F.round("similarity", 4), "relevance": F.round("relevance", 4)})
+
+
+def experiment_setups():
+    groups = {"size": (0, 1), "signs": (2, 3, 4), "variety": (5,)}
+    alone = [experiments.Setup("length only", only=(0,)), experiments.Setup("nothing", only=(99,))]
+    return [*experiments.learning_curve(seeds=2), *experiments.ablations(groups), *experiments.label_noise((0.1, 0.3), 2), *alone, *experiments.leave_one_out([f"src{i}" for i in range(3)])]
+
+
+@query()
+def training_experiments(spark, d):
+    """A learning curve, ablations, label noise, a length-only baseline and folds by source."""
+    rows = staged_rows(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return experiments.run(rows, "doc_id", "x", "label", "source", experiment_setups())
