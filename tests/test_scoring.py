@@ -205,3 +205,27 @@ def test_profile_features_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in scoring._features(spark, SF).collect():
         assert set(r.features) == plain_features(docs[r.doc_id])
+
+
+def test_projections_of_observations(spark):
+    rows = {r.source: r for r in scoring.observations(spark, SF).collect()}
+    got = {r.source: r for r in scoring.observation_vectors(spark, SF).collect()}
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    for s, r in rows.items():
+        u = unit(unit(r.title_vector) + np.mean([unit(e.vector) for e in r.evidence], axis=0))
+        want = [np.clip((u[i] - 0.01) / (0.05 * (i + 1)), -5, 5) for i in range(8)]
+        assert [got[s][f"emb_pc_{i + 1}"] for i in range(8)] == pytest.approx(want)
+    assert len(got) == len(rows) > 10
+
+
+def test_observations_without_topic_or_evidence(spark):
+    from tidemark.operators import registry
+
+    kind = "k int, title string, title_vector array<double>, topic string, topic_terms array<string>, topic_vector array<double>, evidence array<struct<title:string,type:string,trust:string,year:int,vector:array<double>>>, cluster_similarity double"
+    v = [1.0] + [0.0] * 63
+    rows = [(1, "early thing", v, None, None, None, [("a", "PUBLICATION", "HIGH", 2023, v)], 0.5), (2, None, v, "topic words", ["topic"], v, None, None), (3, "t", [0.0] * 64, "topic", ["topic"], v, [(None, None, None, None, [0.0] * 64)] * 12, float("nan"))]
+    got = {r.k: r for r in registry.observation_features(spark.createDataFrame(rows, kind), "k", scoring.LEX, scoring.STAGED, 2023, scoring.projection()).collect()}
+    assert got[1].has_topic == got[1].rel_query_title == got[1].trusted_share == 0 and got[1].lex_emergence_share == 0.5
+    assert got[2].has_topic == 1 and got[2].has_evidence == 0 and got[2].rel_query_title == 1
+    assert got[3].evidence_count == 1 and got[3].rel_cluster_query_v1 == 0 and got[3].spec_title_evidence_sim == 0
+    assert all(np.isfinite(x) for r in got.values() for x in r[1:])

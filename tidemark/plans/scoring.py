@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import profiles as P
 from tidemark.functions import text as T
-from tidemark.operators import packing, profiles, refill, sequential, thresholds
+from tidemark.operators import mining, packing, profiles, refill, registry, relational, sequential, thresholds
 from tidemark.session import table
 from tidemark.sources import answers
 
@@ -235,3 +235,88 @@ def metadata_kept(spark, d):
     meta = F.create_map(F.lit("title"), F.col("text"), F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"), F.lit("size"), F.col("n_chars").cast("string"), F.lit("secret"), F.lit("x"))
     kept = answers.kept_metadata(meta, ["title", "lang", "source", "size"], 90, 60)
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("kept"))
+
+
+# ---- the registry of observation features
+LEX = {"emergence": ("early", "der", "que"), "maturity": ("the", "les"), "hype": ("und", "el"), "funding": r"[$€]|\bof\b", "bigtech": ("la", "and")}
+STAGED = {1: ("thing", "ein"), 3: ("tion", "une"), 5: ("heit", "para")}
+OVERVIEW = r"(?i)\b(of|der|les|los)\b"
+TYPED = "CASE doc_id % 5 WHEN 0 THEN 'PUBLICATION' WHEN 1 THEN 'PREPRINT' WHEN 2 THEN 'NEWS_MEDIA' WHEN 3 THEN 'BLOG' ELSE 'CODE_REPOSITORY' END"
+TRUST = "CASE doc_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END"
+YEAR = "CASE WHEN doc_id % 7 > 0 THEN 2018 + doc_id % 6 END"
+
+
+def observations(spark, d):
+    """A source as an observation: its first eight documents are the evidence, the first one the
+    candidate and the last of them the topic."""
+    docs = relational.first_per_group(table(spark, d, "documents").where("source IS NOT NULL"), "source", [F.col("doc_id").asc()], 8)
+    vectors_ = table(spark, d, "embeddings").select(F.col("vec_id").alias("v_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = docs.withColumn("title", mining.title_of(F.col("text"))).join(vectors_, F.col("doc_id") % 100 == F.col("v_id"))
+    entry = F.struct("doc_id", "title", F.expr(TYPED).alias("type"), F.expr(TRUST).alias("trust"), F.expr(YEAR).cast("int").alias("year"), "vector")
+    found = rows.groupBy("source").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    first, last = F.element_at("e", 1), F.element_at("e", -1)
+    evidence = F.transform("e", lambda x: F.struct(x["title"].alias("title"), x["type"].alias("type"), x["trust"].alias("trust"), x["year"].alias("year"), x["vector"].alias("vector")))
+    return found.select("source", first["title"].alias("title"), first["vector"].alias("title_vector"), last["title"].alias("topic"), registry.stems(last["title"]).alias("topic_terms"), last["vector"].alias("topic_vector"), evidence.alias("evidence"), (F.size("e") / 10).alias("cluster_similarity"))
+
+
+def projection():
+    """Axes along the first eight dimensions."""
+    return registry.Projection([0.01] * 64, [[1.0 if j == i else 0.0 for j in range(64)] for i in range(8)], [0.05 * (i + 1) for i in range(8)])
+
+
+_STEMS = "list_distinct(list_transform(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_-]+'), lambda w: length(w) >= 3 AND NOT list_contains([" + _IN(f"'{w}'" for w in T.STOP_WORDS) + "], w)), lambda w: left(w, 5)))"
+
+
+def _sql_holds(words, t):
+    return f"regexp_matches(lower({t}), '{words}')" if isinstance(words, str) else f"list_has_any(regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_-]+'), [{_IN(repr(w) for w in words)}])"
+
+
+def _sql_share(words):
+    return f"len(list_filter(texts, lambda t: {_sql_holds(words, 't')})) / len(texts)"
+
+
+_OF = "len(list_filter(ev, lambda x: {})) / n"
+
+
+@query(f"""WITH e AS (SELECT source, doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title, {TYPED} AS type, {TRUST} AS trust, {YEAR} AS year, embedding::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE source IS NOT NULL) JOIN embeddings ON vec_id = doc_id % 100 WHERE r <= 8),
+u AS (SELECT *, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM e),
+o AS (SELECT source, list(struct_pack(title := title, type := type, trust := trust, year := year, u := u) ORDER BY doc_id) AS ev, count(*) AS n, min_by(title, doc_id) AS title, min_by(u, doc_id) AS tv, max_by(title, doc_id) AS topic, max_by(u, doc_id) AS q FROM u GROUP BY source),
+s AS (SELECT *, trim(topic) != '' AS asked, {_STEMS.format('title')} AS ts, {_STEMS.format('topic')} AS terms, list_prepend(title, list_transform(ev, lambda x: x.title)) AS texts, list_filter(list_transform(ev, lambda x: x.year), lambda y: y IS NOT NULL) AS years FROM o),
+f AS (SELECT source, asked::INT::DOUBLE AS has_topic, CASE WHEN asked THEN list_dot_product(q, tv) ELSE 0 END AS rel_query_title, CASE WHEN asked THEN n / 10 ELSE 0 END AS rel_cluster_query_v1,
+ CASE WHEN asked THEN list_avg(list_transform(ev, lambda x: list_dot_product(q, x.u))) ELSE 0 END AS rel_query_evidence_mean, CASE WHEN asked THEN list_max(list_transform(ev, lambda x: list_dot_product(q, x.u))) ELSE 0 END AS rel_query_evidence_max,
+ CASE WHEN asked AND len(terms) > 0 THEN len(list_intersect(ts, terms)) / len(terms) ELSE 0 END AS rel_terms_title, CASE WHEN asked AND len(terms) > 0 AND len(ts) > 0 THEN len(list_intersect(ts, terms)) / len(ts) ELSE 0 END AS spec_title_topic_overlap,
+ CASE WHEN asked AND len(terms) > 0 THEN len(list_filter(ev, lambda x: list_has_any({_STEMS.format('x.title')}, terms))) / n ELSE 0 END AS rel_terms_evidence_share,
+ least(len(ts), 12) / 12 AS spec_title_length, len(list_filter(ev, lambda x: regexp_matches(x.title, '{OVERVIEW}'))) / n AS spec_overview_share,
+ CASE WHEN asked AND n >= 2 THEN (list_sum(list_transform(ev, lambda a: list_sum(list_transform(ev, lambda b: list_dot_product(a.u, b.u))))) - n) / (n * (n - 1)) ELSE 0 END AS spec_evidence_cohesion,
+ CASE WHEN asked THEN list_avg(list_transform(ev, lambda x: list_dot_product(x.u, tv))) ELSE 0 END AS spec_title_evidence_sim, {", ".join(f"{_sql_share(w)} AS lex_{k}_share" for k, w in LEX.items())},
+ greatest({", ".join(f"CASE WHEN len(list_filter(texts, lambda t: {_sql_holds(w, 't')})) > 0 THEN {k} ELSE 0 END" for k, w in STAGED.items())}) / 5 AS lex_stage_max,
+ asked::INT::DOUBLE AS has_evidence, asked::INT * n / 8 AS evidence_count, asked::INT * {_OF.format("x.type IN ('PUBLICATION', 'PREPRINT')")} AS share_scientific, asked::INT * {_OF.format("x.type IN ('NEWS_MEDIA', 'INDUSTRY_MEDIA')")} AS share_news_media,
+ asked::INT * {_OF.format("x.type IN ('PRESS_RELEASE', 'BLOG')")} AS share_marketing, asked::INT * {_OF.format("x.type IN ('CODE_REPOSITORY', 'VACANCY')")} AS share_code, asked::INT * {_OF.format("x.trust = 'HIGH'")} AS trusted_share, asked::INT * {_OF.format("x.trust = 'LOW'")} AS low_trust_share,
+ asked::INT * least(len(list_distinct(list_transform(ev, lambda x: x.type))), 4) / 4 AS source_diversity, CASE WHEN asked AND len(years) > 0 THEN len(list_filter(years, lambda y: y >= 2022)) / len(years) ELSE 0 END AS recent_publication_share, asked::INT * len(years) / n AS dated_share FROM s)
+SELECT source, {", ".join(f"round({n}, 6)::DOUBLE AS {n}" for n in registry.SCALARS)} FROM f""")
+def observation_scalars(spark, d):
+    """The 29 scalar features of every source as an observation."""
+    out = observation_vectors(spark, d)
+    return out.select("source", *[F.round(n, 6).alias(n) for n in registry.SCALARS])
+
+
+@query()
+def observation_vectors(spark, d):
+    """The whole vector of 37 features of every source as an observation."""
+    return registry.observation_features(observations(spark, d), "source", LEX, STAGED, 2023, projection(), OVERVIEW)
+
+
+@query(f"""WITH e AS (SELECT source, doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title, {TYPED} AS type, {TRUST} AS trust, {YEAR} AS year FROM documents WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 8),
+o AS (SELECT source, min(doc_id) AS i, count(*) AS n, avg((type NOT IN ('CODE_REPOSITORY') AND NOT (type = 'PREPRINT' AND trust != 'HIGH'))::INT) AS independent_share, avg((type = 'CODE_REPOSITORY')::INT) AS code_share,
+  avg(regexp_matches(title, '{OVERVIEW}')::INT) AS review_share, list(year) FILTER (year IS NOT NULL) AS years FROM e GROUP BY source)
+SELECT source, (i % 4 = 0)::INT::DOUBLE AS code_r, (i % 4 = 3)::INT::DOUBLE AS code_noise, n::DOUBLE AS sources, round(independent_share, 6) AS independent_share, round(code_share, 6) AS code_share, round(review_share, 6) AS review_share,
+ round(coalesce(len(list_filter(years, lambda y: y >= list_max(years) - 1)) / len(years), 0), 6) AS recent_share, CASE WHEN i % 2 = 0 THEN 0.5 ELSE i / 100 END AS analyzer_score,
+ round(CASE WHEN i % 3 = 0 THEN 0.9 WHEN i % 3 = 1 THEN CASE i % 4 WHEN 0 THEN 0.7 WHEN 1 THEN 0.45 ELSE 0.2 END + 0.05 * 0.25 ELSE 0.33333 END, 4)::DOUBLE AS probability FROM o""")
+def rubric_features(spark, d):
+    """Features of a verdict on every source, and the probability of its candidate."""
+    o = observations(spark, d).join(table(spark, d, "documents").groupBy(F.col("source").alias("s")).agg(F.min("doc_id").alias("i")), F.col("source") == F.col("s"))
+    code = F.element_at(F.array(*map(F.lit, ("R", "U", "N-OFF", "N-HYP"))), (F.col("i") % 4 + 1).cast("int"))
+    rows = o.withColumns({"sources": F.col("evidence"), "code": code, "confidence": F.lit(0.25), "stage": F.lit(1), "trend": F.lit(2), "score": F.when(F.col("i") % 2 == 1, F.col("i") / 100)})
+    p = registry.candidate_probability(F.when(F.col("i") % 3 == 0, 0.9), F.when(F.col("i") % 3 == 2, 0.33333), F.col("code"), F.col("confidence")).alias("probability")
+    out = registry.rubric_features(rows, "source", OVERVIEW).join(rows.select(F.col("source").alias("r"), p), F.col("source") == F.col("r"))
+    return out.select("source", F.col("code_R").alias("code_r"), F.col("code_NOISE").alias("code_noise"), "sources", *[F.round(c, 6).alias(c) for c in ("independent_share", "code_share", "review_share", "recent_share")], "analyzer_score", "probability")
