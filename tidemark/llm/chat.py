@@ -95,8 +95,9 @@ def expand(turns: DataFrame) -> DataFrame:
     Examples are numbered from 0 within a conversation; the mask is [loss_start, loss_end) in
     code points of text. Turns are ordered by turn (null first), ties by role and text; rows that
     repeat are turns of their own. A null role or text is empty. A row without a conv_id belongs to
-    no other, so each is a conversation of one turn. Other columns are not read. The rows of a
-    conversation follow each other in order."""
+    no other, so each is a conversation of one turn. Very long texts are taken whole, an empty table
+    gives an empty result. Other columns are not read. The rows of a conversation follow each other
+    in order."""
     conv = turns.schema["conv_id"].dataType
     out = StructType([StructField("conv_id", conv), StructField("example", LongType()), StructField("kind", StringType()), StructField("text", StringType()), StructField("loss_start", LongType()), StructField("loss_end", LongType())])
     ordered = turns.select("conv_id", "turn", "role", "text").repartition("conv_id", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))).sortWithinPartitions("conv_id", "turn", "role", "text")

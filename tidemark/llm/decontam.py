@@ -93,7 +93,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, se
     from 1) for every row of docs (doc_id, text).
 
     A word inside any occurrence of a benchmark window is hit. Null and empty texts have no words
-    and no hits; a repeated row gives a repeated result; an empty benchmark or table hits
+    and no hits, very long ones are taken whole; a repeated row gives a repeated result; an empty benchmark or table hits
     nothing. Other columns are not read."""
     windows = benchmark_windows(benchmark, size)
     head = windows.select("length", "h").distinct().limit(set_limit + 1).collect()
@@ -155,7 +155,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
 
     mode "documents" drops documents with a hit; "spans" removes the hit words and the separators
     after them from the text and keeps the rest. Rows are matched by doc_id and a hash of the
-    text, so rows that repeat a doc_id are judged by their own text."""
+    text, so rows that repeat a doc_id are judged by their own text. Null, empty and very long texts
+    as in find_contamination(): nulls and empty texts are kept. An empty table gives an empty result."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "documents":

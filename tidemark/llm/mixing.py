@@ -84,8 +84,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, slo
 
     size is the number of words of the text (null: 0); taken the words that the mix takes of it,
     repeats counted, never above cap * size. The order of documents depends on seed, doc_id and
-    text alone, so reruns agree and rows of one doc_id are spread over the ranges of their source. Null sources form one source, the last. A null doc_id is ordered as
-    an empty one; rows that repeat a doc_id are separate documents. Rows of size 0 are kept with
+    text alone, so reruns agree and rows of one doc_id are
+    spread over the ranges of their source. Null sources form one source, the last. Very long texts
+    count whole. A null doc_id is ordered as an empty one; rows that repeat a doc_id are separate documents. Rows of size 0 are kept with
     taken 0. An empty table gives an empty result. Other columns of docs are not read."""
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
     sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("o")), "sizes")

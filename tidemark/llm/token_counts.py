@@ -98,7 +98,7 @@ def count_batch(texts: list[str | None], path: str, whole: frozenset[str], speci
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (n_tokens > limit), which replace columns of
     the same names. Null and empty texts have 0 tokens; an empty table gives an empty result;
-    repeated rows repeat. path: a byte-level BPE file of the tokenizers library, present on every
+    repeated rows repeat; very long texts are counted whole. path: a byte-level BPE file of the tokenizers library, present on every
     executor."""
     spark = docs.sparkSession
     whole = spark.sparkContext.broadcast(whole_tokens(path))

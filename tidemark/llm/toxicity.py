@@ -292,8 +292,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, c: float =
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= threshold), which replace columns of
-    those names. Null and empty texts get the score of a text without words. Rows are judged one
-    by one; only the text counts."""
+    those names. Null and empty texts get the score of a text without words, very long ones are taken
+    whole. Rows are judged one by one, so repeated rows repeat; only the text counts. An empty table
+    gives an empty result."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

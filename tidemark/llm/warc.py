@@ -118,7 +118,8 @@ def write_archive(pages: DataFrame, least: int = 100, date: str = "1970-01-01T00
 
     A null html is an empty payload. Rows that repeat the smallest page_id of equal payloads are
     all responses. A null page_id refers to the smallest id, or is a response where there is
-    none. Other columns are not read."""
+    none. Very long payloads are written whole; an empty table gives an empty manifest. Other columns
+    are not read."""
     root = new_folder(pages.sparkSession, "warc")
     fs, inner = _fs(root)
     fs.create_dir(inner, recursive=True)
@@ -228,7 +229,8 @@ def _search(batches, shards: list[tuple[str, str, str]]):
 
 def lookup(queries: DataFrame, index: DataFrame) -> DataFrame:
     """file, offset, length of every capture that matches a row of queries (url, page_id).
-    Repeated queries count once. index: build_index()'s shards, one small row for each task of
+    Repeated queries count once; a null url or page_id is matched like any other value, and an empty
+    table of queries or index gives no row. index: build_index()'s shards, one small row for each task of
     the sort, which is what bounds the list that tasks get."""
     top = sorted((tuple(r) for r in index.collect()), key=lambda r: _split(r[0]))
     q = queries.select(surt(F.col("url")).alias("key"), _page(F.col("page_id")).alias("page")).distinct()
@@ -266,7 +268,8 @@ _READ_TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), p
 def read_records(places: DataFrame) -> DataFrame:
     """page, url, payload_bytes, payload_digest, record_type, refers_to of each record of places
     (file, offset, length). Reads go through a file in order of offset, 16 MB of it at a
-    stretch; places are written first, so that their bytes give the number of tasks."""
+    stretch; places are written first, so that their bytes give the number of tasks. A record of any
+    length is read whole; repeated places repeat, and none give no row."""
     spark = places.sparkSession
     places = written(places, "warc-places")
     size = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
