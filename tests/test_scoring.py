@@ -229,3 +229,32 @@ def test_observations_without_topic_or_evidence(spark):
     assert got[2].has_topic == 1 and got[2].has_evidence == 0 and got[2].rel_query_title == 1
     assert got[3].evidence_count == 1 and got[3].rel_cluster_query_v1 == 0 and got[3].spec_title_evidence_sim == 0
     assert all(np.isfinite(x) for r in got.values() for x in r[1:])
+
+
+def test_request_names_equal_canonical_json(spark):
+    import hashlib
+
+    from tidemark.operators import verdicts
+
+    rows = [(1, [("user", 'say "hi"\n'), ("assistant", None)], '{"a":1}', 256, 0.2), (2, [], None, 1, 1.0), (3, [("system", "é")], None, 64, 0.0)]
+    d = spark.createDataFrame(rows, "k int, m array<struct<role:string,content:string>>, s string, n int, t double")
+    for k, m, s, n, t in rows:
+        payload = {"max_tokens": n, "messages": [[r or "", c or ""] for r, c in m], "schema": hashlib.sha256(s.encode()).hexdigest() if s else "", "temperature": t}
+        want = hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+        assert d.where(f"k = {k}").select(verdicts.replay_key(F.col("m"), F.col("s"), F.col("n"), F.col("t"))).first()[0] == want
+
+
+def test_verdicts_of_odd_rows(spark):
+    from tidemark.operators import verdicts as V
+
+    counters = spark.createDataFrame([("a", 1), (None, 5)], "k string, n long")
+    deltas = spark.createDataFrame([("a", 2), ("a", 3), ("b", None), (None, 1)], "k string, n long")
+    assert {tuple(r) for r in V.bump(counters, deltas, ["k"], ["n"]).collect()} == {("a", 6), ("b", 0), (None, 6)}
+    assert V.bump(counters.limit(0), deltas.limit(0), ["k"], ["n"]).count() == 0
+    cards = spark.createDataFrame([(1, True), (2, False), (3, None)], "k int, market boolean")
+    out = {r.k: r.outcome for r in V.final_check(cards, spark.createDataFrame([(1, "N-MAT", 0.9), (3, "N-MAT", None)], "k int, code string, confidence double"), "k", "market").collect()}
+    assert out == {1: "KEPT", 2: "UNCHECKED", 3: "DROPPED"}
+    terms = spark.createDataFrame([("g", 1, "Two  words"), ("g", 2, "two words"), ("g", 3, "x"), ("g", 4, "solo"), ("g", 5, "bad term"), ("g", 6, None)], "g string, p int, t string")
+    assert [r.term for r in V.clean_terms(terms, "g", "t", "p", ("Bad Term",)).orderBy("pos").collect()] == ["Two words", "solo"]
+    gates = spark.sql("SELECT CAST(NULL AS boolean) AS a, true AS b").select(V.gate({"a": F.col("a"), "b": F.col("b")}).alias("g")).first().g
+    assert gates.decision == "reject" and list(gates.failed) == ["a"]
