@@ -106,3 +106,11 @@ def test_what_can_not_be_settled_is_given_back():
     reader = PushedReader({"path": "file:///x"})
     filters = [EqualTo(("source",), "a"), GreaterThan(("published",), "2020"), IsNull(("title",)), Not(EqualTo(("phrase",), "b"))]
     assert list(reader.pushFilters(filters)) == filters[1:] and reader.least == "2020"
+
+
+def test_dates_of_feeds(spark):
+    from tidemark.functions import numeric as N
+
+    want = {"Fri, 05 Jan 2024 06:07:08 GMT": datetime(2024, 1, 5, 6, 7, 8), "5 Jan 2024 06:07 +0100": datetime(2024, 1, 5, 5, 7), "Fri, 05 Jan 2024 06:07:08 EST": datetime(2024, 1, 5, 11, 7, 8), "2024-01-05T06:07:08Z": datetime(2024, 1, 5, 6, 7, 8), "Fri, 05 Jan 2024 06:07:08 XYZ": None, "soon": None, None: None}
+    rows = spark.createDataFrame([(k,) for k in want], "t string").select("t", N.parse_timestamp(F.col("t")).alias("v")).collect()
+    assert {r.t: r.v for r in rows} == want

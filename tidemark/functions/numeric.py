@@ -39,10 +39,19 @@ def age_days(now: datetime, ts: Column) -> Column:
     return F.when(days.isNotNull(), F.greatest(F.lit(0.0), days))
 
 
+#: Named zones of RFC 2822 (fixed values).
+ZONES = {"GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+
+
 def parse_timestamp(text: Column) -> Column:
-    """ISO or RFC 2822 text as a timestamp, null if it is neither."""
+    """ISO or RFC 2822 text as a timestamp, null if it is neither. RFC dates may lack the day of the
+    week or the seconds, and name their zone."""
     formats = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyyMMddHHmmss", "yyyyMMdd")
-    rfc = F.try_to_timestamp(F.regexp_replace(text, r"^\w{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+    bare = F.regexp_replace(F.trim(text), r"^\w{3},\s*", "")
+    zone = F.regexp_extract(bare, r"\s([A-Z]{1,3})$", 1)
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair]), zone)
+    bare = F.when(named.isNotNull(), F.concat(F.regexp_replace(bare, "[A-Z]{1,3}$", ""), named)).otherwise(bare)
+    rfc = F.try_to_timestamp(F.regexp_replace(bare, r"(\s\d\d:\d\d)(\s)", "$1:00$2"), F.lit("d MMM yyyy HH:mm:ss Z"))
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats], rfc)
 
 
