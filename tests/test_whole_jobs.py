@@ -62,7 +62,15 @@ def test_vectors_and_baseline_see_everything(spark, tmp_path):
 def test_archive_merge_takes_all_tokens(spark, tmp_path):
     from tidemark.plans import catalogue
 
-    rows = [(1, "a b c d e", "en"), (2, "e f", "en"), (3, None, "de"), (4, "x", None)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.lang: r.tokens for r in catalogue.archive_merge(spark, str(tmp_path)).collect()}
-    assert got == {"en": list("abcdef"), "de": [], None: ["x"]}
+    import hashlib
+
+    from tidemark.operators import relational
+
+    rows = [(1, "t\na b c d e"), (2, "t\ne f"), (3, None), (4, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = {r.url: (r.longest, r.tokens) for r in catalogue.archive_merge(spark, str(tmp_path)).collect()}
+    assert got == {sha("t"): (11, sha("a b c d e f t")), sha(""): (0, sha("")), sha("x"): (1, sha("x"))}
+    versions = [("en", "a b c d e", "s", None, list("abcde")), ("en", "e f", "", None, list("ef")), ("de", None, None, None, []), (None, "x", "", None, ["x"])]
+    merged = relational.merge_archive(spark.createDataFrame(versions, "url string, title string, summary string, published_on date, tokens array<string>"))
+    assert {r.url: r.tokens for r in merged.collect()} == {"en": list("abcdef"), "de": [], None: ["x"]}
