@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parents[1] / "tools"))
 import oracle  # noqa: E402
 
-from tidemark.plans import catalogue, columns, matches, more, records, scoring, topics, verdicts  # noqa: E402, F401
+from tidemark.plans import cards, catalogue, columns, matches, more, records, scoring, topics, verdicts  # noqa: E402, F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -6,11 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, PCA, HashingTF, NGram, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, CountVectorizerModel, HashingTF, NGram, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import phrases as P
+from tidemark.functions import text as T
+
+from .ranges import running
 from .selection import class_weights
 
 
@@ -61,3 +65,51 @@ def principal_components(rows: DataFrame, key: str, vector: str, k: int) -> Data
     signs = [1.0 if abs(a.max()) >= abs(a.min()) else -1.0 for a in axes.T]
     flip = F.array(*map(F.lit, signs))
     return model.transform(x).select(key, F.zip_with(vector_to_array("__p"), flip, lambda p, s: p * s).alias("components"))
+
+
+def aligned_lengths(rows: DataFrame, text: str, label: str) -> DataFrame:
+    """rows (label 0 or 1) whose texts of the label with the longer median are cut, at clauses, to the
+    median of the other; all as they are if a label has no rows. The median is the upper of the two
+    middle ones. Lengths are counted first, and the counts summed over ranges of the lengths."""
+    n = F.length(T.empty_if_null(text))
+    counted = rows.where(F.col(label).isin(0, 1)).groupBy(F.col(label).alias("y"), n.alias("n")).agg(F.count("*").alias("c"))
+    half = counted.groupBy(F.col("y").alias("of")).agg(F.floor(F.sum("c") / 2).alias("half"))
+    reached = running(counted, [F.col("n")], {"upto": F.col("c")}, ["y"]).join(F.broadcast(half), F.col("y") == F.col("of"))
+    medians = reached.where(F.col("upto") > F.col("half")).agg(F.min(F.when(F.col("y") == 1, F.col("n"))).alias("m1"), F.min(F.when(F.col("y") == 0, F.col("n"))).alias("m0"))
+    marked = rows.select(F.struct("*").alias("row")).join(F.broadcast(medians))
+    longer = F.when(F.col("m1") > F.col("m0"), F.lit(1)).otherwise(F.lit(0))
+    cut = (F.col("m1") + F.col("m0")).isNotNull() & (F.col("row")[label] == longer)
+    shorter = P.truncate_at_clause(F.col("row")[text], F.least("m1", "m0"))
+    return marked.select(*[(F.when(cut, shorter).otherwise(F.col("row")[c]) if c == text else F.col("row")[c]).alias(c) for c in rows.columns])
+
+
+def leak_check(rows: DataFrame, key: str, text: str, label: str, markers: Sequence[str], folds: int = 5, most: float = 0.6, reg: float = 0.01) -> DataFrame:
+    """n, found, f1, passed: how well a model of nothing but marker words tells the labels apart out of
+    its folds (by a hash of key). found counts texts that hold a marker anywhere; without one as a word,
+    or with one label only, f1 is 0. passed: f1 is at most `most`. Null texts count as empty, rows
+    without a label are left out."""
+    words = sorted({m.lower() for m in markers})
+    low = F.lower(T.empty_if_null(text))
+    held = F.lit(False)
+    for w in words:
+        held = held | F.contains(low, F.lit(w))
+    known = rows.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), low.alias("t"), F.pmod(F.xxhash64(key), F.lit(folds)).alias("fold"), held.alias("held"))
+    tokens = F.regexp_extract_all("t", F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))
+    known = known.withColumn("words", F.filter(tokens, lambda w: w.isin(*words)))
+    seen = known.agg(F.count("*").alias("n"), F.count_if("held").alias("found"), F.count_if(F.size("words") > 0).alias("worded"), F.countDistinct("y").alias("labels"))
+    first = seen.first()
+    if not first["worded"] or first["labels"] < 2:
+        return seen.select("n", "found", F.lit(0.0).alias("f1"), F.lit(True).alias("passed"))
+    counts = CountVectorizerModel.from_vocabulary(words, inputCol="words", outputCol="__c")
+    stages = [counts, IDF(inputCol="__c", outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol="y", weightCol="weight", regParam=reg, maxIter=30)]
+    out = None
+    for f in range(folds):
+        learnt = known.where(F.col("fold") != f)
+        if learnt.select("y").distinct().count() < 2:
+            continue
+        model = Pipeline(stages=stages).fit(class_weights(learnt, "y"))
+        part = model.transform(known.where(F.col("fold") == f)).select("y", F.col("prediction").cast("int").alias("p"))
+        out = part if out is None else out.unionByName(part)
+    both, said = F.count_if((F.col("y") == 1) & (F.col("p") == 1)), F.count_if(F.col("p") == 1) + F.count_if(F.col("y") == 1)
+    f1 = (out if out is not None else known.select("y", F.lit(0).alias("p"))).agg(F.coalesce(2 * both / F.nullif(said, F.lit(0)), F.lit(0.0)).alias("f1"))
+    return seen.select("n", "found").join(F.broadcast(f1)).withColumn("passed", F.col("f1") <= most)

@@ -44,8 +44,8 @@ def best_by_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key:
     full = pairs.join(a.select(F.col("k").alias("l"), F.col("s").alias("x")), "l").join(b.select(F.col("k").alias("r"), F.col("s").alias("y")), "r")
     scored = full.withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long")).withColumn("overlap", F.col("shared") / F.least(F.size("x"), F.size("y")))
     kept = scored.where((F.col("shared") >= least) & (F.col("overlap") >= share))
-    best = kept.groupBy("l").agg(F.max(F.struct("overlap", "shared", (-F.col("r")).alias("o"))).alias("m"))
-    return best.select(F.col("l").alias(left_key), (-F.col("m.o")).alias(right_key), F.col("m.shared").alias("shared"), F.col("m.overlap").alias("overlap"))
+    best = kept.groupBy("l").agg(F.min(F.struct((-F.col("overlap")).alias("o"), (-F.col("shared")).alias("s"), "r")).alias("m"))
+    return best.select(F.col("l").alias(left_key), F.col("m.r").alias(right_key), (-F.col("m.s")).alias("shared"), (-F.col("m.o")).alias("overlap"))
 
 
 def jaccard_join(rows: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:

@@ -173,3 +173,27 @@ def group_folds(rows: DataFrame, group: str, label: str, folds: int, seed: str)
     g = rows.groupBy(group).agg(F.max(label).alias("l"))
     w = Window.partitionBy("l").orderBy(F.sha2(F.concat(F.lit(seed + "|"), F.col(group).cast("string")), 256), group)
     return g.select(group, F.pmod(F.row_number().over(w) - 1, F.lit(folds)).alias("fold"))
+
+
+def expert_recall(experts: DataFrame, hits: DataFrame, key: str, strong: str, since: Column, share: int = 5) -> DataFrame:
+    """key, hits, strong (a hit by the rule `strong`), sources, rules, eligibility (in window, before it,
+    no date) and split (holdout for each share-th key by its SHA-1) of experts (key, day) with their hits
+    (key, source, rule). Hits are counted by source and rule first."""
+    by = hits.groupBy(F.col(key).alias("of"), "source", "rule").agg(F.count("*").alias("n"))
+    found = by.groupBy("of").agg(F.sum("n").alias("hits"), F.max(F.col("rule") == strong).alias("strong"), F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set("rule")).alias("rules"))
+    nothing = F.array().cast("array<string>")
+    when = F.when(F.col("day").isNull(), "no date").when(F.col("day") >= since, "in window").otherwise("before")
+    digest = F.sha1(F.col(key).cast("string"))
+    # the remainder of 160 bits, 32 bits at a time
+    rest = F.lit(0).cast("long")
+    for i in range(5):
+        rest = F.pmod(rest * F.lit((1 << 32) % share) + F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long"), F.lit(share))
+    joined = experts.join(found, F.col(key) == F.col("of"), "left")
+    return joined.select(key, F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("strong", F.lit(False)).alias("strong"), F.coalesce("sources", nothing).alias("sources"), F.coalesce("rules", nothing).alias("rules"), when.alias("eligibility"), F.when(rest == 0, "holdout").otherwise("dev").alias("split"))
+
+
+def recall_totals(found: DataFrame) -> DataFrame:
+    """kind, value, found, experts: what expert_recall() gives, in all and by split, eligibility and
+    source (of a source only those that it found)."""
+    pairs = F.concat(F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("value")), F.struct(F.lit("split").alias("kind"), F.col("split").alias("value")), F.struct(F.lit("eligibility").alias("kind"), F.col("eligibility").alias("value"))), F.transform("sources", lambda s: F.struct(F.lit("source").alias("kind"), s.alias("value"))))
+    return found.select((F.col("hits") > 0).alias("hit"), F.explode(pairs).alias("p")).groupBy("p.kind", "p.value").agg(F.count_if("hit").alias("found"), F.count("*").alias("experts"))

@@ -165,3 +165,18 @@ def segments(words: Column, stop: Sequence[str]) -> Column:
     """Runs of words between stop words, in order; words hold no control characters."""
     marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(*stop), "\x01").otherwise(w)), " ")
     return F.filter(F.transform(F.split(marked, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def stage_sets(rows: DataFrame, key: str, stages: Sequence[tuple[str, str, DataFrame | None]]) -> DataFrame:
+    """stage, key: the objects that each stage still holds. A stage (name, "all", None), (name, "in", df)
+    or (name, "out", df) keeps what the stage before it kept, of that the keys that df has or hasn't.
+    Every df is reduced to its distinct keys and joined once; null keys are in no df."""
+    held = rows.select(key)
+    kept, sets = F.lit(True), []
+    for i, (name, how, df) in enumerate(stages):
+        if df is not None:
+            flagged = df.select(F.col(key).alias(f"__k{i}")).where(F.col(f"__k{i}").isNotNull()).distinct()
+            held = held.join(flagged, F.col(key) == F.col(f"__k{i}"), "left")
+            kept = kept & (F.col(f"__k{i}").isNotNull() if how == "in" else F.col(f"__k{i}").isNull())
+        sets.append(F.when(kept, F.lit(name)))
+    return held.select(F.explode(F.filter(F.array(*sets), lambda s: s.isNotNull())).alias("stage"), key)

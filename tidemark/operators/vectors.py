@@ -36,9 +36,10 @@ def best_match(rows: DataFrame, vector: str, targets: DataFrame, label: str) ->
     """rows with best and similarity: the target (label, centroid) of the highest cosine, ties by
     label. Targets are class centroids, which are few by construction; they come as one array."""
     packed = targets.agg(F.collect_list(F.struct(label, "centroid")).alias("targets"))
-    scored = F.transform("targets", lambda t: F.struct(N.cosine(F.col(vector), t["centroid"]).alias("s"), (-t[label]).alias("l")))
-    out = rows.join(F.broadcast(packed)).withColumn("__best", F.array_max(scored))
-    return out.withColumn("best", -F.col("__best.l")).withColumn("similarity", F.col("__best.s")).drop("__best", "targets")
+    near = F.transform("targets", lambda t: F.struct(N.cosine(F.col(vector), t["centroid"]).alias("s"), t[label].alias("l")))
+    scored = F.transform(near, lambda t: F.struct(t["s"].isNull().alias("none"), (-t["s"]).alias("s"), t["l"].alias("l")))
+    out = rows.join(F.broadcast(packed)).withColumn("__best", F.array_min(scored))
+    return out.withColumn("best", F.col("__best.l")).withColumn("similarity", -F.col("__best.s")).drop("__best", "targets")
 
 
 def query_vector(phrases: DataFrame, query: str, vector: str) -> DataFrame:
