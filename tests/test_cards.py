@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import cards as C
-from tidemark.operators import cards, learning, matching, metrics, selection, vectors
+from tidemark.operators import cards, learning, matching, metrics, selection, translation, vectors
 from tidemark.plans import cards as plans
 from tidemark.plans import store
+from tidemark.sources import records
 
 SF = "/root/testdata/sf0.001"
 
@@ -219,3 +220,26 @@ def test_checkpoints_are_removed(spark):
     store.cut(spark.range(3)).count()
     assert store.clean(spark) and not store.clean(spark)
     assert store.cut(spark.range(3)).count() == 3
+
+
+def test_topic_stems_are_those_of_the_phrases(spark):
+    rows = spark.createDataFrame([(1, ["The quick Engines", "a of"], ["cooling-engine engines"]), (2, [], [])], "k int, own array<string>, foreign_terms array<string>")
+    got = {r.k: r.stems for r in translation.topic_stems(rows, "k", ("the",)).collect()}
+    assert got == {1: ["cooli", "engin", "quick"], 2: []}
+
+
+def test_negative_rows_are_judged(spark):
+    rows = [(1, "One", None, "d", "Mature", ""), (2, " one ", "x", "d", "hype", "u"), (3, "Two", "x", "d", "odd", None), (4, None, "x", "d", "noise", None), (5, "Zwei", " y ", None, "noise", "u")]
+    kept, refused = records.negative_rows(spark.createDataFrame(rows, "n int, title string, description string, domain string, subtype string, url string"), plans.KINDS)
+    assert {r.n: r.reason for r in refused.collect()} == {2: "REPEATED_TITLE", 3: "UNKNOWN_SUBTYPE", 4: "EMPTY_TITLE"}
+    got = {r.row_id: (r.description, r.kind, r.source_urls) for r in kept.collect()}
+    assert got == {"neg-0001": ("", "MATURE", []), "neg-0005": ("y", "HYPE_OR_NOISE", ["u"])}
+
+
+def test_encyclopedia_answers(spark):
+    t = spark.createDataFrame([("a",), ("b",), ("c",), ("e",), (None,)], "k string")
+    s = spark.createDataFrame([("a", 200, "u"), ("a", 404, None), ("b", 404, "u"), ("e", 503, "u"), (None, 200, "u")], "k string, status int, url string")
+    v = spark.createDataFrame([("a", date(2024, 1, 31), 5), ("a", date(2023, 1, 1), 7)], "k string, day date, n int")
+    r = spark.createDataFrame([("b", date(2020, 1, 1))], "k string, at date")
+    got = {x.k: (x.found, x.url, x.views, x.created) for x in records.encyclopedia(t, "k", s, v, r, F.lit("2024-02-01").cast("date")).collect()}
+    assert got == {"a": (True, "u", 5, None), "b": (False, None, None, None), "c": (None,) * 4, "e": (None,) * 4, None: (None,) * 4}

@@ -143,3 +143,11 @@ def topic_anchors(phrases: DataFrame, topic: str, place: str, phrase: str, gener
     rows = _topic_words(phrases, topic, place, phrase, generic).withColumn("stem", P.stem(F.col("word")))
     found = rows.groupBy(topic, "stem").agg(F.count_distinct(place).alias("n"), F.array_sort(F.collect_set("word")).alias("forms")).where("n >= 2")
     return found.select(topic, "stem", P.with_variants(F.col("forms")).alias("anchors"))
+
+
+def topic_stems(terms: DataFrame, key: str, stop: Sequence[str], least: int = 3, length: int = 5) -> DataFrame:
+    """key, stems of what fallback_terms() gives: the distinct stems of the words, `least` characters or
+    more and no stop words, of a topic's own and translated phrases."""
+    words = F.flatten(F.transform(F.concat("own", "foreign_terms"), T.tokens))
+    kept = F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*stop))
+    return terms.select(key, F.array_sort(T.prefix_stems(kept, length)).alias("stems"))

@@ -9,6 +9,7 @@ from tidemark.functions import numeric as N
 from tidemark.functions import text as T
 from tidemark.operators import cards, learning, metrics, selection
 from tidemark.session import table
+from tidemark.sources import records
 
 from .catalogue import query
 from .columns import STOPS, TERMS, TITLE, _docs, _title
@@ -191,3 +192,38 @@ def maturity_scores(spark, d):
     v = N.doubles("embedding")
     weights = F.transform(v, lambda x, i: (F.pmod(i * 7, F.lit(11)) - 5) / 2.0)
     return table(spark, d, "embeddings").select("vec_id", F.round(N.sigmoid(N.dot(v, weights) - 0.25), 6).alias("maturity"))
+
+
+KINDS = {"mature": "MATURE", "hype": "HYPE_OR_NOISE", "noise": "HYPE_OR_NOISE"}
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, trim({TITLE}) AS title, source, coalesce(text, '') AS text, url FROM documents LEFT JOIN pages ON page_id = doc_id),
+s AS (SELECT *, trim(left(trim(regexp_replace(translate(lower(title), 'àáâäãçèéêëìíîïñòóôöõùúûüÿß', 'aaaaaceeeeiiiinooooouuuuys'), '[^a-z0-9]+', '-', 'g'), '-'), 80), '-') AS slug FROM t),
+p AS (SELECT format('pos-{{:04d}}', doc_id) AS row_id, slug AS group_id, title, trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace('weak signal ' || text, 'weak signal', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g')), '\s*[—–-]\s*$', ''), '\s\s+', ' ', 'g'), ' ,;—-')[:4000] AS description,
+ CASE WHEN source = 'src1' THEN 'one' WHEN source = 'src2' THEN 'two' ELSE 'other' END AS domain, 1 AS label, 'WEAK_SIGNAL' AS kind, CASE WHEN url IS NULL THEN [] ELSE [rtrim(regexp_extract(url, 'https?://[^\s)\]]+'), '.,;)')] END AS source_urls FROM s WHERE doc_id % 2 = 0),
+c AS (SELECT *, (['Mature', 'hype', 'noise', 'other'])[doc_id // 2 % 4 + 1] AS subtype, min(doc_id) OVER (PARTITION BY lower(title)) AS first FROM s WHERE doc_id % 2 = 1),
+n AS (SELECT format('neg-{{:04d}}', doc_id) AS row_id, slug AS group_id, title, trim(text) AS description, source AS domain, 0 AS label, CASE subtype WHEN 'Mature' THEN 'MATURE' ELSE 'HYPE_OR_NOISE' END AS kind, CASE WHEN url IS NULL OR url = '' THEN [] ELSE [url] END AS source_urls FROM c WHERE subtype <> 'other' AND title <> '' AND doc_id = first)
+SELECT row_id, group_id, title, sha256(description) AS description_sha256, domain, label, kind, source_urls FROM (SELECT * FROM p UNION ALL SELECT * FROM n)""")
+def training_rows(spark, d):
+    """Rows of both labels: even documents as experts' rows, odd ones as candidates for the other label."""
+    docs = _docs(spark, d).join(table(spark, d, "pages").select("page_id", "url"), F.col("page_id") == F.col("doc_id"), "left").withColumn("title", _title())
+    k = F.col("doc_id")
+    expert = docs.where(k % 2 == 0).select(k.alias("n"), F.col("title").alias("tech"), F.upper("source").alias("domain"), F.concat(F.lit("weak signal "), T.empty_if_null("text")).alias("why"), F.col("url").alias("sources"))
+    pick = F.element_at(F.array(*map(F.lit, ("Mature", "hype", "noise", "other"))), (F.floor(k / 2) % 4 + 1).cast("int"))
+    other = docs.where(k % 2 == 1).select(k.alias("n"), "title", F.col("text").alias("description"), F.col("source").alias("domain"), pick.alias("subtype"), "url")
+    rows = records.positive_rows(expert, {"src1": "one", "src2": "two"}, ("weak signal",)).unionByName(records.negative_rows(other, KINDS)[0])
+    return rows.select("row_id", "group_id", "title", F.sha2("description", 256).alias("description_sha256"), "domain", "label", "kind", "source_urls")
+
+
+@query("""WITH v AS (SELECT user_id, sum(CASE WHEN ts::DATE BETWEEN DATE '2024-01-03' AND DATE '2024-02-02' THEN 3 ELSE 0 END)::BIGINT AS n, min(ts) AS created FROM events GROUP BY user_id)
+SELECT c_custkey AS user_id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey % 5 < 4 END AS found, CASE WHEN c_custkey % 5 BETWEEN 1 AND 3 THEN 'http://x.org/' || c_custkey END AS url,
+ CASE WHEN c_custkey % 5 BETWEEN 1 AND 3 THEN coalesce(n, -1) END AS views, CASE WHEN c_custkey % 5 BETWEEN 1 AND 3 THEN created END AS created FROM customer LEFT JOIN v ON v.user_id = c_custkey""")
+def encyclopedia_probe(spark, d):
+    """Customers as titles of an encyclopedia, whose views and revisions are their events."""
+    titles = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    k = F.col("user_id")
+    summaries = titles.where(k % 5 > 0).select("user_id", F.when(k % 5 < 4, 200).otherwise(404).alias("status"), F.concat(F.lit("http://x.org/"), k.cast("string")).alias("url"))
+    e = table(spark, d, "events")
+    views = e.select("user_id", F.col("ts").cast("date").alias("day"), F.lit(3).alias("n"))
+    return records.encyclopedia(titles, "user_id", summaries, views, e.select("user_id", F.col("ts").alias("at")), F.lit("2024-02-02").cast("date"))

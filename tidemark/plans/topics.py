@@ -134,3 +134,11 @@ def training_experiments(spark, d):
     """A learning curve, ablations, label noise, a length-only baseline and folds by source."""
     rows = staged_rows(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return experiments.run(rows, "doc_id", "x", "label", "source", experiment_setups())
+
+
+@query()
+def topic_stems(spark, d):
+    """Stems of every document's search phrases, own and translated."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out = translation.fallback_terms(docs, "doc_id", "text", glossary(spark, d), T.STOP_WORDS, FOREIGN, strict=True)
+    return translation.topic_stems(out, "doc_id", T.STOP_WORDS)

@@ -1,6 +1,6 @@
 """Records of search services as documents: what each field of their public answers becomes.
 
-Every mapping takes a table of JSON texts, one record each, and gives formats.DOCUMENT. Records that
+Every mapping of a service takes a table of JSON texts, one record each, and gives formats.DOCUMENT. Records that
 are no object, or have no usable title or link, are dropped. Texts are whole."""
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as N
+from tidemark.functions import phrases as P
 from tidemark.functions import text as T
 
 from .formats import DOCUMENT, _document
@@ -113,3 +114,43 @@ def patents(rows: DataFrame, column: str, language: str = "en", site: str = "htt
     day = N.partial_date(F.replace("common.publication_date", F.lit("."), F.lit("-")))
     url = F.concat(F.lit(site), F.url_encode(F.nullif("id", F.lit(""))))
     return _kept(_document(r, url=url, title=title, body=_plain(F.col("snippet.description")), published_at=day, language=own, source=F.lit("patents")))
+
+
+def encyclopedia(titles: DataFrame, key: str, summaries: DataFrame, views: DataFrame, revisions: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """key, found, url, views, created of titles (key) by an encyclopedia's recorded answers: summaries
+    (key, status, url), where 4xx means that there is no article and a title without an answer is unknown
+    (null); views (key, day, n) of the last `days` days, -1 without any answer; the first of revisions
+    (key, at). Each side is reduced to one row a key before it is joined; repeated titles repeat, a null
+    title is unknown. Of several answers the best (lowest status) counts."""
+    said = summaries.groupBy(F.col(key).alias("k1")).agg(F.min(F.struct("status", "url")).alias("s"))
+    seen = views.groupBy(F.col(key).alias("k2")).agg(F.sum(F.when((F.col("day") >= F.date_sub(now, days)) & (F.col("day") <= now), F.col("n")).otherwise(0)).cast("long").alias("v"))
+    first = revisions.groupBy(F.col(key).alias("k3")).agg(F.min("at").alias("a"))
+    out = titles.select(key).join(said, F.col(key) == F.col("k1"), "left").join(seen, F.col(key) == F.col("k2"), "left").join(first, F.col(key) == F.col("k3"), "left")
+    found = F.when(F.col("s.status").between(200, 299), True).when(F.col("s.status").between(400, 499), False)
+    only = lambda c: F.when(found, c)
+    return out.select(key, found.alias("found"), only(F.col("s.url")).alias("url"), only(F.coalesce("v", F.lit(-1))).alias("views"), only(F.col("a")).alias("created"))
+
+
+def positive_rows(rows: DataFrame, domains: dict[str, str], leaks: tuple[str, ...] = (), limit: int = 4000) -> DataFrame:
+    """Training rows of label 1 from an expert's table (n, tech, domain, why, stage, sources): row_id,
+    group_id, title, description (without phrases that leak the label and links, at most `limit`
+    characters), domain, label, kind, source_urls. Columns beyond these are left out, as are the companies,
+    which other rows lack."""
+    domain = F.lower(F.trim(T.empty_if_null("domain")))
+    known = F.coalesce(*[F.when(domain == k, v) for k, v in domains.items()], F.lit("other"))
+    title = F.trim(T.empty_if_null("tech"))
+    return rows.select(F.format_string("pos-%04d", F.col("n").cast("long")).alias("row_id"), T.slug(title).alias("group_id"), title.alias("title"), F.left(P.clean_description("why", leaks), F.lit(limit)).alias("description"), known.alias("domain"), F.lit(1).alias("label"), F.lit("WEAK_SIGNAL").alias("kind"), P.source_urls("sources").alias("source_urls"))
+
+
+def negative_rows(rows: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Training rows of label 0 from candidates (n, title, description, domain, subtype, url), and the
+    candidates refused with their reason: an unknown subtype, an empty title, or the title (letter case
+    aside) of a candidate with a smaller n."""
+    title, subtype = F.trim(T.empty_if_null("title")), F.lower(F.trim(T.empty_if_null("subtype")))
+    first = rows.groupBy(F.lower(title).alias("__t")).agg(F.min("n").alias("__n"))
+    kind = F.coalesce(*[F.when(subtype == k, v) for k, v in kinds.items()])
+    reason = F.when(kind.isNull(), "UNKNOWN_SUBTYPE").when(title == "", "EMPTY_TITLE").when(F.col("n") > F.col("__n"), "REPEATED_TITLE")
+    judged = rows.join(first, F.lower(title) == F.col("__t")).withColumn("__why", reason)
+    urls = F.when(F.coalesce("url", F.lit("")) != "", F.array("url")).otherwise(F.array().cast("array<string>"))
+    kept = judged.where("__why IS NULL").select(F.format_string("neg-%04d", F.col("n").cast("long")).alias("row_id"), T.slug(title).alias("group_id"), title.alias("title"), F.trim(T.empty_if_null("description")).alias("description"), "domain", F.lit(0).alias("label"), kind.alias("kind"), urls.alias("source_urls"))
+    return kept, judged.where("__why IS NOT NULL").select("n", F.col("__why").alias("reason"))
