@@ -46,16 +46,16 @@ def _is_term(term: Column, generic: Sequence[str]) -> Column:
     return (F.size(words) <= 8) & F.length(term).between(2, 80) & ((F.size(words) > 1) | named(term)) & F.exists(words, telling)
 
 
-def _first_distinct(terms: Column, count: int) -> Column:
-    """The first `count` terms whose name keys differ."""
-    start = F.struct(F.array().cast("array<string>").alias("t"), F.array().cast("array<string>").alias("k"))
+def _add_terms(found: Column, terms: Column, count: int, good: Callable[[Column], Column]) -> Column:
+    """found (t: terms, k: their name keys) with further good terms of other keys, up to `count` in all;
+    no term is looked at once there are so many."""
 
     def add(acc: Column, x: Column) -> Column:
-        full = (F.size(acc["t"]) >= count) | F.array_contains(acc["k"], name_key(x))
+        skip = (F.size(acc["t"]) >= count) | ~good(x) | F.array_contains(acc["k"], name_key(x))
         more = F.struct(F.concat(acc["t"], F.array(x)).alias("t"), F.concat(acc["k"], F.array(name_key(x))).alias("k"))
-        return F.when(full, acc).otherwise(more)
+        return F.when(skip, acc).otherwise(more)
 
-    return F.aggregate(terms, start, add, lambda acc: acc["t"])
+    return F.aggregate(terms, found, add)
 
 
 def title_terms(title: Column | str, stop: Sequence[str] = T.STOP_WORDS, generic: Sequence[str] = (), limit: int = 6, first: int = 4) -> Column:
@@ -66,11 +66,16 @@ def title_terms(title: Column | str, stop: Sequence[str] = T.STOP_WORDS, generic
     t = T.collapse(title)
     words = F.filter(F.split(F.regexp_replace(t, PARTS, f" {MARK} "), " "), lambda w: w != "")
     cut = F.transform(words, lambda w: F.when(F.lower(_bare(w)).isin(*stop), MARK).otherwise(w))
-    runs = F.filter(F.transform(F.split(F.array_join(cut, " "), MARK), lambda x: _bare(x)), lambda x: _is_term(x, generic))
-    single = F.filter(F.transform(F.split(t, " "), lambda w: _bare(w, BRACKETS)), lambda w: named(w) & ~w.rlike(r"[()\[\]{}«»\"“”„]") & _is_term(w, generic))
+    runs = F.transform(F.split(F.array_join(cut, " "), MARK), lambda x: _bare(x))
+    single = F.transform(F.split(t, " "), lambda w: _bare(w, BRACKETS))
+    fits = lambda x: _is_term(x, generic)
+    name = lambda w: named(w) & ~w.rlike(r"[()\[\]{}«»\"“”„]") & fits(w)
+    none = F.struct(F.array().cast("array<string>").alias("t"), F.array().cast("array<string>").alias("k"))
+    # the runs are bound once, as they are read twice
+    found = F.get(F.transform(F.array(runs), lambda r: _add_terms(_add_terms(_add_terms(none, r, first, fits), single, limit, name), r, limit, fits)["t"]), F.lit(0))
     repo = _bare(F.regexp_extract(t, r"^[\w.-]+/([\w.-]+)$", 1))
     own = F.when(F.length(repo).between(2, 80), F.array(repo)).otherwise(F.array().cast("array<string>"))
-    return F.when(t.rlike(r"^[\w.-]+/[\w.-]+$"), own).otherwise(F.get(F.transform(F.array(runs), lambda r: _first_distinct(F.concat(_first_distinct(r, first), single, r), limit)), F.lit(0)))
+    return F.when(t.rlike(r"^[\w.-]+/[\w.-]+$"), own).otherwise(found)
 
 
 def _values(found: Column) -> Column:
