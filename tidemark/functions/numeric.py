@@ -91,6 +91,12 @@ def doubles(v: Column | str) -> Column:
     return (F.col(v) if isinstance(v, str) else v).cast("array<double>")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded half away from zero; a negative x that rounds to zero gives -0.0, as in SQL engines
+    that round doubles as such (F.round() goes by decimals, which have no such zero)."""
+    return F.when(x < 0, -F.round(-x, digits)).otherwise(F.round(x, digits))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
