@@ -4,13 +4,16 @@ A glossary is a table of any size: entries meet words by an equi-join on their f
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import phrases as P
 from tidemark.functions import text as T
+from tidemark.plans.store import cut
 
 from .selection import segments
 
@@ -18,6 +21,8 @@ from .selection import segments
 LEAST, ENDING, DERIVED = 5, 3, 6
 #: First letters that inflected words share.
 HEAD = 4
+#: Most entries of words that go to all tasks at once.
+FEW = 200_000
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -37,12 +42,20 @@ def same_lexeme(word: Column, entry: Column, strict: bool = False) -> Column:
     return (word == entry) | near
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), for which value is computed once wherever use needs it twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _words(text: Column | str) -> Column:
+    return F.regexp_extract_all(F.lower(T.empty_if_null(text)), F.lit(r"(?U)([\w-]+)"), F.lit(1))
+
+
 def content_segments(text: Column | str, stop: Sequence[str]) -> Column:
     """Runs of words between stop words; all words if they are all stop words."""
-    words = F.regexp_extract_all(F.lower(T.empty_if_null(text)), F.lit(r"(?U)([\w-]+)"), F.lit(1))
-    runs = segments(words, stop)
-    whole = F.array_join(words, " ")
-    return F.when(F.size(runs) > 0, runs).otherwise(F.when(whole == "", F.array().cast("array<string>")).otherwise(F.array(whole)))
+    whole = F.array_join(_words(text), " ")
+    all_ = F.when(whole == "", F.array().cast("array<string>")).otherwise(F.array(whole))
+    return _once(segments(_words(text), stop), lambda runs: F.when(F.size(runs) > 0, runs).otherwise(all_))
 
 
 def _parted(words: Column, foreign: str, strict: bool) -> Column:
@@ -56,59 +69,110 @@ def _head(word: Column) -> Column:
     return F.when(F.length(word) >= LEAST, F.left(word, F.lit(HEAD))).otherwise(word)
 
 
-def translated(docs: DataFrame, key: str, text: str, glossary: DataFrame, stop: Sequence[str], foreign: str, strict: bool = False) -> DataFrame:
-    """key (unique), segments, translated (the words of each segment, an array for each) and missed.
+def _alike(word: str, entry: str, strict: bool) -> bool:
+    """same_lexeme() of two strings."""
+    common = len(os.path.commonprefix((word, entry)))
+    near = len(word) >= LEAST and len(entry) >= LEAST and common >= max(HEAD, min(len(word), len(entry)) - 2)
+    if strict:
+        near = near and len(entry) - common <= ENDING and (len(word) - common <= ENDING or common >= DERIVED)
+    return word == entry or near
+
+
+def _start(word: str) -> str:
+    """_head() of a string: words of one lexeme share it."""
+    return word[:HEAD] if len(word) >= LEAST else word
+
+
+def _indexed(entries: Iterable[dict]) -> tuple[dict, dict]:
+    """Single words by their start, and longer entries by the starts of their first two words, in the order
+    in which they are tried; nulls first."""
+    rank = lambda x: x if x is None else (x is not None, x)
+    one: dict[str, list[dict]] = {}
+    several: dict[tuple[str, str], list[dict]] = {}
+    for x in sorted(entries, key=lambda x: (-len(x["e"]), rank(x["place"]) or (False,), rank(x["value"]) or (False,))):
+        if len(x["e"]) == 1:
+            one.setdefault(_start(x["e"][0]), []).append(x)
+        elif x["e"]:
+            several.setdefault((_start(x["e"][0]), _start(x["e"][1])), []).append(x)
+    return one, several
+
+
+def _closest(word: str, near: list[dict], strict: bool) -> str | None:
+    """The value of the entry of one word with the longest common prefix, then the closest length."""
+    fits = [x for x in near if _alike(word, x["e"][0], strict)]
+    best = min(fits, key=lambda x: (-len(os.path.commonprefix((word, x["e"][0]))), abs(len(word) - len(x["e"][0]))), default=None)
+    return best and best["value"]
+
+
+def _walk(segments: list[dict], glossary: tuple[dict, dict], strict: bool) -> dict:
+    """The words that stand for each segment, and the missed ones."""
+    singles, several = glossary
+    out, missed = [], []
+    for segment in segments:
+        words, strange, said, at = segment["words"], segment["strange"], [], 0
+        starts = [_start(w) for w in words]
+        while at < len(words):
+            near = several.get((starts[at], starts[at + 1]), ()) if at + 1 < len(words) else ()
+            fit = next((x for x in near if len(x["e"]) <= len(words) - at and all(_alike(w, e, strict) for w, e in zip(words[at : at + len(x["e"])], x["e"]))), None)
+            value = fit["value"] if fit else None
+            if value is None:
+                value = _closest(words[at], singles.get(starts[at], []), strict) if strange[at] else words[at]
+            if value is None:
+                missed.append(words[at])
+            else:
+                said.append(value)
+            at += len(fit["e"]) if fit else 1
+        out.append(said)
+    return {"segments": [x["segment"] for x in segments], "translated": out, "missed": missed}
+
+
+def translated(docs: DataFrame, key: str, text: str, glossary: DataFrame, stop: Sequence[str], foreign: str, strict: bool = False, few: int = FEW) -> DataFrame:
+    """key (unique), text, segments, translated (the words of each segment, an array for each) and missed.
 
     glossary has entry, value and place (order of preference). From the left of a segment the entry of
     most words that fit goes first, then a word that isn't foreign (a pattern) stays as it is, then the
     single-word entry with the longest common prefix (then the closest length, then place) stands for
-    a foreign one; a foreign word without any is missed."""
-    own = docs.select(F.col(key).alias("k"), content_segments(text, stop).alias("segments"))
-    parts = own.select("k", F.posexplode("segments").alias("seg", "s")).select("k", "seg", _parted(F.split("s", " "), foreign, strict).alias("w"))
-    entries = glossary.select(_parted(F.split(F.lower("entry"), r"\s+"), foreign, strict).alias("e"), "value", F.col("place").alias("place"))
-    entries = entries.withColumn("n", F.size("e"))
-    longest = entries.agg(F.coalesce(F.max("n"), F.lit(1)).alias("longest"))
-    each = parts.crossJoin(F.broadcast(longest)).select("k", "seg", "longest", F.col("w").alias("ws"), F.posexplode("w").alias("at", "word"))
-    each = each.select("k", "seg", "at", "word", F.slice("ws", F.col("at") + 1, F.col("longest")).alias("window"))
-    # words repeat: entries are looked up once for each distinct word
-    first = entries.withColumn("head", _head(F.col("e")[0]))
-    known = each.select("word").distinct().withColumn("w_head", _head(F.col("word")))
-    met = known.join(first, F.col("w_head") == F.col("head")).where(same_lexeme(F.col("word"), F.col("e")[0], strict))
-    met = met.withColumn("common", common_prefix(F.col("word"), F.col("e")[0])).withColumn("off", F.abs(F.length("word") - F.length(F.col("e")[0])))
-    single = met.where("n = 1").groupBy(F.col("word").alias("s_word")).agg(F.min_by("value", F.struct(-F.col("common"), "off", "place")).alias("one"))
-    several = met.where("n > 1").select(F.col("word").alias("p_word"), "e", "n", "place", "value")
-    fits = F.forall(F.zip_with(F.slice("window", F.lit(1), F.col("n")), "e", lambda w, e: same_lexeme(w, e, strict)), lambda x: x)
-    long = each.join(several, F.col("word") == F.col("p_word")).where((F.size("window") >= F.col("n")) & fits)
-    long = long.groupBy(F.col("k").alias("l_k"), F.col("seg").alias("l_seg"), F.col("at").alias("l_at")).agg(F.min(F.struct((-F.col("n")).alias("o"), "place", "value")).alias("best"))
-    same = F.col("k").eqNullSafe(F.col("l_k")) & (F.col("seg") == F.col("l_seg")) & (F.col("at") == F.col("l_at"))
-    all_ = each.drop("window").join(single, F.col("word") == F.col("s_word"), "left").join(long, same, "left")
-    is_foreign = F.col("word").rlike(foreign)
-    value = F.coalesce("best.value", F.when(is_foreign, F.col("one")).otherwise(F.col("word")))
-    step = F.struct("at", F.coalesce(-F.col("best.o"), F.lit(1)).alias("n"), value.alias("value"), "word")
-    lines = all_.groupBy("k", "seg").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    kind = "struct<next:int,out:array<string>,missed:array<string>>"
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("missed")).cast(kind)
-
-    def walk(s: Column, x: Column) -> Column:
-        said = F.struct((x["at"] + x["n"]).alias("next"), F.when(x["value"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(x["value"]))).alias("out"), F.when(x["value"].isNull(), F.concat(s["missed"], F.array(x["word"]))).otherwise(s["missed"]).alias("missed"))
-        return F.when(x["at"] < s["next"], s).otherwise(said.cast(kind))
-
-    walked = lines.select("k", "seg", F.aggregate("steps", start, walk).alias("r"))
-    found = walked.groupBy(F.col("k").alias("f_k")).agg(F.array_sort(F.collect_list(F.struct("seg", "r"))).alias("rs"))
-    out = own.join(found, F.col("k").eqNullSafe(F.col("f_k")), "left")
-    none = F.array().cast("array<array<string>>")
-    return out.select(F.col("k").alias(key), "segments", F.coalesce(F.transform("rs", lambda x: x["r"]["out"]), none).alias("translated"), F.coalesce(F.array_distinct(F.flatten(F.transform("rs", lambda x: x["r"]["missed"]))), F.array().cast("array<string>")).alias("missed"))
+    a foreign one; a foreign word without any is missed.
+
+    A glossary of at most `few` entries goes to every task, and no text is shuffled; of a larger one, each
+    text is joined with the entries that start like one of its words."""
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    entries = cut(glossary.select(_parted(F.split(F.lower("entry"), r"\s+"), foreign, strict).alias("e"), "value", "place"))
+    small = entries.limit(few + 1).count() <= few
+    shared = docs.sparkSession.sparkContext.broadcast(_indexed(r.asDict() for r in entries.collect()) if small else None)
+
+    lists = pa.list_(pa.string())
+    kind = pa.struct([("segments", lists), ("translated", pa.list_(lists)), ("missed", lists)])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known = ([shared.value] * len(b)) if small else (_indexed(h or []) for h in b.column("hits").to_pylist())
+            said = pa.array([_walk(s, g, strict) for s, g in zip(b.column("segs").to_pylist(), known)], kind)
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("t"), *said.flatten()], ["k", "t", *(f.name for f in kind)])
+
+    def parts(s: Column) -> Column:
+        return _once(_parted(F.split(s, " "), foreign, strict), lambda ws: F.struct(s.alias("segment"), ws.alias("words"), F.transform(ws, lambda w: w.rlike(foreign)).alias("strange")))
+
+    met = rows
+    if not small:
+        heads = rows.select("k", F.explode(F.array_distinct(F.transform(_parted(_words("t"), foreign, strict), _head))).alias("head"))
+        near = heads.join(entries.withColumn("e_head", _head(F.get("e", F.lit(0)))), F.col("head") == F.col("e_head"))
+        hits = near.groupBy(F.col("k").alias("f_k")).agg(F.collect_list(F.struct("e", "value", "place")).alias("hits"))
+        met = rows.join(hits, F.col("k").eqNullSafe(F.col("f_k")), "left").drop("f_k")
+    types = dict(rows.dtypes)
+    out = met.withColumn("segs", F.transform(content_segments("t", stop), parts)).mapInArrow(walk, f"k {types['k']}, t {types['t']}, segments array<string>, translated array<array<string>>, missed array<string>")
+    return out.select(F.col("k").alias(key), F.col("t").alias(text), "segments", "translated", F.array_distinct("missed").alias("missed"))
 
 
 def _unique(phrases: Column, limit: int) -> Column:
-    clean = F.filter(F.transform(phrases, lambda p: F.trim(F.regexp_replace(p, r"(?U)\s+", " "))), lambda p: F.length(p) >= 2)
-    none = F.array().cast("array<string>")
-    return F.aggregate(clean, none, lambda s, p: F.when((F.size(s) >= limit) | F.exists(s, lambda x: F.lower(x) == F.lower(p)), s).otherwise(F.concat(s, F.array(p))))
+    """The first `limit` different phrases; those behind them are not looked at."""
+    add = lambda s, c: F.when((F.length(c) < 2) | F.exists(s, lambda x: F.lower(x) == F.lower(c)), s).otherwise(F.concat(s, F.array(c)))
+    step = lambda s, p: F.when(F.size(s) >= limit, s).otherwise(_once(F.trim(F.regexp_replace(p, r"(?U)\s+", " ")), lambda c: add(s, c)))
+    return F.aggregate(phrases, F.array().cast("array<string>"), step)
 
 
 def _specific(segs: Column) -> Column:
-    several = F.filter(segs, lambda s: F.contains(s, F.lit(" ")))
-    return F.when(F.size(several) > 0, several).otherwise(segs)
+    return _once(F.filter(segs, lambda s: F.contains(s, F.lit(" "))), lambda several: F.when(F.size(several) > 0, several).otherwise(segs))
 
 
 def fallback_terms(docs: DataFrame, key: str, text: str, glossary: DataFrame, stop: Sequence[str], foreign: str, strict: bool = False, limit: int = 6) -> DataFrame:
@@ -116,12 +180,12 @@ def fallback_terms(docs: DataFrame, key: str, text: str, glossary: DataFrame, st
     all segments together, then those of several words (or all, where none has), then for the own
     words the text itself; no repeats, at most `limit`. Where nothing is left it is the text."""
     said = translated(docs, key, text, glossary, stop, foreign, strict)
-    said = said.join(docs.select(F.col(key).alias("d_k"), F.col(text).alias("d_text")), F.col(key).eqNullSafe(F.col("d_k")))
     lines = F.filter(F.transform("translated", lambda ws: F.array_join(ws, " ")), lambda s: s != "")
-    whole = T.empty_if_null("d_text")
+    whole = T.empty_if_null(text)
     own = _unique(F.concat(F.array(F.array_join("segments", " ")), _specific(F.col("segments")), F.array(whole)), limit)
-    other = _unique(F.concat(F.array(F.array_join(lines, " ")), _specific(lines)), limit)
-    return said.select(key, F.when(F.size(own) > 0, own).otherwise(F.array(whole)).alias("own"), F.when(F.size(other) > 0, other).otherwise(F.array(whole)).alias("foreign_terms"), "missed")
+    other = _once(lines, lambda x: _unique(F.concat(F.array(F.array_join(x, " ")), _specific(x)), limit))
+    some = lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(whole))
+    return said.select(key, _once(own, some).alias("own"), _once(other, some).alias("foreign_terms"), "missed")
 
 
 def _topic_words(phrases: DataFrame, topic: str, place: str, phrase: str, generic: Sequence[str]) -> DataFrame:
