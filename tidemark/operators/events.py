@@ -74,7 +74,9 @@ def ranked(index: DataFrame, found: DataFrame, key: str, topics: DataFrame, topi
     n counts a topic's candidates and df those with the word, both before `least`. Scores are compared
     in billionths."""
     bases = topics.select(topic, base_form(F.col("word")).alias("base")).distinct()
-    words = index.join(found.select(key).distinct(), key, "left_semi").select(key, base_form(F.col("token")).alias("base")).distinct()
+    # only words of a vocabulary leave the tasks that read the index
+    known = index.select(key, base_form(F.col("token")).alias("base")).join(bases.select("base").distinct(), "base", "left_semi")
+    words = known.join(found.select(key).distinct(), key, "left_semi").select(key, "base").distinct()
     matched = words.join(bases, "base").join(found.select(topic, key), [topic, key], "left_semi")
     df = matched.groupBy(topic, "base").agg(F.count("*").alias("df"))
     n = matched.groupBy(topic).agg(F.count_distinct(key).alias("n"))
