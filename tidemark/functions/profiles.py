@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from . import text as T
 
@@ -19,33 +25,76 @@ IDLE = tuple(
     that this are was препри preprint статья статьи публик источн докуме систем технол решени примен исполь област
     направ метод подход""".split()
 )
+_IDLE = frozenset(IDLE)
 CLAUSE_END = r'[.,;:!?()\[\]«»"—–\n]+'
 
 
-def clause_stems(text: Column | str) -> Column:
-    """For each clause the stems of its words; a stem behind a negator, or in a clause that ends in
-    `нет`, has the prefix `не_`. Short and idle words stand between a negator and its stem."""
-    words = F.transform(F.split(F.lower(T.empty_if_null(text)), CLAUSE_END), lambda c: F.regexp_extract_all(c, F.lit(r"([a-zа-яё]+)"), F.lit(1)))
+_PART = re.compile(r"[a-zа-яё]+|" + CLAUSE_END)
+_BREAK = "."
+
+
+class _Marks(dict):
+    """What a part of a text is: a break for the end of a clause, `!` for a negator, empty for a word that says
+    nothing, its stem else. Worked out once for each different part."""
+
+    def __missing__(self, part: str) -> str:
+        stem = part[:STEM]
+        said = "!" if part in NEGATORS or part == NONE else "" if len(part) < 3 or stem in _IDLE else stem
+        self[part] = _BREAK if not part[0].isalpha() else said
+        return self[part]
+
 
-    def marked(w: Column) -> Column:
-        def mark(x: Column, i: Column) -> Column:
-            stem = F.left(x, F.lit(STEM))
-            return F.when(x.isin(*NEGATORS) | ((x == NONE) & (i < F.size(w) - 1)), "!").when(x == NONE, "$").when((F.length(x) < 3) | stem.isin(*IDLE), "").otherwise(stem)
+def _scoped(low: str, marks: _Marks) -> list[str]:
+    """The scoped stems of a lower-case text in order, with a break after each clause but the last."""
+    parts = _PART.findall(low)
+    said = list(map(marks.__getitem__, parts))
+    if "!" not in said:
+        return list(filter(None, said))
+    if NONE in parts:
+        said = ["$" if p == NONE and said[i + 1 : i + 2] in ([], [_BREAK]) else m for i, (p, m) in enumerate(zip(parts, said))]
+    said = list(filter(None, said))
+    for i, m in enumerate(said):
+        if m == "!" and i + 1 < len(said) and said[i + 1] not in ("!", "$", _BREAK):
+            said[i + 1] = "не_" + said[i + 1]
+        elif m == "$":
+            while i and said[i - 1] != _BREAK:
+                i -= 1
+                said[i] = said[i] if said[i] == "!" or said[i].startswith("не_") else "не_" + said[i]
+    return [m for m in said if m not in ("!", "$")]
 
-        return F.filter(F.transform(w, mark), lambda x: x != "")
 
-    def scoped(f: Column) -> Column:
-        def scope(x: Column, i: Column) -> Column:
-            negated = (F.element_at(f, -1) == "$") | F.coalesce(F.get(f, i - 1) == "!", F.lit(False))
-            return F.when(x.isin("!", "$"), "").when(negated, F.concat(F.lit("не_"), x)).otherwise(x)
+def _listed(rows: list[list]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(list(chain.from_iterable(rows)), pa.string()))
 
-        return F.filter(F.transform(f, scope), lambda x: x != "")
 
-    return F.transform(F.transform(words, marked), scoped)
+@F.arrow_udf(ArrayType(ArrayType(StringType())))
+def _stems_of(low: pa.Array) -> pa.Array:
+    marks, out = _Marks(), []
+    for t in low.to_pylist():
+        clauses = [[]]
+        for m in _scoped(t, marks):
+            clauses.append([]) if m == _BREAK else clauses[-1].append(m)
+        out.append(clauses)
+    return pa.array(out, pa.list_(pa.list_(pa.string())))
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _features_of(low: pa.Array) -> pa.Array:
+    marks, out = _Marks(), []
+    for t in low.to_pylist():
+        stems = _scoped(t, marks)
+        pairs = dict.fromkeys(zip(stems, stems[1:]))
+        out.append([m for m in dict.fromkeys(stems) if m != _BREAK] + [f"{a}_{b}" for a, b in pairs if a != _BREAK and b != _BREAK])
+    return _listed(out)
+
+
+def clause_stems(text: Column | str) -> Column:
+    """For each clause the stems of its words; a stem behind a negator, or in a clause that ends in
+    `нет`, has the prefix `не_`. Short and idle words stand between a negator and its stem."""
+    return _stems_of(F.lower(T.empty_if_null(text)))
 
 
 def profile_features(text: Column | str) -> Column:
     """Distinct stems of a text and pairs of neighbouring stems within a clause."""
-    stems = clause_stems(text)
-    pairs = F.transform(stems, lambda s: F.transform(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit("_"), F.get(s, i + 1))))
-    return F.array_distinct(F.concat(F.flatten(stems), F.flatten(pairs)))
+    return _features_of(F.lower(T.empty_if_null(text)))

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import profiles as P
+from tidemark.plans.store import cut
 
 #: Weights are whole multiples of this, so that sums don't depend on their order.
 UNIT = 1e-4
 
 
-def features(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, features of every row of docs; nulls are empty texts, which have none."""
-    return docs.select(key, P.profile_features(text).alias("features"))
+def features(docs: DataFrame, key: str, text: str, others: Sequence[str] = ()) -> DataFrame:
+    """key, others, features of every row of docs; nulls are empty texts, which have none."""
+    return docs.select(key, *others, P.profile_features(text).alias("features"))
 
 
 def log_odds(rows: DataFrame, label: str, least: int = 5) -> DataFrame:
@@ -21,29 +27,66 @@ def log_odds(rows: DataFrame, label: str, least: int = 5) -> DataFrame:
     among rows of label 1 to those of label 0, both counted one more. Features of fewer than `least`
     rows have no weight; null labels don't count. Two partial aggregations, no row at the driver."""
     known = rows.where(F.col(label).isNotNull())
-    counts = known.select(F.explode("features").alias("feature"), label).groupBy("feature").agg(F.sum(label).alias("pos"), F.count("*").alias("n")).where(F.col("n") >= least)
+    # an inner explode would filter by the features, and so work them out twice
+    counts = known.select(F.explode_outer("features").alias("feature"), label).groupBy("feature").agg(F.sum(label).alias("pos"), F.count("*").alias("n")).where((F.col("n") >= least) & F.col("feature").isNotNull())
     total = known.agg(F.coalesce(F.sum(label), F.lit(0)).alias("all_pos"), F.count("*").alias("all_n"))
     ratio = (F.col("pos") + 1) * (F.col("all_n") - F.col("all_pos") + 2) / ((F.col("n") - F.col("pos") + 1) * (F.col("all_pos") + 2))
     return counts.crossJoin(F.broadcast(total)).select("feature", F.round(F.log(ratio) / UNIT).cast("long").alias("weight"))
 
 
-def predict(rows: DataFrame, key: str, weights: DataFrame, intercept: float = 0.0, top: int = 8) -> DataFrame:
+def predict(rows: DataFrame, key: str, weights: DataFrame, intercept: float = 0.0, top: int = 8, few: int = 500_000) -> DataFrame:
     """key, n_features, n_known, logit, p and reasons (feature, contribution; the `top` of largest
     size, ties by feature) of every row of rows (key unique, features). A feature's value is one over the
     square root of their number, so that length doesn't decide; contributions sum to the logit less
     the intercept. Rows without a known feature have the intercept alone.
 
-    weights is joined as a table of any size: where it is small, adaptive execution broadcasts it."""
-    each = rows.select(key, F.explode("features").alias("feature")).join(weights, "feature")
-    size = F.abs(F.col("weight"))
-    found = each.groupBy(F.col(key).alias("__k")).agg(
-        F.count("*").alias("n_known"), F.sum("weight").alias("total"),
-        F.slice(F.array_sort(F.collect_list(F.struct((-size).alias("size"), "feature", "weight"))), 1, top).alias("best"),
-    )
-    n = F.size("features")
-    value = UNIT / F.sqrt(F.greatest(n, F.lit(1)))
-    out = rows.join(found, F.col(key) == F.col("__k"), "left")
+    Up to `few` weights go to every task, and no feature is shuffled; a larger table is joined, with the
+    same result."""
+    weights = cut(weights.select("feature", "weight"))
+    small = weights.limit(few + 1).count() <= few
+    out = _known_of_few(rows, key, weights, top) if small else _known_by_join(rows, key, weights, top)
+    value = UNIT / F.sqrt(F.greatest("n", F.lit(1)))
     logit = F.lit(float(intercept)) + F.coalesce(F.col("total"), F.lit(0)) * value
-    reasons = F.transform(F.coalesce("best", F.array().cast("array<struct<size:bigint,feature:string,weight:bigint>>")), lambda b: F.struct(b["feature"].alias("feature"), (b["weight"] * value).alias("contribution")))
+    reasons = F.transform(F.coalesce("best", F.array().cast(BEST)), lambda b: F.struct(b["feature"].alias("feature"), (b["weight"] * value).alias("contribution")))
     bounded = F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))
-    return out.select(key, n.cast("long").alias("n_features"), F.coalesce("n_known", F.lit(0)).cast("long").alias("n_known"), logit.alias("logit"), (1 / (1 + F.exp(-bounded))).alias("p"), reasons.alias("reasons"))
+    return out.select(key, F.col("n").cast("long").alias("n_features"), F.coalesce("n_known", F.lit(0)).cast("long").alias("n_known"), logit.alias("logit"), (1 / (1 + F.exp(-bounded))).alias("p"), reasons.alias("reasons"))
+
+
+BEST = "array<struct<feature:string,weight:bigint>>"
+
+
+def _known_by_join(rows: DataFrame, key: str, weights: DataFrame, top: int) -> DataFrame:
+    """key, n, n_known, total, best of rows, whose features are joined with weights."""
+    each = rows.select(key, F.explode("features").alias("feature")).join(weights, "feature")
+    largest = F.slice(F.array_sort(F.collect_list(F.struct((-F.abs("weight")).alias("size"), "feature", "weight"))), 1, top)
+    best = F.transform(largest, lambda b: F.struct(b["feature"].alias("feature"), b["weight"].alias("weight")))
+    found = each.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("n_known"), F.sum("weight").alias("total"), best.alias("best"))
+    return rows.join(found, F.col(key) == F.col("__k"), "left").select(key, F.size("features").alias("n"), "n_known", "total", "best")
+
+
+def _known_of_few(rows: DataFrame, key: str, weights: DataFrame, top: int) -> DataFrame:
+    """The same where every task has all weights, sorted by feature."""
+    table = weights.orderBy("feature").toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast((table.column(0).cast(pa.string()).combine_chunks(), table.column(1).to_numpy()))
+    kind = pa.list_(pa.struct([("feature", pa.string()), ("weight", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, value = shared.value
+        for b in batches:
+            n = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            at = pc.index_in(b.column(1).flatten(), value_set=names)
+            known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+            row, at = np.repeat(np.arange(len(n)), n)[known], pc.drop_null(at).to_numpy()
+            w = value[at]
+            count, total = np.bincount(row, minlength=len(n)), np.zeros(len(n), np.int64)
+            np.add.at(total, row, w)
+            order = np.lexsort((at, -np.abs(w), row))
+            ends = np.cumsum(count)
+            best = order[np.arange(len(order)) - np.repeat(ends - count, count) < top]
+            found = pa.StructArray.from_arrays([names.take(pa.array(at[best])), pa.array(w[best])], fields=list(kind.value_type))
+            offsets = np.concatenate(([0], np.cumsum(np.minimum(count, top)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), found)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(count, pa.int64()), pa.array(total), lists], ["k", "n", "n_known", "total", "best"])
+
+    out = rows.select(F.col(key).alias("k"), "features").mapInArrow(run, f"k {dict(rows.dtypes)[key]}, n int, n_known long, total long, best {BEST}")
+    return out.withColumnRenamed("k", key)

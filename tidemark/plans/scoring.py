@@ -46,10 +46,10 @@ SELECT doc_id, len(features)::BIGINT AS n_features, coalesce(n, 0) AS n_known, r
        coalesce(array_to_string(list_transform(best, lambda b: b.x), ' '), '') AS reasons FROM f LEFT JOIN e USING (doc_id)""")
 def signal_predictions(spark, d):
     """Every document scored by the weights that labelled documents give, with its eight main reasons."""
-    rows = _features(spark, d)
-    labels = table(spark, d, "labels").select(F.col("doc_id").alias("l_id"), "quality")
-    weights = profiles.log_odds(rows.join(labels, F.col("doc_id") == F.col("l_id")), "quality")
-    out = profiles.predict(rows, "doc_id", weights)
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("l_id"), "quality").where("quality IS NOT NULL")
+    known = table(spark, d, "documents").select("doc_id", "text").join(labels, F.col("doc_id") == F.col("l_id"))
+    weights = profiles.log_odds(profiles.features(known, "doc_id", "text", ["quality"]), "quality")
+    out = profiles.predict(_features(spark, d), "doc_id", weights)
     return out.select("doc_id", "n_features", "n_known", F.round("logit", 6).alias("logit"), F.round("p", 6).alias("p"), F.array_join("reasons.feature", " ").alias("reasons"))
 
 
