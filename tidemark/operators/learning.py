@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, PCA, CountVectorizerModel, HashingTF, NGram, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,12 +24,31 @@ def fit_linear(rows: DataFrame, features: Sequence[str], label: str, reg: float
     return Pipeline(stages=stages).fit(class_weights(rows.where(F.col(label).isNotNull()), label))
 
 
-def fit_text(rows: DataFrame, text: str, label: str, dims: int = 4096, chars: int = 0, reg: float = 0.01) -> PipelineModel:
-    """TF-IDF logistic regression on words, or on character n-grams of `chars` letters."""
+def _words(text: str, dims: int, chars: int = 0) -> list[Transformer]:
+    """Stages from a text to `dims` hashed counts, __f, of its words or character n-grams."""
     tok = RegexTokenizer(inputCol=text, outputCol="__t", pattern=r"[\p{L}\p{N}_-]+" if not chars else ".", gaps=False, toLowercase=True)
     grams = [NGram(n=chars, inputCol="__t", outputCol="__g")] if chars else []
-    stages = [tok, *grams, HashingTF(inputCol="__g" if chars else "__t", outputCol="__f", numFeatures=dims), IDF(inputCol="__f", outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol=label, weightCol="weight", regParam=reg, maxIter=30)]
-    return Pipeline(stages=stages).fit(class_weights(rows.where(F.col(label).isNotNull()), label))
+    return [tok, *grams, HashingTF(inputCol="__g" if chars else "__t", outputCol="__f", numFeatures=dims)]
+
+
+def _weighed(label: str, reg: float) -> list[Estimator]:
+    return [IDF(inputCol="__f", outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol=label, weightCol="weight", regParam=reg, maxIter=30)]
+
+
+def hashed_words(rows: DataFrame, text: str, dims: int = 4096, chars: int = 0) -> DataFrame:
+    """rows with __f, hashed counts of words or character n-grams; nothing is learnt for them, so several
+    models can share them."""
+    return PipelineModel(_words(text, dims, chars)).transform(rows).drop("__t", "__g")
+
+
+def fit_hashed(rows: DataFrame, label: str, reg: float = 0.01) -> PipelineModel:
+    """TF-IDF logistic regression on the counts of hashed_words()."""
+    return Pipeline(stages=_weighed(label, reg)).fit(class_weights(rows.where(F.col(label).isNotNull()), label))
+
+
+def fit_text(rows: DataFrame, text: str, label: str, dims: int = 4096, chars: int = 0, reg: float = 0.01) -> PipelineModel:
+    """TF-IDF logistic regression on words, or on character n-grams of `chars` letters."""
+    return Pipeline(stages=[*_words(text, dims, chars), *_weighed(label, reg)]).fit(class_weights(rows.where(F.col(label).isNotNull()), label))
 
 
 def predict(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) -> DataFrame:

@@ -111,10 +111,11 @@ def label_precedence(rows: DataFrame, labels: Sequence[tuple[str, DataFrame]], k
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
-    """rows with weight: n / (classes * n of the class). Counts are one row a class."""
+    """rows with weight: n / (classes * n of the class). Counts are one row a class and go to every task, so
+    that the rows of a class don't meet in one."""
     n = rows.groupBy(F.col(label).alias("__c")).agg(F.count("*").alias("__n"))
     total = n.agg(F.sum("__n").alias("__all"), F.count("*").alias("__k"))
-    return rows.join(n, F.col(label).eqNullSafe(F.col("__c"))).join(F.broadcast(total)).withColumn("weight", F.col("__all") / (F.col("__k") * F.col("__n"))).drop("__c", "__n", "__all", "__k")
+    return rows.join(F.broadcast(n), F.col(label).eqNullSafe(F.col("__c"))).join(F.broadcast(total)).withColumn("weight", F.col("__all") / (F.col("__k") * F.col("__n"))).drop("__c", "__n", "__all", "__k")
 
 
 def standardised(rows: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:

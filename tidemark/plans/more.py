@@ -10,6 +10,7 @@ from tidemark.functions import numeric as N
 from tidemark.functions import text as T
 from tidemark.operators import learning, mining, ranges, relational, selection, vectors
 from tidemark.operators.ranges import running
+from tidemark.plans.store import cut
 from tidemark.session import table
 
 from .catalogue import COS, NORM, query
@@ -220,10 +221,11 @@ def train_linear_cv(spark, d):
 @query()
 def train_text_baseline(spark, d):
     """Out-of-fold probabilities of a TF-IDF word model, three folds by hash."""
-    rows = _labelled(spark, d).select("doc_id", "y", "text", "fold")
+    # texts are split and hashed once, not by each pass of each fit
+    rows = cut(learning.hashed_words(_labelled(spark, d).select("doc_id", "y", T.empty_if_null("text").alias("text"), "fold"), "text", 2048).drop("text"))
     out = None
     for f in range(3):
-        model = learning.fit_text(rows.where(F.col("fold") != f), "text", "y", 2048)
+        model = learning.fit_hashed(rows.where(F.col("fold") != f), "y")
         part = learning.predict(model, rows.where(F.col("fold") == f), ["doc_id", "y"])
         out = part if out is None else out.unionByName(part)
     return out.withColumn("p", F.round("p", 6))
