@@ -62,15 +62,24 @@ def without_recent_link(left: DataFrame, links: DataFrame, key: Sequence[str] |
     return left.join(links, key, "left_anti")
 
 
-def merge_archive(rows: DataFrame) -> DataFrame:
+def merge_archive(rows: DataFrame, many: int = 32) -> DataFrame:
     """url, title, summary, published_on, tokens of the versions of each url: longest title and
-    summary, earliest known date, union of the tokens."""
+    summary, earliest known date, union of the tokens.
+
+    Tokens of a url of at most `many` versions are united as arrays where its texts meet; those of a url of
+    more versions, one array of which may not fit a task, by a shuffle of distinct tokens. Urls, which may be
+    long, are grouped by their SHA-256."""
+    named = F.coalesce(F.unhex(F.sha2(F.col("url").cast("string"), 256)), F.lit(b""))
+    keyed = rows.withColumn("__k", named)
+    large = keyed.groupBy(F.col("__k").alias("__l")).agg(F.count("*").alias("__n")).where(F.col("__n") > many).select("__l")
+    marked = keyed.join(large, F.col("__k") == F.col("__l"), "left").withColumn("tokens", F.array_distinct(F.array_compact("tokens")))
     longest = lambda c: F.max_by(F.coalesce(c, F.lit("")), F.struct(F.length(F.coalesce(c, F.lit(""))), F.coalesce(c, F.lit(""))))
-    merged = rows.groupBy("url").agg(longest(F.col("title")).alias("title"), longest(F.col("summary")).alias("summary"), F.min("published_on").alias("published_on"))
-    token = rows.select(F.col("url").alias("__u"), F.explode("tokens").alias("__t")).distinct()  # each token is collected once
-    union = token.groupBy("__u").agg(F.array_sort(F.collect_set("__t")).alias("tokens"))
-    out = merged.join(union, F.col("url").eqNullSafe(F.col("__u")), "left")
-    return out.select("url", "title", "summary", "published_on", F.coalesce("tokens", F.array().cast(rows.schema["tokens"].dataType)).alias("tokens"))
+    few = F.collect_list(F.when(F.col("__l").isNull(), F.col("tokens")))
+    merged = marked.groupBy("__k").agg(F.max("url").alias("url"), longest(F.col("title")).alias("title"), longest(F.col("summary")).alias("summary"), F.min("published_on").alias("published_on"), few.alias("__few"))
+    token = marked.where("__l IS NOT NULL").select(F.col("__l").alias("__u"), F.explode("tokens").alias("__t")).distinct()  # each token is collected once
+    union = token.groupBy("__u").agg(F.array_sort(F.collect_set("__t")).alias("__many"))
+    out = merged.join(union, F.col("__k") == F.col("__u"), "left")
+    return out.select("url", "title", "summary", "published_on", F.coalesce("__many", F.array_sort(F.array_distinct(F.flatten("__few")))).alias("tokens"))
 
 
 def keyset_page(rows: DataFrame, keys: Sequence[tuple[str, object]], size: int) -> DataFrame:
