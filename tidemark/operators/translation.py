@@ -6,7 +6,9 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ LEAST, ENDING, DERIVED = 5, 3, 6
 HEAD = 4
 #: Most entries of words that go to all tasks at once.
 FEW = 200_000
+#: Words, and pairs of them, for which a task keeps what they stand for.
+KNOWN = 1 << 18
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -104,26 +108,54 @@ def _closest(word: str, near: list[dict], strict: bool) -> str | None:
     return best and best["value"]
 
 
-def _walk(segments: list[dict], glossary: tuple[dict, dict], strict: bool) -> dict:
-    """The words that stand for each segment, and the missed ones."""
+def _walker(glossary: tuple[dict, dict], strict: bool) -> Callable[[pa.ListArray], list[pa.Array]]:
+    """A function of the segments of some texts that gives, for each text, the segments, the words that
+    stand for each, and the missed ones. What a word or a pair of words stands for is looked up once for
+    all texts; Python only goes from one place to the next where an entry of several words may fit."""
     singles, several = glossary
-    out, missed = [], []
-    for segment in segments:
-        words, strange, said, at = segment["words"], segment["strange"], [], 0
-        starts = [_start(w) for w in words]
-        while at < len(words):
-            near = several.get((starts[at], starts[at + 1]), ()) if at + 1 < len(words) else ()
-            fit = next((x for x in near if len(x["e"]) <= len(words) - at and all(_alike(w, e, strict) for w, e in zip(words[at : at + len(x["e"])], x["e"]))), None)
-            value = fit["value"] if fit else None
-            if value is None:
-                value = _closest(words[at], singles.get(starts[at], []), strict) if strange[at] else words[at]
-            if value is None:
-                missed.append(words[at])
-            else:
-                said.append(value)
-            at += len(fit["e"]) if fit else 1
-        out.append(said)
-    return {"segments": [x["segment"] for x in segments], "translated": out, "missed": missed}
+    first, second = ({h: i for i, h in enumerate(sorted({k[j] for k in several}))} for j in (0, 1))
+    both = np.array([first[a] * len(second) + second[b] for a, b in several], np.int64)
+    closest = lru_cache(KNOWN)(lambda w: _closest(w, singles.get(_start(w), []), strict))
+    fitting = lru_cache(KNOWN)(lambda a, b: [x for x in several[_start(a), _start(b)] if _alike(a, x["e"][0], strict) and _alike(b, x["e"][1], strict)])
+
+    def walk(segs: pa.ListArray) -> list[pa.Array]:
+        ends = lambda lists: np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int32)
+        name, words, strange = segs.flatten().flatten()
+        of_text, of_seg = ends(segs), ends(words)
+        coded = words.flatten().dictionary_encode()
+        code, known = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        foreign = np.zeros(len(known), bool)
+        foreign[code] = strange.flatten().to_numpy(zero_copy_only=False)
+        value = [closest(w) if f else w for w, f in zip(known, foreign)]
+
+        # places where the starts of two words are those of an entry, and both words fit it
+        a, b = (np.array([ids.get(_start(w), -1) for w in known], np.int64) for ids in (first, second))
+        limit = np.repeat(of_seg[1:], np.diff(of_seg))
+        at = np.flatnonzero((a[code[:-1]] >= 0) & (b[code[1:]] >= 0) & (np.arange(1, len(code)) < limit[:-1])) if both.size else np.array([], int)
+        at = at[np.isin(a[code[at]] * len(second) + b[code[at + 1]], both)]
+        pairs, which = np.unique(code[at] * np.int64(len(known)) + code[at + 1], return_inverse=True)
+        near = [fitting(known[x // len(known)], known[x % len(known)]) for x in pairs.tolist()]
+        open_ = np.array([len(x) > 0 for x in near], bool)[which] if len(at) else np.array([], bool)
+        kept, stands, end = np.ones(len(code), bool), code.copy(), 0
+        for i, k in zip(at[open_].tolist(), which[open_].tolist()):
+            if i < end:
+                continue
+            fit = next((x for x in near[k] if len(x["e"]) <= limit[i] - i and all(_alike(known[c], e, strict) for c, e in zip(code[i + 2 : i + len(x["e"])], x["e"][2:]))), None)
+            if fit:
+                end = i + len(fit["e"])
+                kept[i + 1 : end] = False
+                if fit["value"] is not None:
+                    stands[i] = len(value)
+                    value.append(fit["value"])
+
+        none = np.array([v is None for v in value], bool)[stands]
+        said, missed = kept & ~none, kept & none
+        upto = lambda mask, ends: pa.array(np.concatenate(([0], np.cumsum(mask)))[ends].astype(np.int32))
+        lines = pa.ListArray.from_arrays(upto(said, of_seg), pa.array(value, pa.string()).take(pa.array(stands[said])))
+        left = pa.ListArray.from_arrays(upto(missed, of_seg[of_text]), coded.dictionary.take(pa.array(code[missed])))
+        return [pa.ListArray.from_arrays(pa.array(of_text), x) for x in (name, lines)] + [left]
+
+    return walk
 
 
 def translated(docs: DataFrame, key: str, text: str, glossary: DataFrame, stop: Sequence[str], foreign: str, strict: bool = False, few: int = FEW) -> DataFrame:
@@ -141,14 +173,18 @@ def translated(docs: DataFrame, key: str, text: str, glossary: DataFrame, stop:
     small = entries.limit(few + 1).count() <= few
     shared = docs.sparkSession.sparkContext.broadcast(_indexed(r.asDict() for r in entries.collect()) if small else None)
 
-    lists = pa.list_(pa.string())
-    kind = pa.struct([("segments", lists), ("translated", pa.list_(lists)), ("missed", lists)])
-
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = _walker(shared.value, strict) if small else None
         for b in batches:
-            known = ([shared.value] * len(b)) if small else (_indexed(h or []) for h in b.column("hits").to_pylist())
-            said = pa.array([_walk(s, g, strict) for s, g in zip(b.column("segs").to_pylist(), known)], kind)
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("t"), *said.flatten()], ["k", "t", *(f.name for f in kind)])
+            if not len(b):
+                continue
+            segs = b.column("segs")
+            if small:
+                said = whole(segs)
+            else:
+                each = [_walker(_indexed(h or []), strict)(segs.slice(i, 1)) for i, h in enumerate(b.column("hits").to_pylist())]
+                said = [pa.concat_arrays(x) for x in zip(*each)]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("t"), *said], ["k", "t", "segments", "translated", "missed"])
 
     def parts(s: Column) -> Column:
         return _once(_parted(F.split(s, " "), foreign, strict), lambda ws: F.struct(s.alias("segment"), ws.alias("words"), F.transform(ws, lambda w: w.rlike(foreign)).alias("strange")))
@@ -166,9 +202,10 @@ def translated(docs: DataFrame, key: str, text: str, glossary: DataFrame, stop:
 
 def _unique(phrases: Column, limit: int) -> Column:
     """The first `limit` different phrases; those behind them are not looked at."""
-    add = lambda s, c: F.when((F.length(c) < 2) | F.exists(s, lambda x: F.lower(x) == F.lower(c)), s).otherwise(F.concat(s, F.array(c)))
-    step = lambda s, p: F.when(F.size(s) >= limit, s).otherwise(_once(F.trim(F.regexp_replace(p, r"(?U)\s+", " ")), lambda c: add(s, c)))
-    return F.aggregate(phrases, F.array().cast("array<string>"), step)
+    add = lambda s, c, low: F.when((F.length(c) < 2) | F.exists(s, lambda x: x["low"] == low), s).otherwise(F.concat(s, F.array(F.struct(c.alias("c"), low.alias("low")))))
+    step = lambda s, p: F.when(F.size(s) >= limit, s).otherwise(_once(F.trim(F.regexp_replace(p, r"(?U)\s+", " ")), lambda c: _once(F.lower(c), lambda low: add(s, c, low))))
+    found = F.aggregate(phrases, F.array().cast("array<struct<c: string, low: string>>"), step)
+    return F.transform(found, lambda x: x["c"])
 
 
 def _specific(segs: Column) -> Column:
