@@ -49,7 +49,7 @@ def signal_predictions(spark, d):
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("l_id"), "quality").where("quality IS NOT NULL")
     known = table(spark, d, "documents").select("doc_id", "text").join(labels, F.col("doc_id") == F.col("l_id"))
     weights = profiles.log_odds(profiles.features(known, "doc_id", "text", ["quality"]), "quality")
-    out = profiles.predict(_features(spark, d), "doc_id", weights)
+    out = profiles.predict(table(spark, d, "documents"), "doc_id", weights, text="text")
     return out.select("doc_id", "n_features", "n_known", F.round("logit", 6).alias("logit"), F.round("p", 6).alias("p"), F.array_join("reasons.feature", " ").alias("reasons"))
 
 
