@@ -35,6 +35,9 @@ def profile_features(spark, d):
     return _features(spark, d).select("doc_id", F.size("features").cast("long").alias("n_features"), F.sha2(F.array_join(F.array_sort("features"), " "), 256).alias("features_sha256"), negated.cast("long").alias("n_negated"))
 
 
+FEW_LABELS = 2_000_000
+
+
 @query(f"""WITH {FEATURES},
 l AS (SELECT features, quality FROM f JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
 t AS (SELECT count(*) AS n, coalesce(sum(quality), 0) AS pos FROM l),
@@ -47,7 +50,9 @@ SELECT doc_id, len(features)::BIGINT AS n_features, coalesce(n, 0) AS n_known, r
 def signal_predictions(spark, d):
     """Every document scored by the weights that labelled documents give, with its eight main reasons."""
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("l_id"), "quality").where("quality IS NOT NULL")
-    known = table(spark, d, "documents").select("doc_id", "text").join(labels, F.col("doc_id") == F.col("l_id"))
+    # so many labels go to every task that no text is shuffled; more are joined by a shuffle
+    few = labels.limit(FEW_LABELS + 1).count() <= FEW_LABELS
+    known = table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(labels) if few else labels, F.col("doc_id") == F.col("l_id"))
     weights = profiles.log_odds(profiles.features(known, "doc_id", "text", ["quality"]), "quality")
     out = profiles.predict(table(spark, d, "documents"), "doc_id", weights, text="text")
     return out.select("doc_id", "n_features", "n_known", F.round("logit", 6).alias("logit"), F.round("p", 6).alias("p"), F.array_join("reasons.feature", " ").alias("reasons"))
