@@ -160,8 +160,8 @@ def _known_of_few(rows: DataFrame, key: str, weights: DataFrame, top: int, block
             rank[place] = np.arange(len(place))
             # a part of the rows at once, so that what is worked out for each of their features stays small
             starts = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
-            cuts = np.unique(np.concatenate((np.searchsorted(starts, np.arange(0, starts[-1], AT_ONCE)), [len(n)])))
-            for i, j in zip(cuts, cuts[1:]) if len(n) else ():
+            cuts = np.unique(np.concatenate((np.searchsorted(starts, np.arange(0, starts[-1], AT_ONCE)), [0, len(n)])))
+            for i, j in zip(cuts, cuts[1:]):
                 yield scored(b.column(0)[i:j], n[i:j], rank[each[starts[i] : starts[j]]], terms, place, value)
             del b, each, terms, place, value, rank
             pa.default_memory_pool().release_unused()
